@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from kernelweave.llm import textarrays as ta
 
 #: Distinct pre-tokens that a Python worker remembers; beyond it, it starts anew.
-MAX_REMEMBERED = 2_000_000
+MAX_REMEMBERED = 1_000_000
 
 
 class Vocabulary:
@@ -208,8 +208,8 @@ class Remembered:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.ids, self.starts, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.ids, self.starts, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def slots_of(self, hashes: np.ndarray, texts_of) -> np.ndarray:
         """The slot of each hash; those not yet known are encoded from texts_of(indices)."""
@@ -225,9 +225,9 @@ class Remembered:
             seen = np.zeros(len(distinct), np.int64)
             seen[codes[::-1]] = np.arange(len(codes))[::-1]
             ids, counts = self.encode_words(texts_of(seen[fresh]))
-            slots = len(self.counts) + np.arange(len(fresh))
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
-            self.counts, self.ids = np.concatenate([self.counts, counts]), np.concatenate([self.ids, ids])
+            slots = (len(self.counts) + np.arange(len(fresh))).astype(np.int32)
+            self.starts = np.concatenate([self.starts, (len(self.ids) + np.cumsum(counts) - counts).astype(np.int32)])
+            self.counts, self.ids = np.concatenate([self.counts, counts.astype(np.int32)]), np.concatenate([self.ids, ids])
             order = np.argsort(distinct[fresh])
             put = at[fresh][order]
             self.keys, self.slots = np.insert(self.keys, put, distinct[fresh][order]), np.insert(self.slots, put, slots[order])
@@ -242,7 +242,7 @@ class Remembered:
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
         hashes = ta.span_hashes((points.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), starts, ends)
         slots = self.slots_of(hashes, lambda some: ta.span_bytes(points, starts[some], ends[some]))
-        counts = self.counts[slots]
+        counts = self.counts[slots].astype(np.int64)
         done = np.concatenate([[0], np.cumsum(counts)])
         ids = self.ids[np.repeat(self.starts[slots] - done[:-1], counts) + np.arange(done[-1])]
         return ids, done[np.searchsorted(starts, at)]
@@ -326,6 +326,19 @@ def decode(ids: Column, tokenizer: str) -> Column:
     return text(ids)
 
 
+def round_trip(texts: Column, tokenizer: str) -> Column:
+    """struct<ids, decoded>: each whole text's ids and what they decode to, in one Python pass."""
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        memory, v = remembered(tokenizer), vocabulary(tokenizer)
+        for texts in batches:
+            ids = encode_texts(texts, v.special, memory)
+            yield pa.StructArray.from_arrays([ids, decode_ids(ids, v)], ["ids", "decoded"])
+
+    return both(texts)
+
+
 def with_ids(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids") -> DataFrame:
     return df.withColumn(ids, encode(F.col(text), tokenizer))
 

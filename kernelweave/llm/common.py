@@ -28,7 +28,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows in an Arrow batch: whole texts may be long, and Python workers share an executor's memory.
+BATCH_ROWS = 500
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     df = ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 

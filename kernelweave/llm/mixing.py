@@ -80,8 +80,17 @@ def mix(docs: DataFrame, weights: list[float], text: str = "text", source: str =
     rows = rows.join(sums, rows["source"].eqNullSafe(sums["s"]) & (rows["bucket"] == sums["b"])).drop("s", "b")
     inner = W.partitionBy("source", "bucket").orderBy("draw", "doc_id").rowsBetween(W.unboundedPreceding, -1)
     at = F.col("bucket_before") + F.coalesce(F.sum("size").over(inner), F.lit(0))
-    # a document is in the extra part if its middle is, so that the sum misses by half a document at most
-    rows = rows.withColumn("partial", at + F.col("size") / 2 < F.col("extra"))
+    # a document is in the extra part if its middle is; then the one whose size comes nearest to what
+    # the source misses, or has too much, changes sides
+    rows = written(rows.withColumn("at", at).withColumn("partial", F.col("at") + F.col("size") / 2 < F.col("extra")), "partial")
+    miss = rows.groupBy("source").agg((F.first("extra") - F.sum(F.when(F.col("partial"), F.col("size")).otherwise(0))).alias("miss"))
+    near = F.abs(F.abs("miss") - F.col("size"))
+    swap = rows.select("source", "doc_id", "size", "partial", "at").join(miss.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+    swap = swap.where((F.col("partial") == (F.col("miss") < 0)) & (near < F.abs("miss")))
+    swap = swap.groupBy("s").agg(F.min(F.struct(near.alias("near"), "at", "doc_id")).alias("best")).select("s", F.col("best.at").alias("swap_at"), F.col("best.doc_id").alias("swap_id"))
+    rows = rows.join(swap, F.col("source").eqNullSafe(F.col("s")), "left")
+    swapped = F.coalesce((F.col("at") == F.col("swap_at")) & F.col("doc_id").eqNullSafe(F.col("swap_id")) & (F.col("size") > 0) & F.col("swap_at").isNotNull(), F.lit(False))
+    rows = rows.withColumn("partial", F.col("partial") != swapped)
     taken = F.col("size") * (F.col("epochs") + F.col("partial").cast("long"))
     return rows.select("doc_id", "size", "source_size", "target", F.col("epochs").cast("long").alias("epochs"), "partial", taken.cast("long").alias("taken"))
 

@@ -24,9 +24,7 @@ def held_out(modulus: int, remainder: int) -> F.Column:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path()
-    docs = bpe.with_ids(table(spark, sf_dir, "documents", "doc_id", "text"), path).select("doc_id", "ids")
-    docs = bpe.with_text(docs, path)
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("both", bpe.round_trip(F.col("text"), tokenizer_path())).select("doc_id", "both.*")
     return docs.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -17,7 +17,7 @@ _ODD = U64(0x9E3779B97F4A7C15)
 _BASE = 0xD1342543DE82EF95  # odd, so that it has an inverse modulo 2^64
 
 
-def slices(texts: pa.Array, max_bytes: int = 1 << 20) -> Iterator[pa.Array]:
+def slices(texts: pa.Array, max_bytes: int = 1 << 19) -> Iterator[pa.Array]:
     """Parts of texts of about max_bytes; a longer text is a part of its own."""
     if len(texts) == 0:
         return
