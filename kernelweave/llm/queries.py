@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kernelweave.llm import bpe, langid, media, mixing, toxicity, wavelet
+from kernelweave.llm import bpe, langid, media, mixing, neardup, toxicity, wavelet
 from kernelweave.llm.common import table
 
 END_ID = 2
@@ -58,6 +58,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.documents(spark, path)
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), threshold_percent=85)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic")
@@ -73,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_media": op3_media,
         "op4_langid": op4_langid,
         "op6_token_files": op6_token_files,
+        "op8_minhash": op8_minhash,
         "op10_toxicity": op10_toxicity,
     }
 

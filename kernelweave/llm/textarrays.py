@@ -120,7 +120,7 @@ def shingles(hashes: np.ndarray, first: np.ndarray, width: int = 5) -> tuple[np.
     for k in range(width):
         has = size > k
         w = hashes[np.minimum(pos + k, max(len(hashes) - 1, 0))] if len(hashes) else np.zeros(len(pos), U64)
-        out += np.where(has, mix(w + U64(k + 1) * _ODD), U64(0))
+        out += np.where(has, mix(w + U64((k + 1) * int(_ODD) & 0xFFFFFFFFFFFFFFFF)), U64(0))
     return mix(out), at
 
 
