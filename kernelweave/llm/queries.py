@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kernelweave.llm import bpe, langid, media, mixing, neardup, toxicity, wavelet
+from kernelweave.llm import bpe, forest, langid, media, mixing, neardup, toxicity, wavelet
 from kernelweave.llm.common import table
 
 END_ID = 2
@@ -62,6 +62,10 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), threshold_percent=85)
 
 
+def op9_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_embeddings(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), threshold=0.9)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic")
@@ -78,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_langid": op4_langid,
         "op6_token_files": op6_token_files,
         "op8_minhash": op8_minhash,
+        "op9_forest": op9_forest,
         "op10_toxicity": op10_toxicity,
     }
 
