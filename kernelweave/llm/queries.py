@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kernelweave.llm import bpe, forest, langid, media, mixing, neardup, toxicity, wavelet
+from kernelweave.llm import bpe, forest, html, langid, media, mixing, neardup, toxicity, wavelet
 from kernelweave.llm.common import table
 
 END_ID = 2
@@ -58,6 +58,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.documents(spark, path)
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    return pages.select("page_id", "url", html.extract(F.col("html")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), threshold_percent=85)
 
@@ -81,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_media": op3_media,
         "op4_langid": op4_langid,
         "op6_token_files": op6_token_files,
+        "op7_html": op7_html,
         "op8_minhash": op8_minhash,
         "op9_forest": op9_forest,
         "op10_toxicity": op10_toxicity,
