@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kernelweave.llm import bpe, forest, html, langid, media, mixing, neardup, toxicity, wavelet
+from kernelweave.llm import bpe, forest, html, langid, media, mixing, neardup, passages, toxicity, wavelet
 from kernelweave.llm.common import table
 
 END_ID = 2
@@ -52,6 +52,16 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", held_out(3, 1).alias("held_out"), "t.lang_pred", "t.score", "t.bits", "t.rejected")
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = wavelet.new_path(spark)
     wavelet.write(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path(), path, END_ID)
@@ -85,11 +95,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mixing": op2_mixing,
         "op3_media": op3_media,
         "op4_langid": op4_langid,
+        "op5_passages": op5_passages,
         "op6_token_files": op6_token_files,
         "op7_html": op7_html,
         "op8_minhash": op8_minhash,
         "op9_forest": op9_forest,
         "op10_toxicity": op10_toxicity,
+        "pipeline": pipeline,
     }
 
 
