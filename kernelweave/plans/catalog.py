@@ -1,11 +1,612 @@
-"""Registered queries and their SQL."""
+"""Registered queries on the driver's tables, each with SQL that says the same where SQL can."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from kernelweave.functions import stats
+from kernelweave.operators import expand, fit, intervals, plotdata, postfit
+from kernelweave.operators.design import design, impute
+from kernelweave.sources import recordings as src
+from kernelweave.sources import simulate
 
-def oracle_sql() -> dict:
-    return {}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+US = "(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01'))"
+EV = f"""ev AS (SELECT 'r' || (user_id % 4) AS recording_id, event_id AS event_index, event_type AS type, {US} / 6e7 + 1 AS latency,
+ value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k, ({US} / 3.6e9) % 24 AS hour, CAST(user_id % 3 AS DOUBLE) AS grp FROM events)"""
+#: whole latencies, the last event of a type at a sample
+ONE = f"{EV}, lat AS (SELECT *, CAST(round(latency) AS BIGINT) AS l FROM ev), one AS (SELECT recording_id, type, l, arg_max(value, event_index) AS value, arg_max(k, event_index) AS k FROM lat GROUP BY ALL)".replace("GROUP BY ALL", "GROUP BY recording_id, type, l")
+SIG = f"""{EV}, lat AS (SELECT *, CAST(round(latency) AS BIGINT) AS l FROM ev), sig AS (
+ SELECT r.recording_id, t.t, coalesce(n, 0.0) AS n, coalesce(v, 0.0) AS v FROM (SELECT DISTINCT recording_id FROM ev) r CROSS JOIN (SELECT unnest(range(1, 43201)) AS t) t
+ LEFT JOIN (SELECT recording_id, l, CAST(count(*) AS DOUBLE) AS n, sum(value) AS v FROM lat GROUP BY recording_id, l) s ON s.recording_id = r.recording_id AND s.l = t.t),
+ samples AS (SELECT recording_id, t, 1 AS channel, n AS y FROM sig UNION ALL SELECT recording_id, t, 2, v FROM sig)"""
+TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _r(c: str, places: int = 6):
+    return (F.round(F.col(c), places) + F.lit(0.0)).alias(c)
+
+
+def _lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = src.table(spark, sf_dir, "lineitem")
+    return src.read_events(li.select("l_returnflag", "l_linestatus", "l_quantity", "l_discount", F.lit("item").alias("type"), F.lit(1.0).alias("latency"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("i")), "type", "latency", "i")
+
+
+def _summary(long: DataFrame, metadata: DataFrame) -> DataFrame:
+    s = long.groupBy("col_id").agg(F.count("x").alias("n"), F.round(F.sum("x"), 4).alias("sum_x"), F.round(F.sum(F.col("x") * F.col("x")), 4).alias("sum_xx"))
+    return s.join(metadata.select("col_id", "name"), "col_id").select("name", "n", (F.col("sum_x") + 0.0).alias("sum_x"), "sum_xx")
+
+
+# ---- sources
+
+
+@query(f"WITH {EV} SELECT recording_id, event_index, type, round(latency, 6) AS latency, value, k, round(hour, 6) AS hour, grp FROM ev")
+def model_events(spark, sf_dir):
+    return src.model_events(spark, sf_dir).select("recording_id", "event_index", "type", _r("latency"), "value", "k", _r("hour"), "grp")
+
+
+@query(f"WITH {SIG} SELECT recording_id, channel, count(*) AS n, round(sum(y), 4) AS sum_y, max(y) AS max_y FROM samples GROUP BY recording_id, channel")
+def signal_samples(spark, sf_dir):
+    s = src.activity(spark, sf_dir)
+    return s.groupBy("recording_id", "channel").agg(F.count("*").alias("n"), F.round(F.sum("y"), 4).alias("sum_y"), F.max("y").alias("max_y"))
+
+
+# ---- designs
+
+_CODED = """SELECT '(Intercept)' AS name, count(*) AS n, CAST(count(*) AS DOUBLE) AS sum_x, CAST(count(*) AS DOUBLE) AS sum_xx FROM lineitem"""
+
+
+def _col(name: str, expr: str, table: str = "lineitem") -> str:
+    return f"SELECT '{name}' AS name, count({expr}) AS n, round(sum(CAST({expr} AS DOUBLE)), 4) AS sum_x, round(sum(CAST({expr} AS DOUBLE) * ({expr})), 4) AS sum_xx FROM {table}"
+
+
+def _eq(c: str, v: str, other: int = 0, base: str | None = None) -> str:
+    return f"(CASE WHEN {c} = '{v}' THEN 1.0" + (f" WHEN {c} = '{base}' THEN -1.0" if base else "") + " ELSE 0.0 END)"
+
+
+@query(" UNION ALL ".join([_CODED, _col("l_linestatus_O", _eq("l_linestatus", "O")), _col("l_returnflag_N", _eq("l_returnflag", "N")), _col("l_returnflag_R", _eq("l_returnflag", "R")), _col("l_quantity", "l_quantity"), _col("l_linestatus_O:l_returnflag_N", f"{_eq('l_linestatus', 'O')} * {_eq('l_returnflag', 'N')}"), _col("l_linestatus_O:l_returnflag_R", f"{_eq('l_linestatus', 'O')} * {_eq('l_returnflag', 'R')}")]))
+def design_reference(spark, sf_dir):
+    d = design(_lineitems(spark, sf_dir), "y ~ 1 + cat(l_returnflag) * cat(l_linestatus) + l_quantity", ["item"])
+    return _summary(d.long(), d.metadata())
+
+
+@query(" UNION ALL ".join([_CODED, _col("l_linestatus_F", _eq("l_linestatus", "F", base="O")), _col("l_returnflag_A", _eq("l_returnflag", "A", base="R")), _col("l_returnflag_N", _eq("l_returnflag", "N", base="R"))]))
+def design_effects(spark, sf_dir):
+    d = design(_lineitems(spark, sf_dir), "y ~ 1 + cat(l_returnflag) + cat(l_linestatus)", ["item"], coding="effects")
+    return _summary(d.long(), d.metadata())
+
+
+@query(" UNION ALL ".join([_CODED, *[_col(f"l_returnflag_{v}", _eq("l_returnflag", v)) for v in "NRA"]]))
+def design_full(spark, sf_dir):
+    d = design(_lineitems(spark, sf_dir), "y ~ 1 + cat(l_returnflag)", ["item"], coding="full", categorical={"l_returnflag": ["N", "R", "A"]})
+    return _summary(d.long(), d.metadata())
+
+
+@query(f"""WITH {EV} SELECT name, count(*) AS n, round(sum(x), 4) AS sum_x, round(sum(x * x), 4) AS sum_xx FROM (
+ SELECT '(Intercept)' AS name, 1.0 AS x FROM ev WHERE type IN ('click', 'view') UNION ALL SELECT 'value', value FROM ev WHERE type IN ('click', 'view')
+ UNION ALL SELECT '2_(Intercept)', 1.0 FROM ev WHERE type = 'error' UNION ALL SELECT '2_value', value FROM ev WHERE type = 'error' UNION ALL SELECT 'k', k FROM ev WHERE type = 'error') GROUP BY name""")
+def design_two_formulas(spark, sf_dir):
+    d = design(src.model_events(spark, sf_dir), ["y ~ 1 + value", "y ~ 1 + value + k"], [["click", "view"], ["error"]])
+    return _summary(d.long(), d.metadata())
+
+
+def _hat(x: str, knots: list[str], i: int) -> str:
+    """SQL of the i-th cubic B-spline over knots (SQL expressions), by de Boor's recursion."""
+    t = [knots[0]] * 3 + knots + [knots[-1]] * 3
+    last = len(knots) + 1
+
+    def b(j: int, k: int) -> str:
+        if k == 0:
+            if t[j] == t[j + 1]:
+                return "0.0"
+            return f"(CASE WHEN {x} >= {t[j]} AND {x} {'<=' if j == last else '<'} {t[j + 1]} THEN 1.0 ELSE 0.0 END)"
+        out = []
+        if t[j] != t[j + k]:
+            out.append(f"(({x} - {t[j]}) / ({t[j + k]} - {t[j]}) * {b(j, k - 1)})")
+        if t[j + 1] != t[j + k + 1]:
+            out.append(f"(({t[j + k + 1]} - {x}) / ({t[j + k + 1]} - {t[j + 1]}) * {b(j + 1, k - 1)})")
+        return "(" + " + ".join(out) + ")" if out else "0.0"
+
+    return b(i, 3)
+
+
+@query("WITH " + EV + ", ks AS (SELECT 0.0::DOUBLE AS a, 50.0::DOUBLE AS b, 99.0::DOUBLE AS c) " + " UNION ALL ".join(f"SELECT {i} AS function, round(sum({_hat('k', ['a', 'b', 'c'], i)}), 4) AS total FROM ev, ks" for i in range(5)))
+def spline_basis(spark, sf_dir):
+    from kernelweave.functions import splines
+
+    cols = splines.columns(F.col("k"), "default", np.array([0.0, 50.0, 99.0]))
+    e = src.model_events(spark, sf_dir).agg(*[F.round(F.sum(c), 4).alias(str(i)) for i, c in enumerate(cols)])
+    return e.select(F.inline(F.array(*[F.struct(F.lit(i).alias("function"), (F.col(str(i)) + 0.0).alias("total")) for i in range(len(cols))])))
+
+
+@query(f"WITH {EV} SELECT type, count(*) AS n, round(sum(CAST(1.0 AS DOUBLE)), 4) AS unity FROM ev GROUP BY type")
+def spline_unity(spark, sf_dir):
+    """Circular and straight bases add up to one at every event."""
+    from kernelweave.functions import splines
+
+    round_ = splines.columns(F.col("hour"), "circular", np.linspace(0, 24, 7), (0.0, 24.0))
+    flat = splines.columns(F.col("k"), "default", np.linspace(0, 99, 5))
+    total = sum(round_, F.lit(0.0)) * sum(flat, F.lit(0.0))
+    return src.model_events(spark, sf_dir).groupBy("type").agg(F.count("*").alias("n"), (F.round(F.sum(total), 4) + 0.0).alias("unity"))
+
+
+@query()
+def design_splines(spark, sf_dir):
+    d = design(src.model_events(spark, sf_dir), "y ~ 1 + spl(value, 5) + circspl(hour, 6, 0, 24) + 2dspl(value, k, 4)", TYPES)
+    return _summary(d.long(), d.metadata())
+
+
+_HAZEN = """(SELECT CASE WHEN len(s) = 0 THEN NULL ELSE s[CAST(floor(r) AS BIGINT)] + (s[CAST(ceil(r) AS BIGINT)] - s[CAST(floor(r) AS BIGINT)]) * (r - floor(r)) END
+ FROM (SELECT s, greatest(1.0, least(CAST(len(s) AS DOUBLE), len(s) * {p} + 0.5)) AS r))"""
+
+
+@query(f"WITH {EV}, g AS (SELECT type, list_sort(list(value)) AS s FROM ev GROUP BY type), p AS (SELECT unnest([0.05, 0.25, 0.5, 0.95]::DOUBLE[]) AS p), c AS (SELECT type, p, s, greatest(1.0, least(CAST(len(s) AS DOUBLE), len(s) * p + 0.5)) AS r FROM g, p) SELECT type, p, round(s[CAST(floor(r) AS BIGINT)] + (s[CAST(ceil(r) AS BIGINT)] - s[CAST(floor(r) AS BIGINT)]) * (r - floor(r)), 6) AS q FROM c")
+def hazen_quantiles(spark, sf_dir):
+    return stats.hazen(src.model_events(spark, sf_dir), "value", [0.05, 0.25, 0.5, 0.95], ["type"]).select("type", "p", _r("q"))
+
+
+def _gappy(spark, sf_dir):
+    e = src.model_events(spark, sf_dir).withColumn("value", F.when(F.col("event_index") % 7 != 0, F.col("value")))
+    return design(e, "y ~ 1 + value + k", TYPES).long()
+
+
+_GAPPY = EV + ", gap AS (SELECT *, CASE WHEN event_index % 7 <> 0 THEN value END AS g FROM ev)"
+
+
+@query(f"WITH {_GAPPY} SELECT type, round(sum(coalesce(g, (SELECT avg(g) FROM gap))), 4) AS total, count(*) AS n FROM gap GROUP BY type")
+def impute_mean(spark, sf_dir):
+    x = impute(_gappy(spark, sf_dir).where("col_id = 2"), "mean")
+    return x.groupBy("type").agg(F.round(F.sum("x"), 4).alias("total"), F.count("x").alias("n"))
+
+
+@query(f"WITH {_GAPPY} SELECT type, round(sum(coalesce(g, (SELECT median(g) FROM gap))), 4) AS total, count(*) AS n FROM gap GROUP BY type")
+def impute_median(spark, sf_dir):
+    x = impute(_gappy(spark, sf_dir).where("col_id = 2"), "median")
+    return x.groupBy("type").agg(F.round(F.sum("x"), 4).alias("total"), F.count("x").alias("n"))
+
+
+@query(f"WITH {_GAPPY} SELECT type, count(*) * 3 AS n FROM gap WHERE g IS NOT NULL GROUP BY type")
+def impute_drop(spark, sf_dir):
+    return impute(_gappy(spark, sf_dir), "drop").groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query()
+def impute_marginal(spark, sf_dir):
+    x = impute(_gappy(spark, sf_dir), "marginal")
+    return x.groupBy("type", "col_id").agg(F.count("x").alias("n"))
+
+
+@query("SELECT c AS \"column\", round(1 / (1 - power((SELECT corr(l_quantity, l_extendedprice) FROM lineitem), 2)), 5) AS vif FROM (SELECT unnest(['l_quantity', 'l_extendedprice']) AS c)")
+def vif_two(spark, sf_dir):
+    return stats.vif(src.table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice"]).select("column", _r("vif", 5))
+
+
+@query()
+def vif_embedding(spark, sf_dir):
+    e = src.table(spark, sf_dir, "embeddings")
+    return stats.vif(e.select(*[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(16)]), [f"e{i}" for i in range(16)]).select("column", _r("vif", 4))
+
+
+@query(f"""WITH {EV}, g AS (SELECT *, lead(latency) OVER w - latency AS next_gap, latency - lag(latency) OVER w AS previous_gap FROM ev WINDOW w AS (PARTITION BY recording_id ORDER BY event_index)),
+ f AS (SELECT * FROM g WHERE next_gap IS NOT NULL AND previous_gap IS NOT NULL) """ + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 5) AS r FROM f" for a in ("value", "k", "next_gap", "previous_gap") for b in ("value", "k", "next_gap", "previous_gap")))
+def event_correlation(spark, sf_dir):
+    g = expand.gaps(src.model_events(spark, sf_dir))
+    return stats.correlation(g, ["value", "k", "next_gap", "previous_gap"]).select("a", "b", _r("r", 5))
+
+
+@query(f"WITH {EV}, s AS (SELECT min(value) AS a, max(value) AS b FROM ev) SELECT CAST(least(floor((value - a) / (b - a) * 20), 19) AS BIGINT) AS bin, count(*) AS n FROM ev, s GROUP BY 1")
+def event_histogram(spark, sf_dir):
+    return plotdata.histogram(src.model_events(spark, sf_dir), "value")
+
+
+@query()
+def event_density(spark, sf_dir):
+    return plotdata.density(src.model_events(spark, sf_dir), "value")
+
+
+# ---- expansion
+
+
+def _typed(spark, sf_dir, formula="y ~ 1"):
+    return design(src.model_events(spark, sf_dir), [formula] * len(TYPES), [[t] for t in TYPES])
+
+
+def _xdc(spark, sf_dir, width=20, lo=-5, formula="y ~ 1"):
+    d = _typed(spark, sf_dir, formula)
+    return d, expand.sticks(expand.single(d.long()), lo, width, src.N_SAMPLES)
+
+
+_XDC = f"WITH {ONE}, xdc AS (SELECT recording_id, (CASE type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END) AS col_id, b AS basis_id, l + b - 5 AS t, 1.0::DOUBLE AS v FROM one, (SELECT unnest(range(0, 20)) AS b) WHERE l + b - 5 BETWEEN 1 AND 43200)"
+
+
+@query(f"{_XDC} SELECT col_id, CAST(basis_id AS INTEGER) AS basis_id, count(*) AS n, round(sum(v), 4) AS total, CAST(sum(t) AS BIGINT) AS t_sum FROM xdc GROUP BY col_id, basis_id")
+def expand_sticks(spark, sf_dir):
+    _, x = _xdc(spark, sf_dir)
+    return x.groupBy("col_id", "basis_id").agg(F.count("*").alias("n"), F.round(F.sum("v"), 4).alias("total"), F.sum("t").alias("t_sum"))
+
+
+_COS = "(CASE WHEN f = 0 THEN 1.0 WHEN f % 2 = 1 THEN cos(2 * pi() * ((f + 1) // 2) * basis_id / 20) ELSE -sin(2 * pi() * (f // 2) * basis_id / 20) END)"
+
+
+@query(f"{_XDC} SELECT col_id, CAST(f AS INTEGER) AS basis_id, round(sum(s), 3) + 0.0 AS total, round(sum(s * s), 3) AS squares FROM (SELECT recording_id, t, col_id, f, sum(v * {_COS}) AS s FROM xdc, (SELECT unnest(range(0, 5)) AS f) GROUP BY recording_id, t, col_id, f) GROUP BY col_id, f")
+def expand_fourier(spark, sf_dir):
+    _, x = _xdc(spark, sf_dir)
+    y = expand.in_basis(x, expand.time_basis("fourier", 20, 3)[:5])
+    return y.groupBy("col_id", "basis_id").agg((F.round(F.sum("v"), 3) + 0.0).alias("total"), F.round(F.sum(F.col("v") * F.col("v")), 3).alias("squares"))
+
+
+@query()
+def expand_splines(spark, sf_dir):
+    _, x = _xdc(spark, sf_dir)
+    y = expand.in_basis(x, expand.time_basis("splines", 20, 8))
+    return y.groupBy("col_id", "basis_id").agg(F.count("*").alias("n"), F.round(F.sum("v"), 3).alias("total"))
+
+
+@query(f"WITH {SIG} SELECT CAST(lag AS INTEGER) AS basis_id, count(*) AS n, round(sum(y), 4) AS total, CAST(sum(t + lag - 3) AS BIGINT) AS t_sum FROM samples, (SELECT unnest(range(0, 8)) AS lag) WHERE channel = 2 AND y <> 0 AND t + lag - 3 BETWEEN 1 AND 43200 GROUP BY lag")
+def lagged_signal(spark, sf_dir):
+    x = expand.lagged(src.activity(spark, sf_dir), 2, -3, 8, 0)
+    return x.groupBy("basis_id").agg(F.count("*").alias("n"), F.round(F.sum("v"), 4).alias("total"), F.sum("t").alias("t_sum"))
+
+
+@query(f"WITH {SIG} SELECT recording_id, t + lag AS t, round(sum(y * w), 6) AS v FROM samples, (SELECT unnest([0, 1, 2]) AS lag, unnest([1.0, 0.5, 0.25]::DOUBLE[]) AS w) WHERE channel = 2 AND y <> 0 GROUP BY recording_id, t + lag")
+def sparse_convolution(spark, sf_dir):
+    x = src.activity(spark, sf_dir).where("channel = 2 and y <> 0").select("recording_id", "t", F.col("y").alias("v"))
+    return expand.convolved(x, [1.0, 0.5, 0.25]).select("recording_id", "t", _r("v"))
+
+
+@query(f"{_XDC} SELECT a.col_id AS col_a, CAST(a.basis_id AS INTEGER) AS basis_a, b.col_id AS col_b, CAST(b.basis_id AS INTEGER) AS basis_b, round(sum(a.v * b.v), 4) AS g FROM xdc a JOIN xdc b USING (recording_id, t) WHERE a.basis_id < 3 AND b.basis_id < 3 GROUP BY a.col_id, a.basis_id, b.col_id, b.basis_id")
+def gram(spark, sf_dir):
+    """X'X of three lags from the tiles' products."""
+    _, x = _xdc(spark, sf_dir, width=20)
+    s = fit.statistics(x.where("basis_id < 3"), src.activity(spark, sf_dir).where("channel = 1"))
+    g = s.total()[1]
+    rows = [(*s.keys[i], *s.keys[j], float(g[i, j])) for i, j in zip(*np.nonzero(g), strict=True)]
+    return spark.createDataFrame(rows, "col_a int, basis_a int, col_b int, basis_b int, g double")
+
+
+# ---- fits
+
+_TRUE = {t: {"1": float(i + 1), "value": 0.5 * (i - 2)} for i, t in enumerate(TYPES)}
+_SHAPE = [0.2, 0.6, 1.0, 0.4, -0.3, -0.1]
+
+
+def _known(spark, sf_dir, events=None):
+    """A noiseless signal from the single events of each type and sample."""
+    e = events if events is not None else src.model_events(spark, sf_dir)
+    one = e.withColumn("latency", F.round("latency")).groupBy("recording_id", "type", "latency").agg(F.max_by("value", "event_index").alias("value"), F.max("event_index").alias("event_index"))
+    return simulate.superpose(one, _TRUE, _SHAPE, src.N_SAMPLES)
+
+
+_KERNEL = " UNION ALL ".join(f"SELECT '{t}' AS type, '{n}' AS name, {lag} AS lag, round(CAST({w * v!r} AS DOUBLE), 5) + 0.0 AS beta" for t, p in _TRUE.items() for n, v in (("(Intercept)", p["1"]), ("value", p["value"])) for lag, w in enumerate(_SHAPE))
+
+
+@query(_KERNEL)
+def overlap_fit(spark, sf_dir):
+    """The flagship: kernels of five event types, intercept and slope, told apart although they overlap."""
+    d, x = _xdc(spark, sf_dir, width=6, lo=0, formula="y ~ 1 + value")
+    c = fit.fit_overlap(x, _known(spark, sf_dir))
+    names = spark.createDataFrame([(k.col_id, k.event_types[0], "value" if "value" in k.name else "(Intercept)") for k in d.columns], "col_id int, type string, name string")
+    return c.join(names, "col_id").select("type", "name", F.col("basis_id").alias("lag"), _r("beta", 5))
+
+
+@query(_KERNEL)
+def overlap_fit_iterative(spark, sf_dir):
+    d, x = _xdc(spark, sf_dir, width=6, lo=0, formula="y ~ 1 + value")
+    c = fit.fit_overlap(x, _known(spark, sf_dir), "lsmr", tol=1e-12, iterations=2000)
+    names = spark.createDataFrame([(k.col_id, k.event_types[0], "value" if "value" in k.name else "(Intercept)") for k in d.columns], "col_id int, type string, name string")
+    return c.join(names, "col_id").select("type", "name", F.col("basis_id").alias("lag"), _r("beta", 5))
+
+
+@query()
+def overlap_fit_activity(spark, sf_dir):
+    """The same model on the activity signal, condensed from a spline time basis."""
+    d, x = _xdc(spark, sf_dir, width=20, lo=-5, formula="y ~ 1 + value")
+    basis = expand.time_basis("splines", 20, 8)
+    c = fit.fit_overlap(expand.in_basis(x, basis), src.activity(spark, sf_dir), "pinv")
+    return postfit.condense(c, basis, -5, 1 / src.STEP_S).select("channel", "col_id", "lag", _r("time_s"), _r("beta", 4))
+
+
+_EPOCHS = f"""{SIG}, e AS (SELECT recording_id, event_index, type, value, CAST(round(latency) AS BIGINT) AS l FROM ev), cut AS (
+ SELECT e.recording_id, event_index, type, value, CAST(b - 5 AS INTEGER) AS lag, s.channel, s.y FROM e, (SELECT unnest(range(0, 15)) AS b) JOIN samples s ON s.recording_id = e.recording_id AND s.t = e.l + b - 5 WHERE e.l - 5 >= 1 AND e.l + 9 <= 43200)"""
+
+
+@query(f"WITH {_EPOCHS} SELECT type, lag, channel, count(*) AS n, round(avg(y), 6) AS mean_y FROM cut GROUP BY type, lag, channel")
+def epochs(spark, sf_dir):
+    e = intervals.epochs(src.model_events(spark, sf_dir), src.activity(spark, sf_dir), -5, 15)
+    return e.groupBy("type", "lag", "channel").agg(F.count("*").alias("n"), F.round(F.avg("y"), 6).alias("mean_y"))
+
+
+@query(f"WITH {_EPOCHS} SELECT channel, name, lag, round(b, 4) + 0.0 AS beta FROM (SELECT channel, lag, 'value' AS name, regr_slope(y, value) AS b FROM cut GROUP BY channel, lag UNION ALL SELECT channel, lag, '(Intercept)', regr_intercept(y, value) FROM cut GROUP BY channel, lag)")
+def epoch_fit(spark, sf_dir):
+    """A regression for each lag, no overlap correction."""
+    events = src.model_events(spark, sf_dir)
+    d = design(events, "y ~ 1 + value", TYPES)
+    c = fit.fit_epochs(d.long(), intervals.epochs(events, src.activity(spark, sf_dir), -5, 15))
+    return c.join(d.metadata().select("col_id", "name"), "col_id").select("channel", "name", "lag", _r("beta", 4))
+
+
+@query("SELECT l_linestatus, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept FROM lineitem GROUP BY l_linestatus")
+def straight_lines(spark, sf_dir):
+    from kernelweave.streaming.online import running_moments, slope
+
+    m = running_moments(src.table(spark, sf_dir, "lineitem"), ["l_linestatus"], "l_quantity", "l_extendedprice")
+    return slope(m, ["l_linestatus"]).select("l_linestatus", _r("slope", 4), _r("intercept", 2))
+
+
+def _folded(spark, sf_dir, fold_event=None):
+    e = src.model_events(spark, sf_dir)
+    d, x = _xdc(spark, sf_dir, width=6, lo=0, formula="y ~ 1 + value")
+    s = postfit.folds(src.activity(spark, sf_dir), e, n=5, method="equalEntries")
+    return d, fit.statistics(x, s, fold="fold")
+
+
+@query(f"WITH {SIG} SELECT channel, CAST(least((t - 1) * 5 // 43200, 4) AS INTEGER) AS fold, count(*) AS n, round(sum(y), 4) AS sum_y FROM samples GROUP BY 1, 2")
+def cv_folds(spark, sf_dir):
+    s = postfit.folds(src.activity(spark, sf_dir), src.model_events(spark, sf_dir), n=5, method="equalEntries")
+    return s.groupBy("channel", "fold").agg(F.count("*").alias("n"), F.round(F.sum("y"), 4).alias("sum_y"))
+
+
+@query(f"WITH {SIG}, f AS (SELECT DISTINCT recording_id, l FROM lat WHERE type = 'purchase' AND value > 95) SELECT recording_id, fold, count(*) AS n FROM (SELECT s.recording_id, s.t, (SELECT count(*) FROM f WHERE f.recording_id = s.recording_id AND f.l <= s.t) AS fold FROM samples s WHERE channel = 1) GROUP BY 1, 2")
+def cv_event_folds(spark, sf_dir):
+    e = src.model_events(spark, sf_dir).where("type = 'purchase' and value > 95")
+    s = postfit.folds(src.activity(spark, sf_dir).where("channel = 1"), e, "purchase")
+    return s.groupBy("recording_id", "fold").agg(F.count("*").alias("n")).withColumn("fold", F.col("fold").cast("long"))
+
+
+def _fit_table(spark, sf_dir, method):
+    d, s = _folded(spark, sf_dir)
+    rows = postfit.model_fit(s, d, method)
+    return spark.createDataFrame(rows, "fold int, channel int, variable string, r2_ca double, r2_total double").select("fold", "channel", "variable", _r("r2_ca", 4), _r("r2_total", 4))
+
+
+@query("SELECT CAST(NULL AS INTEGER) AS fold, 1 AS channel, CAST(NULL AS VARCHAR) AS variable, CAST(NULL AS DOUBLE) AS r2_ca, CAST(1.0 AS DOUBLE) AS r2_total")
+def model_r2(spark, sf_dir):
+    """Of a noiseless signal the model explains all."""
+    d, x = _xdc(spark, sf_dir, width=6, lo=0, formula="y ~ 1 + value")
+    rows = postfit.model_fit(fit.statistics(x, _known(spark, sf_dir)), d, "R2")
+    return spark.createDataFrame(rows, "fold int, channel int, variable string, r2_ca double, r2_total double").select("fold", "channel", "variable", "r2_ca", _r("r2_total", 6))
+
+
+@query()
+def model_partial_r2(spark, sf_dir):
+    return _fit_table(spark, sf_dir, "partialR2")
+
+
+@query()
+def model_cv_r2(spark, sf_dir):
+    return _fit_table(spark, sf_dir, "crossValR2")
+
+
+@query()
+def model_cv_partial_r2(spark, sf_dir):
+    return _fit_table(spark, sf_dir, "crossValpartialR2")
+
+
+@query()
+def elastic_net_cv(spark, sf_dir):
+    """The lasso at one standard error, folds of the same pass."""
+    d, s = _folded(spark, sf_dir)
+    names = {k.col_id: k.name for k in d.columns}
+    one = []
+    for n, g, c, total, squares in s.folds.values():
+        one.append((n, g, c[:, 1], g[:, [i for i, (k, _) in enumerate(s.keys) if "Intercept" in names[k]]].sum(1) / 6, float(total[1]), float(squares[1])))
+    got = fit.cv_elastic_net(one, intercept=False)
+    rows = [(names[k], int(b), float(v)) for (k, b), v in zip(s.keys, got["beta"], strict=True)]
+    return spark.createDataFrame(rows, "name string, lag int, beta double").select("name", "lag", _r("beta", 4))
+
+
+# ---- intervals
+
+
+@query(f"""WITH {SIG}, w AS (SELECT recording_id, t AS a, t + 8 AS b, max(y) OVER w - min(y) OVER w AS r FROM samples WHERE channel = 2 WINDOW w AS (PARTITION BY recording_id ORDER BY t ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING)),
+ hit AS (SELECT recording_id, a, b FROM w WHERE (a - 1) % 5 = 0 AND b <= 43200 AND r > 60),
+ i AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY recording_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 3 THEN 0 ELSE 1 END AS new FROM hit),
+ g AS (SELECT *, sum(new) OVER (PARTITION BY recording_id ORDER BY a, b) AS k FROM i) SELECT recording_id, min(a) AS start_t, max(b) AS end_t FROM g GROUP BY recording_id, k""")
+def artefact_amplitude(spark, sf_dir):
+    s = src.activity(spark, sf_dir)
+    return intervals.amplitude(s, 1.0, 60.0, 10_000, 5_000, 3_000, [2])
+
+
+_WIN = "win AS (SELECT DISTINCT recording_id, l - 3 AS start_t, l + 3 AS end_t FROM lat WHERE type = 'error' AND l - 3 >= 1)"
+
+
+def _windows(spark, sf_dir):
+    e = src.model_events(spark, sf_dir).where("type = 'error'").withColumn("l", F.round("latency").cast("long"))
+    return e.select("recording_id", (F.col("l") - 3).alias("start_t"), (F.col("l") + 3).alias("end_t")).distinct().where("start_t >= 1")
+
+
+@query(f"""WITH {SIG}, {_WIN}, i AS (SELECT *, CASE WHEN start_t <= max(end_t) OVER (PARTITION BY recording_id ORDER BY start_t, end_t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM win),
+ g AS (SELECT *, sum(new) OVER (PARTITION BY recording_id ORDER BY start_t, end_t) AS k FROM i) SELECT recording_id, min(start_t) AS start_t, max(end_t) AS end_t FROM g GROUP BY recording_id, k""")
+def merge_intervals(spark, sf_dir):
+    return intervals.merge(_windows(spark, sf_dir))
+
+
+@query(f"WITH {SIG}, {_WIN} SELECT recording_id, channel, count(*) AS n, round(sum(y), 4) AS sum_y FROM samples s WHERE NOT EXISTS (SELECT 1 FROM win WHERE win.recording_id = s.recording_id AND s.t BETWEEN start_t AND end_t) GROUP BY recording_id, channel")
+def exclude_intervals(spark, sf_dir):
+    s = intervals.exclude(src.activity(spark, sf_dir), _windows(spark, sf_dir))
+    return s.groupBy("recording_id", "channel").agg(F.count("*").alias("n"), F.round(F.sum("y"), 4).alias("sum_y"))
+
+
+@query(f"""WITH {SIG}, {_WIN}, a AS (SELECT DISTINCT recording_id, type, l + b - 5 AS t FROM lat, (SELECT unnest(range(0, 20)) AS b) WHERE l + b - 5 BETWEEN 1 AND 43200),
+ k AS (SELECT type, count(*) AS u, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM win WHERE win.recording_id = a.recording_id AND a.t BETWEEN start_t AND end_t)) AS gone FROM a GROUP BY type)
+ SELECT type, 43200.0::DOUBLE AS total_s, (SELECT count(*) FROM ev WHERE ev.type = k.type) * 20 / 1.0::DOUBLE AS no_overlap_s, u / 1.0::DOUBLE AS union_s, gone / 1.0::DOUBLE AS removed_s FROM k""")
+def excluded_time(spark, sf_dir):
+    return intervals.excluded_time(src.model_events(spark, sf_dir), _windows(spark, sf_dir), -5, 20, 1.0, src.N_SAMPLES)
+
+
+@query(f"WITH {SIG}, {_WIN} SELECT type, count(*) AS n FROM lat e WHERE NOT EXISTS (SELECT 1 FROM win WHERE win.recording_id = e.recording_id AND start_t <= e.l + 9 AND end_t >= e.l - 5) GROUP BY type")
+def clean_events(spark, sf_dir):
+    return intervals.clean_events(src.model_events(spark, sf_dir), _windows(spark, sf_dir), -5, 15).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {SIG}, m AS (SELECT recording_id, t, t - row_number() OVER (PARTITION BY recording_id ORDER BY t) AS g FROM samples WHERE channel = 1 AND y > 0)
+ SELECT recording_id, min(t) AS start_t, max(t) AS end_t FROM m GROUP BY recording_id, g""")
+def active_runs(spark, sf_dir):
+    return intervals.runs(src.activity(spark, sf_dir).where("channel = 1 and y > 0"))
+
+
+_SEG = f"""{SIG}, s AS (SELECT *, (t - 1) // 60 AS seg FROM samples), span AS (SELECT recording_id, channel, min(y) AS lo, max(y) AS hi, count(*) AS cnt FROM s GROUP BY 1, 2),
+ b AS (SELECT s.*, cnt, CASE WHEN hi > lo THEN least(floor((y - lo) / (hi - lo) * 100), 99) ELSE 0 END AS bin FROM s JOIN span USING (recording_id, channel)),
+ c AS (SELECT recording_id, channel, bin, count(*) AS c FROM b GROUP BY 1, 2, 3), each AS (SELECT recording_id, channel, seg, sum(-ln(c / cnt)) AS jp FROM b JOIN c USING (recording_id, channel, bin) GROUP BY 1, 2, 3),
+ total AS (SELECT recording_id, 0 AS channel, seg, sum(jp) AS jp FROM each GROUP BY 1, 3), every AS (SELECT * FROM each UNION ALL SELECT * FROM total),
+ q AS (SELECT recording_id, channel, quantile_cont(jp, 0.1) AS a, quantile_cont(jp, 0.9) AS b FROM every GROUP BY 1, 2),
+ norm AS (SELECT recording_id, channel, avg(jp) AS m, stddev_samp(jp) AS sd FROM every JOIN q USING (recording_id, channel) WHERE jp BETWEEN a AND b GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_SEG} SELECT DISTINCT recording_id, seg * 60 + 1 AS start_t, (seg + 1) * 60 AS end_t FROM every JOIN norm USING (recording_id, channel) WHERE abs((jp - m) / sd) > 8")
+def artefact_improbable(spark, sf_dir):
+    return intervals.improbable(src.activity(spark, sf_dir), 1.0, 60, 8, 8)
+
+
+@query()
+def artefact_bursts(spark, sf_dir):
+    return intervals.bursts(src.activity(spark, sf_dir), 1.0, 12, 60)
+
+
+# ---- after the fit
+
+
+def _curves(spark, sf_dir):
+    d, x = _xdc(spark, sf_dir, width=6, lo=0, formula="y ~ 1 + value")
+    c = fit.fit_overlap(x, _known(spark, sf_dir))
+    return d, postfit.condense(c, np.eye(6), 0, 1.0)
+
+
+def _predicted_sql(rows) -> str:
+    return " UNION ALL ".join(f"SELECT '{t}' AS type, CAST({v!r} AS DOUBLE) AS value, {lag} AS lag, round(CAST({b!r} AS DOUBLE), 4) + 0.0 AS beta" for t, v, lag, b in rows)
+
+
+@query(_predicted_sql([(t, v, lag, w * p["value"] * v) for t, p in _TRUE.items() for v in (10.0, 20.0) for lag, w in enumerate(_SHAPE)]))
+def predict_continuous(spark, sf_dir):
+    d, c = _curves(spark, sf_dir)
+    p = postfit.predict(c, d, {v: [10.0, 20.0] for v in ["value", *[f"{k}_value" for k in range(2, 6)]]})
+    return p.where("kind = 'continuous'").select(F.element_at("event_types", 1).alias("type"), "value", "lag", _r("beta", 4))
+
+
+@query("WITH " + EV + " , m AS (SELECT type, avg(value) AS m FROM ev GROUP BY type) SELECT t.type, t.lag, round(t.a + t.s * m, 3) + 0.0 AS beta FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS type, {lag} AS lag, CAST({w * p['1']!r} AS DOUBLE) AS a, CAST({w * p['value']!r} AS DOUBLE) AS s" for t, p in _TRUE.items() for lag, w in enumerate(_SHAPE)) + ") t JOIN m USING (type)")
+def marginal_intercept(spark, sf_dir):
+    """The intercept with value at its mean."""
+    d, c = _curves(spark, sf_dir)
+    p = postfit.predict(c, d, {v: [10.0] for v in ["value", *[f"{k}_value" for k in range(2, 6)]]})
+    return postfit.marginal(p, c, d, "MEM").where("kind = 'intercept'").select(F.element_at("event_types", 1).alias("type"), "lag", _r("beta", 3))
+
+
+@query()
+def marginal_average(spark, sf_dir):
+    d, c = _curves(spark, sf_dir)
+    return postfit.marginal(postfit.predict(c, d), c, d, "AME").select(F.array_join("event_types", " ").alias("events"), "variable", _r("value", 4), "lag", _r("beta", 3))
+
+
+@query(_predicted_sql([]) or "SELECT 0 AS bad" if False else "SELECT 'r' || i AS recording_id, 43200 AS n, CAST(0.0 AS DOUBLE) AS residual FROM (SELECT unnest(range(0, 4)) AS i)")
+def residual_signal(spark, sf_dir):
+    d, x = _xdc(spark, sf_dir, width=6, lo=0, formula="y ~ 1 + value")
+    s = _known(spark, sf_dir)
+    r = postfit.residuals(s, x, fit.fit_overlap(x, s))
+    return r.groupBy("recording_id").agg(F.count("*").alias("n"), (F.round(F.sum(F.abs("residual")), 3) + 0.0).alias("residual"))
+
+
+@query(f"""WITH {_EPOCHS}, m AS (SELECT recording_id, event_index, lag, avg(y) AS y FROM cut GROUP BY 1, 2, 3), k AS (SELECT DISTINCT recording_id, event_index FROM m),
+ o AS (SELECT k.*, row_number() OVER (PARTITION BY k.recording_id ORDER BY value DESC, k.event_index) AS trial FROM k JOIN ev ON ev.recording_id = k.recording_id AND ev.event_index = k.event_index)
+ SELECT CAST(trial AS INTEGER) AS trial, m.event_index, lag, round(y, 6) AS y FROM m JOIN o USING (recording_id, event_index) WHERE trial <= 50""")
+def single_trials(spark, sf_dir):
+    """The first 50 trials of each recording, by falling value: a top-k report."""
+    t = postfit.single_trials(src.model_events(spark, sf_dir), src.activity(spark, sf_dir), -5, 15, "raw", None, "value", True)
+    return t.where("trial <= 50").select("trial", "event_index", "lag", _r("y"))
+
+
+@query()
+def tidy_export(spark, sf_dir):
+    d, c = _curves(spark, sf_dir)
+    return src.tidy(c, d.metadata()).select("event", "predictor", "predictorvalue", "channel", "time", _r("data", 4), "method")
+
+
+def _subject_means(spark, sf_dir):
+    e = intervals.epochs(src.model_events(spark, sf_dir), src.activity(spark, sf_dir), -5, 15)
+    return e.groupBy("recording_id", "type", "channel", "lag").agg(F.avg("y").alias("beta"))
+
+
+@query(f"""WITH {_EPOCHS}, m AS (SELECT recording_id, type, channel, lag, avg(y) AS beta FROM cut GROUP BY 1, 2, 3, 4), r AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY type, channel, lag) AS n FROM m WINDOW w AS (PARTITION BY type, channel, lag ORDER BY beta))
+ SELECT type, channel, lag, round(avg(beta), 5) AS trimmed FROM r WHERE k > floor(n * 0.25) AND k <= n - floor(n * 0.25) GROUP BY 1, 2, 3""")
+def group_trimmed_mean(spark, sf_dir):
+    return plotdata.group_mean(_subject_means(spark, sf_dir), ["type", "channel", "lag"], 50).select("type", "channel", "lag", _r("trimmed", 5))
+
+
+@query()
+def group_bootstrap(spark, sf_dir):
+    return plotdata.bootstrap_ci(_subject_means(spark, sf_dir), ["type", "channel", "lag"], 100).select("type", "channel", "lag", _r("lo", 5), _r("hi", 5))
+
+
+@query(f"""WITH {_EPOCHS}, m AS (SELECT type, channel, lag, avg(y) AS beta FROM cut GROUP BY 1, 2, 3) SELECT type, channel, lag, round(beta - avg(CASE WHEN lag >= -5 AND lag < 0 THEN beta END) OVER (PARTITION BY type, channel), 5) + 0.0 AS beta FROM m""")
+def baseline_curves(spark, sf_dir):
+    e = intervals.epochs(src.model_events(spark, sf_dir), src.activity(spark, sf_dir), -5, 15)
+    m = e.groupBy("type", "channel", "lag").agg(F.avg("y").alias("beta")).withColumn("time_s", F.col("lag").cast("double"))
+    return plotdata.baseline(m, -5.0, 0.0, ["type", "channel"]).select("type", "channel", "lag", _r("beta", 5))
+
+
+@query()
+def topographies(spark, sf_dir):
+    _, c = _curves(spark, sf_dir)
+    return plotdata.topographies(c, 3).select("col_id", "channel", "slice", _r("beta", 4), _r("limit", 4))
+
+
+@query("SELECT l_returnflag, count(*) AS n, 0 AS bad FROM lineitem GROUP BY l_returnflag")
+def yuen_test(spark, sf_dir):
+    """Quantity against itself shifted by noise-free constants: the trimmed difference is that constant."""
+    li = src.table(spark, sf_dir, "lineitem").withColumn("other", F.col("l_quantity") - 2.0 - F.col("l_tax"))
+    t = stats.yuen_dependent(li, "l_quantity", "other", ["l_returnflag"])
+    return t.select("l_returnflag", "n", ((F.col("diff") < F.col("lo")) | (F.col("diff") > F.col("hi"))).cast("int").alias("bad"))
+
+
+@query("""WITH p AS (SELECT l_extendedprice AS s, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, l_quantity AS w FROM lineitem), g AS (SELECT s, sum(CASE WHEN y = 1 THEN w ELSE 0 END) AS p, sum(CASE WHEN y = 0 THEN w ELSE 0 END) AS n FROM p GROUP BY s),
+ c AS (SELECT *, coalesce(sum(n) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM g) SELECT round(sum(p * (b + n / 2)) / (sum(p) * sum(n)), 6) AS auc FROM c""")
+def weighted_auc(spark, sf_dir):
+    li = src.table(spark, sf_dir, "lineitem").withColumn("label", (F.col("l_returnflag") == "R").cast("int"))
+    return plotdata.weighted_auc(li, "l_extendedprice", "label", "l_quantity").select(_r("auc"))
+
+
+@query("""WITH c AS (SELECT vec_id AS channel, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings) SELECT a.channel, b.channel AS neighbour FROM c a JOIN c b ON a.channel <> b.channel
+ AND sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2)) < 0.05""")
+def sensor_neighbours(spark, sf_dir):
+    e = src.table(spark, sf_dir, "embeddings")
+    c = e.select(F.col("vec_id").alias("channel"), *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate("xyz")])
+    return plotdata.neighbours(c, 0.05)
+
+
+@query(f"WITH {EV} SELECT type, count(*) AS n, count(k) AS n_k, count(value) AS n_value FROM (SELECT type, value, NULL AS k FROM ev WHERE type = 'click' UNION ALL SELECT type, NULL, k FROM ev WHERE type = 'view') GROUP BY type")
+def merged_events(spark, sf_dir):
+    e = src.model_events(spark, sf_dir)
+    m = plotdata.merge_events(e.where("type = 'click'").drop("k"), e.where("type = 'view'").drop("value"))
+    return m.groupBy("type").agg(F.count("*").alias("n"), F.count("k").alias("n_k"), F.count("value").alias("n_value"))
+
+
+@query("SELECT s.scenario, s.n_samples FROM (SELECT unnest(range(1, 17)) AS scenario, 600 AS n_samples) s")
+def simulated_scenarios(spark, sf_dir):
+    """Samples of each named scenario over a minute."""
+    from functools import reduce
+
+    out = [simulate.scenario(spark, k, 60, 10.0, 0.5)[0].groupBy().agg(F.count("*").alias("n_samples")).select(F.lit(k).cast("long").alias("scenario"), F.col("n_samples").cast("int")) for k in simulate.SCENARIOS]
+    return reduce(DataFrame.unionAll, out)
