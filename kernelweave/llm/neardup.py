@@ -11,11 +11,13 @@ whole sequence is one shingle; without words or text the set is empty and links
    MISS, after 24, 48, .. equal signature places; survivors are confirmed on the full sets.
 5. Buckets that still hold more than one component get the pairs between components as well:
    members are cut into blocks, each pair of blocks is one group, and inside it signatures are
-   compared on arrays with the same pruning. Only survivors leave the group. So no candidate
-   of different components stays untested, and no group is larger than two blocks.
+   compared on arrays with the same pruning, then full sets. Only links that join components
+   leave the group. So no candidate of different components stays untested, and no group is
+   larger than two blocks.
 
 Repeated rows and equal texts have equal sets, thus one class. Null ids take no part in links
-and keep their row. Very long texts are whole. Columns beyond id and text take no part.
+and keep their row. Of rows with the same id and different texts the set of the least digest
+stands for the id's links. Very long texts are whole. Columns beyond id and text take no part.
 """
 
 from __future__ import annotations
@@ -64,7 +66,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shingles, at = ta.shingles(ta.word_hashes(data, starts, ends), first, WIDTH)
             sets = ta.distinct_sorted(shingles, at)
             n = np.array([len(s) for s in sets], np.int64)
-            digest = np.array([np.bitwise_xor.reduce(ta.mix(s)) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+            digest = _digests(sets)
             places = minhashes(shingles, at)
             band = np.zeros((len(n), BANDS), np.uint64)
             for r in range(ROWS):
@@ -79,16 +81,23 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             done += len(part)
 
 
+def _digests(sets: list[np.ndarray]) -> np.ndarray:
+    return np.array([np.bitwise_xor.reduce(ta.mix(s)) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, shingles) of each text whose set has the digest asked for."""
     for batch in batches:
         done = 0
         for part in ta.slices(batch.column(1)):
             data, offs = ta.utf8(part)
             starts, ends, first = ta.words(data, offs)
             sets = ta.distinct_sorted(*ta.shingles(ta.word_hashes(data, starts, ends), first, WIDTH))
-            at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(part)), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["doc_id", "shingles"])
+            ids, asked = (batch.column(c).slice(done, len(part)) for c in (0, 2))
+            good = np.flatnonzero(_digests(sets) == asked.to_numpy())
+            at = np.concatenate([[0], np.cumsum([len(sets[i]) for i in good.tolist()])]).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.uint64), *[sets[i] for i in good.tolist()]]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(good)), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["doc_id", "shingles"])
             done += len(part)
 
 
@@ -122,44 +131,43 @@ def _pruner(limits):
     return prune
 
 
-def _between(limits):
-    """Survivors between different components of a pair of blocks; inside one block each pair once."""
+def _between(limits, threshold_percent: int):
+    """Links that join different components of a pair of blocks; full sets are compared inside, and at most
+    one link for each join leaves."""
 
-    def pairs(group: pd.DataFrame) -> pd.DataFrame:
+    def links(group: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(group["signature"]), np.uint16).reshape(-1, _PLACES)
-        ids, comp, side = group["doc_id"].to_numpy(), group["component"].to_numpy(), group["side"].to_numpy()
-        if (side == 0).all():
-            names, codes = np.unique(comp, return_inverse=True)
-            # against all later components, so the largest comes last
-            order = np.argsort(np.bincount(codes)[codes] * len(names) + codes, kind="stable")
-            left, right, comp_of = order, order, codes
-        else:
-            left, right, comp_of = np.flatnonzero(side == 1), np.flatnonzero(side == 2), comp
-            if len(left) > len(right):
-                left, right = right, left
-        out_a, out_b = [], []
-        same = left is right
+        ids, side, sets = group["doc_id"].to_numpy(), group["side"].to_numpy(), group["shingles"].tolist()
+        root = np.unique(group["component"].to_numpy(), return_inverse=True)[1]
+        size = np.array([len(x) for x in sets], np.int64)
+        every, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        at, mark = np.cumsum(size) - size, np.zeros(len(every), bool)
+        alone = bool((side == 0).all())
+        # members of small components first, so that the large ones are never compared inside
+        left = np.arange(len(ids))[np.argsort(np.bincount(root)[root], kind="stable")] if alone else np.flatnonzero(side == 1)
+        right = left if alone else np.flatnonzero(side == 2)
+        out = []
         for i, x in enumerate(left.tolist()):
-            others = right[i + 1 :] if same else right
-            others = others[comp_of[others] != comp_of[x]]
-            if len(others):
-                alive = others[likely(np.broadcast_to(sig[x], (len(others), _PLACES)), sig[others], limits)]
-                out_a.append(np.full(len(alive), ids[x]))
-                out_b.append(ids[alive])
-        a, b = (np.concatenate([np.zeros(0, np.int64), *o]) for o in (out_a, out_b))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return pairs
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, threshold_percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 x intersection >= threshold_percent x union."""
-    some = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(docs.join(some, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "doc_id bigint, shingles array<bigint>"), "sets")
-    both = pairs.join(sets.withColumnsRenamed({"doc_id": "b", "shingles": "sb"}), "b").join(sets.withColumnsRenamed({"doc_id": "a", "shingles": "sa"}), "a")
-    shared = F.size(F.array_intersect("sa", "sb")).cast("long")
-    union = F.size("sa").cast("long") + F.size("sb").cast("long") - shared
-    return both.where(100 * shared >= threshold_percent * union).select("a", "b")
+            others = right[i + 1 :] if alone else right
+            others = others[root[others] != root[x]]
+            if not len(others):
+                continue
+            others = others[likely(np.broadcast_to(sig[x], (len(others), _PLACES)), sig[others], limits)]
+            if not len(others):
+                continue
+            n, mine = size[others], flat[at[x] : at[x] + size[x]]
+            upto = np.cumsum(n) - n
+            mark[mine] = True
+            shared = np.add.reduceat(mark[flat[np.repeat(at[others] - upto, n) + np.arange(n.sum())]], upto, dtype=np.int64)
+            mark[mine] = False
+            linked = others[100 * shared >= threshold_percent * (size[x] + n - shared)]
+            for y in linked.tolist():
+                if root[y] != root[x]:
+                    out.append((ids[x], ids[y]))
+                    root[root == root[y]] = root[x]
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    return links
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold_percent: int = 85) -> DataFrame:
@@ -168,34 +176,40 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = written(docs.mapInArrow(_sign, _SIGNED), "signed")
     classes = written(signed.where("n > 0 and doc_id is not null").groupBy("n", "digest").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = signed.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").where("n > 0").dropDuplicates(["doc_id"])
-    reps = written(reps.select("doc_id", "n", "bands", "signature"), "reps")
+    of_rep = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.min("digest").alias("digest"))
+    reps = written(signed.join(of_rep, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "digest", "bands", "signature"), "reps")
     buckets = reps.select("doc_id", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("doc_id").alias("lead"), F.count("*").alias("m")).where("m > 1")
     buckets = written(buckets.join(shared, "bucket").select("bucket", "doc_id", "lead", "m"), "buckets")
+    # full sets of all members of such buckets; texts meet their ids by a shuffle at any size
+    some = reps.select("doc_id", "digest").join(buckets.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = docs.join(some.hint("merge"), "doc_id").select("doc_id", "text", "digest").mapInArrow(_sets, "doc_id bigint, shingles array<bigint>")
+    sets = written(sets, "sets").dropDuplicates(["doc_id"])
     stars = buckets.where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
     sig = reps.select("doc_id", "signature")
-    signed_pairs = stars.join(sig.withColumnsRenamed({"doc_id": "b", "signature": "sb"}), "b").join(sig.withColumnsRenamed({"doc_id": "a", "signature": "sa"}), "a").select("a", "b", "sa", "sb")
-    links = written(confirmed(written(signed_pairs.mapInArrow(_pruner(limits), "a bigint, b bigint"), "pairs"), docs, reps, threshold_percent), "links")
+    pairs = stars.join(sig.withColumnsRenamed({"doc_id": "b", "signature": "sb"}), "b").join(sig.withColumnsRenamed({"doc_id": "a", "signature": "sa"}), "a").select("a", "b", "sa", "sb")
+    pairs = written(pairs.mapInArrow(_pruner(limits), "a bigint, b bigint"), "pairs")
+    both = pairs.join(sets.withColumnsRenamed({"doc_id": "b", "shingles": "sb"}), "b").join(sets.withColumnsRenamed({"doc_id": "a", "shingles": "sa"}), "a")
+    same = F.size(F.array_intersect("sa", "sb")).cast("long")
+    union = F.size("sa").cast("long") + F.size("sb").cast("long") - same
+    links = written(both.where(100 * same >= threshold_percent * union).select("a", "b"), "links")
     found = components(links)
-    # buckets of three and more that the stars left apart
+    # buckets of three and more that the stars left apart; of buckets with the same members one
     label = F.coalesce("component", "doc_id").alias("component")
     members = buckets.where("m > 2").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "m", label)
-    open_ = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    members = written(members.join(open_, "bucket"), "open")
+    h = F.xxhash64("doc_id")
+    apart = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("y"), F.count("*").alias("n")).where("lo < hi")
+    apart = apart.groupBy("x", "y", "n").agg(F.min("bucket").alias("bucket")).select("bucket")
+    members = written(members.join(apart, "bucket"), "open")
     if not members.isEmpty():
         blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-        mine = F.pmod(F.xxhash64("doc_id"), F.greatest(blocks, F.lit(1))).cast("int")
-        cells = members.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        cells = members.withColumn("blocks", blocks).withColumn("mine", F.pmod(h, blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         cells = cells.select(
             "bucket", "doc_id", "component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
             F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"),
-        ).join(sig, "doc_id")
-        more = cells.groupBy("bucket", "i", "j").applyInPandas(_between(limits), "a bigint, b bigint").distinct()
-        # the stars have been tested
-        more = written(more.join(stars, ["a", "b"], "left_anti"), "pairs")
-        links = written(links.union(confirmed(more, docs, reps, threshold_percent)), "links")
-        found = components(links)
+        ).join(sig.join(sets, "doc_id"), "doc_id")
+        more = cells.groupBy("bucket", "i", "j").applyInPandas(_between(limits, threshold_percent), "a bigint, b bigint")
+        found = components(links.union(more))
     return labelled(signed, classes, found)
 
 

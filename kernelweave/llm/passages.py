@@ -8,8 +8,8 @@ and, where that leaves several components, with each other in blocks; pairs are
 confirmed on their full sets. Of each component the first paragraph (by document, then place)
 stays and all others are removed.
 
-Null and empty texts have no paragraphs. Null ids take no part. Rows with the same id are one
-document whose paragraphs have the same places: give each document its own id. Very long texts
+Null and empty texts have no paragraphs. Null ids take no part. Rows with the same id are taken
+for one document whose texts have paragraphs at the same places. Very long texts
 are whole. Ties cannot occur: (doc_id, place) is unique. Other columns take no part.
 """
 
@@ -64,6 +64,10 @@ def _of_batch(texts: pa.Array, min_words: int):
     return owner[long], place[long], lines[long] - offs[owner[long]], lines[long + 1] - offs[owner[long]], n[long], mine, upto
 
 
+def _digests(shingles: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return ta.mix(np.add.reduceat(ta.mix(shingles), at[:-1]) + n.astype(np.uint64)).view(np.int64) if len(n) else np.zeros(0, np.int64)
+
+
 def _banded(bands: int, rows: int, min_words: int):
     rng = np.random.default_rng(23)
     mult = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64) | np.uint64(1)
@@ -77,7 +81,7 @@ def _banded(bands: int, rows: int, min_words: int):
                 done += len(part)
                 if not len(owner):
                     continue
-                digest = ta.mix(np.add.reduceat(ta.mix(shingles), at[:-1]) + n.astype(np.uint64))
+                digest = _digests(shingles, at, n)
                 keys = []
                 for b in range(bands):
                     key = np.full(len(n), b + 1, np.uint64)
@@ -86,7 +90,7 @@ def _banded(bands: int, rows: int, min_words: int):
                     keys.append(key.view(np.int64))
                 flat = pa.array(np.stack(keys, 1).ravel())
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(place.astype(np.int32)), pa.array(lo), pa.array(hi), pa.array(n), pa.array(digest.view(np.int64)), pa.FixedSizeListArray.from_arrays(flat, bands).cast(pa.list_(pa.int64()))],
+                    [ids, pa.array(place.astype(np.int32)), pa.array(lo), pa.array(hi), pa.array(n), pa.array(digest), pa.FixedSizeListArray.from_arrays(flat, bands).cast(pa.list_(pa.int64()))],
                     ["doc_id", "place", "lo", "hi", "words", "digest", "bands"],
                 )
 
@@ -100,38 +104,53 @@ def _sets(min_words: int):
         for batch in batches:
             done = 0
             for part in ta.slices(batch.column(0)):
-                owner, place, _, _, _, shingles, at = _of_batch(part, min_words)
+                owner, place, _, _, n, shingles, at = _of_batch(part, min_words)
+                found = _digests(shingles, at, n)
                 wanted = batch.column(1).slice(done, len(part)).to_pylist()
                 done += len(part)
                 by = {(o, p): i for i, (o, p) in enumerate(zip(owner.tolist(), place.tolist(), strict=True))}
                 digests, sets = [], []
                 for o, some in enumerate(wanted):
                     for w in some:
-                        i = by[o, w["place"]]
-                        digests.append(w["digest"])
-                        sets.append(np.unique(shingles[at[i] : at[i + 1]]).view(np.int64))
+                        i = by.get((o, w["place"]))
+                        if i is not None and found[i] == w["digest"]:
+                            digests.append(w["digest"])
+                            sets.append(np.unique(shingles[at[i] : at[i + 1]]).view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(digests, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["digest", "shingles"])
 
     return run
 
 
 def _between(threshold_percent: int):
-    """Links between different components in a pair of blocks, on full sets; only links leave."""
+    """Links that join different components of a pair of blocks, on full sets; at most one for each join leaves."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        side, ids, comp = group["side"].to_numpy(), group["digest"].to_numpy(), group["component"].to_numpy()
+        side, ids = group["side"].to_numpy(), group["digest"].to_numpy()
+        root = np.unique(group["component"].to_numpy(), return_inverse=True)[1]
         sets = group["shingles"].tolist()
-        every, codes = np.unique(np.concatenate(sets), return_inverse=True)
-        has = np.zeros((len(sets), len(every)), np.float32)
-        has[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), codes] = 1
-        size = has.sum(1)
-        left = np.arange(len(ids)) if (side == 0).all() else np.flatnonzero(side == 1)
-        right = left if (side == 0).all() else np.flatnonzero(side == 2)
-        shared = has[left] @ has[right].T
-        ok = (100 * shared >= threshold_percent * (size[left][:, None] + size[right] - shared)) & (comp[left][:, None] != comp[right])
-        a, b = np.nonzero(ok)
-        a, b = ids[left[a]], ids[right[b]]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+        size = np.array([len(x) for x in sets], np.int64)
+        every, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        at, mark = np.cumsum(size) - size, np.zeros(len(every), bool)
+        alone = bool((side == 0).all())
+        # members of small components first, so that the large ones are never compared inside
+        left = np.arange(len(ids))[np.argsort(np.bincount(root)[root], kind="stable")] if alone else np.flatnonzero(side == 1)
+        right = left if alone else np.flatnonzero(side == 2)
+        out = []
+        for i, x in enumerate(left.tolist()):
+            others = right[i + 1 :] if alone else right
+            others = others[root[others] != root[x]]
+            if not len(others):
+                continue
+            n, mine = size[others], flat[at[x] : at[x] + size[x]]
+            upto = np.cumsum(n) - n
+            mark[mine] = True
+            shared = np.add.reduceat(mark[flat[np.repeat(at[others] - upto, n) + np.arange(n.sum())]], upto, dtype=np.int64)
+            mark[mine] = False
+            for y in others[100 * shared >= threshold_percent * (size[x] + n - shared)].tolist():
+                if root[y] != root[x]:
+                    out.append((ids[x], ids[y]))
+                    root[root == root[y]] = root[x]
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
     return run
 
@@ -152,7 +171,9 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     buckets = written(buckets.join(shared, "bucket"), "buckets")
     # sets of all members of such buckets
     some = buckets.select("digest").distinct().join(classes, "digest").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("first.place").alias("place"), "digest")).alias("wanted"))
-    sets = written(docs.dropDuplicates(["doc_id"]).join(some, "doc_id").select("text", "wanted").mapInArrow(_sets(min_words), "digest bigint, shingles array<bigint>"), "sets")
+    # texts meet their ids by a shuffle at any size
+    sets = docs.join(some.hint("merge"), "doc_id").select("text", "wanted").mapInArrow(_sets(min_words), "digest bigint, shingles array<bigint>")
+    sets = written(sets, "sets").dropDuplicates(["digest"])
     stars = buckets.where("digest <> lead").select(F.col("lead").alias("a"), F.col("digest").alias("b")).distinct()
     both = stars.join(sets.withColumnsRenamed({"digest": "b", "shingles": "sb"}), "b").join(sets.withColumnsRenamed({"digest": "a", "shingles": "sa"}), "a")
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
@@ -160,7 +181,8 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     found = components(links)
     # buckets of three and more that the stars left apart
     members = buckets.where("m > 2").join(found.withColumnRenamed("id", "digest"), "digest", "left").select("bucket", "digest", "m", F.coalesce("component", "digest").alias("component"))
-    apart = members.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
+    apart = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_xor("digest").alias("x"), F.bit_xor(F.xxhash64("digest")).alias("y"), F.count("*").alias("n")).where("lo < hi")
+    apart = apart.groupBy("x", "y", "n").agg(F.min("bucket").alias("bucket")).select("bucket")  # of buckets with the same members one
     members = written(members.join(apart, "bucket"), "open")
     if not members.isEmpty():
         cells = members.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
