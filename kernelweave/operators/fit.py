@@ -81,10 +81,10 @@ def statistics(xdc: DataFrame, samples: DataFrame, channels: list[int] | None =
     spark = xdc.sparkSession
     number = spark.createDataFrame([(c, b, i) for i, (c, b) in enumerate(keys)], "col_id int, basis_id int, k int")
     channel = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "channel int, c int")
-    part = [F.col("recording_id"), F.floor(F.col("t") / tile).alias("tile")]
+    part = [F.col("recording_id").alias("rec"), F.floor(F.col("t") / tile).alias("tile")]
     xs = xdc.join(F.broadcast(number), ["col_id", "basis_id"]).select(*part, "t", "k", "v")
     ys = samples.where("y is not null").join(F.broadcast(channel), "channel").select(*part, "t", "c", "y", (F.col(fold).cast("int") if fold else F.lit(0)).alias("fold"))
-    cells = xs.groupBy("recording_id", "tile").cogroup(ys.groupBy("recording_id", "tile")).applyInPandas(_cells(len(keys), len(names), tile, 0), "fold int, what int, i int, j int, v double")
+    cells = xs.groupBy("rec", "tile").cogroup(ys.groupBy("rec", "tile")).applyInPandas(_cells(len(keys), len(names), tile, 0), "fold int, what int, i int, j int, v double")
     out = Statistics(keys, names, {})
     sums = cells.groupBy("fold", "what", "i", "j").agg(F.sum("v").alias("v")).toPandas()  # at most p x (p + channels) a fold
     for f, g in sums.groupby("fold"):
