@@ -95,3 +95,8 @@ def gaps(events: DataFrame, time: str = "latency", order: str = "event_index") -
     """Next and previous event's distance in table order, by recording."""
     w = W.partitionBy("recording_id").orderBy(order)
     return events.withColumn("next_gap", F.lead(time).over(w) - F.col(time)).withColumn("previous_gap", F.col(time) - F.lag(time).over(w))
+
+
+def with_column(xdc: DataFrame, extra: DataFrame, col_id: int, basis_id: int = -1) -> DataFrame:
+    """Appends a ready-made column (recording_id, t, v) that is not spread over lags."""
+    return xdc.unionByName(extra.where("v <> 0").select("recording_id", "t", F.lit(col_id).alias("col_id"), F.lit(basis_id).alias("basis_id"), "v"))

@@ -61,8 +61,8 @@ def improbable(samples: DataFrame, srate: float, seconds: float = 0.5, local: fl
     s = s.withColumn("_bin", F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("y") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))).otherwise(0))
     counts = s.groupBy("recording_id", "channel", "_bin").agg(F.count("*").alias("_c"))
     s = s.join(F.broadcast(counts), ["recording_id", "channel", "_bin"])  # bins for each channel
-    each = s.groupBy("recording_id", "channel", "seg").agg(F.sum(-F.log(F.col("_c") / F.col("_all"))).alias("jp"))
-    total = each.groupBy("recording_id", "seg").agg(F.sum("jp").alias("jp"))
+    each = s.groupBy("recording_id", "channel", "seg").agg(F.round(F.sum(-F.log(F.col("_c") / F.col("_all"))), 9).alias("jp"))
+    total = each.groupBy("recording_id", "seg").agg(F.round(F.sum("jp"), 9).alias("jp"))  # like segments are equal in any order of sums
 
     def z(df: DataFrame, keys: list[str], limit: float) -> DataFrame:
         q = df.groupBy(*keys).agg(F.expr("percentile(jp, 0.1)").alias("_a"), F.expr("percentile(jp, 0.9)").alias("_b")) if robust else df.groupBy(*keys).agg(F.min("jp").alias("_a"), F.max("jp").alias("_b"))

@@ -471,15 +471,15 @@ def active_runs(spark, sf_dir):
 
 _SEG = f"""{SIG}, s AS (SELECT *, (t - 1) // 60 AS seg FROM samples), span AS (SELECT recording_id, channel, min(y) AS lo, max(y) AS hi, count(*) AS cnt FROM s GROUP BY 1, 2),
  b AS (SELECT s.*, cnt, CASE WHEN hi > lo THEN least(floor((y - lo) / (hi - lo) * 100), 99) ELSE 0 END AS bin FROM s JOIN span USING (recording_id, channel)),
- c AS (SELECT recording_id, channel, bin, count(*) AS c FROM b GROUP BY 1, 2, 3), each AS (SELECT recording_id, channel, seg, sum(-ln(c / cnt)) AS jp FROM b JOIN c USING (recording_id, channel, bin) GROUP BY 1, 2, 3),
- total AS (SELECT recording_id, 0 AS channel, seg, sum(jp) AS jp FROM each GROUP BY 1, 3), every AS (SELECT * FROM each UNION ALL SELECT * FROM total),
+ c AS (SELECT recording_id, channel, bin, count(*) AS c FROM b GROUP BY 1, 2, 3), each AS (SELECT recording_id, channel, seg, round(sum(-ln(c / cnt)), 9) AS jp FROM b JOIN c USING (recording_id, channel, bin) GROUP BY 1, 2, 3),
+ total AS (SELECT recording_id, 0 AS channel, seg, round(sum(jp), 9) AS jp FROM each GROUP BY 1, 3), every AS (SELECT * FROM each UNION ALL SELECT * FROM total),
  q AS (SELECT recording_id, channel, quantile_cont(jp, 0.1) AS a, quantile_cont(jp, 0.9) AS b FROM every GROUP BY 1, 2),
  norm AS (SELECT recording_id, channel, avg(jp) AS m, stddev_samp(jp) AS sd FROM every JOIN q USING (recording_id, channel) WHERE jp BETWEEN a AND b GROUP BY 1, 2)"""
 
 
-@query(f"WITH {_SEG} SELECT DISTINCT recording_id, seg * 60 + 1 AS start_t, (seg + 1) * 60 AS end_t FROM every JOIN norm USING (recording_id, channel) WHERE abs((jp - m) / sd) > 8")
+@query(f"WITH {_SEG} SELECT DISTINCT recording_id, seg * 60 + 1 AS start_t, (seg + 1) * 60 AS end_t FROM every JOIN norm USING (recording_id, channel) WHERE abs((jp - m) / sd) > 5")
 def artefact_improbable(spark, sf_dir):
-    return intervals.improbable(src.activity(spark, sf_dir), 1.0, 60, 8, 8)
+    return intervals.improbable(src.activity(spark, sf_dir), 1.0, 60, 5, 5)
 
 
 @query()
@@ -610,3 +610,80 @@ def simulated_scenarios(spark, sf_dir):
 
     out = [simulate.scenario(spark, k, 60, 10.0, 0.5)[0].groupBy().agg(F.count("*").alias("n_samples")).select(F.lit(k).cast("long").alias("scenario"), F.col("n_samples").cast("int")) for k in simulate.SCENARIOS]
     return reduce(DataFrame.unionAll, out)
+
+
+# ---- generalised models, SQL functions, curves with intercepts
+
+_LOGIT = "SELECT a.name, round(a.v, 4) + 0.0 AS beta FROM (SELECT ln(avg(y) FILTER (WHERE x = 0) / (1 - avg(y) FILTER (WHERE x = 0))) AS p0, ln(avg(y) FILTER (WHERE x = 1) / (1 - avg(y) FILTER (WHERE x = 1))) AS p1 FROM (SELECT CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y, CASE WHEN l_linestatus = 'F' THEN 1.0 ELSE 0.0 END AS x FROM lineitem)) t, LATERAL (SELECT '(Intercept)' AS name, p0 AS v UNION ALL SELECT 'x', p1 - p0) a"
+
+
+@query(_LOGIT)
+def logistic_fit(spark, sf_dir):
+    """Without penalty and with one binary predictor: log odds of both groups."""
+    from kernelweave.operators.glm import glm_path
+
+    li = src.table(spark, sf_dir, "lineitem").select((F.col("l_returnflag") == "R").cast("double").alias("y"), (F.col("l_linestatus") == "F").cast("double").alias("x"))
+    b = glm_path(li, ["x"], "y", "binomial", lambdas=[0.0]).at(0.0)
+    return spark.createDataFrame([("(Intercept)", float(b[0])), ("x", float(b[1]))], "name string, beta double").select("name", _r("beta", 4))
+
+
+@query("SELECT a.name, round(a.v, 4) + 0.0 AS beta FROM (SELECT ln(avg(y) FILTER (WHERE x = 0)) AS p0, ln(avg(y) FILTER (WHERE x = 1)) AS p1 FROM (SELECT l_quantity AS y, CASE WHEN l_linestatus = 'F' THEN 1.0 ELSE 0.0 END AS x FROM lineitem)) t, LATERAL (SELECT '(Intercept)' AS name, p0 AS v UNION ALL SELECT 'x', p1 - p0) a")
+def poisson_fit(spark, sf_dir):
+    from kernelweave.operators.glm import glm_path
+
+    li = src.table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("y"), (F.col("l_linestatus") == "F").cast("double").alias("x"))
+    b = glm_path(li, ["x"], "y", "poisson", lambdas=[0.0]).at(0.0)
+    return spark.createDataFrame([("(Intercept)", float(b[0])), ("x", float(b[1]))], "name string, beta double").select("name", _r("beta", 4))
+
+
+@query()
+def elastic_net_path(spark, sf_dir):
+    from kernelweave.operators.glm import glm_path
+
+    li = src.table(spark, sf_dir, "lineitem")
+    path = glm_path(li, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", alpha=0.5, lambdas=[10_000.0, 100.0, 1.0, 0.0])
+    rows = [(float(lam), c, float(v)) for lam, b in zip(path.lambdas, path.coefs, strict=True) for c, v in zip(path.columns, b, strict=True)]
+    return spark.createDataFrame(rows, "lambda double, name string, beta double").select("lambda", "name", _r("beta", 3))
+
+
+@query(f"{_XDC} SELECT CAST(basis_id - 5 AS INTEGER) AS lag, count(*) AS n FROM xdc WHERE col_id = 1 GROUP BY basis_id")
+def sql_time_expand(spark, sf_dir):
+    """The table function, in SQL."""
+    from kernelweave.functions.sql import register
+
+    register(spark)
+    e = src.model_events(spark, sf_dir).where("type = 'error'").select("recording_id", F.round("latency").alias("latency")).distinct()
+    e.createOrReplaceTempView("error_events")
+    return spark.sql(f"SELECT x.lag, count(*) AS n FROM error_events e, LATERAL time_expand(e.latency, -5, 20) x WHERE x.t BETWEEN 1 AND {src.N_SAMPLES} GROUP BY x.lag")
+
+
+@query(f"WITH {EV} SELECT type, round(sum(k), 3) AS first, round(sum(k * k), 3) AS second FROM ev GROUP BY type")
+def custom_spline(spark, sf_dir):
+    from kernelweave.functions.sql import custom_basis, polynomial
+
+    e = src.model_events(spark, sf_dir).withColumn("b", custom_basis(F.col("k"), polynomial, [0.0, 1.0]))
+    return e.groupBy("type").agg(F.round(F.sum(F.col("b")[0]), 3).alias("first"), F.round(F.sum(F.col("b")[1]), 3).alias("second"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS type, {lag} AS lag, round(CAST({w * (p['1'] + p['value'])!r} AS DOUBLE), 4) + 0.0 AS beta" for t, p in _TRUE.items() for lag, w in enumerate(_SHAPE)))
+def curves_with_intercept(spark, sf_dir):
+    d, c = _curves(spark, sf_dir)
+    out = plotdata.with_intercept(c, d.metadata())
+    types = spark.createDataFrame([(k.col_id, k.event_types[0]) for k in d.columns], "col_id int, type string")
+    return out.where("kind = 'continuous'").join(types, "col_id").select("type", "lag", _r("beta", 4))
+
+
+@query(f"WITH {EV}, x AS (SELECT recording_id, event_index, CASE WHEN type IN ('click', 'view') THEN value ELSE 0 END AS v FROM ev) SELECT recording_id, count(*) AS n, round(sum(sign(v) * ln(1 + abs(v))), 3) AS total FROM x GROUP BY recording_id")
+def design_image(spark, sf_dir):
+    d = design(src.model_events(spark, sf_dir), "y ~ 1 + value", [["click", "view"]])
+    i = plotdata.design_image(d.wide(), d.names).where("column = 'value'")
+    return i.groupBy("recording_id").agg(F.count("*").alias("n"), F.round(F.sum("signed_log"), 3).alias("total"))
+
+
+@query()
+def tutorial_fit(spark, sf_dir):
+    """The 2 x 2 tutorial: car and red are the references."""
+    s, e = simulate.tutorial(spark)
+    d = design(e, "y ~ 1 + cat(stimulusType) * cat(color)", ["fixation"])
+    c = fit.fit_overlap(expand.sticks(expand.single(d.long()), 0, 10, 1200), s)
+    return c.join(d.metadata().select("col_id", "name"), "col_id").select("name", F.col("basis_id").alias("lag"), _r("beta", 4))

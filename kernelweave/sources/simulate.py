@@ -96,3 +96,20 @@ def scenario(spark: SparkSession, number: int, seconds: int = 600, srate: float
                 name = f"{name}_cubed"
             parts[kind][name] = effect
     return superpose(e, parts, kernel(shape, int(srate)), int(seconds * srate), noise, seed, channels), e
+
+
+def tutorial(spark: SparkSession, kind: str = "2x2", seconds: int = 60, srate: float = 20.0, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(samples, events) of the tutorials: two factors (2x2), with a random channel that drives the signal (trf), or a response to sort by (erpimage)."""
+    if kind not in ("2x2", "trf", "erpimage"):
+        raise ValueError(kind)
+    n = int(seconds / 0.6)
+    e = spark.range(n).select(F.lit("tutorial").alias("recording_id"), F.col("id").alias("event_index"), F.lit("fixation").alias("type"), F.round((F.col("id") + 0.5 + F.rand(seed) / 3) * 0.6 * srate).alias("latency"))
+    e = e.withColumn("face", (F.rand(seed + 1) < 0.5).cast("double")).withColumn("green", (F.rand(seed + 2) < 0.5).cast("double"))
+    e = e.withColumn("stimulusType", F.when(F.col("face") == 1, "face").otherwise("car")).withColumn("color", F.when(F.col("green") == 1, "green").otherwise("red"))
+    if kind == "erpimage":
+        e = e.withColumn("reaction", F.lit(0.2) + F.rand(seed + 3) / 5)
+    s = superpose(e, {"fixation": {"1": 3.0, "face": 1.5, "green": -0.5}}, kernel("hanning", int(srate * 0.5)), int(seconds * srate))
+    if kind != "trf":
+        return s, e
+    drive = s.select("recording_id", "t", F.lit(2).alias("channel"), F.randn(seed + 4).alias("y"))
+    return s.unionByName(drive), e
