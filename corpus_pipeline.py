@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kernelweave.llm import bpe, langid, mixing, neardup, passages
-from kernelweave.llm.common import table, written
+from kernelweave.llm.common import prepare, table, written
 from kernelweave.llm.queries import held_out, tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified; those rejected (no letter, or no known language) go."""
+    prepare(spark)
     models = langid.fit(docs.where(~held_out(3, 1)))
     told = docs.withColumn("_told", langid.identify(F.col("text"), models, spark))
     return told.where("not _told.rejected").drop("_told")
@@ -23,12 +24,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest id, of each group whose 5-word shingles are 0.8 alike or more."""
+    prepare(spark)
     kept = neardup.near_duplicates(docs, threshold_percent=80).where("kept").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that an earlier one has; of which nothing else is left go."""
+    prepare(spark)
     return passages.without(docs, written(passages.repeated_passages(docs), "passages"))
 
 
@@ -39,6 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids, and whether these decode to the text again."""
+    prepare(spark)
     both = docs.withColumn("both", bpe.round_trip(F.col("text"), tokenizer_path()))
     ids = F.col("both.ids")
     return both.select("doc_id", "lang", "source", F.size(ids).cast("long").alias("n_tokens"), ids.alias("ids"), F.col("both.decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))

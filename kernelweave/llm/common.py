@@ -32,9 +32,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 BATCH_ROWS = 500
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+def prepare(spark: SparkSession) -> SparkSession:
+    """Workers know the package, and Arrow batches are small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    df = ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    df = prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
 
