@@ -30,7 +30,7 @@ def test_names_and_order(events):
     assert design(events, "y~1+cat(catA)+cat(catB)", ["a", "b"], categorical=both[1]).names == ["(Intercept)", "catA_B", "catA_C", "catB_3", "catB_1"]
     assert design(events, "y~1+catB+cat(catA)", ["a", "b"]).names == ["(Intercept)", "catA_B", "catA_C", "catB"]
     two = design(events, ["y~x", "y~x+catB"], [["a"], ["b"]])
-    assert two.names == ["(Intercept)", "x", "2_(Intercept)", "2_x", "catB"]
+    assert two.names == ["(Intercept)", "x", "2_(Intercept)", "catB", "2_x"]
     assert len(design(events, "y~cat(catA)*cat(catB)", ["a", "b"], coding="reference").names) == 9
 
 
