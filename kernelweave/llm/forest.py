@@ -9,8 +9,9 @@ all classes are put into all trees). A node cuts at the sample's median along a
 direction; vectors within SPILL of the cut go to both sides. A node that would hardly get
 smaller, for most of it lies in the spill, is left whole. Its leaf may then be large: leaves are cut into blocks and each pair
 of blocks is one group, whose products are taken on arrays; groups never hold more than two
-blocks, and no pair leaves them. What leaves is, for each vector, its number of links and its
-smallest linked id. A pair that meets in more than one leaf counts in the first they share.
+blocks, and no pair leaves them. What leaves is, for each vector, its number of links, and a
+spanning forest of the group's links (fewer edges than members), so that components are those of
+all links. A pair that meets in more than one leaf counts in the first they share.
 
 Links are checked in double precision on the full vectors, so none below the threshold is
 kept. Missed are only pairs that no tree leaves together; `recall` measures them.
@@ -86,8 +87,27 @@ def sound(df: DataFrame, vector: str) -> DataFrame:
     return df.where(F.size(v) == (lengths["d"] if lengths else -1))
 
 
+def _joining(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the edges a-b join components of root (the least member of each), at most one for each join; root is updated."""
+    out = [np.zeros(0, np.int64)]
+    at = np.flatnonzero(root[a] != root[b])
+    while len(at):
+        lo, hi = np.minimum(root[a[at]], root[b[at]]), np.maximum(root[a[at]], root[b[at]])
+        # each component hangs itself on a smaller one by its first edge, so no circle closes
+        hung, first = np.unique(hi, return_index=True)
+        up = np.arange(len(root))
+        up[hung] = lo[first]
+        out.append(at[first])
+        while (up[up] != up).any():
+            up = up[up]
+        root[:] = up[root]
+        at = at[root[a[at]] != root[b[at]]]
+    return np.concatenate(out)
+
+
 def _compare(threshold: float):
     def links(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("vec_id")
         x = np.stack(group["unit"].to_numpy())
         ids, copies, side = group["vec_id"].to_numpy(), group["copies"].to_numpy(), group["side"].to_numpy()
         homes = group["homes"].tolist()
@@ -101,7 +121,8 @@ def _compare(threshold: float):
         for r, hs in enumerate(earlier):
             bits[r, [names[h] for h in hs]] = True
         packed = np.packbits(bits, axis=1)
-        count, near = np.zeros(len(ids), np.int64), ids.copy()
+        count, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        ends, nears = [], []
         for lo in range(0, len(left), 128):
             some = left[lo : lo + 128]
             a, b = np.nonzero(x[some] @ x[right].T >= threshold - 1e-9)
@@ -110,13 +131,16 @@ def _compare(threshold: float):
             a, b = a[keep], b[keep]
             exact = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
             a, b = a[exact], b[exact]
-            np.minimum.at(near, a, ids[b])
-            np.minimum.at(near, b, ids[a])
+            joins = _joining(root, a, b)
+            ends.append(ids[a[joins]])
+            nears.append(ids[b[joins]])
             first = ~(packed[a] & packed[b]).any(1)
             np.add.at(count, a[first], copies[b[first]])
             np.add.at(count, b[first], copies[a[first]])
-        has = (count > 0) | (near < ids)
-        return pd.DataFrame({"vec_id": ids[has], "links": count[has], "near": near[has]})
+        # counts, each with its own id beside it, then edges
+        has = count > 0
+        edges = np.zeros(sum(map(len, ends)), np.int64)
+        return pd.DataFrame({"vec_id": np.concatenate([ids[has], *ends]), "links": np.concatenate([count[has], edges]), "near": np.concatenate([ids[has], *nears])})
 
     return links
 

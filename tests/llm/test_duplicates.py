@@ -138,3 +138,18 @@ def test_forest_finds_all_near_vectors(spark, monkeypatch, block):
             assert got[2 * i]["component_id"] == 2 * min(j for j in range(len(u)) if roots[j] == roots[i])
     assert all(got[n + k]["n_links"] == 0 and got[n + k]["kept"] for k in range(1, 7)) and len(got) == len(rows)
     assert forest.near_embeddings(df.limit(0)).count() == 0 and forest.near_embeddings(df.where(F.col("vec_id") > n)).count() == 6
+
+
+@pytest.mark.parametrize("block", [1000, 20])
+def test_forest_keeps_chains_together(spark, monkeypatch, block):
+    monkeypatch.setattr(forest, "BLOCK", block)
+    rng = np.random.default_rng(8)
+    rows, ids = [], rng.permutation(240).tolist()
+    for k in range(40):
+        plane = np.linalg.qr(rng.normal(size=(32, 2)))[0].T
+        # each is near the next (25 degrees) and no other
+        rows += [(ids[6 * k + i], (np.cos(t) * plane[0] + np.sin(t) * plane[1]).tolist()) for i, t in enumerate(np.radians(25.0 * np.arange(6)))]
+    want = {i: min(ids[6 * k : 6 * k + 6]) for k in range(40) for i in ids[6 * k : 6 * k + 6]}
+    got = forest.near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sum(r["n_links"] for r in got) == 40 * 10
+    assert {r["vec_id"]: r["component_id"] for r in got} == want and sum(r["kept"] for r in got) == 40
