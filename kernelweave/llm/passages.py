@@ -8,6 +8,13 @@ and, where that leaves several components, with each other in blocks; pairs are
 confirmed on their full sets. Of each component the first paragraph (by document, then place)
 stays and all others are removed.
 
+Passages that do not fill lines are found by their words, exactly: every window of SPAN words, within a
+line or over several, that stands in two places counts, and the joined windows are a span. Each window
+has a print, the least hash of its GRAM-word runs; equal windows have equal prints, so only windows whose
+print occurs twice are dealt out. The first place (one outside removed lines before others, then by
+document and place) stays, also where a text repeats itself. Of a span that removed lines cover already, less than
+min_words words that are no short line of their own stay.
+
 Null and empty texts have no paragraphs. Null ids take no part. Rows with the same id are taken
 for one document whose texts have paragraphs at the same places. Very long texts
 are whole. Ties cannot occur: (doc_id, place) is unique. Other columns take no part.
@@ -20,13 +27,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kernelweave.llm import textarrays as ta
 from kernelweave.llm.common import components, written
 
 WIDTH, MIN_WORDS, THRESHOLD_PERCENT, RECALL, FALSE, BLOCK = 5, 20, 80, 0.999, 0.02, 300
+#: Words of a window that counts wherever it stands, and of the runs that its print is taken from.
+SPAN, GRAM = 50, 25
 
 
 def tuned(threshold: float) -> tuple[int, int]:
@@ -155,11 +165,139 @@ def _between(threshold_percent: int):
     return run
 
 
+def _windows(texts: pa.Array):
+    """All windows of SPAN words: bytes, text offsets, word starts and ends, each text's first word and first window, the words' hashes, the windows' first words and prints."""
+    data, offs = ta.utf8(texts)
+    starts, ends, first = ta.words(data, offs)
+    hashes = ta.word_hashes(data, starts, ends)
+    many = np.maximum(np.diff(first) - SPAN + 1, 0)
+    at = np.concatenate([[0], np.cumsum(many)])
+    pos = np.repeat(first[:-1] - at[:-1], many) + np.arange(at[-1])
+    if not len(pos):
+        return data, offs, starts, ends, first, at, hashes, pos, np.zeros(0, np.uint64)
+    runs = np.arange(len(hashes) - GRAM + 1)
+    low, size, wide = ta.span_hashes(hashes, runs, runs + GRAM), 1, SPAN - GRAM + 1
+    while size < wide:
+        step = min(size, wide - size)
+        low, size = np.minimum(low[:-step], low[step:]), size + step
+    return data, offs, starts, ends, first, at, hashes, pos, low[pos]
+
+
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, print, times: 2 if it may occur at two places of the text)."""
+    for batch in batches:
+        done = 0
+        for part in ta.slices(batch.column(1)):
+            *_, at, _, pos, prints = _windows(part)
+            ids = batch.column(0).slice(done, len(part))
+            done += len(part)
+            if not len(pos):
+                continue
+            owner = np.repeat(np.arange(len(part)), np.diff(at))
+            order = np.lexsort((pos, prints, owner))
+            o, f, p = owner[order], prints[order], pos[order]
+            head = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (f[1:] != f[:-1])]))
+            tail = np.append(head[1:], len(p)) - 1
+            times = 1 + (p[tail] - p[head] > SPAN - GRAM)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(o[head])), pa.array(f[head].view(np.int64)), pa.array(times.astype(np.int32))], ["doc_id", "print", "times"])
+
+
+def _chosen(min_words: int):
+    """Windows with a wanted print that do not lie in removed lines altogether."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = 0
+            for part in ta.slices(batch.column(1)):
+                data, offs, starts, ends, first, at, hashes, pos, prints = _windows(part)
+                ids, of_text, wanted, gone = (batch.column(c).slice(done, len(part)) for c in (0, 2, 3, 4))
+                done += len(part)
+                if not len(pos):
+                    continue
+                breaks = np.flatnonzero(data == 10)
+                line = np.searchsorted(breaks, starts) - np.repeat(np.searchsorted(breaks, offs[:-1]), np.diff(first))
+                left, short, pick = np.ones(len(starts), bool), np.zeros(len(starts), bool), np.zeros(len(pos), bool)
+                for t in np.flatnonzero(np.diff(at)).tolist():
+                    mine = slice(first[t], first[t + 1])
+                    left[mine] = ~np.isin(line[mine], gone[t].as_py() or [])
+                    short[mine] = left[mine] & (np.bincount(line[mine])[line[mine]] < min_words)
+                    want = wanted[t].values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                    pick[at[t] : at[t + 1]] = np.isin(prints[at[t] : at[t + 1]], want)
+                u, v = (np.concatenate([[0], np.cumsum(x)]) for x in (left, short))
+                pick &= u[pos + SPAN] > u[pos]
+                some = pos[pick]
+                owner = np.repeat(np.arange(len(part)), np.diff(at))[pick]
+                base, byte = u[first[:-1]][owner], offs[:-1][owner]
+                ints = [some - first[:-1][owner], starts[some] - byte, ends[some + SPAN - 1] - byte, line[some], u[some] - base, u[some + SPAN] - base]
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(owner)), of_text.take(pa.array(owner)), pa.array(ta.span_hashes(hashes, some, some + SPAN).view(np.int64)), *[pa.array(x.astype(np.int32)) for x in ints],
+                     pa.array(u[some + SPAN] - u[some] < SPAN), pa.array(v[some + SPAN] > v[some])],
+                    ["doc_id", "of_text", "hash", "pos", "lo", "hi", "place", "left0", "left1", "masked", "short"],
+                )
+
+    return run
+
+
+def _spans(docs: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
+    """Rows of repeated_passages for spans of repeated windows; lines: its rows of paragraphs."""
+    prints = written(docs.mapInArrow(_prints, "doc_id bigint, print bigint, times int"), "prints")
+    shared = prints.groupBy("print").agg(F.sum("times").alias("n")).where("n > 1").select("print")
+    wanted = prints.join(shared, "print", "left_semi").groupBy("doc_id").agg(F.collect_set("print").alias("wanted"))
+    gone = lines.where("removed").groupBy("doc_id").agg(F.collect_set("place").alias("gone"))
+    asked = docs.join(wanted.join(gone, "doc_id", "left").hint("merge"), "doc_id").select("doc_id", "text", F.xxhash64("text").alias("of_text"), "wanted", "gone")
+    schema = "doc_id bigint, of_text bigint, hash bigint, pos int, lo int, hi int, place int, left0 int, left1 int, masked boolean, short boolean"
+    windows = written(asked.mapInArrow(_chosen(min_words), schema), "windows")
+    firsts = windows.groupBy("hash").agg(F.min(F.struct("masked", "doc_id", "of_text", "pos", "place")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    # windows that overlap the first one of the same text are part of it
+    hits = windows.join(firsts, "hash").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("of_text") != F.col("first.of_text")) | (F.col("pos") >= F.col("first.pos") + SPAN))
+    order = W.partitionBy("doc_id", "of_text").orderBy("pos")
+    begins = F.coalesce(F.col("pos") > F.lag("pos").over(order) + SPAN, F.lit(True))
+    hits = hits.withColumn("begins", begins.cast("int")).withColumn("k", F.sum("begins").over(order))
+    spans = hits.groupBy("doc_id", "of_text", "k").agg(
+        F.min("place").alias("place"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), (F.max("pos") + SPAN - F.min("pos")).alias("words"),
+        (F.max("left1") - F.min("left0")).alias("left"), F.max("short").alias("short"), F.max("copies").alias("copies"), F.min(F.struct("pos", "hash", "first")).alias("head"),
+    )
+    spans = spans.where((F.col("left") >= min_words) | F.col("short"))
+    return spans.select(
+        "doc_id", "place", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), F.col("words").cast("long").alias("words"), F.col("head.hash").alias("component"),
+        F.col("head.first.doc_id").alias("first_doc_id"), F.col("head.first.place").alias("first_place"), "copies", F.lit(True).alias("removed"), "of_text",
+    )
+
+
+def _without_spans(texts: Column, gone: Column, cuts: Column) -> Column:
+    """texts without the lines gone and the bytes cut; a line of which only white space is left goes."""
+
+    @F.arrow_udf("string")
+    def of(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for texts, gone, cuts in batches:
+            out = []
+            for t, g, c in zip(texts.to_pylist(), gone.to_pylist(), cuts.to_pylist(), strict=True):
+                if t is None or c is None:
+                    out.append(t)
+                    continue
+                raw, g = t.encode(), set(g or [])
+                keep = np.ones(len(raw), bool)
+                for x in c:
+                    keep[x["lo"] : x["hi"]] = False
+                data, left, at = np.frombuffer(raw, np.uint8), [], 0
+                for k, line in enumerate(raw.split(b"\n")):
+                    if k not in g:
+                        rest = data[at : at + len(line)][keep[at : at + len(line)]].tobytes()
+                        if rest.strip() or not line.strip():
+                            left.append(rest)
+                    at += len(line) + 1
+                out.append(b"\n".join(left).decode())
+            yield pa.array(out, pa.string())
+
+    return of(texts, gone, cuts)
+
+
 def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS, threshold_percent: int = THRESHOLD_PERCENT) -> DataFrame:
-    """One row for each paragraph that has a like one.
+    """One row for each paragraph that has a like one, and for each span of words that an earlier place has.
 
     (doc_id, place: line from 0, lo, hi: its UTF-8 bytes with the line's end, words, component,
-    first_doc_id, first_place, copies: paragraphs in the component, removed)
+    first_doc_id, first_place, copies: paragraphs in the component, removed, of_text: null, or of spans
+    the hash of the text whose bytes lo and hi count; place is the line where a span begins)
     """
     bands, rows = tuned(threshold_percent / 100)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
@@ -198,13 +336,20 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     of_class = of_class.select("digest", "component").join(groups, "component")
     out = paragraphs.select("doc_id", "place", "lo", "hi", "words", "digest").join(of_class, "digest")
     removed = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("place") != F.col("first.place"))
-    return out.select("doc_id", "place", "lo", "hi", "words", "component", F.col("first.doc_id").alias("first_doc_id"), F.col("first.place").alias("first_place"), "copies", removed.alias("removed"))
+    out = out.select("doc_id", "place", "lo", "hi", "words", "component", F.col("first.doc_id").alias("first_doc_id"), F.col("first.place").alias("first_place"), "copies", removed.alias("removed"), F.lit(None).cast("long").alias("of_text"))
+    out = written(out, "lines")
+    return out.unionByName(_spans(docs, out, min_words))
 
 
 def without(docs: DataFrame, passages: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs without the removed passages' lines; a document of which only white space is left goes, others stay."""
-    gone = passages.where("removed").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("place").alias("_gone"))
+    """docs without the removed passages' lines and spans; a document of which only white space is left goes, others stay."""
+    gone = passages.where("removed and of_text is null").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("place").alias("_gone"))
+    cuts = passages.where("removed and of_text is not null").groupBy(F.col("doc_id").alias("_cut_id"), "of_text").agg(F.collect_list(F.struct("lo", "hi")).alias("_cuts"))
     out = docs.join(gone, docs[doc_id] == gone["_id"], "left")
-    left = F.array_join(F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains("_gone", i)), "\n")
-    out = out.withColumn("_text", F.when(F.col("_gone").isNull(), F.col(text)).otherwise(left)).where(F.col("_gone").isNull() | F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
+    out = out.join(cuts, (docs[doc_id] == cuts["_cut_id"]) & (F.xxhash64(docs[text]) == cuts["of_text"]), "left")
+    left = F.array_join(F.filter(F.split(docs[text], "\n", -1), lambda line, i: ~F.array_contains("_gone", i)), "\n")
+    cut = _without_spans(F.when(F.col("_cuts").isNotNull(), docs[text]), F.col("_gone"), F.col("_cuts"))
+    out = out.withColumn("_cut_text", cut)
+    whole = F.col("_gone").isNull() & F.col("_cuts").isNull()
+    out = out.withColumn("_text", F.when(F.col("_cuts").isNotNull(), F.col("_cut_text")).when(F.col("_gone").isNotNull(), left).otherwise(docs[text])).where(whole | F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
     return out.select(*[F.col("_text").alias(text) if c == text else docs[c] for c in docs.columns])

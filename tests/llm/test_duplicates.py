@@ -153,3 +153,30 @@ def test_forest_keeps_chains_together(spark, monkeypatch, block):
     got = forest.near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert sum(r["n_links"] for r in got) == 40 * 10
     assert {r["vec_id"]: r["component_id"] for r in got} == want and sum(r["kept"] for r in got) == 40
+
+
+def test_passages_inside_lines_and_over_short_lines(spark):
+    rng = random.Random(6)
+
+    def some(n):
+        return [f"u{rng.randrange(10**9)}" for _ in range(n)]
+
+    a, b, c, d, e = some(60), some(60), some(50), some(49), some(70)
+    wrapped = "\n".join(" ".join(b[i : i + 12]) for i in range(0, 60, 12))
+    mixed = ["\n".join(" ".join(e[i:j]) for i, j in ((0, 15), (15, 40), (40, 55), (55, 70)))] * 2
+    docs = [
+        " ".join(some(40) + a + some(40)), " ".join(some(70) + a + some(20)), wrapped, " ".join(some(5)) + "\n" + wrapped + "\nend of it",
+        " ".join(some(60) + c), " ".join(c + some(60)), " ".join(some(60) + d), " ".join(d + some(60)), *mixed, " ".join(some(30) + ["again"] * 130),
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string")
+    found = passages.repeated_passages(df)
+    got = {r["doc_id"]: r["text"].split() for r in passages.without(df, found).collect()}
+    want = {i: t.split() for i, t in enumerate(docs)}
+    want[1] = want[1][:70] + want[1][130:]
+    want[3] = want[3][:5] + ["end", "of", "it"]
+    want[5] = want[5][50:]
+    del want[9]
+    want[10] = want[10][:80]
+    assert got == want
+    rows = [r for r in found.collect() if r["of_text"] is not None]
+    assert {(r["doc_id"], r["first_doc_id"], r["words"]) for r in rows} >= {(1, 0, 60), (3, 2, 60), (5, 4, 50), (9, 8, 70)}
