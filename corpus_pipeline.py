@@ -23,10 +23,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each group whose 5-word shingles are 0.8 alike or more."""
+    """One document, the smallest id, of each group whose 5-word shingles are 0.8 alike or more; of repeated rows with one id one."""
     prepare(spark)
-    kept = neardup.near_duplicates(docs, threshold_percent=80).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    kept = neardup.near_duplicates(docs, threshold_percent=80).where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
+    kept = written(kept, "kept")
+    again = kept.where("_n > 1 and _id is not null")
+    if again.isEmpty():
+        return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    once = kept.where("_n = 1 or _id is null")
+    one = docs.join(again, docs["doc_id"] == again["_id"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(once, docs["doc_id"].eqNullSafe(once["_id"]), "left_semi").unionByName(one)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +43,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources, weights 1, 2, 3 repeating, takes them."""
-    return mixing.repeated(docs, mixing.mix(docs, [1, 2, 3]))
+    return mixing.mixed(docs, [1, 2, 3])
 
 
 def bpe_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,13 +53,13 @@ def water_levels(sources: DataFrame, total: float, max_epochs: float) -> DataFra
     return sources.withColumn("target", F.least(cap.cast("double"), F.col("weight") * F.lit(level)))
 
 
-def mix(docs: DataFrame, weights: list[float], text: str = "text", source: str = "source", doc_id: str = "doc_id", max_epochs: float = 3.0, total_share: float = 1.0, seed: int = 7) -> DataFrame:
-    """(doc_id, size, source_size, target, epochs, partial, taken) of each row of docs.
+def mix(docs: DataFrame, weights: list[float], text: str = "text", source: str = "source", doc_id: str = "doc_id", max_epochs: float = 3.0, total_share: float = 1.0, seed: int = 7, row: str | None = None) -> DataFrame:
+    """(doc_id, size, source_size, target, epochs, partial, taken) of each row of docs, and its column row if given.
 
     weights repeat over the sources in code point order, null last. epochs: whole takes of the
     document, partial: whether the seeded extra part has it; taken = size x (epochs + partial).
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), *([F.col(row).alias("row")] if row else []))
     rows = written(rows.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id")), "sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
     sources = written(ordered_by(sources, F.col("source").isNull(), F.col("source")), "sources")
@@ -92,14 +92,21 @@ def mix(docs: DataFrame, weights: list[float], text: str = "text", source: str =
     swapped = F.coalesce((F.col("at") == F.col("swap_at")) & F.col("doc_id").eqNullSafe(F.col("swap_id")) & (F.col("size") > 0) & F.col("swap_at").isNotNull(), F.lit(False))
     rows = rows.withColumn("partial", F.col("partial") != swapped)
     taken = F.col("size") * (F.col("epochs") + F.col("partial").cast("long"))
-    return rows.select("doc_id", "size", "source_size", "target", F.col("epochs").cast("long").alias("epochs"), "partial", taken.cast("long").alias("taken"))
+    return rows.select("doc_id", "size", "source_size", "target", F.col("epochs").cast("long").alias("epochs"), "partial", taken.cast("long").alias("taken"), *([F.col("row").alias(row)] if row else []))
 
 
 def repeated(docs: DataFrame, plan: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """The mix itself: each row of docs as often as plan takes it; rows not taken go.
 
-    docs has one row per id; of a document of size 0 one copy stays if its source is taken.
+    docs has one row per id and none without (`mixed` takes any rows); of a document of size 0 one
+    copy stays if its source is taken.
     """
-    times = plan.select(F.col("doc_id").alias("_id"), (F.col("epochs") + F.col("partial").cast("long")).alias("_times"))
+    times = plan.select(F.col(doc_id).alias("_id"), (F.col("epochs") + F.col("partial").cast("long")).alias("_times"))
     out = docs.join(times, docs[doc_id] == times["_id"]).where("_times > 0")
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*[docs[c] for c in docs.columns])
+
+
+def mixed(docs: DataFrame, weights: list[float], **options) -> DataFrame:
+    """The mix of any rows, those without id and repeated ones too: rows get a key of their own before the plan."""
+    keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    return repeated(keyed, mix(keyed, weights, row="_row", **options), "_row").drop("_row")

@@ -93,3 +93,16 @@ def test_tone_has_its_peak():
     x = (128 + 100 * np.sin(2 * np.pi * 24 * np.arange(1920) / 192)).astype(np.uint8)
     lv, owner, _ = media.spectra(x, np.array([0, 1920]))
     assert (lv[:, 3:].argmax(1) + 3 == 24).all() and len(owner) == 19
+
+
+def test_mix_takes_rows_without_id_and_repeated_rows(spark):
+    import corpus_pipeline
+
+    rows = [(1, "a b c", "en", "x", 5)] * 3 + [(None, "d e f g", "en", "x", 7), (None, "h i", "en", "x", 3), (2, "j k l", "en", "x", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    # one source: its target is its size, so each row is taken once
+    assert sorted(map(str, corpus_pipeline.mix_sources(spark, docs, "").collect())) == sorted(map(str, docs.collect()))
+    twice = mixing.mixed(docs, [1], total_share=2.0)
+    assert twice.columns == docs.columns and sorted(map(str, twice.collect())) == sorted(map(str, docs.collect() * 2))
+    kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted(r["text"] for r in kept) == ["a b c", "d e f g", "h i", "j k l"]
