@@ -8,7 +8,7 @@ begins where the sums surge from nothing to at least SURGE characters (any, insi
 article) and lasts until they dive to nothing; of all such stretches those of at least a
 fifth of the largest's text are kept, and all counting lines between them.
 
-Null and empty pages have no text. Broken markup ends at the page's end; unclosed blocks end where the next
+Null and empty pages have no text. Broken markup ends at the page's end; of silent elements without an end tag only the start tag goes; unclosed blocks end where the next
 begins. Nothing is cut from long pages. Rows stay, repeated ones too.
 """
 
@@ -45,6 +45,9 @@ _TOKEN = re.compile(
     r"|<(?P<close>/)?(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
     re.S,
 )
+#: Elements whose content is never markup; without an end tag they last to the page's end.
+RAW = frozenset("script style textarea title".split())
+_SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\s*\Z")
 _ATTRS = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _WHITE = re.compile(r"\s+")
 
@@ -75,6 +78,7 @@ def lines(page: str) -> list[tuple[str, bool, int, int]]:
     """(text, outside, how the article is marked, characters in links) of each block."""
     out: list[tuple[str, bool, int, int]] = []
     stack: list[_Open] = []
+    endless: set[str] = set()  # elements of which no further end tag follows
     parts: list[str] = []
     links = linked = 0
 
@@ -109,10 +113,14 @@ def lines(page: str) -> list[tuple[str, bool, int, int]]:
                 while stack.pop().name != name:
                     pass
             continue
-        if name in SILENT:
+        if name in SILENT and name not in VOID:
             if name not in ("head",):
-                end = re.compile(rf"</{name}(?=[\s>/]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = end.end() if end else n
+                if name in RAW or not (name in endless or _SELF_CLOSED.search(m["attrs"])):
+                    end = re.compile(rf"</{name}(?=[\s>/]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
+                    if end or name in RAW:
+                        at = end.end() if end else n
+                    else:
+                        endless.add(name)
                 if name in BLOCKS or name in ("script", "style"):
                     end_block()
                 continue

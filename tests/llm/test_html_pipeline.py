@@ -19,6 +19,21 @@ PAGES = [
 ]
 
 
+SILENT_PAGES = [
+    ("<article><p>a<embed src=x><p>b</article>", "a\nb"),
+    *[(f"<article><p>a<{e} id='x' /><p>b</article>", "a\nb") for e in ("svg", "iframe", "canvas", "object")],
+    ("<article><p>a<svg/><p>b<svg><text>no</text></svg><p>c</article>", "a\nb\nc"),
+    ("<article><p>a<object data=x><p>b<button>c</article>", "a\nbc"),
+    ("<article><p>a<script/>x = 1", "a"),
+    ("<article><p>a<iframe src=x></iframe><p>b", "a\nb"),
+]
+
+
+@pytest.mark.parametrize("page,want", SILENT_PAGES)
+def test_silent_elements_without_an_end(page, want):
+    assert html.main_text(page) == want
+
+
 @pytest.mark.parametrize("page,want", PAGES)
 def test_pages(page, want):
     assert html.main_text(page) == want
