@@ -2,7 +2,8 @@
 
 Markup is cut into lines: one for each block, its character references decoded, its white space
 one space. A line counts its characters; one inside menus, headers, footers, sidebars, notices,
-adverts, forms or reader comments, or that is mostly links, counts none. Where the page marks
+adverts, forms or reader comments, or that is mostly links, counts none. A class or id alone does not put an article or main element inside it
+outside, unless the page has another article or more text elsewhere. Where the page marks
 its article, lines outside count none. The counts are summed over windows of WINDOW lines; text
 begins where the sums surge from nothing to at least SURGE characters (any, inside a marked
 article) and lasts until they dive to nothing; of all such stretches those of at least a
@@ -48,35 +49,38 @@ _TOKEN = re.compile(
 #: Elements whose content is never markup; without an end tag they last to the page's end.
 RAW = frozenset("script style textarea title".split())
 _SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\s*\Z")
+#: Tokens of class and id that tell of a layout, not of what the element holds.
+_LAYOUT = re.compile(r"(?:^|\s)(?:has|no|not|with|without|hide|show)-[^\s]*|[^\s]*-(?:off|none|disabled)(?=\s|\Z)")
 _ATTRS = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _WHITE = re.compile(r"\s+")
 
 
 class _Open:
-    __slots__ = ("name", "aside", "article")
+    __slots__ = ("name", "aside", "soft", "outer", "article")
 
-    def __init__(self, name: str, aside: bool, article: int):
-        self.name, self.aside, self.article = name, aside, article
+    def __init__(self, name: str, aside: bool, soft: int, outer: int, article: int):
+        self.name, self.aside, self.soft, self.outer, self.article = name, aside, soft, outer, article
 
 
-def _marks(name: str, attrs: str) -> tuple[bool, int]:
-    """(outside the article; 2: the article's own element, 1: one named like it)."""
-    aside, article = name in ASIDE, 2 * (name in ("article", "main"))
+def _marks(name: str, attrs: str) -> tuple[bool, bool, int]:
+    """(outside the article, outside by class or id alone; 2: the article's own element, 1: one named like it)."""
+    aside, soft, article = name in ASIDE, False, 2 * (name in ("article", "main"))
     if attrs.strip():
         for key, value in _ATTRS.findall(attrs):
             value = value.strip("\"'").lower()
             if key.lower() == "hidden" or (key.lower() == "aria-hidden" and value == "true"):
                 aside = True
-            elif name not in ("html", "body", "article", "main", "p", "span", "a", "b", "i", "em", "strong", "h1", "h2", "h3", "h4", "h5", "h6") and BOILERPLATE.search(value.replace("_", "-")):
-                aside = not ARTICLE.search(value) or aside
+            elif name not in ("html", "body", "article", "main", "p", "span", "a", "b", "i", "em", "strong", "h1", "h2", "h3", "h4", "h5", "h6") and BOILERPLATE.search(_LAYOUT.sub(" ", value.replace("_", "-"))):
+                if not ARTICLE.search(value):
+                    soft, aside = soft or key.lower() != "role", aside or key.lower() == "role"
             elif name in ("div", "section", "td") and ARTICLE.search(value):
                 article = max(article, 1)
-    return aside, article
+    return aside, soft, article
 
 
-def lines(page: str) -> list[tuple[str, bool, int, int]]:
-    """(text, outside, how the article is marked, characters in links) of each block."""
-    out: list[tuple[str, bool, int, int]] = []
+def lines(page: str) -> list[tuple[str, bool, int, int, int]]:
+    """(text, outside, how the article is marked, characters in links, containers around the article that are outside by class or id alone) of each block."""
+    out: list[tuple[str, bool, int, int, int]] = []
     stack: list[_Open] = []
     endless: set[str] = set()  # elements of which no further end tag follows
     parts: list[str] = []
@@ -87,7 +91,7 @@ def lines(page: str) -> list[tuple[str, bool, int, int]]:
         text = _WHITE.sub(" ", "".join(parts)).strip()
         if text:
             top = stack[-1] if stack else None
-            out.append((text, bool(top and top.aside), top.article if top else 0, linked))
+            out.append((text, bool(top and (top.aside or top.soft)), top.article if top else 0, linked, top.outer if top else 0))
         parts.clear()
         linked = 0
 
@@ -135,19 +139,28 @@ def lines(page: str) -> list[tuple[str, bool, int, int]]:
             links -= name == "a"
             continue
         if name in BLOCKS:
-            aside, article = _marks(name, m["attrs"] or "")
+            aside, own, article = _marks(name, m["attrs"] or "")
             top = stack[-1] if stack else None
-            stack.append(_Open(name, aside or bool(top and top.aside), max(article, top.article if top else 0)))
+            soft, outer = (top.soft, top.outer) if top else (0, 0)
+            if article == 2:
+                soft, outer = 0, outer + soft  # an article clears what only names put outside
+            stack.append(_Open(name, aside or bool(top and top.aside), soft + own, outer, max(article, top.article if top else 0)))
     end_block()
     return out
 
 
 def main_text(page: str | None) -> str:
     found = lines(page or "")
-    marked = max((article for _, aside, article, _ in found if not aside), default=0)
+    # articles in containers that are outside by name count only where the page has no other and less text elsewhere
+    level = min((outer for _, aside, article, _, outer in found if not aside and article), default=0)
+    if level:
+        inner = sum(len(text) for text, aside, article, _, outer in found if not aside and article and outer == level)
+        if sum(len(text) for text, aside, article, linked, _ in found if not aside and not article and linked <= 0.5 * len(text)) >= inner:
+            level = 0
+    marked = max((article for _, aside, article, _, outer in found if not aside and outer <= level), default=0)
     size = []
-    for text, aside, article, linked in found:
-        counts = not aside and article >= marked and (marked or linked <= 0.5 * len(text))
+    for text, aside, article, linked, outer in found:
+        counts = not aside and outer <= level and article >= marked and (marked or linked <= 0.5 * len(text))
         size.append(len(text) if counts else 0)
     n = len(size)
     sums = [sum(size[i : i + WINDOW]) for i in range(n)]

@@ -27,6 +27,16 @@ SILENT_PAGES = [
     ("<article><p>a<script/>x = 1", "a"),
     ("<article><p>a<iframe src=x></iframe><p>b", "a\nb"),
 ]
+NAMED_PAGES = [
+    *[(f"<div class='{c}'><nav>n</nav><article><p>text</article><div class='sidebar'>s</div></div>", "text") for c in ("layout has-sidebar", "no-sidebar", "with-header", "page-widget")],
+    ("<div id='page' class='search-off'><main><p>text</main><footer>f</footer></div>", "text"),
+    ("<div class='page-widget'><div class='related'><article>card</article></div><article><p>text</article></div>", "text"),
+    ("<div class='layout has-sidebar'><p>text</div>", "text"),
+    ("<div id='content'><p>text</div><div class='related'><article>card</article></div>", "text"),
+    ("<p>some longer text<div class='related'><article>card</article></div>", "some longer text"),
+    ("<article><p>text</article><div class='comments'><article>reader</article></div>", "text"),
+    ("<nav><article>n</article></nav><div role='navigation'><article>m</article></div>", ""),
+]
 
 
 @pytest.mark.parametrize("page,want", SILENT_PAGES)
@@ -34,6 +44,11 @@ def test_silent_elements_without_an_end(page, want):
     assert html.main_text(page) == want
 
 
+@pytest.mark.parametrize("page,want", NAMED_PAGES)
+def test_names_do_not_hide_the_article(page, want):
+    assert html.main_text(page) == want
+
+
 @pytest.mark.parametrize("page,want", PAGES)
 def test_pages(page, want):
     assert html.main_text(page) == want
