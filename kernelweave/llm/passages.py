@@ -184,22 +184,25 @@ def _windows(texts: pa.Array):
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, print, times: 2 if it may occur at two places of the text)."""
+    """(doc_id, print, line: that its windows lie in, -1 over several, p0, p1: the first and last of them) and the text's hash."""
     for batch in batches:
         done = 0
         for part in ta.slices(batch.column(1)):
-            *_, at, _, pos, prints = _windows(part)
-            ids = batch.column(0).slice(done, len(part))
+            data, offs, starts, _, first, at, _, pos, prints = _windows(part)
+            ids, of_text = (batch.column(c).slice(done, len(part)) for c in (0, 2))
             done += len(part)
             if not len(pos):
                 continue
             owner = np.repeat(np.arange(len(part)), np.diff(at))
-            order = np.lexsort((pos, prints, owner))
-            o, f, p = owner[order], prints[order], pos[order]
-            head = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (f[1:] != f[:-1])]))
+            line = np.searchsorted(np.flatnonzero(data == 10), starts)
+            base = np.searchsorted(np.flatnonzero(data == 10), offs[:-1])
+            line = np.where(line[pos] == line[pos + SPAN - 1], line[pos] - base[owner], -1)
+            order = np.lexsort((pos, line, prints, owner))
+            o, f, n, p = owner[order], prints[order], line[order], (pos - first[:-1][owner])[order]
+            head = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (f[1:] != f[:-1]) | (n[1:] != n[:-1])]))
             tail = np.append(head[1:], len(p)) - 1
-            times = 1 + (p[tail] - p[head] > SPAN - GRAM)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(o[head])), pa.array(f[head].view(np.int64)), pa.array(times.astype(np.int32))], ["doc_id", "print", "times"])
+            ints = [pa.array(x.astype(np.int32)) for x in (n[head], p[head], p[tail])]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(o[head])), of_text.take(pa.array(o[head])), pa.array(f[head].view(np.int64)), *ints], ["doc_id", "of_text", "print", "line", "p0", "p1"])
 
 
 def _chosen(min_words: int):
@@ -240,8 +243,11 @@ def _chosen(min_words: int):
 
 def _spans(docs: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
     """Rows of repeated_passages for spans of repeated windows; lines: its rows of paragraphs."""
-    prints = written(docs.mapInArrow(_prints, "doc_id bigint, print bigint, times int"), "prints")
-    shared = prints.groupBy("print").agg(F.sum("times").alias("n")).where("n > 1").select("print")
+    prints = docs.withColumn("of_text", F.xxhash64("text")).mapInArrow(_prints, "doc_id bigint, of_text bigint, print bigint, line int, p0 int, p1 int")
+    # windows in removed lines go with these, so they make no other window a repeated one
+    prints = written(prints.join(lines.where("removed").select("doc_id", F.col("place").alias("line")), ["doc_id", "line"], "left_anti"), "prints")
+    ends = [f(c).alias(n + c) for c in ("doc_id", "of_text", "p0", "p1") for f, n in ((F.min, "lo_"), (F.max, "hi_"))]
+    shared = prints.groupBy("print").agg(*ends).where(f"lo_doc_id < hi_doc_id or lo_of_text < hi_of_text or hi_p1 - lo_p0 > {SPAN - GRAM}").select("print")
     wanted = prints.join(shared, "print", "left_semi").groupBy("doc_id").agg(F.collect_set("print").alias("wanted"))
     gone = lines.where("removed").groupBy("doc_id").agg(F.collect_set("place").alias("gone"))
     asked = docs.join(wanted.join(gone, "doc_id", "left").hint("merge"), "doc_id").select("doc_id", "text", F.xxhash64("text").alias("of_text"), "wanted", "gone")
