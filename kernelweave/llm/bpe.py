@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from kernelweave.llm import textarrays as ta
 
 #: Distinct pre-tokens that a Python worker remembers; beyond it, it starts anew.
-MAX_REMEMBERED = 1_000_000
+MAX_REMEMBERED = 500_000
 
 
 class Vocabulary:
@@ -201,7 +201,7 @@ class Vocabulary:
 
 
 class Remembered:
-    """Encodings of distinct pre-tokens by their hash, for one Python worker."""
+    """Encodings of distinct pre-tokens by their hash, for one Python worker; bytes are compared, so equal hashes alone prove nothing."""
 
     def __init__(self, encode_words):
         self.encode_words = encode_words
@@ -209,30 +209,49 @@ class Remembered:
 
     def clear(self) -> None:
         self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.words: list[bytes] = []
         self.ids, self.starts, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
-    def slots_of(self, hashes: np.ndarray, texts_of) -> np.ndarray:
-        """The slot of each hash; those not yet known are encoded from texts_of(indices)."""
+    def slots_of(self, hashes: np.ndarray, texts_of, equal) -> np.ndarray:
+        """The slot of each pre-token; those not yet known are encoded.
+
+        texts_of(indices): their bytes; equal(i, j): for index arrays, whether the pre-tokens are the same.
+        """
         codes, distinct = pd.factorize(hashes)
         if len(self.keys) + len(distinct) > MAX_REMEMBERED:
             self.clear()
+        seen = np.zeros(len(distinct), np.int64)
+        seen[codes[::-1]] = np.arange(len(codes))[::-1]
+        words = texts_of(seen)
         at = np.searchsorted(self.keys, distinct)
         known = np.zeros(len(distinct), bool)
         if len(self.keys):
             known = self.keys[np.minimum(at, len(self.keys) - 1)] == distinct
         fresh = np.flatnonzero(~known)
         if len(fresh):
-            seen = np.zeros(len(distinct), np.int64)
-            seen[codes[::-1]] = np.arange(len(codes))[::-1]
-            ids, counts = self.encode_words(texts_of(seen[fresh]))
-            slots = (len(self.counts) + np.arange(len(fresh))).astype(np.int32)
-            self.starts = np.concatenate([self.starts, (len(self.ids) + np.cumsum(counts) - counts).astype(np.int32)])
-            self.counts, self.ids = np.concatenate([self.counts, counts.astype(np.int32)]), np.concatenate([self.ids, ids])
+            slots = self._added([words[i] for i in fresh.tolist()])
             order = np.argsort(distinct[fresh])
             put = at[fresh][order]
             self.keys, self.slots = np.insert(self.keys, put, distinct[fresh][order]), np.insert(self.slots, put, slots[order])
             at = np.searchsorted(self.keys, distinct)
-        return self.slots[at][codes]
+        of = self.slots[at]
+        # other bytes of the same hash get slots of their own, which no key leads to
+        clash = np.array([self.words[s] != w for s, w in zip(of.tolist(), words, strict=True)], bool)
+        if clash.any():
+            of[clash] = self._added([words[i] for i in np.flatnonzero(clash).tolist()])
+        out = of[codes]
+        odd = np.flatnonzero(~equal(np.arange(len(codes)), seen[codes]))
+        if len(odd):
+            out[odd] = self._added(texts_of(odd))
+        return out
+
+    def _added(self, words: list[bytes]) -> np.ndarray:
+        ids, counts = self.encode_words(words)
+        slots = (len(self.counts) + np.arange(len(words))).astype(np.int32)
+        self.starts = np.concatenate([self.starts, (len(self.ids) + np.cumsum(counts) - counts).astype(np.int32)])
+        self.counts, self.ids = np.concatenate([self.counts, counts.astype(np.int32)]), np.concatenate([self.ids, ids])
+        self.words += words
+        return slots
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's begin)."""
@@ -240,8 +259,8 @@ class Remembered:
         starts, ends = ta.pretokens(points)
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-        hashes = ta.span_hashes((points.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), starts, ends)
-        slots = self.slots_of(hashes, lambda some: ta.span_bytes(points, starts[some], ends[some]))
+        hashes = ta.span_hashes(points + np.uint32(1), starts, ends)
+        slots = self.slots_of(hashes, lambda some: ta.span_bytes(points, starts[some], ends[some]), functools.partial(ta.same_spans, points, starts, ends))
         counts = self.counts[slots].astype(np.int64)
         done = np.concatenate([[0], np.cumsum(counts)])
         ids = self.ids[np.repeat(self.starts[slots] - done[:-1], counts) + np.arange(done[-1])]

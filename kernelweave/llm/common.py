@@ -12,9 +12,11 @@ from kernelweave.session import ship
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a new temporary one only where none is set."""
+    """The cluster's shared folder (spark.checkpoint.dir); a new temporary one only where none is set and the master is local."""
     folder = spark.conf.get("spark.checkpoint.dir", "")
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors and the driver share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -25,7 +27,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that `written` returned and that no later job reads."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._written_to)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def unlike(df: DataFrame, name: str) -> str:
+    """A column name that df does not have (Spark's names do not tell case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 #: Rows in an Arrow batch: whole texts may be long, and Python workers share an executor's memory.
@@ -49,18 +68,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round takes the smallest label among a vertex's neighbours, then the label of that
     label (pointer jumping), and is written to the shared folder. It ends when no label
     changes. Null ends are dropped; loops and repeated edges change nothing; no edges give
-    no rows. Nothing is collected but the count of changes.
+    no rows. Nothing is collected but the count of changes. A vertex with very many edges is one key of
+    a join with the labels, whose partition adaptive execution splits.
     """
     one = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     both = written(one.union(one.select("v", "u")).distinct(), "edges")
-    labels = written(both.groupBy(F.col("u").alias("id")).agg(F.least("u", F.min("v")).alias("component")), "labels")
+    labels = table = written(both.groupBy(F.col("u").alias("id")).agg(F.least("u", F.min("v")).alias("component")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("id", "v"), "v").groupBy(F.col("u").alias("id")).agg(F.min("component").alias("near"))
         step = labels.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "near").alias("label"))
         to = labels.select(F.col("id").alias("label"), F.col("component").alias("far"))
         new = written(step.join(to, "label").select("id", "was", F.least("label", "far").alias("component")), "labels")
-        labels = new.select("id", "component")
+        forget(table)
+        table, labels = new, new.select("id", "component")
         if new.where("component <> was").isEmpty():
+            forget(both)
             return labels
 
 

@@ -22,6 +22,7 @@ stands for the id's links. Very long texts are whole. Columns beyond id and text
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kernelweave.llm import textarrays as ta
-from kernelweave.llm.common import components, written
+from kernelweave.llm.common import components, forget, written
 
 WIDTH, BANDS, ROWS = 5, 24, 5
 #: Miss probability of one pruning step; members of a block.
@@ -42,7 +43,7 @@ _rng = np.random.default_rng(11)
 _MULTIPLIERS = _rng.integers(1, 1 << 32, _PLACES, dtype=np.uint32) | np.uint32(1)
 _ADDENDS = _rng.integers(1, 1 << 32, _PLACES, dtype=np.uint32)
 
-_SIGNED = "doc_id bigint, n bigint, digest bigint, bands array<bigint>, signature binary"
+_SIGNED = "doc_id bigint, n bigint, digest binary, bands array<bigint>, signature binary"
 
 
 def minhashes(shingles: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -75,14 +76,15 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             band = ta.mix(band).view(np.int64)
             sigs = (places & np.uint32(0xFFFF)).astype(np.uint16)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(done, len(part)), pa.array(n), pa.array(digest), pa.FixedSizeListArray.from_arrays(pa.array(band.ravel()), BANDS).cast(pa.list_(pa.int64())), pa.array([s.tobytes() for s in sigs], pa.binary())],
+                [batch.column(0).slice(done, len(part)), pa.array(n), pa.array(digest, pa.binary()), pa.FixedSizeListArray.from_arrays(pa.array(band.ravel()), BANDS).cast(pa.list_(pa.int64())), pa.array([s.tobytes() for s in sigs], pa.binary())],
                 ["doc_id", "n", "digest", "bands", "signature"],
             )
             done += len(part)
 
 
-def _digests(sets: list[np.ndarray]) -> np.ndarray:
-    return np.array([np.bitwise_xor.reduce(ta.mix(s)) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+def _digests(sets: list[np.ndarray]) -> list[bytes]:
+    """128 bits of each sorted set."""
+    return [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +96,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts, ends, first = ta.words(data, offs)
             sets = ta.distinct_sorted(*ta.shingles(ta.word_hashes(data, starts, ends), first, WIDTH))
             ids, asked = (batch.column(c).slice(done, len(part)) for c in (0, 2))
-            good = np.flatnonzero(_digests(sets) == asked.to_numpy())
+            good = np.flatnonzero([d == a for d, a in zip(_digests(sets), asked.to_pylist(), strict=True)])
             at = np.concatenate([[0], np.cumsum([len(sets[i]) for i in good.tolist()])]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.uint64), *[sets[i] for i in good.tolist()]]).view(np.int64)
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(good)), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["doc_id", "shingles"])
@@ -131,13 +133,13 @@ def _pruner(limits):
     return prune
 
 
-def _between(limits, threshold_percent: int):
-    """Links that join different components of a pair of blocks; full sets are compared inside, and at most
-    one link for each join leaves."""
+def between(threshold_percent: int, limits: list[tuple[int, int]] | None = None, key: str = "doc_id"):
+    """Links that join different components of a pair of blocks; full sets are compared inside, those first that
+    signatures leave (if limits are given), and at most one link for each join leaves."""
 
     def links(group: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(group["signature"]), np.uint16).reshape(-1, _PLACES)
-        ids, side, sets = group["doc_id"].to_numpy(), group["side"].to_numpy(), group["shingles"].tolist()
+        sig = np.frombuffer(b"".join(group["signature"]), np.uint16).reshape(-1, _PLACES) if limits else None
+        ids, side, sets = group[key].to_numpy(), group["side"].to_numpy(), group["shingles"].tolist()
         root = np.unique(group["component"].to_numpy(), return_inverse=True)[1]
         size = np.array([len(x) for x in sets], np.int64)
         every, flat = np.unique(np.concatenate(sets), return_inverse=True)
@@ -150,9 +152,8 @@ def _between(limits, threshold_percent: int):
         for i, x in enumerate(left.tolist()):
             others = right[i + 1 :] if alone else right
             others = others[root[others] != root[x]]
-            if not len(others):
-                continue
-            others = others[likely(np.broadcast_to(sig[x], (len(others), _PLACES)), sig[others], limits)]
+            if limits and len(others):
+                others = others[likely(np.broadcast_to(sig[x], (len(others), _PLACES)), sig[others], limits)]
             if not len(others):
                 continue
             n, mine = size[others], flat[at[x] : at[x] + size[x]]
@@ -165,11 +166,30 @@ def _between(limits, threshold_percent: int):
                 if root[y] != root[x]:
                     out.append((ids[x], ids[y]))
                     root[root == root[y]] = root[x]
-        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+        return pd.DataFrame(out, columns=["a", "b"], dtype=ids.dtype)
 
     return links
 
 
+def cells(members: DataFrame, key: str, block: int) -> DataFrame:
+    """Members of buckets (bucket, key, component, m: how many) in pairs of blocks (i, j) of about `block`; side 0: both blocks are one, 1 and 2: the two."""
+    blocks = F.ceil(F.col("m") / block).cast("int")
+    out = members.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64(key), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return out.select(
+        "bucket", key, "component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
+        F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"),
+    )
+
+
+def apart(buckets: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """Members, with their components so far, of buckets that hold more than one; of buckets with the same members one."""
+    members = buckets.where("m > 2").join(found.withColumnRenamed("id", key), key, "left").select("bucket", key, "m", F.coalesce("component", key).alias("component"))
+    h = F.xxhash64(key)
+    open_ = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), key)).alias("y"), F.count("*").alias("n")).where("lo < hi")
+    open_ = open_.groupBy("x", "y", "n").agg(F.min("bucket").alias("bucket")).select("bucket")
+    return members.join(open_, "bucket")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold_percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs."""
     limits = bounds(threshold_percent / 100)
@@ -184,7 +204,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     # full sets of all members of such buckets; texts meet their ids by a shuffle at any size
     some = reps.select("doc_id", "digest").join(buckets.select("doc_id").distinct(), "doc_id", "left_semi")
     sets = docs.join(some.hint("merge"), "doc_id").select("doc_id", "text", "digest").mapInArrow(_sets, "doc_id bigint, shingles array<bigint>")
-    sets = written(sets, "sets").dropDuplicates(["doc_id"])
+    set_table = written(sets, "sets")
+    sets = set_table.dropDuplicates(["doc_id"])
     stars = buckets.where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
     sig = reps.select("doc_id", "signature")
     pairs = stars.join(sig.withColumnsRenamed({"doc_id": "b", "signature": "sb"}), "b").join(sig.withColumnsRenamed({"doc_id": "a", "signature": "sa"}), "a").select("a", "b", "sa", "sb")
@@ -193,23 +214,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     same = F.size(F.array_intersect("sa", "sb")).cast("long")
     union = F.size("sa").cast("long") + F.size("sb").cast("long") - same
     links = written(both.where(100 * same >= threshold_percent * union).select("a", "b"), "links")
+    forget(pairs)
     found = components(links)
-    # buckets of three and more that the stars left apart; of buckets with the same members one
-    label = F.coalesce("component", "doc_id").alias("component")
-    members = buckets.where("m > 2").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "m", label)
-    h = F.xxhash64("doc_id")
-    apart = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("y"), F.count("*").alias("n")).where("lo < hi")
-    apart = apart.groupBy("x", "y", "n").agg(F.min("bucket").alias("bucket")).select("bucket")
-    members = written(members.join(apart, "bucket"), "open")
+    # buckets of three and more that the stars left apart
+    members = written(apart(buckets, found, "doc_id"), "open")
+    forget(buckets)
     if not members.isEmpty():
-        blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-        cells = members.withColumn("blocks", blocks).withColumn("mine", F.pmod(h, blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        cells = cells.select(
-            "bucket", "doc_id", "component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
-            F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"),
-        ).join(sig.join(sets, "doc_id"), "doc_id")
-        more = cells.groupBy("bucket", "i", "j").applyInPandas(_between(limits, threshold_percent), "a bigint, b bigint")
+        groups = cells(members, "doc_id", BLOCK).join(sig.join(sets, "doc_id"), "doc_id")
+        more = written(groups.groupBy("bucket", "i", "j").applyInPandas(between(threshold_percent, limits), "a bigint, b bigint"), "links")
         found = components(links.union(more))
+        forget(more)
+    forget(links, members, set_table, reps)
     return labelled(signed, classes, found)
 
 

@@ -14,7 +14,6 @@ import pyarrow as pa
 
 U64 = np.uint64
 _ODD = U64(0x9E3779B97F4A7C15)
-_BASE = 0xD1342543DE82EF95  # odd, so that it has an inverse modulo 2^64
 
 
 def slices(texts: pa.Array, max_bytes: int = 1 << 19) -> Iterator[pa.Array]:
@@ -48,31 +47,39 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_held: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
+#: A prime and two bases: a span's hash is its polynomial's values at both, about 62 bits.
+_PRIME, _BASES = (1 << 31) - 1, (1_374_907_163, 732_590_081)
+_P = U64(_PRIME)
+_held: list[list[np.ndarray]] = [[np.ones(1, U64), np.ones(1, U64)] for _ in _BASES]
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    """The base's powers 0..n and their inverses; the longest so far is kept."""
-    if len(_held[0]) <= n:
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            out = np.full(n + 1, base, U64)
-            out[0] = 1
-            _held[i] = np.cumprod(out, dtype=U64)
+def _powers(n: int) -> list[list[np.ndarray]]:
+    """Of each base the powers 0..n and their inverses; the longest so far are kept."""
+    for held, base in zip(_held, _BASES, strict=True):
+        for i, b in enumerate((base, pow(base, -1, _PRIME))):
+            while len(held[i]) <= n:
+                held[i] = np.concatenate([held[i], held[i] * U64(pow(b, len(held[i]), _PRIME)) % _P])
     return _held
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of values[start:end] for each span, from one prefix sum; it depends on nothing outside the span."""
-    n = 1 << max(16, len(values).bit_length())
-    power, inverse = _powers(n)
-    sums = np.zeros(len(values) + 1, U64)
-    np.cumsum(values * power[: len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U64) * _ODD)
+    """A hash of values[start:end] for each span, from prefix sums modulo a prime; it depends on nothing outside the span.
+
+    64-bit values stand for hashes, whose halves go to one base each; smaller ones are taken as they are.
+    """
+    out = (ends - starts).astype(U64) * _ODD
+    wide = values.dtype == U64
+    for lane, (power, inverse) in enumerate(_powers(len(values))):
+        lanes = (values >> U64(33) if lane else values & _P) if wide else values.astype(U64)
+        sums = np.zeros(len(values) + 1, U64)
+        np.cumsum(lanes * power[: len(values)] % _P, out=sums[1:])
+        out = mix(out + (sums[ends] - sums[starts]) % _P * inverse[starts] % _P)
+    return out
 
 
 @functools.cache
 def _byte_values() -> np.ndarray:
-    v = mix(np.arange(1, 257, dtype=U64) * _ODD)
+    v = (mix(np.arange(1, 257, dtype=U64) * _ODD) % _P).astype(np.uint32)
     v[ord("A") : ord("Z") + 1] = v[ord("a") : ord("z") + 1]
     return v
 
@@ -206,3 +213,15 @@ def span_bytes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list
     wide = np.concatenate([[0], np.cumsum(1 + (mine >= 0x80) + (mine >= 0x800) + (mine >= 0x10000))])
     raw, cuts = mine.tobytes().decode("utf-32-le").encode(), wide[upto].tolist()
     return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def same_spans(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the spans i and j (arrays of indices) hold the same points."""
+    size = ends[i] - starts[i]
+    same = size == ends[j] - starts[j]
+    a, b, size = starts[i][same], starts[j][same], size[same]
+    if len(size):
+        upto = np.cumsum(size) - size
+        step = np.arange(size.sum()) - np.repeat(upto, size)
+        same[same] = np.logical_and.reduceat(points[np.repeat(a, size) + step] == points[np.repeat(b, size) + step], upto)
+    return same

@@ -180,3 +180,67 @@ def test_passages_inside_lines_and_over_short_lines(spark):
     assert got == want
     rows = [r for r in found.collect() if r["of_text"] is not None]
     assert {(r["doc_id"], r["first_doc_id"], r["words"]) for r in rows} >= {(1, 0, 60), (3, 2, 60), (5, 4, 50), (9, 8, 70)}
+
+
+def doubled(n):
+    """Two different words of n letters that a hash modulo 2^64 does not tell apart."""
+    s, c = "a", "b"
+    while len(s) < n:
+        s, c = s + c, c + s
+    return s, c
+
+
+@pytest.mark.parametrize("n", [1024, 8192])
+def test_doubling_words_are_told_apart(spark, n):
+    a, b = doubled(n)
+    tail = " ".join(f"w{i}" for i in range(24))
+    df = spark.createDataFrame([(0, a), (1, b), (2, f"{a} {tail}"), (3, f"{b} {tail}")], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df).where("doc_id < 2").collect()} == {0: 0, 1: 1}
+    rows = [(i, " ".join([w] * 30)) for i, w in enumerate((a, b))]
+    assert passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+
+
+def test_runs_of_words_are_brute_force(spark):
+    rng = random.Random(12)
+    shared = [[f"p{k}_{i}" for i in range(rng.randint(50, 160))] for k in range(12)]
+    docs = []
+    for i in range(120):
+        words = []
+        for _ in range(rng.randint(0, 3)):
+            words += [f"u{rng.randrange(10**9)}" for _ in range(rng.randint(0, 90))]
+            p = rng.choice(shared)
+            lo = rng.randint(0, len(p) - 50)
+            words += p[lo : rng.randint(lo + 50, len(p))]
+        words += [f"u{rng.randrange(10**9)}" for _ in range(rng.randint(0, 30))]
+        docs.append((i, "".join(w + rng.choice([" ", " ", " ", "\n", " \t"]) for w in words)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    # windows of 50 words, their first places, and of which words an earlier place has one
+    first, covered = {}, {i: set() for i, _ in docs}
+    for i, t in docs:
+        w = t.split()
+        for k in range(len(w) - 49):
+            if first.setdefault(tuple(w[k : k + 50]), (i, k)) != (i, k):
+                covered[i] |= set(range(k, k + 50))
+    found = passages.repeated_passages(df, min_words=1000).where("span").collect()
+    got = {i: set() for i, _ in docs}
+    for r in found:
+        assert r["words"] >= passages.KEY
+        got[r["doc_id"]] |= set(range(r["word"], r["word"] + r["words"]))
+    # all runs are found; where the first place of a paragraph shares less of a run, up to STEP - 1 words at its ends stay
+    assert all(bool(covered[i]) <= bool(got[i]) for i in got)
+    assert sum(len(covered[i] - got[i]) for i in got) <= 0.05 * sum(map(len, covered.values()))
+    for i in got:
+        for k in covered[i] - got[i]:
+            assert got[i] & set(range(k - passages.STEP + 1, k + passages.STEP))
+    # what is left holds every shared word once at least, and nothing of one document alone is lost
+    left = " ".join(r["text"] or "" for r in passages.without(df, passages.repeated_passages(df)).collect()).split()
+    assert set(left) == {w for _, t in docs for w in t.split()}
+
+
+def test_passages_of_repeated_ids_and_clashing_columns(spark):
+    p = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "a\n" + p, 0), (2, "x\ny\n" + p, 1), (2, p + "\nz", 2), (None, p, 3), (3, "x " + p, 4), (3, "x " + p, 5)]
+    df = spark.createDataFrame([(*r, 0, "c") for r in rows], "doc_id long, text string, n int, what int, rest string")
+    out = passages.without(df, passages.repeated_passages(df))
+    assert out.columns == df.columns
+    assert {(r["n"], r["text"]) for r in out.collect()} == {(0, "a\n" + p), (1, "x\ny"), (2, "z"), (3, p)}

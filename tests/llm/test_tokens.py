@@ -106,3 +106,18 @@ def test_words_and_shingles():
     assert [bytes(data[i:j]) for i, j in zip(s, e, strict=True)] == [b"a", b"B", b"c", b"x"] and first.tolist() == [0, 3, 3, 3, 4]
     up, low = (textarrays.word_hashes(*(lambda d, o: (d, *textarrays.words(d, o)[:2]))(*textarrays.utf8(pa.array([t])))) for t in ("ABC é", "abc é"))
     assert (up == low).all() and len(set(up.tolist())) == 2
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 8192])
+def test_words_of_equal_polynomials(n):
+    s, c = "a", "b"
+    while len(s) < n:
+        s, c = s + c, c + s
+    assert ids_of([s, c, s + " " + c]) == [LIB.encode(t, add_special_tokens=False).ids for t in (s, c, s + " " + c)]
+
+
+def test_equal_hashes_are_told_apart_by_their_bytes(monkeypatch):
+    monkeypatch.setattr(textarrays, "span_hashes", lambda values, starts, ends: (ends - starts).astype(np.uint64))
+    memory, v = bpe.Remembered(bpe.vocabulary(PATH).encode_words), bpe.vocabulary(PATH)
+    for texts in (["one two six", "ten the and"], ["ten owl one", "abc"]):
+        assert bpe.encode_texts(pa.array(texts), v.special, memory).to_pylist() == [LIB.encode(t, add_special_tokens=False).ids for t in texts]
