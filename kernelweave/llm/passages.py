@@ -12,7 +12,7 @@ GRAM-word runs of a window of SPAN words is its print; a place where a repeated
 anchor. Around it stand paragraphs of KEY words, STEP words apart, so that any two equal windows of SPAN words
 have an equal one of them. Equal ones (by hashes of all their words) are extended word by word, by less
 than STEP words at each end, and joined to runs; runs of SPAN words and more count, and those of KEY words
-and more that come from several earlier documents. So every run of SPAN words that stands twice is
+and more that stand in more than two places. So every run of SPAN words that stands twice is
 found, but for less than STEP words at an end that the first place of the outermost paragraph does not share. The first place (one outside removed lines before others, then by document and place) stays, also
 where a text repeats itself. Of a run that removed lines cover already, less than min_words words that
 are no short line of their own stay.
@@ -269,7 +269,7 @@ def _spans(docs: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
         lo.alias("word"), (hi - lo).alias("words"), (F.max(F.col("left1") + F.col("a")) - F.min(F.col("left0") - F.col("b"))).alias("left"), F.max("short").alias("short"),
         F.max("copies").alias("copies"), F.min(F.struct("pos", "key", "f", "g", "place")).alias("head"), F.min("f").alias("f0"), F.max("f").alias("f1"),
     )
-    spans = spans.where((F.col("words") >= SPAN) | (F.col("f0") < F.col("f1"))).where((F.col("left") >= min_words) | F.col("short"))
+    spans = spans.where((F.col("words") >= SPAN) | (F.col("copies") > 2) | (F.col("f0") < F.col("f1"))).where((F.col("left") >= min_words) | F.col("short"))
     return spans.select(
         "doc_id", "of_text", F.lit(True).alias("span"), F.col("head.place").alias("place"), "word", "words", F.hex(F.col("head.key")).alias("component"),
         F.col("head.f").alias("first_doc_id"), F.col("head.g").alias("first_place"), "copies", F.lit(True).alias("removed"),
