@@ -59,10 +59,10 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(offsets of all lines, the text of each)."""
     breaks = np.flatnonzero(data == 10) + 1
     every = np.concatenate([offsets[:-1], breaks])
-    order = np.argsort(every, kind="stable")
-    starts = every[order]
-    owner = np.concatenate([np.arange(len(offsets) - 1), np.searchsorted(offsets, breaks - 1, "right") - 1])[order]
-    return np.append(starts, offsets[-1]), owner
+    owner = np.concatenate([np.arange(len(offsets) - 1), np.searchsorted(offsets, breaks - 1, "right") - 1])
+    # the empty line after a text's last break begins where the next text does
+    order = np.lexsort((owner, every))
+    return np.append(every[order], offsets[-1]), owner[order]
 
 
 def _of_batch(texts: pa.Array, min_words: int):

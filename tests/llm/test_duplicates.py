@@ -2,10 +2,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kernelweave.llm import forest, neardup, passages
+from kernelweave.llm import forest, neardup, passages, textarrays
 from kernelweave.llm.common import components
 
 
@@ -244,3 +245,11 @@ def test_passages_of_repeated_ids_and_clashing_columns(spark):
     out = passages.without(df, passages.repeated_passages(df))
     assert out.columns == df.columns
     assert {(r["n"], r["text"]) for r in out.collect()} == {(0, "a\n" + p), (1, "x\ny"), (2, "z"), (3, p)}
+
+
+def test_lines_of_texts_that_end_with_a_break():
+    data, offs = textarrays.utf8(pa.array(["a b\n", "", "\n", "c\n\nd"]))
+    lines, owner = passages.cut(data, offs)
+    assert [(o, bytes(data[i:j]).strip()) for o, i, j in zip(owner.tolist(), lines, lines[1:], strict=False)] == [
+        (0, b"a b"), (0, b""), (1, b""), (2, b""), (2, b""), (3, b"c"), (3, b""), (3, b"d"),
+    ]
