@@ -1,20 +1,24 @@
 """Near-duplicate embeddings: a forest of random-projection trees with spill, compared inside leaves.
 
-Vectors that are null, empty, zero, or hold null or non-finite components, and those of another
-length than most, link with nothing and keep their row. Equal vectors form a class, of which
-one row, with the number of copies, goes on.
-
-Trees are drawn on a bounded sample of classes (SAMPLE rows, chosen by hash: a documented limit;
-all classes are put into all trees). A node cuts at the sample's median along a random
-direction; vectors within SPILL of the cut go to both sides. A node that would hardly get
-smaller, for most of it lies in the spill, is left whole. Its leaf may then be large: leaves are cut into blocks and each pair
-of blocks is one group, whose products are taken on arrays; groups never hold more than two
-blocks, and no pair leaves them. What leaves is, for each vector, its number of links, and a
-spanning forest of the group's links (fewer edges than members), so that components are those of
-all links. A pair that meets in more than one leaf counts in the first they share.
-
-Links are checked in double precision on the full vectors, so none below the threshold is
-kept. Missed are only pairs that no tree leaves together; `recall` measures them.
+Vectors that are null, empty, zero, or hold null or non-finite components link with nothing and keep
+their row; vectors of different lengths never link, and each length has trees of its own. Equal vectors
+form a class, of which one row, with the number of copies, goes on. Repeated ids are classes of their own
+vectors, of which the id takes the most links and the least component. A null id keeps its row.
+
+Trees are drawn on a bounded sample of each length's classes (SAMPLE rows, chosen by hash: a documented
+limit; all classes are put into all trees). A node takes, of TRIES random directions, that of the largest
+spread, and cuts at the sample's median along it; vectors within SPILL of the cut go to both sides. A
+node that would hardly get smaller, for most of it lies in the spill, is left whole. Where the sample
+ends before leaves are small enough, cuts go on at the whole sample's medians. A large leaf is dealt out in
+pairs of blocks, each one group, so that a group holds about two blocks.
+
+What leaves a group is, for each vector, its number of links, and a spanning forest of the group's
+links (fewer edges than members), so that components are those of all links. A pair that meets in more
+than one leaf counts in the first they share: trees are the same everywhere, so a group tells the leaves
+of a linked vector from the vector itself.
+
+Links are checked in double precision on the full vectors, so none below the threshold is kept.
+Missed are only pairs that no tree leaves together.
 """
 
 from __future__ import annotations
@@ -27,64 +31,91 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kernelweave.llm.common import bounded_sample, components, written
+from kernelweave.llm import textarrays as ta
+from kernelweave.llm.common import components, forget, fraction, written
 
-TREES, SAMPLE, LEAF_ROWS, SPILL, BLOCK = 8, 40_000, 400, 0.03, 1_000
-#: A leaf more than this deep is left whole, however large.
-DEPTH = 24
+TREES, SAMPLE, LEAF_ROWS, SPILL, BLOCK, TRIES = 8, 16_384, 100, 0.015, 1_500, 3
+#: A node with fewer sample rows than MIN_NODE is cut at the whole sample's medians; no path is longer than DEPTH.
+MIN_NODE, DEPTH = 32, 40
 
 
 class Tree:
-    def __init__(self, points: np.ndarray, leaf: int, seed: int):
-        self.rng, self.nodes = np.random.default_rng(seed), []
-        self._grow(points, leaf, 0)
-
-    def _grow(self, points: np.ndarray, leaf: int, depth: int) -> int:
+    """Nodes of (direction, cut, left, right), or (None, levels, blocks, first leaf) at the ends."""
+
+    def __init__(self, points: np.ndarray, rows: int, seed: int):
+        rng = np.random.default_rng(seed)
+        self.axes = rng.normal(size=(points.shape[1], DEPTH + 24))
+        self.axes /= np.sqrt((self.axes**2).sum(0))
+        self.nodes: list[tuple] = []
+        self.leaves_used = 0
+        along = points @ self.axes
+        self.medians = np.median(along, 0)
+        self._grow(along, np.arange(len(points)), rows / len(points), 0, rng)
+
+    def _grow(self, along: np.ndarray, mine: np.ndarray, share: float, depth: int, rng) -> int:
         at = len(self.nodes)
-        self.nodes.append(None)
-        if len(points) <= leaf or depth >= DEPTH:
-            return at
-        direction = self.rng.normal(size=points.shape[1])
-        direction /= np.linalg.norm(direction)
-        along = points @ direction
-        cut = float(np.median(along))
-        left, right = points[along <= cut + SPILL], points[along >= cut - SPILL]
-        if len(left) + len(right) <= 1.6 * len(points):
-            self.nodes[at] = (direction, cut, self._grow(left, leaf, depth + 1), self._grow(right, leaf, depth + 1))
+        self.nodes.append(())
+        rows = len(mine) * share
+        if rows > LEAF_ROWS and len(mine) >= MIN_NODE and depth < DEPTH:
+            some = rng.choice(self.axes.shape[1], TRIES, replace=False)
+            k = int(some[along[np.ix_(mine, some)].std(0).argmax()])
+            cut = float(np.median(along[mine, k]))
+            left, right = mine[along[mine, k] <= cut + SPILL], mine[along[mine, k] >= cut - SPILL]
+            if len(left) + len(right) <= 1.6 * len(mine):
+                self.nodes[at] = (k, cut, self._grow(along, left, share, depth + 1, rng), self._grow(along, right, share, depth + 1, rng))
+                return at
+            levels = 0
+        else:
+            levels = int(np.ceil(np.log2(max(rows / LEAF_ROWS, 1)))) if len(mine) < MIN_NODE else 0
+        self.nodes[at] = (None, levels, max(1, int(np.ceil(rows / 2**levels / BLOCK))), self.leaves_used)
+        self.leaves_used += 1 << levels
         return at
 
-    def leaves(self, points: np.ndarray) -> list[list[int]]:
-        """The leaves that each point is in."""
-        out: list[list[int]] = [[] for _ in points]
-        stack = [(0, np.arange(len(points)))]
+    def places(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, leaf, blocks of the leaf) for each leaf that a point is in."""
+        along, stack, out = points @ self.axes, [(0, np.arange(len(points)))], [np.zeros((3, 0), np.int64)]
         while stack:
             node, rows = stack.pop()
             if not len(rows):
                 continue
-            if self.nodes[node] is None:
-                for r in rows.tolist():
-                    out[r].append(node)
+            k, cut, left, right = self.nodes[node]
+            if k is not None:
+                stack += [(left, rows[along[rows, k] <= cut + SPILL]), (right, rows[along[rows, k] >= cut - SPILL])]
                 continue
-            direction, cut, left, right = self.nodes[node]
-            along = points[rows] @ direction
-            stack += [(left, rows[along <= cut + SPILL]), (right, rows[along >= cut - SPILL])]
-        return out
+            levels, blocks, leaf = cut, left, np.full(len(rows), right)
+            for k in range(levels):
+                low, high = along[rows, k] <= self.medians[k] + SPILL, along[rows, k] >= self.medians[k] - SPILL
+                rows, leaf = np.concatenate([rows[low], rows[high]]), np.concatenate([leaf[low], leaf[high] + (1 << k)])
+            out.append(np.stack([rows, leaf, np.full(len(rows), blocks)]))
+        return tuple(np.concatenate(out, 1))
 
 
-def _units(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(unit vectors, which rows are sound) of list rows of one length."""
-    rows = [np.array(v, np.float64) for v in vectors.to_pylist()]
-    x = np.stack(rows) if rows else np.zeros((0, 1))
+def units(vectors: list[bytes], kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(vectors), kind).reshape(len(vectors), -1).astype(np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
 def sound(df: DataFrame, vector: str) -> DataFrame:
-    """Rows that may link: finite components, none null, not all zero, of the usual length."""
+    """Rows that may link: finite components, none null, not all zero."""
     v = F.col(vector)
     ok = v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    df = df.where(F.coalesce(ok, F.lit(False)))
-    lengths = df.groupBy(F.size(v).alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return df.where(F.size(v) == (lengths["d"] if lengths else -1))
+    return df.where(F.coalesce(ok, F.lit(False)))
+
+
+def _packed(kind: str):
+    """Vectors as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            flat = lists.flatten().to_numpy().astype(kind)
+            size = lists.value_lengths().to_numpy() if len(lists) else np.zeros(0, np.int64)
+            to = np.cumsum(size)
+            raw = pa.array([flat[b - n : b].tobytes() for n, b in zip(size.tolist(), to.tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size.astype(np.int32)), raw], ["vec_id", "copies", "d", "v"])
+
+    return run
 
 
 def _joining(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -105,36 +136,45 @@ def _joining(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _compare(threshold: float):
+def _earlier(trees: list[Tree], x: np.ndarray, tree: int, leaf: int) -> np.ndarray:
+    """For each row packed bits that tell, in order of trees and leaves, which before this one it is in."""
+    rows, homes = [], []
+    for t in range(tree + 1):
+        r, h, _ = trees[t].places(x)
+        ok = (h < leaf) if t == tree else np.ones(len(r), bool)
+        rows.append(r[ok])
+        homes.append(h[ok] + (t << 40))
+    names, col = np.unique(np.concatenate(homes), return_inverse=True)
+    bits = np.zeros((len(x), max(len(names), 1)), bool)
+    bits[np.concatenate(rows), col] = True
+    return np.packbits(bits, axis=1)
+
+
+def _compare(threshold: float, kind: str, forests):
     def links(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("vec_id")
-        x = np.stack(group["unit"].to_numpy())
         ids, copies, side = group["vec_id"].to_numpy(), group["copies"].to_numpy(), group["side"].to_numpy()
-        homes = group["homes"].tolist()
-        here = group["leaf"].iloc[0]
+        x, d, tree, leaf = units(group["v"].tolist(), kind), *group[["d", "tree", "leaf"]].iloc[0].tolist()
         alone = bool((side == 0).all())
         left, right = (np.arange(len(ids)), np.arange(len(ids))) if alone else (np.flatnonzero(side == 1), np.flatnonzero(side == 2))
-        # homes before this leaf, as numbers: a pair that shares one has been counted there
-        earlier = [[h for h in hs if h < here] for hs in homes]
-        names = {h: k for k, h in enumerate(sorted({h for hs in earlier for h in hs}))}
-        bits = np.zeros((len(ids), -(-max(len(names), 1) // 8) * 8), bool)
-        for r, hs in enumerate(earlier):
-            bits[r, [names[h] for h in hs]] = True
-        packed = np.packbits(bits, axis=1)
         count, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        ends, nears = [], []
+        ends, nears, bits = [], [], None
         for lo in range(0, len(left), 128):
             some = left[lo : lo + 128]
             a, b = np.nonzero(x[some] @ x[right].T >= threshold - 1e-9)
             a, b = some[a], right[b]
             keep = (a < b) if alone else np.ones(len(a), bool)
             a, b = a[keep], b[keep]
+            if not len(a):
+                continue
             exact = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
             a, b = a[exact], b[exact]
             joins = _joining(root, a, b)
             ends.append(ids[a[joins]])
             nears.append(ids[b[joins]])
-            first = ~(packed[a] & packed[b]).any(1)
+            if bits is None:
+                bits = _earlier(forests.value[d], x, tree, leaf)
+            first = ~(bits[a] & bits[b]).any(1)
             np.add.at(count, a[first], copies[b[first]])
             np.add.at(count, b[first], copies[a[first]])
         # counts, each with its own id beside it, then edges
@@ -145,51 +185,65 @@ def _compare(threshold: float):
     return links
 
 
+def _sample(classes: DataFrame, kind: str) -> dict[int, tuple[int, np.ndarray]]:
+    """Of each length the number of classes and about SAMPLE of their unit vectors."""
+    counts = {r["d"]: r["count"] for r in classes.groupBy("d").count().collect()}
+    if not counts:
+        return {}
+    part = F.create_map(*[F.lit(x) for d, n in counts.items() for x in (d, min(1.0, SAMPLE / n + 64 / n))])
+    some = classes.where(fraction(F.lit("forest"), "vec_id") <= part[F.col("d")]).select("d", "vec_id", "v").toArrow().sort_by("vec_id")
+    lengths, vectors = some.column("d").to_numpy(), some.column("v").to_pylist()
+    return {d: (n, units([vectors[i] for i in np.flatnonzero(lengths == d).tolist()], kind)) for d, n in counts.items() if (lengths == d).any()}
+
+
 def near_embeddings(df: DataFrame, vector: str = "embedding", vec_id: str = "vec_id", threshold: float = 0.9, trees: int = TREES, seed: int = 3) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for each row of df; repeated ids are classes of their own vectors."""
+    """(vec_id, n_links, component_id, kept) for each row of df."""
     spark = df.sparkSession
-    rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
-    good = sound(rows.where("vec_id is not null"), "v").withColumn("digest", F.xxhash64("v"))
+    single = dict(df.dtypes)[vector] == "array<float>"
+    kind = "<f4" if single else "<f8"
+    rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<float>" if single else "array<double>").alias("v"))
+    good = sound(rows.where("vec_id is not null"), "v")
     classes = written(good.groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")), "vectors")
-    n = classes.count()
-    part = classes.withColumn("all", F.lit(0))
-    sample = bounded_sample(part.select("vec_id", "v", "all"), "all", SAMPLE, "vec_id") if n else []
-    if not sample:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    points = np.array([r["v"] for r in sample], np.float64)
-    points /= np.sqrt((points * points).sum(1, keepdims=True))
-    forest = spark.sparkContext.broadcast([Tree(points, max(2, LEAF_ROWS * len(points) // n), seed + t) for t in range(trees)])
+    packed = classes.select("vec_id", "copies", "v").mapInArrow(_packed(kind), "vec_id bigint, copies bigint, d int, v binary")
+    # lengths with one class have no pairs
+    sample = {d: (n, points) for d, (n, points) in _sample(packed, kind).items() if n > 1}
+    grown = {d: [Tree(points, n, seed * 1000 + t) for t in range(trees)] for d, (n, points) in sample.items()}
+    forests = spark.sparkContext.broadcast(grown)  # as many nodes as the sample allows
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _units(batch.column(1))
-            homes: list[list[int]] = [[] for _ in range(len(x))]
-            for t, tree in enumerate(forest.value):
-                for h, leaves in zip(homes, tree.leaves(x), strict=True):
-                    h += [t << 32 | leaf for leaf in sorted(leaves)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(homes, pa.list_(pa.int64()))], ["vec_id", "copies", "unit", "homes"])
-
-    placed = classes.select("vec_id", "v", "copies").mapInArrow(place, "vec_id bigint, copies bigint, unit array<double>, homes array<bigint>")
-    placed = written(placed, "placed")
-    homes = placed.select("*", F.explode("homes").alias("leaf"))
-    sizes = homes.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    cells = homes.join(sizes, "leaf").withColumn("mine", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "leaf", "vec_id", "copies", "unit", "homes", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
-        F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"),
-    )
-    found = written(cells.groupBy("leaf", "i", "j").applyInPandas(_compare(threshold), "vec_id bigint, links bigint, near bigint"), "links")
-    links = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
-    label = components(found.where("near <> vec_id").select(F.col("vec_id").alias("a"), F.col("near").alias("b")).distinct())
-    classes = classes.join(links, "vec_id", "left").join(label.withColumnRenamed("id", "vec_id"), "vec_id", "left")
-    classes = classes.select(
+            of, ids, vectors = batch.column(2).to_numpy(), batch.column(0).to_numpy(), batch.column(3)
+            for d in np.intersect1d(of, list(forests.value)).tolist():
+                mine = np.flatnonzero(of == d)
+                some = vectors.take(pa.array(mine))
+                x = units(some.to_pylist(), kind)
+                for t, tree in enumerate(forests.value[d]):
+                    row, leaf, blocks = tree.places(x)
+                    block = (ta.mix(ids[mine][row].astype(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
+                    # a row meets all blocks of its leaf, its own once
+                    other = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                    row, leaf, block = np.repeat(row, blocks), np.repeat(leaf, blocks), np.repeat(block, blocks)
+                    i, j = np.minimum(block, other), np.maximum(block, other)
+                    side = np.where(block == other, 0, np.where(block < other, 1, 2))
+                    at = pa.array(row)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(mine)).take(at), batch.column(1).take(pa.array(mine)).take(at), some.take(at), *[pa.array(c.astype(np.int64)) for c in (np.full(len(at), d), np.full(len(at), t), leaf, i, j, side)]],
+                        ["vec_id", "copies", "v", "d", "tree", "leaf", "i", "j", "side"],
+                    )
+
+    cells = packed.mapInArrow(place, "vec_id bigint, copies bigint, v binary, d bigint, tree bigint, leaf bigint, i bigint, j bigint, side bigint")
+    found = cells.groupBy("d", "tree", "leaf", "i", "j").applyInPandas(_compare(threshold, kind, forests), "vec_id bigint, links bigint, near bigint")
+    found = written(found, "links")
+    links = written(found.groupBy("vec_id").agg(F.sum("links").alias("links")), "counts")
+    label = components(found.where("near <> vec_id").select(F.col("vec_id").alias("a"), F.col("near").alias("b")))
+    forget(found)
+    of_class = classes.join(links, "vec_id", "left").join(label.withColumnRenamed("id", "vec_id"), "vec_id", "left")
+    of_class = of_class.select(
         F.col("v").alias("_v"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("links"),
         F.coalesce("component", "vec_id").alias("component"),
     )
-    ids = good.join(classes, good["v"] == classes["_v"]).select("vec_id", "links", "component")
-    out = rows.join(ids.groupBy("vec_id").agg(F.max("links").alias("links"), F.min("component").alias("component")), "vec_id", "left")
+    ids = good.join(of_class, good["v"] == of_class["_v"]).select("vec_id", "links", "component")
+    out = rows.select("vec_id").join(ids.groupBy("vec_id").agg(F.max("links").alias("links"), F.min("component").alias("component")), "vec_id", "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))

@@ -253,3 +253,41 @@ def test_lines_of_texts_that_end_with_a_break():
     assert [(o, bytes(data[i:j]).strip()) for o, i, j in zip(owner.tolist(), lines, lines[1:], strict=False)] == [
         (0, b"a b"), (0, b""), (1, b""), (2, b""), (2, b""), (3, b"c"), (3, b""), (3, b"d"),
     ]
+
+
+def planted(n, d=64):
+    """n unit vectors, the second half each 0.9 to 1 alike to one of the first."""
+    rng = np.random.default_rng(n)
+    base, noise = (rng.normal(size=(n // 2, d)) for _ in range(2))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    noise -= (noise * base).sum(1, keepdims=True) * base
+    c = rng.uniform(0.9, 1, n // 2)[:, None]
+    return np.concatenate([base, c * base + np.sqrt(1 - c * c) * noise / np.linalg.norm(noise, axis=1, keepdims=True)])
+
+
+@pytest.mark.parametrize("n,most", [(2_000, 1.0), (50_000, 0.1)])
+def test_forest_recall_and_work(n, most):
+    x = planted(n)
+    points = x[np.random.default_rng(0).permutation(n)[: forest.SAMPLE]]
+    met, work = np.zeros(n // 2, bool), 0
+    for t in range(forest.TREES):
+        row, leaf, _ = forest.Tree(points, n, t).places(x)
+        work += (np.bincount(leaf).astype(float) ** 2).sum() / 2
+        pairs = np.isin(row[row >= n // 2] - n // 2 << 32 | leaf[row >= n // 2], row[row < n // 2] << 32 | leaf[row < n // 2])
+        met[row[row >= n // 2][pairs] - n // 2] = True
+    assert met.mean() >= 0.99 and work <= most * n * n / 2
+
+
+def test_forest_cuts_on_where_the_sample_ends(monkeypatch):
+    monkeypatch.setattr(forest, "MIN_NODE", 500)
+    x = planted(4_000)
+    tree = forest.Tree(x[:1000], 4_000, 1)
+    row, leaf, blocks = tree.places(x)
+    assert set(row.tolist()) == set(range(4_000)) and leaf.max() < tree.leaves_used and np.bincount(leaf).max() < 400 and (blocks == 1).all()
+
+
+def test_forest_links_vectors_of_each_length(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(4)] + [(10 + i, [3.0, 1.0, 2.0 + i / 100]) for i in range(3)] + [(20, [1e200, 1e200]), (21, [1e200, 1.1e200]), (22, [5.0]), (None, [1.0, 2.0]), (23, [])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in forest.near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert all(got[i] == (5, 0) for i in (0, 1, 2, 3, 20, 21))
+    assert all(got[i] == (2, 10) for i in (10, 11, 12)) and got[22] == (0, 22) and got[23] == (0, 23) and got[None] == (0, None)
