@@ -9,8 +9,8 @@ Trees are drawn on a bounded sample of each length's classes (SAMPLE rows, chose
 limit; all classes are put into all trees). A node takes, of TRIES random directions, that of the largest
 spread, and cuts at the sample's median along it; vectors within SPILL of the cut go to both sides. A
 node that would hardly get smaller, for most of it lies in the spill, is left whole. Where the sample
-ends before leaves are small enough, cuts go on at the whole sample's medians. A large leaf is dealt out in
-pairs of blocks, each one group, so that a group holds about two blocks.
+ends before leaves are small enough, cuts go on at the whole sample's medians. Small leaves that stand
+side by side are one group's work (a pack); a large leaf is dealt out in pairs of blocks, each one group.
 
 What leaves a group is, for each vector, its number of links, and a spanning forest of the group's
 links (fewer edges than members), so that components are those of all links. A pair that meets in more
@@ -35,25 +35,41 @@ from kernelweave.llm import textarrays as ta
 from kernelweave.llm.common import components, forget, fraction, written
 
 TREES, SAMPLE, LEAF_ROWS, SPILL, BLOCK, TRIES = 8, 16_384, 100, 0.015, 1_500, 3
+#: Rows of small neighbouring leaves that one group takes together.
+PACK_ROWS = 6_000
+#: Links that a group holds before it counts them.
+MAX_PAIRS = 500_000
 #: A node with fewer sample rows than MIN_NODE is cut at the whole sample's medians; no path is longer than DEPTH.
 MIN_NODE, DEPTH = 32, 40
 
 
 class Tree:
-    """Nodes of (direction, cut, left, right), or (None, levels, blocks, first leaf) at the ends."""
+    """Nodes of (direction, cut, left, right), or (None, levels, rows, first leaf) at the ends; packs are ranges of leaves."""
 
     def __init__(self, points: np.ndarray, rows: int, seed: int):
         rng = np.random.default_rng(seed)
         self.axes = rng.normal(size=(points.shape[1], DEPTH + 24))
         self.axes /= np.sqrt((self.axes**2).sum(0))
         self.nodes: list[tuple] = []
+        self.leaves: dict[int, tuple[int, int]] = {}  # of each node, as a range
         self.leaves_used = 0
         along = points @ self.axes
         self.medians = np.median(along, 0)
         self._grow(along, np.arange(len(points)), rows / len(points), 0, rng)
+        starts, blocks, held = [], [], np.inf
+        for _, levels, mine, leaf in sorted((n for n in self.nodes if n[0] is None), key=lambda n: n[3]):
+            each = mine / 2**levels
+            many = int(np.ceil(each / BLOCK))
+            for k in range(leaf, leaf + (1 << levels)):
+                if many > 1 or held + each > PACK_ROWS:
+                    starts.append(k)
+                    blocks.append(many)
+                    held = 0
+                held += np.inf if many > 1 else each
+        self.pack_starts, self.pack_blocks = np.array(starts), np.array(blocks)
 
     def _grow(self, along: np.ndarray, mine: np.ndarray, share: float, depth: int, rng) -> int:
-        at = len(self.nodes)
+        at, begin = len(self.nodes), self.leaves_used
         self.nodes.append(())
         rows = len(mine) * share
         if rows > LEAF_ROWS and len(mine) >= MIN_NODE and depth < DEPTH:
@@ -63,32 +79,46 @@ class Tree:
             left, right = mine[along[mine, k] <= cut + SPILL], mine[along[mine, k] >= cut - SPILL]
             if len(left) + len(right) <= 1.6 * len(mine):
                 self.nodes[at] = (k, cut, self._grow(along, left, share, depth + 1, rng), self._grow(along, right, share, depth + 1, rng))
+                self.leaves[at] = (begin, self.leaves_used)
                 return at
             levels = 0
         else:
             levels = int(np.ceil(np.log2(max(rows / LEAF_ROWS, 1)))) if len(mine) < MIN_NODE else 0
-        self.nodes[at] = (None, levels, max(1, int(np.ceil(rows / 2**levels / BLOCK))), self.leaves_used)
+        self.nodes[at] = (None, levels, max(rows, 1), self.leaves_used)
         self.leaves_used += 1 << levels
+        self.leaves[at] = (begin, self.leaves_used)
         return at
 
-    def places(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, leaf, blocks of the leaf) for each leaf that a point is in."""
-        along, stack, out = points @ self.axes, [(0, np.arange(len(points)))], [np.zeros((3, 0), np.int64)]
+    def places(self, points: np.ndarray, lo: int = 0, hi: int = 1 << 62) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) for each leaf from lo to hi that a point is in."""
+        along, stack, out = points @ self.axes, [(0, np.arange(len(points)))], [np.zeros((2, 0), np.int64)]
         while stack:
             node, rows = stack.pop()
-            if not len(rows):
+            if not len(rows) or self.leaves[node][0] >= hi or self.leaves[node][1] <= lo:
                 continue
             k, cut, left, right = self.nodes[node]
             if k is not None:
                 stack += [(left, rows[along[rows, k] <= cut + SPILL]), (right, rows[along[rows, k] >= cut - SPILL])]
                 continue
-            levels, blocks, leaf = cut, left, np.full(len(rows), right)
-            for k in range(levels):
+            leaf = np.full(len(rows), right)
+            for k in range(cut):
                 low, high = along[rows, k] <= self.medians[k] + SPILL, along[rows, k] >= self.medians[k] - SPILL
                 rows, leaf = np.concatenate([rows[low], rows[high]]), np.concatenate([leaf[low], leaf[high] + (1 << k)])
-            out.append(np.stack([rows, leaf, np.full(len(rows), blocks)]))
+            ok = (leaf >= lo) & (leaf < hi)
+            out.append(np.array([rows[ok], leaf[ok]]))
         return tuple(np.concatenate(out, 1))
 
+    def cells(self, points: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(row, pack, i, j, side) once for each pack that a point is in, and each pair of its blocks; keys deal points to blocks."""
+        row, leaf = self.places(points)
+        pack = np.searchsorted(self.pack_starts, leaf, "right") - 1
+        row, pack = np.unique(np.stack([row, pack]), axis=1)
+        blocks = self.pack_blocks[pack]
+        mine = (ta.mix(keys[row].astype(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
+        other = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        row, pack, mine = np.repeat(row, blocks), np.repeat(pack, blocks), np.repeat(mine, blocks)
+        return row, pack, np.minimum(mine, other), np.maximum(mine, other), np.where(mine == other, 0, np.where(mine < other, 1, 2))
+
 
 def units(vectors: list[bytes], kind: str) -> np.ndarray:
     x = np.frombuffer(b"".join(vectors), kind).reshape(len(vectors), -1).astype(np.float64)
@@ -136,51 +166,73 @@ def _joining(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _earlier(trees: list[Tree], x: np.ndarray, tree: int, leaf: int) -> np.ndarray:
-    """For each row packed bits that tell, in order of trees and leaves, which before this one it is in."""
-    rows, homes = [], []
-    for t in range(tree + 1):
-        r, h, _ = trees[t].places(x)
-        ok = (h < leaf) if t == tree else np.ones(len(r), bool)
-        rows.append(r[ok])
-        homes.append(h[ok] + (t << 40))
-    names, col = np.unique(np.concatenate(homes), return_inverse=True)
-    bits = np.zeros((len(x), max(len(names), 1)), bool)
-    bits[np.concatenate(rows), col] = True
-    return np.packbits(bits, axis=1)
+def _share(tree: Tree, x: np.ndarray, a: np.ndarray, b: np.ndarray, below: np.ndarray | int) -> np.ndarray:
+    """Which pairs a, b of rows share a leaf of the tree below this one."""
+    row, leaf = tree.places(x)
+    order = np.lexsort((leaf, row))
+    row, leaf = row[order], leaf[order]
+    homes = row << 40 | leaf
+    begin, end = np.searchsorted(row, a), np.searchsorted(row, a, "right")
+    n = end - begin
+    pair = np.repeat(np.arange(len(a)), n)
+    mine = leaf[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    want = b[pair] << 40 | mine
+    at = np.minimum(np.searchsorted(homes, want), len(homes) - 1)
+    out = np.zeros(len(a), bool)
+    out[pair[(homes[at] == want) & (mine < (below[pair] if isinstance(below, np.ndarray) else below))]] = True
+    return out
 
 
 def _compare(threshold: float, kind: str, forests):
     def links(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("vec_id")
         ids, copies, side = group["vec_id"].to_numpy(), group["copies"].to_numpy(), group["side"].to_numpy()
-        x, d, tree, leaf = units(group["v"].tolist(), kind), *group[["d", "tree", "leaf"]].iloc[0].tolist()
-        alone = bool((side == 0).all())
-        left, right = (np.arange(len(ids)), np.arange(len(ids))) if alone else (np.flatnonzero(side == 1), np.flatnonzero(side == 2))
-        count, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        ends, nears, bits = [], [], None
-        for lo in range(0, len(left), 128):
-            some = left[lo : lo + 128]
-            a, b = np.nonzero(x[some] @ x[right].T >= threshold - 1e-9)
-            a, b = some[a], right[b]
-            keep = (a < b) if alone else np.ones(len(a), bool)
-            a, b = a[keep], b[keep]
-            if not len(a):
-                continue
-            exact = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
-            a, b = a[exact], b[exact]
+        x, d, t, pack = units(group["v"].tolist(), kind), *group[["d", "tree", "pack"]].iloc[0].tolist()
+        trees, alone = forests.value[d], bool((side == 0).all())
+        starts = trees[t].pack_starts
+        row, leaf = trees[t].places(x, starts[pack], starts[pack + 1] if pack + 1 < len(starts) else trees[t].leaves_used)
+        order = np.lexsort((row, leaf))
+        row, leaf = row[order], leaf[order]
+        edges = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1], [True]]))
+        count, root, ends, pairs, held = np.zeros(len(ids), np.int64), np.arange(len(ids)), [], [], 0
+
+        def counted() -> None:
+            if not pairs:
+                return
+            a, b, at = np.concatenate(pairs, 1)
             joins = _joining(root, a, b)
-            ends.append(ids[a[joins]])
-            nears.append(ids[b[joins]])
-            if bits is None:
-                bits = _earlier(forests.value[d], x, tree, leaf)
-            first = ~(bits[a] & bits[b]).any(1)
-            np.add.at(count, a[first], copies[b[first]])
-            np.add.at(count, b[first], copies[a[first]])
+            ends.append(np.stack([ids[a[joins]], ids[b[joins]]]))
+            for k in range(t + 1):  # a pair counts in the first leaf of the first tree that it shares
+                some, to = np.unique(np.concatenate([a, b]), return_inverse=True)
+                new = ~_share(trees[k], x[some], to[: len(a)], to[len(a) :], at if k == t else 1 << 40)
+                a, b, at = a[new], b[new], at[new]
+                if not len(a):
+                    break
+            np.add.at(count, a, copies[b])
+            np.add.at(count, b, copies[a])
+            pairs.clear()
+
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            rows = row[lo:hi]
+            left, right = (rows, rows) if alone else (rows[side[rows] == 1], rows[side[rows] == 2])
+            y = x[right].T
+            for k in range(0, len(left), 128):
+                some = left[k : k + 128]
+                a, b = np.nonzero(x[some] @ y >= threshold - 1e-9)
+                a, b = some[a], right[b]
+                keep = (a < b) if alone else np.ones(len(a), bool)
+                a, b = a[keep], b[keep]
+                if len(a):
+                    exact = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
+                    pairs.append(np.stack([a[exact], b[exact], np.full(exact.sum(), leaf[lo])]))
+                    held += len(a)
+                if held > MAX_PAIRS:
+                    counted()
+                    held = 0
+        counted()
         # counts, each with its own id beside it, then edges
-        has = count > 0
-        edges = np.zeros(sum(map(len, ends)), np.int64)
-        return pd.DataFrame({"vec_id": np.concatenate([ids[has], *ends]), "links": np.concatenate([count[has], edges]), "near": np.concatenate([ids[has], *nears])})
+        has, links = count > 0, np.concatenate([np.zeros((2, 0), np.int64), *ends], 1)
+        return pd.DataFrame({"vec_id": np.concatenate([ids[has], links[0]]), "links": np.concatenate([count[has], np.zeros(links.shape[1], np.int64)]), "near": np.concatenate([ids[has], links[1]])})
 
     return links
 
@@ -218,21 +270,15 @@ def near_embeddings(df: DataFrame, vector: str = "embedding", vec_id: str = "vec
                 some = vectors.take(pa.array(mine))
                 x = units(some.to_pylist(), kind)
                 for t, tree in enumerate(forests.value[d]):
-                    row, leaf, blocks = tree.places(x)
-                    block = (ta.mix(ids[mine][row].astype(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
-                    # a row meets all blocks of its leaf, its own once
-                    other = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                    row, leaf, block = np.repeat(row, blocks), np.repeat(leaf, blocks), np.repeat(block, blocks)
-                    i, j = np.minimum(block, other), np.maximum(block, other)
-                    side = np.where(block == other, 0, np.where(block < other, 1, 2))
+                    row, *cell = tree.cells(x, ids[mine])
                     at = pa.array(row)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(mine)).take(at), batch.column(1).take(pa.array(mine)).take(at), some.take(at), *[pa.array(c.astype(np.int64)) for c in (np.full(len(at), d), np.full(len(at), t), leaf, i, j, side)]],
-                        ["vec_id", "copies", "v", "d", "tree", "leaf", "i", "j", "side"],
+                        [batch.column(0).take(pa.array(mine)).take(at), batch.column(1).take(pa.array(mine)).take(at), some.take(at), *[pa.array(c.astype(np.int64)) for c in (np.full(len(at), d), np.full(len(at), t), *cell)]],
+                        ["vec_id", "copies", "v", "d", "tree", "pack", "i", "j", "side"],
                     )
 
-    cells = packed.mapInArrow(place, "vec_id bigint, copies bigint, v binary, d bigint, tree bigint, leaf bigint, i bigint, j bigint, side bigint")
-    found = cells.groupBy("d", "tree", "leaf", "i", "j").applyInPandas(_compare(threshold, kind, forests), "vec_id bigint, links bigint, near bigint")
+    cells = packed.mapInArrow(place, "vec_id bigint, copies bigint, v binary, d bigint, tree bigint, pack bigint, i bigint, j bigint, side bigint")
+    found = cells.groupBy("d", "tree", "pack", "i", "j").applyInPandas(_compare(threshold, kind, forests), "vec_id bigint, links bigint, near bigint")
     found = written(found, "links")
     links = written(found.groupBy("vec_id").agg(F.sum("links").alias("links")), "counts")
     label = components(found.where("near <> vec_id").select(F.col("vec_id").alias("a"), F.col("near").alias("b")))

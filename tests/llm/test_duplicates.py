@@ -271,7 +271,7 @@ def test_forest_recall_and_work(n, most):
     points = x[np.random.default_rng(0).permutation(n)[: forest.SAMPLE]]
     met, work = np.zeros(n // 2, bool), 0
     for t in range(forest.TREES):
-        row, leaf, _ = forest.Tree(points, n, t).places(x)
+        row, leaf = forest.Tree(points, n, t).places(x)
         work += (np.bincount(leaf).astype(float) ** 2).sum() / 2
         pairs = np.isin(row[row >= n // 2] - n // 2 << 32 | leaf[row >= n // 2], row[row < n // 2] << 32 | leaf[row < n // 2])
         met[row[row >= n // 2][pairs] - n // 2] = True
@@ -282,8 +282,8 @@ def test_forest_cuts_on_where_the_sample_ends(monkeypatch):
     monkeypatch.setattr(forest, "MIN_NODE", 500)
     x = planted(4_000)
     tree = forest.Tree(x[:1000], 4_000, 1)
-    row, leaf, blocks = tree.places(x)
-    assert set(row.tolist()) == set(range(4_000)) and leaf.max() < tree.leaves_used and np.bincount(leaf).max() < 400 and (blocks == 1).all()
+    row, leaf = tree.places(x)
+    assert set(row.tolist()) == set(range(4_000)) and leaf.max() < tree.leaves_used and np.bincount(leaf).max() < 400 and (tree.pack_blocks == 1).all()
 
 
 def test_forest_links_vectors_of_each_length(spark):
