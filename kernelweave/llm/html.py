@@ -1,13 +1,13 @@
 """Main text of web pages by line-block distribution.
 
 Markup is cut into lines: one for each block, its character references decoded, its white space
-one space. A line counts its characters; one inside menus, headers, footers, sidebars, notices,
-adverts, forms or reader comments, or that is mostly links, counts none. A class or id alone does not put an article or main element inside it
+one space. A line weighs its characters; one inside menus, headers, footers, sidebars, notices,
+adverts, forms or reader comments, or that is mostly links, weighs none. A class or id alone does not put an article or main element inside it
 outside, unless the page has another article or more text elsewhere. Where the page marks
-its article, lines outside count none. The counts are summed over windows of WINDOW lines; text
-begins where the sums surge from nothing to at least SURGE characters (any, inside a marked
-article) and lasts until they dive to nothing; of all such stretches those of at least a
-fifth of the largest's text are kept, and all counting lines between them.
+its article, lines outside weigh none. The weights are summed over windows of WINDOW lines; text
+begins where the sums surge to SURGE characters or, on a page that never has so many together, to the most it has
+(inside a marked article from nothing to any), and lasts until they dive to nothing. Of all such stretches and
+what lies between them the lines that weigh are the text.
 
 Null and empty pages have no text. Broken markup ends at the page's end; of silent elements without an end tag only the start tag goes; unclosed blocks end where the next
 begins. Nothing is cut from long pages. Rows stay, repeated ones too.
@@ -27,7 +27,7 @@ WINDOW, SURGE = 3, 80
 
 # fixed values: element names by their part in a page
 SILENT = frozenset("script style noscript template svg math iframe object embed canvas select option textarea button head title audio video map".split())
-ASIDE = frozenset("nav header footer aside form dialog menu fieldset figcaption".split())
+ASIDE = frozenset("nav header footer aside form dialog menu fieldset".split())
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
@@ -40,6 +40,8 @@ BOILERPLATE = re.compile(
     r"comments?|disqus|respond|replies|reply|pagination|pager|popup|modal|overlay|widget|skip|search|form|complementary|contentinfo)(?![a-z])"
 )
 ARTICLE = re.compile(r"(?<![a-z])(article|main|post|entry|content|story)(?![a-z])")
+#: The header of an article holds its title.
+_TITLE = re.compile(r"(?:article|post|entry|story)-header\Z")
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -50,9 +52,11 @@ _TOKEN = re.compile(
 RAW = frozenset("script style textarea title".split())
 _SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\s*\Z")
 #: Tokens of class and id that tell of a layout, not of what the element holds.
-_LAYOUT = re.compile(r"(?:^|\s)(?:has|no|not|with|without|hide|show)-[^\s]*|[^\s]*-(?:off|none|disabled)(?=\s|\Z)")
+_LAYOUT = re.compile(r"(?:^|\s)(?:has|no|not|with|without|hide|show)-[^\s]*|[^\s]*-(?:off|on|none|disabled|enabled|free)(?=\s|\Z)")
 _ATTRS = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _WHITE = re.compile(r"\s+")
+#: Elements whose names say enough.
+_EXEMPT = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
 
 
 class _Open:
@@ -70,11 +74,12 @@ def _marks(name: str, attrs: str) -> tuple[bool, bool, int]:
             value = value.strip("\"'").lower()
             if key.lower() == "hidden" or (key.lower() == "aria-hidden" and value == "true"):
                 aside = True
-            elif name not in ("html", "body", "article", "main", "p", "span", "a", "b", "i", "em", "strong", "h1", "h2", "h3", "h4", "h5", "h6") and BOILERPLATE.search(_LAYOUT.sub(" ", value.replace("_", "-"))):
-                if not ARTICLE.search(value):
+            elif name not in _EXEMPT:
+                tokens = _LAYOUT.sub(" ", value.replace("_", "-")).split()
+                if any(BOILERPLATE.search(w) and not _TITLE.search(w) for w in tokens):
                     soft, aside = soft or key.lower() != "role", aside or key.lower() == "role"
-            elif name in ("div", "section", "td") and ARTICLE.search(value):
-                article = max(article, 1)
+                elif name in ("div", "section", "td") and ARTICLE.search(value):
+                    article = max(article, 1)
     return aside, soft, article
 
 
@@ -162,29 +167,23 @@ def main_text(page: str | None) -> str:
     for text, aside, article, linked, outer in found:
         counts = not aside and outer <= level and article >= marked and (marked or linked <= 0.5 * len(text))
         size.append(len(text) if counts else 0)
-    n = len(size)
-    sums = [sum(size[i : i + WINDOW]) for i in range(n)]
-    least = 1 if marked else SURGE
-    stretches: list[tuple[int, int, int]] = []
-    i = 0
-    while i < n:
-        if size[i] and sums[i] >= least:  # surge
-            j = i
-            while j < n and sums[j]:  # until the dive
-                j += 1
-            stretches.append((i, j, sum(size[i:j])))
-            i = j
-        i += 1
-    if not stretches and not marked and any(size):
-        stretches = [(0, n, sum(size))]  # a short page has no surge: all that counts
-    if not stretches:
-        return ""
-    least_kept = 0 if marked else max(s[2] for s in stretches) / 5
-    kept = [s for s in stretches if s[2] >= least_kept]
-    lo, hi = kept[0][0], kept[-1][1]
+    lo, hi = surge_to_dive(size, 1 if marked else SURGE)
     return "\n".join(found[i][0] for i in range(lo, hi) if size[i])
 
 
+def surge_to_dive(size: list[int], least: int) -> tuple[int, int]:
+    """From the first line whose window surges to `least` (or the page's fullest window) to the last before a dive."""
+    sums = [sum(size[i : i + WINDOW]) for i in range(len(size))]
+    least = min(least, max(sums, default=0))
+    surges = [i for i, n in enumerate(size) if n and sums[i] >= least]
+    if not surges:
+        return 0, 0
+    dive = surges[-1]
+    while dive < len(sums) and sums[dive]:
+        dive += 1
+    return surges[0], dive
+
+
 def extract(pages: Column) -> Column:
     """string: the main text of each whole page."""
 

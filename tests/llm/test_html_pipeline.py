@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -39,6 +41,46 @@ NAMED_PAGES = [
 ]
 
 
+PARTS_PAGES = [
+    *[(f"<article><p>text<div class='{c}'><p>bad</div><p>more</article>", "text\nmore") for c in ("post-comments", "main-nav", "content-sidebar", "story-related", "entry_share", "ad")],
+    *[(f"<div id='content'><p>text<div class='{c}'><p>bad</div></div>", "text") for c in ("post-comments", "main-nav", "content-sidebar", "story-related")],
+    ("<article><p>text<p class='cookie-notice'>bad<p class='lead'>more</article>", "text\nmore"),
+    ("<article><p>text<figure><img src=x><figcaption>what it shows</figcaption></figure></article>", "text\nwhat it shows"),
+    ("<article><div class='entry-header'><h1>Title</h1></div><p>text</article>", "Title\ntext"),
+    ("<div class='article ads-enabled'><p>text</div><p>other", "text"),
+]
+
+
+@pytest.mark.parametrize("page,want", PARTS_PAGES)
+def test_parts_of_articles_that_are_none(page, want):
+    assert html.main_text(page) == want
+
+
+def test_surge_and_dive_are_the_block_model():
+    rng = random.Random(2)
+    for _ in range(300):
+        size = [rng.choice([0, 0, 0, 5, 40, 90, 300]) for _ in range(rng.randrange(30))]
+        for least in (1, html.SURGE):
+            lo, hi = html.surge_to_dive(size, least)
+            window = [sum(size[i : i + html.WINDOW]) for i in range(len(size))]
+            top = min(least, max(window, default=0))
+            kept = [i for i in range(len(size)) if size[i] and lo <= i < hi]
+            begins = [i for i in range(len(size)) if size[i] and window[i] >= top]
+            # a line is text if one like this stands before it (or is it) and one after, or no window without text lies between
+            want = [i for i in range(len(size)) if size[i] and begins and begins[0] <= i and (i <= begins[-1] or all(window[j] for j in range(begins[-1], i + 1)))]
+            assert kept == want
+
+
+def test_pages_without_an_article():
+    text = ["word " * 20 + "one.", "Short.", "word " * 30 + "two."]
+    body = "".join(f"<div>{t}</div>" for t in text)
+    far = "<div><a href=x>a link</a></div>" * 4
+    page = f"<div>Top</div>{far}{body}{far}<div>All rights reserved</div>"
+    assert html.main_text(page) == "\n".join(text)
+    assert html.main_text(f"{body}{far}{body}") == "\n".join(text + text)
+    assert html.main_text(f"<div>one</div>{far}<div>a longer line</div>") == "a longer line"
+
+
 @pytest.mark.parametrize("page,want", SILENT_PAGES)
 def test_silent_elements_without_an_end(page, want):
     assert html.main_text(page) == want
