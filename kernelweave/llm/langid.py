@@ -162,11 +162,14 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     import pyarrow.compute  # noqa: F401
 
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), fraction(F.lit("langid"), F.col(key)).alias("u"))
-    counts = {r["lang"]: r["count"] for r in docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang")).count().collect()}
+    counts = {r["lang"]: (r["n"], r["least"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("u").alias("least")).collect()}
     if not counts:
         return None
-    part = F.create_map(*[F.lit(x) for g, n in counts.items() for x in (g, min(1.0, max_docs / n))])
-    sample = written(rows.where(F.col("u") <= part[F.col("lang")]).withColumn("half", F.when(F.col("u") <= part[F.col("lang")] * 0.6, 0).otherwise(1)), "langid")
+    part = F.create_map(*[F.lit(x) for g, (n, _) in counts.items() for x in (g, min(1.0, max_docs / n))])
+    least = F.create_map(*[F.lit(x) for g, (_, u) in counts.items() for x in (g, u)])
+    # of few documents the first by hash is learned from, so that each language is known
+    learned = (F.col("u") <= part[F.col("lang")] * 0.6) | (F.col("u") == least[F.col("lang")])
+    sample = written(rows.where((F.col("u") <= part[F.col("lang")]) | (F.col("u") == least[F.col("lang")])).withColumn("half", F.when(learned, 0).otherwise(1)), "langid")
     schema = ", ".join(f"{n} {'string' if n == 'lang' else 'bigint'}" for n in _NAMES)
     grams = sample.where("half = 0").select("lang", "text").mapInArrow(_count, schema).groupBy(*_NAMES[:-1]).agg(F.sum("count").alias("count")).toPandas()
     if not len(grams):
@@ -181,8 +184,13 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         mine = np.array([r["lang"] == g for r in aside], bool) & (n > 0)
         if mine.any():
             x = bits[mine, j]
-            models.mean[j], models.spread[j] = np.median(x), max(x.std(), 0.1)
-            worst = max(worst, float(((x - models.mean[j]) / models.spread[j] / np.sqrt(1 + 200.0 / n[mine])).max()))
+            # the median and its deviation, which a few junk rows do not move
+            models.mean[j], models.spread[j] = np.median(x), max(1.4826 * np.median(np.abs(x - np.median(x))), 0.1)
+            worst = max(worst, float(np.quantile((x - models.mean[j]) / models.spread[j] / np.sqrt(1 + 200.0 / n[mine]), 0.995)))
+        else:
+            # without texts aside: as far as the others
+            models.mean[j] = np.nan
+    models.mean = np.where(np.isnan(models.mean), np.nanmedian(models.mean) if not np.isnan(models.mean).all() else 0.0, models.mean)
     models.room = max(6.0, 1.5 * worst)
     return models
 

@@ -7,7 +7,7 @@ a seeded part of them once more, so that the source's sum comes nearest to its t
 
 A null text or one without words has size 0 and is taken 0 words. Documents without source
 form one source, last in order. Repeated rows are rows of their own; ties in the seeded order
-are cut by the id. A source of size 0 has target 0. No documents give no rows. Other columns
+are cut by the id, the size and the text's hash. A source of size 0 has target 0. No documents give no rows. Other columns
 of the input, whatever their names, take no part.
 
 A source may hold most rows: its seeded order is cut into buckets by hash, bucket sums are
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kernelweave.llm.common import written
+from kernelweave.llm.common import unlike, written
 
 #: Rows that a bucket of one source holds at the mean.
 BUCKET_ROWS = 2_000
@@ -59,7 +59,7 @@ def mix(docs: DataFrame, weights: list[float], text: str = "text", source: str =
     weights repeat over the sources in code point order, null last. epochs: whole takes of the
     document, partial: whether the seeded extra part has it; taken = size x (epochs + partial).
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), *([F.col(row).alias("row")] if row else []))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), F.xxhash64(text).alias("of_text"), *([F.col(row).alias("row")] if row else []))
     rows = written(rows.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id")), "sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
     sources = written(ordered_by(sources, F.col("source").isNull(), F.col("source")), "sources")
@@ -78,7 +78,7 @@ def mix(docs: DataFrame, weights: list[float], text: str = "text", source: str =
     before = F.coalesce(F.sum("bucket_size").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     sums = sums.withColumn("bucket_before", before).withColumnsRenamed({"source": "s", "bucket": "b"})
     rows = rows.join(sums, rows["source"].eqNullSafe(sums["s"]) & (rows["bucket"] == sums["b"])).drop("s", "b")
-    inner = W.partitionBy("source", "bucket").orderBy("draw", "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    inner = W.partitionBy("source", "bucket").orderBy("draw", "doc_id", "size", "of_text").rowsBetween(W.unboundedPreceding, -1)
     at = F.col("bucket_before") + F.coalesce(F.sum("size").over(inner), F.lit(0))
     # a document is in the extra part if its middle is; then the one whose size comes nearest to what
     # the source misses, or has too much, changes sides
@@ -99,14 +99,17 @@ def repeated(docs: DataFrame, plan: DataFrame, doc_id: str = "doc_id") -> DataFr
     """The mix itself: each row of docs as often as plan takes it; rows not taken go.
 
     docs has one row per id and none without (`mixed` takes any rows); of a document of size 0 one
-    copy stays if its source is taken.
+    copy stays if its source is taken. Columns keep their names, whatever these are.
     """
-    times = plan.select(F.col(doc_id).alias("_id"), (F.col("epochs") + F.col("partial").cast("long")).alias("_times"))
-    out = docs.join(times, docs[doc_id] == times["_id"]).where("_times > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*[docs[c] for c in docs.columns])
+    times = plan.select(F.struct(F.col(doc_id).alias("id"), (F.col("epochs") + F.col("partial").cast("long")).alias("n")).alias(unlike(docs, "plan")))
+    of = F.col(unlike(docs, "plan"))
+    out = docs.join(times, docs[doc_id] == of["id"]).where(of["n"] > 0)
+    copy = F.explode(F.sequence(F.lit(1).cast("long"), of["n"])).alias(unlike(docs, "copy"))
+    return out.select(*[docs[c] for c in docs.columns], copy).select(*[docs[c] for c in docs.columns])
 
 
 def mixed(docs: DataFrame, weights: list[float], **options) -> DataFrame:
     """The mix of any rows, those without id and repeated ones too: rows get a key of their own before the plan."""
-    keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
-    return repeated(keyed, mix(keyed, weights, row="_row", **options), "_row").drop("_row")
+    key = unlike(docs, "row_key")
+    keyed = written(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    return repeated(keyed, mix(keyed, weights, row=key, **options), key).drop(key)

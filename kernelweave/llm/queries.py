@@ -20,10 +20,12 @@ def tokenizer_path() -> str:
 
 
 def held_out(modulus: int, remainder: int) -> F.Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder
+    """Whether the id's crc32 leaves this remainder; an id that is null is not held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text and what they decode to, as digests. Null texts are empty; repeated rows give repeated rows."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("both", bpe.round_trip(F.col("text"), tokenizer_path())).select("doc_id", "both.*")
     return docs.select(
         "doc_id",
@@ -34,11 +36,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes. Null texts have size 0, null sources are one source."""
     plan = mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"), [1, 2, 3])
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests and fingerprints of every text stored as sound. Null texts are empty; equal texts have equal values."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("m", media.media(F.col("text"))).select("doc_id", "m.*")
     prints = F.col("fingerprints")
     feature = F.concat(F.size(prints).cast("string"), F.lit(":"), F.sha2(F.concat_ws(",", prints.cast("array<string>")), 256))
@@ -46,6 +50,7 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text by models of the documents not held out. Null ids are not held out; texts without letters are und."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     models = langid.fit(docs.where(~held_out(3, 1)))
     told = docs.withColumn("t", langid.identify(F.col("text"), models, spark))
@@ -53,35 +58,42 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated paragraphs and runs of words of all documents. Null texts and null ids give no rows."""
     return passages.repeated_passages(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
+    """The five stages over all documents."""
+    from kernelweave.llm import pipeline as stages
 
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document stands in the token files, read back from these. Null texts hold the end id alone."""
     path = wavelet.new_path(spark)
     wavelet.write(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path(), path, END_ID)
     return wavelet.documents(spark, path)
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page. Null pages have an empty text."""
     pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
     return pages.select("page_id", "url", html.extract(F.col("html")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents. Null texts and null ids link with nothing and keep their row."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), threshold_percent=85)
 
 
 def op9_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all vectors. Null, zero and non-finite vectors link with nothing and keep their row."""
     return forest.near_embeddings(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), threshold=0.9)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text by a model of the labelled documents not held out. Null texts are empty; null ids are not held out."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic")
     model = toxicity.fit(docs.where(~held_out(5, 0)), labels.where(~held_out(5, 0)))

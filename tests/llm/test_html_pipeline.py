@@ -135,3 +135,26 @@ def test_pipeline_stages_take_odd_documents(spark, odd, none):
     for frame in (docs, docs.limit(0)):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, frame, "/root/testdata/sf0.001").count() <= 3 * 100
+
+
+def test_stages_give_the_rows_they_should(spark):
+    """Null ids, repeated rows, one id with two texts and columns of clashing names, row by row."""
+    text = [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(6)]
+    p = " ".join(f"p{i}" for i in range(60))
+    rows = [(1, text[0]), (1, text[0]), (2, text[1]), (2, text[2]), (None, text[3]), (None, text[3]), (3, text[0] + " end"), (4, p + "\n" + text[4]), (5, text[5] + "\n" + p), (6, None), (7, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, k, "c", "c") for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, plan int, told string, what string")
+    stages = dict(corpus_pipeline.STAGES)
+    near = stages["near_dedup"](spark, docs, "").collect()
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in near)
+    assert got == sorted([(1, text[0]), (2, text[1]), (2, text[2]), (0, text[3]), (0, text[3]), (4, p + "\n" + text[4]), (5, text[5] + "\n" + p), (6, ""), (7, "")])
+    cut = stages["substring_dedup"](spark, spark.createDataFrame(near, docs.schema), "")
+    assert cut.columns == docs.columns
+    rows = cut.collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in rows) == sorted([(1, text[0]), (2, text[1]), (2, text[2]), (0, text[3]), (0, text[3]), (4, p + "\n" + text[4]), (5, text[5]), (6, ""), (7, "")])
+    mixed = stages["mix_sources"](spark, cut, "").collect()
+    # one source of all words: each document once
+    assert sorted(r["plan"] for r in mixed) == sorted(r["plan"] for r in rows)
+    ids = stages["bpe_ids"](spark, spark.createDataFrame(mixed, docs.schema), "").collect()
+    assert len(ids) == len(rows) and all(r["round_trip"] for r in ids)
+    told = stages["language_id"](spark, docs, "")
+    assert told.columns == docs.columns and {r["doc_id"] for r in told.collect()}.isdisjoint({6, 7})
