@@ -1,73 +1,5 @@
-"""The corpus pipeline: five stages over documents, each written and read again before the next.
+"""The corpus pipeline: five stages over documents, each written and read again before the next."""
 
-Every stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the
-last return the columns of documents.
-"""
+from kernelweave.llm.pipeline import ORACLE_SQL, STAGES, bpe_ids, language_id, mix_sources, near_dedup, run, substring_dedup
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from kernelweave.llm import bpe, langid, mixing, neardup, passages
-from kernelweave.llm.common import prepare, table, written
-from kernelweave.llm.queries import held_out, tokenizer_path
-
-
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; those rejected (no letter, or no known language) go."""
-    prepare(spark)
-    models = langid.fit(docs.where(~held_out(3, 1)))
-    told = docs.withColumn("_told", langid.identify(F.col("text"), models, spark))
-    return told.where("not _told.rejected").drop("_told")
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each group whose 5-word shingles are 0.8 alike or more; of repeated rows with one id one."""
-    prepare(spark)
-    kept = neardup.near_duplicates(docs, threshold_percent=80).where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
-    kept = written(kept, "kept")
-    again = kept.where("_n > 1 and _id is not null")
-    if again.isEmpty():
-        return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
-    once = kept.where("_n = 1 or _id is null")
-    one = docs.join(again, docs["doc_id"] == again["_id"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return docs.join(once, docs["doc_id"].eqNullSafe(once["_id"]), "left_semi").unionByName(one)
-
-
-def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that an earlier one has; of which nothing else is left go."""
-    prepare(spark)
-    return passages.without(docs, written(passages.repeated_passages(docs), "passages"))
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources, weights 1, 2, 3 repeating, takes them."""
-    return mixing.mixed(docs, [1, 2, 3])
-
-
-def bpe_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their token ids, and whether these decode to the text again."""
-    prepare(spark)
-    both = docs.withColumn("both", bpe.round_trip(F.col("text"), tokenizer_path()))
-    ids = F.col("both.ids")
-    return both.select("doc_id", "lang", "source", F.size(ids).cast("long").alias("n_tokens"), ids.alias("ids"), F.col("both.decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))
-
-
-STAGES = [
-    ("language_id", language_id),
-    ("near_dedup", near_dedup),
-    ("substring_dedup", substring_dedup),
-    ("mix_sources", mix_sources),
-    ("bpe_ids", bpe_ids),
-]
-
-#: No SQL can express language models, mixing or byte-pair merges; the stages are tested against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "bpe_ids", "language_id", "mix_sources", "near_dedup", "run", "substring_dedup"]
