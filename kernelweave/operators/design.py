@@ -88,6 +88,9 @@ def design(events: DataFrame, formulas: str | list[str], event_types: list[list[
         raise ValueError("one formula for each set of event types")
     if not events.where("type is null or type = ''").isEmpty():
         raise ValueError("every event needs a type")
+    used = {v for t in texts for v in parse(t).variables}
+    if left := set(categorical or {}) - used:
+        raise ValueError(f"levels of variables that no formula has: {sorted(left)}")
     out = Design(events, [])
     taken: set[str] = set()
     for k, (text, types) in enumerate(zip(texts, sets, strict=True), 1):
@@ -213,7 +216,7 @@ def impute(long: DataFrame, method: str = "median", seed: int = 1) -> DataFrame:
         raise ValueError(method)
     seen = long.where("x is not null")
     counts = F.broadcast(seen.groupBy("col_id").agg(F.count("*").alias("_n")))
-    draw = long.where("x is null").join(counts, "col_id", "left").withColumn("_k", F.floor(F.rand(seed) * F.col("_n")) + 1)
+    draw = long.where("x is null").join(counts, "col_id", "left").withColumn("_k", F.pmod(F.xxhash64(F.lit(seed), "recording_id", "event_index", "col_id"), F.col("_n")) + 1)
     values = seen.select("col_id", F.col("x").alias("_x"), F.row_number().over(W.partitionBy("col_id").orderBy("event_index", "recording_id")).alias("_k"))
     filled = draw.drop("x").join(values, ["col_id", "_k"], "left").withColumnRenamed("_x", "x").select(*long.columns)
     return seen.unionByName(filled)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -27,12 +27,17 @@ def single(long: DataFrame, ties: str = "last") -> DataFrame:
     return rounded.groupBy(*keys).agg(F.max_by("x", "event_index").alias("x"))
 
 
+def known(x: str) -> Column:
+    """The column; a missing value raises when it is read."""
+    return F.coalesce(F.col(x), F.raise_error(F.lit("an event misses a covariate: impute it or drop the event")).cast("double"))
+
+
 def sticks(events: DataFrame, lo: int, width: int, n_samples: DataFrame | int) -> DataFrame:
     """(recording_id, t, col_id, basis_id, v): an exploded equi-join key for each event and lag inside 1..n.
 
-    n_samples: of all recordings, or a table (recording_id, n_samples).
+    n_samples: of all recordings, or a table (recording_id, n_samples). Missing covariates raise.
     """
-    out = events.where("x <> 0").select("recording_id", "col_id", "lat", "x", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("basis_id"))
+    out = events.where(known("x") != 0).select("recording_id", "col_id", "lat", "x", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("basis_id"))
     out = out.withColumn("t", F.col("lat") + F.col("basis_id") + F.lit(lo))
     if isinstance(n_samples, int):
         out = out.where(F.col("t").between(1, n_samples))

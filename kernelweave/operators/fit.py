@@ -7,7 +7,7 @@ net paths, partial models and cross-validation are then small problems for the d
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,20 +15,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kernelweave.operators.expand import known
+
 
 @dataclass
 class Statistics:
     keys: list[tuple[int, int]]  # (col_id, basis_id) of each model column
     channels: list[int]
-    folds: dict[int, tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # n, X'X, X'Y, sum y, sum y^2
+    folds: dict[int, tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # n, X'X, X'Y, sum y, sum y^2, sum x
 
-    def total(self, without: int | None = None) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def total(self, without: int | None = None) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         parts = [s for f, s in self.folds.items() if f != without]
-        return tuple(sum(p[i] for p in parts) for i in range(5)) if parts else self.empty()
+        return tuple(sum(p[i] for p in parts) for i in range(6)) if parts else self.empty()
 
     def empty(self):
         p, c = len(self.keys), len(self.channels)
-        return 0, np.zeros((p, p)), np.zeros((p, c)), np.zeros(c), np.zeros(c)
+        return 0, np.zeros((p, p)), np.zeros((p, c)), np.zeros(c), np.zeros(c), np.zeros(p)
 
 
 def _cells(p: int, c: int, tile: int, width: int):
@@ -41,12 +43,13 @@ def _cells(p: int, c: int, tile: int, width: int):
             t, inverse = np.unique(y["t"].to_numpy(), return_inverse=True)
             values = np.full((len(t), c), np.nan)
             values[inverse, y["c"].to_numpy()] = y["y"].to_numpy()
-            n, gram, cross, total, squares = 0, np.zeros((p, p)), np.zeros((p, c)), np.zeros(c), np.zeros(c)
+            n, gram, cross, total, squares, columns = 0, np.zeros((p, p)), np.zeros((p, c)), np.zeros(c), np.zeros(c), np.zeros(p)
             row = np.searchsorted(t, xs["t"].to_numpy())
             ok = (row < len(t)) & (t[np.minimum(row, len(t) - 1)] == xs["t"].to_numpy())
             row, col, v = row[ok], xs["k"].to_numpy()[ok], xs["v"].to_numpy()[ok]
             used = np.unique(row)  # samples without any event tell nothing
-            used = used[~np.isnan(values[used]).any(1)]
+            if np.isnan(values[used]).any():
+                raise ValueError(f"recording {key[0]}: modelled samples miss values in some channels; fill them, exclude their times or fit the channels apart")
             for lo in range(0, len(used), block):
                 some = used[lo : lo + block]
                 at = np.minimum(np.searchsorted(some, row), len(some) - 1)
@@ -54,12 +57,12 @@ def _cells(p: int, c: int, tile: int, width: int):
                 x = np.zeros((len(some), p))
                 np.add.at(x, (at[mine], col[mine]), v[mine])
                 yy = values[some]
-                n, gram, cross, total, squares = n + len(some), gram + x.T @ x, cross + x.T @ yy, total + yy.sum(0), squares + (yy * yy).sum(0)
+                n, gram, cross, total, squares, columns = n + len(some), gram + x.T @ x, cross + x.T @ yy, total + yy.sum(0), squares + (yy * yy).sum(0), columns + x.sum(0)
             i, j = np.nonzero(gram)
             k, m = np.nonzero(cross)
             out.append(pd.DataFrame({"fold": fold, "what": 0, "i": i, "j": j, "v": gram[i, j]}))
             out.append(pd.DataFrame({"fold": fold, "what": 1, "i": k, "j": m, "v": cross[k, m]}))
-            for what, a in ((2, total), (3, squares), (4, np.array([float(n)]))):
+            for what, a in ((2, total), (3, squares), (4, np.array([float(n)])), (5, columns)):
                 out.append(pd.DataFrame({"fold": fold, "what": what, "i": 0, "j": np.arange(len(a)), "v": a}))
         return pd.concat(out) if out else pd.DataFrame({"fold": [], "what": [], "i": [], "j": [], "v": []})
 
@@ -69,8 +72,9 @@ def _cells(p: int, c: int, tile: int, width: int):
 def statistics(xdc: DataFrame, samples: DataFrame, channels: list[int] | None = None, fold: str | None = None, tile: int = 16_384) -> Statistics:
     """From xdc(recording_id, t, col_id, basis_id, v) and samples(recording_id, t, channel, y [, fold]).
 
-    Samples with a null y, and those that no event reaches, are left out. Tiles of the time axis
-    are the groups: a recording may be long, and a group never holds more than a tile.
+    Samples that no event reaches are left out; a modelled sample with a null y in some channel, or
+    without its row, raises. Tiles of the time axis are the groups: a recording may be long, and a group
+    never holds more than a tile.
     """
     if channels is not None:
         samples = samples.where(F.col("channel").isin(*channels))
@@ -83,17 +87,17 @@ def statistics(xdc: DataFrame, samples: DataFrame, channels: list[int] | None =
     channel = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "channel int, c int")
     part = [F.col("recording_id").alias("rec"), F.floor(F.col("t") / tile).alias("tile")]
     xs = xdc.join(F.broadcast(number), ["col_id", "basis_id"]).select(*part, "t", "k", "v")
-    ys = samples.where("y is not null").join(F.broadcast(channel), "channel").select(*part, "t", "c", "y", (F.col(fold).cast("int") if fold else F.lit(0)).alias("fold"))
+    ys = samples.join(F.broadcast(channel), "channel").select(*part, "t", "c", "y", (F.col(fold).cast("int") if fold else F.lit(0)).alias("fold"))
     cells = xs.groupBy("rec", "tile").cogroup(ys.groupBy("rec", "tile")).applyInPandas(_cells(len(keys), len(names), tile, 0), "fold int, what int, i int, j int, v double")
     out = Statistics(keys, names, {})
     sums = cells.groupBy("fold", "what", "i", "j").agg(F.sum("v").alias("v")).toPandas()  # at most p x (p + channels) a fold
     for f, g in sums.groupby("fold"):
-        _, gram, cross, total, squares = out.empty()
+        _, gram, cross, total, squares, columns = out.empty()
         n = np.zeros(1)
-        for what, into in ((0, gram), (1, cross), (2, total[None]), (3, squares[None]), (4, n[None])):
+        for what, into in ((0, gram), (1, cross), (2, total[None]), (3, squares[None]), (4, n[None]), (5, columns[None])):
             some = g[g["what"] == what]
             into[some["i"].to_numpy(), some["j"].to_numpy()] = some["v"].to_numpy()
-        out.folds[int(f)] = (int(round(n[0])), gram, cross, total, squares)
+        out.folds[int(f)] = (int(round(n[0])), gram, cross, total, squares, columns)
     return out
 
 
@@ -233,8 +237,11 @@ def fit_overlap(xdc: DataFrame, samples: DataFrame, method: str = "normal", chan
     stats = statistics(xdc, samples, channels)
     if not stats.folds:
         return coefficients(xdc.sparkSession, Statistics([], [], {}), np.zeros((0, 0)), method)
-    _, gram, cross, _, _ = stats.total()
-    return coefficients(xdc.sparkSession, stats, solve(gram, cross, method, **kw)[0], method)
+    _, gram, cross, *_ = stats.total()
+    beta, steps = solve(gram, cross, method, **kw)
+    if steps and steps >= kw.get("iterations", 400):
+        warnings.warn(f"{method} stopped after {steps} steps before it reached its tolerance", stacklevel=2)
+    return coefficients(xdc.sparkSession, stats, beta, method)
 
 
 def fit_epochs(long: DataFrame, epochs: DataFrame, method: str = "pinv") -> DataFrame:
@@ -243,7 +250,7 @@ def fit_epochs(long: DataFrame, epochs: DataFrame, method: str = "pinv") -> Data
     X'X comes from events once; X'Y from a join on the event. Only columns x columns and columns x
     lags x channels numbers reach the driver.
     """
-    x = long.select("recording_id", "event_index", "col_id", "x").where("x <> 0")
+    x = long.select("recording_id", "event_index", "col_id", "x").where(known("x") != 0)
     kept = epochs.select("recording_id", "event_index").distinct()
     x = x.join(kept, ["recording_id", "event_index"], "left_semi")
     other = x.select("recording_id", "event_index", F.col("col_id").alias("other"), F.col("x").alias("z"))

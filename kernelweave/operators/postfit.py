@@ -97,13 +97,16 @@ def marginal(predicted: DataFrame, curves: DataFrame, design: Design, kind: str
 
 def _r2(fit, test) -> np.ndarray:
     """1 - RSS / TSS by channel: fit's coefficients on test's statistics."""
-    n, gram, cross, total, squares = test
+    n, gram, cross, total, squares, _ = test
     rss = squares - 2 * (fit * cross).sum(0) + np.einsum("pc,pq,qc->c", fit, gram, fit)
     return 1 - rss / (squares - total**2 / n)
 
 
 def model_fit(stats: Statistics, design: Design, method: str = "R2", variables: list[str] | None = None, solver: str = "normal") -> list[tuple]:
-    """(fold, channel, variable, r2_without, r2_total): R2, partialR2, crossValR2 or crossValpartialR2, all from fold statistics."""
+    """(fold, channel, variable, r2_ca, r2_total): R2, partialR2, crossValR2 or crossValpartialR2, all from fold statistics.
+
+    r2_ca is what the variable adds: the model's R2 less that of the model without it.
+    """
     partial, cross = "partial" in method, method.startswith("crossVal")
     if method not in ("R2", "partialR2", "crossValR2", "crossValpartialR2"):
         raise ValueError(method)
@@ -125,16 +128,41 @@ def model_fit(stats: Statistics, design: Design, method: str = "R2", variables:
             if keep.any():
                 beta[keep] = solve(train[1][np.ix_(keep, keep)], train[2][keep], solver)[0]
             without = _r2(beta, test)
-            out += [(fold, ch, name, float(w), float(r)) for ch, w, r in zip(stats.channels, without, whole, strict=True)]
+            out += [(fold, ch, name, float(r - w), float(r)) for ch, w, r in zip(stats.channels, without, whole, strict=True)]
     return out
 
 
-def folds(samples: DataFrame, events: DataFrame, fold_event: str | None = None, n: int = 10, method: str = "event") -> DataFrame:
-    """samples with fold, 0..: stretches between events of one type, or of equal numbers of samples."""
+def _ranked(times: DataFrame, tile: int = 16_384) -> DataFrame:
+    """(recording_id, t, place from 0, of: how many) of distinct times: places inside tiles and counts before them."""
+    rows = times.select("recording_id", "t", F.floor(F.col("t") / tile).alias("_tile")).distinct()
+    counts = rows.groupBy("recording_id", "_tile").agg(F.count("*").alias("_n"))
+    whole = W.partitionBy("recording_id")
+    counts = counts.withColumn("_before", F.sum("_n").over(whole.orderBy("_tile")) - F.col("_n")).withColumn("of", F.sum("_n").over(whole)).drop("_n")
+    inside = F.row_number().over(W.partitionBy("recording_id", "_tile").orderBy("t")) - 1
+    return rows.withColumn("_place", inside).join(counts, ["recording_id", "_tile"]).select("recording_id", "t", (F.col("_place") + F.col("_before")).alias("place"), "of")
+
+
+def folds(samples: DataFrame, events: DataFrame, fold_event: str | list[str] | None = None, n: int = 10, method: str = "event", modelled: DataFrame | None = None, allow_overlap: bool = True) -> DataFrame:
+    """samples with fold, 0..: stretches between events of some types, or of equal numbers of samples.
+
+    equalEntries: with modelled (recording_id, t), stretches of equal numbers of these; samples between
+    stretches belong to the one before. event: without allow_overlap a fold event at a modelled sample raises.
+    """
+    if method == "equalEntries" and modelled is not None:
+        ranked = _ranked(modelled)
+        ranked = ranked.withColumn("_k", F.least(F.floor(F.col("place") * n / F.col("of")), F.lit(n - 1)).cast("int"))
+        starts = ranked.groupBy("recording_id", "_k").agg(F.min("t").alias("_t")).groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("_t", "_k"))).alias("_starts"))  # n of each recording
+        out = samples.join(starts, "recording_id", "left")
+        return out.withColumn("fold", F.coalesce(F.array_max(F.transform(F.filter("_starts", lambda s: s["_t"] <= F.col("t")), lambda s: s["_k"])), F.lit(0))).drop("_starts")
     if method == "equalEntries":
         ends = samples.groupBy("recording_id").agg(F.max("t").alias("_last"))
         return samples.join(F.broadcast(ends), "recording_id").withColumn("fold", F.least(F.floor((F.col("t") - 1) * n / F.col("_last")), F.lit(n - 1)).cast("int")).drop("_last")
-    edges = events.where(F.col("type") == fold_event).select("recording_id", F.round("latency").cast("long").alias("_t")).distinct()
+    types = [fold_event] if isinstance(fold_event, str) else list(fold_event or [])
+    if not types:
+        raise ValueError("folds by event need a fold event")
+    edges = events.where(F.col("type").isin(*types)).select("recording_id", F.round("latency").cast("long").alias("_t")).distinct()
+    if not allow_overlap and modelled is not None and not edges.join(modelled.select("recording_id", F.col("t").alias("_t")), ["recording_id", "_t"], "left_semi").isEmpty():
+        raise ValueError("fold events stand at modelled samples")
     bounds = edges.withColumn("_k", F.row_number().over(W.partitionBy("recording_id").orderBy("_t"))).withColumn("_to", F.lead("_t").over(W.partitionBy("recording_id").orderBy("_t")))
     first = edges.groupBy("recording_id").agg(F.min("_t").alias("_to")).select("recording_id", F.lit(0).cast("long").alias("_t"), F.lit(0).alias("_k"), "_to")
     bounds = bounds.select("recording_id", "_t", "_k", "_to").union(first).withColumnsRenamed({"recording_id": "_r"})

@@ -194,7 +194,7 @@ def impute_drop(spark, sf_dir):
     return impute(_gappy(spark, sf_dir), "drop").groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"WITH {EV} SELECT type, c AS col_id, count(*) AS n FROM ev, (SELECT unnest([0, 1, 2]) AS c) GROUP BY type, c")
 def impute_marginal(spark, sf_dir):
     x = impute(_gappy(spark, sf_dir), "marginal")
     return x.groupBy("type", "col_id").agg(F.count("x").alias("n"))
@@ -208,7 +208,9 @@ def vif_two(spark, sf_dir):
 @query()
 def vif_embedding(spark, sf_dir):
     e = src.table(spark, sf_dir, "embeddings")
-    return stats.vif(e.select(*[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(16)]), [f"e{i}" for i in range(16)]).select("column", _r("vif", 4))
+    size = e.agg(F.max(F.size("embedding"))).first()[0]
+    names = [f"e{i}" for i in range(size)]
+    return stats.vif(e.select(*[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)]), names).select("column", _r("vif", 4))
 
 
 @query(f"""WITH {EV}, g AS (SELECT *, lead(latency) OVER w - latency AS next_gap, latency - lag(latency) OVER w AS previous_gap FROM ev WINDOW w AS (PARTITION BY recording_id ORDER BY event_index)),
@@ -259,7 +261,11 @@ def expand_fourier(spark, sf_dir):
     return y.groupBy("col_id", "basis_id").agg((F.round(F.sum("v"), 3) + 0.0).alias("total"), F.round(F.sum(F.col("v") * F.col("v")), 3).alias("squares"))
 
 
-@query()
+def _basis_sql(basis) -> str:
+    return "b AS (SELECT * FROM (VALUES " + ", ".join(f"({f}, {lag}, CAST({float(w)!r} AS DOUBLE))" for f, row in enumerate(basis) for lag, w in enumerate(row) if w) + ") v(f, lag, w))"
+
+
+@query(f"{_XDC}, {_basis_sql(expand.time_basis('splines', 20, 8))} SELECT col_id, CAST(f AS INTEGER) AS basis_id, count(*) AS n, round(sum(s), 3) AS total FROM (SELECT recording_id, t, col_id, f, sum(v * w) AS s FROM xdc JOIN b ON basis_id = lag GROUP BY recording_id, t, col_id, f) GROUP BY col_id, f")
 def expand_splines(spark, sf_dir):
     _, x = _xdc(spark, sf_dir)
     y = expand.in_basis(x, expand.time_basis("splines", 20, 8))
@@ -278,11 +284,11 @@ def sparse_convolution(spark, sf_dir):
     return expand.convolved(x, [1.0, 0.5, 0.25]).select("recording_id", "t", _r("v"))
 
 
-@query(f"{_XDC} SELECT a.col_id AS col_a, CAST(a.basis_id AS INTEGER) AS basis_a, b.col_id AS col_b, CAST(b.basis_id AS INTEGER) AS basis_b, round(sum(a.v * b.v), 4) AS g FROM xdc a JOIN xdc b USING (recording_id, t) WHERE a.basis_id < 3 AND b.basis_id < 3 GROUP BY a.col_id, a.basis_id, b.col_id, b.basis_id")
+@query(f"{_XDC} SELECT a.col_id AS col_a, CAST(a.basis_id AS INTEGER) AS basis_a, b.col_id AS col_b, CAST(b.basis_id AS INTEGER) AS basis_b, round(sum(a.v * b.v), 4) AS g FROM xdc a JOIN xdc b USING (recording_id, t) GROUP BY a.col_id, a.basis_id, b.col_id, b.basis_id")
 def gram(spark, sf_dir):
-    """X'X of three lags from the tiles' products."""
+    """X'X of all columns and lags from the tiles' products."""
     _, x = _xdc(spark, sf_dir, width=20)
-    s = fit.statistics(x.where("basis_id < 3"), src.activity(spark, sf_dir).where("channel = 1"))
+    s = fit.statistics(x, src.activity(spark, sf_dir).where("channel = 1"))
     g = s.total()[1]
     rows = [(*s.keys[i], *s.keys[j], float(g[i, j])) for i, j in zip(*np.nonzero(g), strict=True)]
     return spark.createDataFrame(rows, "col_a int, basis_a int, col_b int, basis_b int, g double")
@@ -360,10 +366,36 @@ def straight_lines(spark, sf_dir):
 def _folded(spark, sf_dir, fold_event=None):
     e = src.model_events(spark, sf_dir)
     d, x = _xdc(spark, sf_dir, width=6, lo=0, formula="y ~ 1 + value")
-    s = postfit.folds(src.activity(spark, sf_dir), e, n=5, method="equalEntries")
+    s = postfit.folds(src.activity(spark, sf_dir), e, n=5, method="equalEntries", modelled=x)
     return d, fit.statistics(x, s, fold="fold")
 
 
+def _clicks(spark, sf_dir, method):
+    """One event type at its own sample: regressions that SQL knows."""
+    e = src.model_events(spark, sf_dir)
+    d = design(e, "y ~ 1 + value", ["click"])
+    x = expand.sticks(expand.single(d.long()), 0, 1, src.N_SAMPLES)
+    s = postfit.folds(src.activity(spark, sf_dir), e, n=4, method="equalEntries", modelled=x)
+    return d, fit.statistics(x, s, fold="fold")
+
+
+#: modelled samples with their folds, and what a regression of y on x with or without either column leaves in a fold
+_CLICKS = f"""WITH {SIG}, one AS (SELECT recording_id, l, arg_max(value, event_index) AS x FROM lat WHERE type = 'click' AND l BETWEEN 1 AND 43200 GROUP BY recording_id, l),
+ m AS (SELECT s.channel, s.y, one.x, least((row_number() OVER (PARTITION BY s.recording_id, s.channel ORDER BY s.t) - 1) * 4 // count(*) OVER (PARTITION BY s.recording_id, s.channel), 3) AS fold FROM samples s JOIN one ON one.recording_id = s.recording_id AND one.l = s.t)"""
+
+
+def _without(train: str, by: str) -> str:
+    """For each group the coefficients of the whole model, of that without slope and of that without intercept."""
+    return f"SELECT {by}, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, avg(y) AS c, sum(x * y) / sum(x * x) AS z FROM {train} GROUP BY {by}"
+
+
+_LEFT = "1 - sum(power(y - a - b * x, 2)) / (sum(y * y) - power(sum(y), 2) / count(*)) AS r, 1 - sum(power(y - c, 2)) / (sum(y * y) - power(sum(y), 2) / count(*)) AS no_x, 1 - sum(power(y - z * x, 2)) / (sum(y * y) - power(sum(y), 2) / count(*)) AS no_1"
+_WHOLE_SQL = f"{_CLICKS}, f AS ({_without('m', 'channel')}), q AS (SELECT CAST(NULL AS INTEGER) AS fold, channel, {_LEFT} FROM m JOIN f USING (channel) GROUP BY channel)"
+_CROSS_SQL = f"{_CLICKS}, train AS (SELECT k.fold AS k, m.* FROM m JOIN (SELECT unnest(range(0, 4)) AS fold) k ON m.fold <> k.fold), f AS ({_without('train', 'k, channel')}), q AS (SELECT CAST(fold AS INTEGER) AS fold, m.channel, {_LEFT} FROM m JOIN f ON f.k = m.fold AND f.channel = m.channel GROUP BY m.fold, m.channel)"
+_TOTAL = " SELECT fold, channel, CAST(NULL AS VARCHAR) AS variable, CAST(NULL AS DOUBLE) AS r2_ca, round(r, 4) + 0.0 AS r2_total FROM q"
+_PARTIAL = " SELECT fold, channel, 'value' AS variable, round(r - no_x, 4) + 0.0 AS r2_ca, round(r, 4) + 0.0 AS r2_total FROM q UNION ALL SELECT fold, channel, '(Intercept)', round(r - no_1, 4) + 0.0, round(r, 4) + 0.0 FROM q"
+
+
 @query(f"WITH {SIG} SELECT channel, CAST(least((t - 1) * 5 // 43200, 4) AS INTEGER) AS fold, count(*) AS n, round(sum(y), 4) AS sum_y FROM samples GROUP BY 1, 2")
 def cv_folds(spark, sf_dir):
     s = postfit.folds(src.activity(spark, sf_dir), src.model_events(spark, sf_dir), n=5, method="equalEntries")
@@ -378,30 +410,27 @@ def cv_event_folds(spark, sf_dir):
 
 
 def _fit_table(spark, sf_dir, method):
-    d, s = _folded(spark, sf_dir)
+    d, s = _clicks(spark, sf_dir, method)
     rows = postfit.model_fit(s, d, method)
     return spark.createDataFrame(rows, "fold int, channel int, variable string, r2_ca double, r2_total double").select("fold", "channel", "variable", _r("r2_ca", 4), _r("r2_total", 4))
 
 
-@query("SELECT CAST(NULL AS INTEGER) AS fold, 1 AS channel, CAST(NULL AS VARCHAR) AS variable, CAST(NULL AS DOUBLE) AS r2_ca, CAST(1.0 AS DOUBLE) AS r2_total")
+@query(_WHOLE_SQL + _TOTAL)
 def model_r2(spark, sf_dir):
-    """Of a noiseless signal the model explains all."""
-    d, x = _xdc(spark, sf_dir, width=6, lo=0, formula="y ~ 1 + value")
-    rows = postfit.model_fit(fit.statistics(x, _known(spark, sf_dir)), d, "R2")
-    return spark.createDataFrame(rows, "fold int, channel int, variable string, r2_ca double, r2_total double").select("fold", "channel", "variable", "r2_ca", _r("r2_total", 6))
+    return _fit_table(spark, sf_dir, "R2")
 
 
-@query()
+@query(_WHOLE_SQL + _PARTIAL)
 def model_partial_r2(spark, sf_dir):
     return _fit_table(spark, sf_dir, "partialR2")
 
 
-@query()
+@query(_CROSS_SQL + _TOTAL)
 def model_cv_r2(spark, sf_dir):
     return _fit_table(spark, sf_dir, "crossValR2")
 
 
-@query()
+@query(_CROSS_SQL + _PARTIAL)
 def model_cv_partial_r2(spark, sf_dir):
     return _fit_table(spark, sf_dir, "crossValpartialR2")
 
@@ -412,8 +441,8 @@ def elastic_net_cv(spark, sf_dir):
     d, s = _folded(spark, sf_dir)
     names = {k.col_id: k.name for k in d.columns}
     one = []
-    for n, g, c, total, squares in s.folds.values():
-        one.append((n, g, c[:, 1], g[:, [i for i, (k, _) in enumerate(s.keys) if "Intercept" in names[k]]].sum(1) / 6, float(total[1]), float(squares[1])))
+    for n, g, c, total, squares, columns in s.folds.values():
+        one.append((n, g, c[:, 1], columns, float(total[1]), float(squares[1])))
     got = fit.cv_elastic_net(one, intercept=False)
     rows = [(names[k], int(b), float(v)) for (k, b), v in zip(s.keys, got["beta"], strict=True)]
     return spark.createDataFrame(rows, "name string, lag int, beta double").select("name", "lag", _r("beta", 4))
@@ -482,9 +511,12 @@ def artefact_improbable(spark, sf_dir):
     return intervals.improbable(src.activity(spark, sf_dir), 1.0, 60, 5, 5)
 
 
-@query()
+@query(f"""WITH {SIG}, s AS (SELECT recording_id, channel, (t - 1) // 60 AS seg, sqrt(avg(y * y)) AS rms FROM samples GROUP BY 1, 2, 3), m AS (SELECT recording_id, channel, quantile_cont(rms, 0.5) AS m FROM s GROUP BY 1, 2),
+ d AS (SELECT recording_id, channel, quantile_cont(abs(rms - m), 0.5) * 1.4826 AS d FROM s JOIN m USING (recording_id, channel) GROUP BY 1, 2),
+ hit AS (SELECT DISTINCT recording_id, seg FROM s JOIN m USING (recording_id, channel) JOIN d USING (recording_id, channel) WHERE rms > m + 2.5 * greatest(d, 1e-12)),
+ g AS (SELECT *, seg - row_number() OVER (PARTITION BY recording_id ORDER BY seg) AS k FROM hit) SELECT recording_id, CAST(min(seg) * 60 + 1 AS BIGINT) AS start_t, CAST((max(seg) + 1) * 60 AS BIGINT) AS end_t FROM g GROUP BY recording_id, k""")
 def artefact_bursts(spark, sf_dir):
-    return intervals.bursts(src.activity(spark, sf_dir), 1.0, 12, 60)
+    return intervals.bursts(src.activity(spark, sf_dir), 1.0, 2.5, 60)
 
 
 # ---- after the fit
@@ -531,14 +563,14 @@ def residual_signal(spark, sf_dir):
 
 @query(f"""WITH {_EPOCHS}, m AS (SELECT recording_id, event_index, lag, avg(y) AS y FROM cut GROUP BY 1, 2, 3), k AS (SELECT DISTINCT recording_id, event_index FROM m),
  o AS (SELECT k.*, row_number() OVER (PARTITION BY k.recording_id ORDER BY value DESC, k.event_index) AS trial FROM k JOIN ev ON ev.recording_id = k.recording_id AND ev.event_index = k.event_index)
- SELECT CAST(trial AS INTEGER) AS trial, m.event_index, lag, round(y, 6) AS y FROM m JOIN o USING (recording_id, event_index) WHERE trial <= 50""")
+ SELECT CAST(trial AS INTEGER) AS trial, m.event_index, lag, round(y, 6) AS y FROM m JOIN o USING (recording_id, event_index)""")
 def single_trials(spark, sf_dir):
-    """The first 50 trials of each recording, by falling value: a top-k report."""
+    """All trials of each recording, by falling value."""
     t = postfit.single_trials(src.model_events(spark, sf_dir), src.activity(spark, sf_dir), -5, 15, "raw", None, "value", True)
-    return t.where("trial <= 50").select("trial", "event_index", "lag", _r("y"))
+    return t.select("trial", "event_index", "lag", _r("y"))
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT '{t}' AS event, '{n}' AS predictor, CAST(NULL AS DOUBLE) AS predictorvalue, 1 AS channel, CAST({lag} AS DOUBLE) AS time, round(CAST({w * v!r} AS DOUBLE), 4) + 0.0 AS data, 'deconv' AS method" for k, (t, p) in enumerate(_TRUE.items(), 1) for n, v in (("(Intercept)" if k == 1 else f"{k}_(Intercept)", p["1"]), ("value" if k == 1 else f"{k}_value", p["value"])) for lag, w in enumerate(_SHAPE)))
 def tidy_export(spark, sf_dir):
     d, c = _curves(spark, sf_dir)
     return src.tidy(c, d.metadata()).select("event", "predictor", "predictorvalue", "channel", "time", _r("data", 4), "method")

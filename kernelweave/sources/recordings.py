@@ -78,10 +78,6 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).option("quoteAll", True).csv(path if path.endswith(".csv") else path + ".csv")
 
 
-#: Column names of older files and what they are called now.
-OLD_NAMES = {"deconv": "unfold", "eventtype": "event_types", "eventtypes": "event_types", "colname": "name", "colnames": "name", "variablename": "variable", "variabletype": "kind", "timelimits": "limits", "timebasis": "basis", "basistime": "time_s", "dcBeta": "beta", "beta_dc": "beta", "epochbeta": "beta_nodc", "splinevalue": "value", "predictorvalue": "value"}
-
-
-def migrate(df: DataFrame) -> DataFrame:
-    """Renames columns of older files; a name that is already there is left."""
-    return df.withColumnsRenamed({a: b for a, b in OLD_NAMES.items() if a in df.columns and b not in df.columns})
+def migrate(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Renames columns of older files by names {old: new}; a name that is already there is left."""
+    return df.withColumnsRenamed({a: b for a, b in names.items() if a in df.columns and b not in df.columns})

@@ -66,7 +66,7 @@ def test_model_fit(model):
     stats = fit.statistics(x, postfit.folds(s, e, n=3, method="equalEntries"), fold="fold")
     assert all(r[4] == pytest.approx(1) for r in postfit.model_fit(stats, d))
     partial = postfit.model_fit(stats, d, "partialR2")
-    assert len(partial) == 8 and all(r[3] < r[4] for r in partial) and len(postfit.model_fit(stats, d, "crossValpartialR2", ["u"])) == 6
+    assert len(partial) == 8 and all(r[3] > 0 for r in partial) and len(postfit.model_fit(stats, d, "crossValpartialR2", ["u"])) == 6
     total = stats.total()
     assert np.allclose(sum(f[1] for f in stats.folds.values()), total[1])
     with pytest.raises(ValueError):
@@ -166,7 +166,7 @@ def test_tables_for_plots(spark, tmp_path):
     i = plotdata.insert_rows(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([("n", 1)], "v string, after int"), "k", "after")
     assert [r["v"] for r in i.orderBy("k").collect()] == ["a", "n", "b"]
     old = spark.createDataFrame([(1.0, "x")], "dcBeta double, colname string")
-    assert recordings.migrate(old).columns == ["beta", "name"]
+    assert recordings.migrate(old, {"dcBeta": "beta", "colname": "name"}).columns == ["beta", "name"]
     recordings.write_csv(old, str(tmp_path / "out"))
     assert (tmp_path / "out.csv").is_dir()
 
@@ -181,3 +181,42 @@ def test_streams(spark, tmp_path):
     q.stop()
     r = online.slope(spark.table("moments"), ["k"]).first()
     assert (r["slope"], r["intercept"]) == (2.0, 1.0)
+
+
+def test_missing_values_are_named(model, spark):
+    e, s, d, x = model
+    holes = s.withColumn("y", F.when((F.col("channel") == 2) & (F.col("t") % 50 == 0), None).otherwise(F.col("y")))
+    with pytest.raises(Exception, match="miss values in some channels"):
+        fit.fit_overlap(x, holes).count()
+    alone = {(r["col_id"], r["basis_id"]): r["beta"] for r in fit.fit_overlap(x, holes, channels=[1]).collect()}
+    assert alone[0, 4] == pytest.approx(3.0 * simulate.kernel("hanning", 6)[2], abs=1e-6)
+    gap = e.withColumn("u", F.when(F.col("event_index") % 9 == 0, None).otherwise(F.col("u")))
+    with pytest.raises(Exception, match="misses a covariate"):
+        expand.sticks(expand.single(design(gap, ["y~1+u"], [["a"]]).long()), -2, 10, 1000).count()
+    with pytest.raises(ValueError, match="no formula has"):
+        design(e, "y~1+u", ["a"], categorical={"grp": ["x", "y"]})
+
+
+def test_partial_r2_is_the_difference(model):
+    e, s, d, x = model
+    stats = fit.statistics(x, s.withColumn("fold", F.lit(0)), fold="fold")
+    keep = np.array([c != 1 for c, _ in stats.keys])
+    n, gram, cross, total, squares, columns = stats.total()
+    beta = np.linalg.pinv(gram[np.ix_(keep, keep)]) @ cross[keep]
+    rss = squares - 2 * (beta * cross[keep]).sum(0) + np.einsum("pc,pq,qc->c", beta, gram[np.ix_(keep, keep)], beta)
+    got = {(r[1], r[2]): r[3] for r in postfit.model_fit(stats, d, "partialR2", ["u"])}
+    assert got[1, "u"] == pytest.approx(1 - (1 - rss[0] / (squares[0] - total[0] ** 2 / n)), abs=1e-8)
+    dense = x.groupBy("col_id", "basis_id").agg(F.sum("v").alias("v")).collect()
+    at = {k: i for i, k in enumerate(stats.keys)}
+    assert all(columns[at[r["col_id"], r["basis_id"]]] == pytest.approx(r["v"]) for r in dense)
+
+
+def test_folds_of_equal_numbers_of_modelled_samples(model, spark):
+    e, s, _, x = model
+    got = postfit.folds(s.where("channel = 1"), e, n=4, method="equalEntries", modelled=x)
+    rows = got.join(x.select("recording_id", "t").distinct(), ["recording_id", "t"], "left_semi").groupBy("recording_id", "fold").count().collect()
+    assert len(rows) == 8 and all(abs(r["count"] - sum(q["count"] for q in rows if q["recording_id"] == r["recording_id"]) / 4) <= 1 for r in rows)
+    assert got.count() == s.where("channel = 1").count()
+    with pytest.raises(ValueError, match="modelled samples"):
+        postfit.folds(s, e, "a", modelled=x, allow_overlap=False)
+    assert postfit.folds(s, e, ["a", "b"]).select("fold").distinct().count() > 50

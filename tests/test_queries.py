@@ -13,7 +13,7 @@ import __spark_entry__
 from kernelweave.plans import catalog
 
 ROOT = Path(__file__).resolve().parents[1]
-SOME = ["model_events", "design_reference", "design_effects", "hazen_quantiles", "expand_sticks", "overlap_fit", "epoch_fit", "merge_intervals", "exclude_intervals", "artefact_amplitude"]
+SOME = ["gram", "expand_splines", "impute_marginal", "model_r2", "model_partial_r2", "model_cv_partial_r2", "tidy_export", "artefact_bursts", "model_events", "design_reference", "design_effects", "hazen_quantiles", "expand_sticks", "overlap_fit", "epoch_fit", "merge_intervals", "exclude_intervals", "artefact_amplitude"]
 
 
 @pytest.mark.parametrize("name", SOME)
