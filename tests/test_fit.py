@@ -190,7 +190,7 @@ def test_missing_values_are_named(model, spark):
         fit.fit_overlap(x, holes).count()
     alone = {(r["col_id"], r["basis_id"]): r["beta"] for r in fit.fit_overlap(x, holes, channels=[1]).collect()}
     assert alone[0, 4] == pytest.approx(3.0 * simulate.kernel("hanning", 6)[2], abs=1e-6)
-    gap = e.withColumn("u", F.when(F.col("event_index") % 9 == 0, None).otherwise(F.col("u")))
+    gap = e.withColumn("u", F.when(F.col("event_index") % 7 == 0, None).otherwise(F.col("u")))
     with pytest.raises(Exception, match="misses a covariate"):
         expand.sticks(expand.single(design(gap, ["y~1+u"], [["a"]]).long()), -2, 10, 1000).count()
     with pytest.raises(ValueError, match="no formula has"):
