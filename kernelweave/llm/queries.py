@@ -117,5 +117,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: the smallest id that links reach, from link(a, b) in both directions and node(id)
+_COMPONENTS = "reach(id, c) AS (SELECT id, id FROM node UNION SELECT l.a, r.c FROM reach r JOIN link l ON l.b = r.id AND r.c < l.a), least AS (SELECT id, min(c) AS component_id FROM reach GROUP BY id)"
+
+_OP8 = f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+ s AS (SELECT DISTINCT doc_id, shingle FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS shingle FROM w)),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), few AS (SELECT shingle FROM s GROUP BY shingle HAVING count(*) > 1),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN few USING (shingle) JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+ link AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * i >= 85 * (x.n + y.n - i)), node AS (SELECT doc_id AS id FROM documents), {_COMPONENTS}
+ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, component_id = d.doc_id AS kept FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN least ON least.id = d.doc_id"""
+
+_OP9 = f"""WITH RECURSIVE e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+ link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.9), node AS (SELECT vec_id AS id FROM embeddings), {_COMPONENTS}
+ SELECT vec_id, (SELECT count(*) FROM link WHERE link.a = vec_id) AS n_links, component_id, component_id = vec_id AS kept FROM embeddings JOIN least ON least.id = vec_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_minhash": _OP8, "op9_forest": _OP9}
