@@ -204,8 +204,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     # full sets of all members of such buckets; texts meet their ids by a shuffle at any size
     some = reps.select("doc_id", "digest").join(buckets.select("doc_id").distinct(), "doc_id", "left_semi")
     sets = docs.join(some.hint("merge"), "doc_id").select("doc_id", "text", "digest").mapInArrow(_sets, "doc_id bigint, shingles array<bigint>")
-    set_table = written(sets, "sets")
-    sets = set_table.dropDuplicates(["doc_id"])
+    # written without repeated rows, so that nothing stands between the joins' shuffles and a hot id can be split
+    sets = written(sets.dropDuplicates(["doc_id"]), "sets")
     stars = buckets.where("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
     sig = reps.select("doc_id", "signature")
     pairs = stars.join(sig.withColumnsRenamed({"doc_id": "b", "signature": "sb"}), "b").join(sig.withColumnsRenamed({"doc_id": "a", "signature": "sa"}), "a").select("a", "b", "sa", "sb")
@@ -224,7 +224,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         more = written(groups.groupBy("bucket", "i", "j").applyInPandas(between(threshold_percent, limits), "a bigint, b bigint"), "links")
         found = components(links.union(more))
         forget(more)
-    forget(links, members, set_table, reps)
+    forget(links, members, sets, reps)
     return labelled(signed, classes, found)
 
 

@@ -256,6 +256,8 @@ def _spans(docs: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
     keys = written(asked.mapInArrow(_anchored(min_words), schema), "keys")
     forget(prints, gone)
     firsts = keys.groupBy("key").agg(F.min(F.struct("masked", "doc_id", "of_text", "pos", "place", "before", "after")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    # a very common passage is one key, which the join can split only if both its sides are plain tables
+    firsts = written(firsts, "firsts")
     # the SPAN words from the first one of the same text are part of it
     elsewhere, room = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("of_text") != F.col("first.of_text")), F.col("pos") - F.col("first.pos") - SPAN
     hits = keys.join(firsts, "key").where(elsewhere | (room >= 0)).withColumn("b", F.least(_alike("before", "first.before"), F.when(~elsewhere, room)))
@@ -323,8 +325,8 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     some = buckets.select("digest").distinct().join(classes, "digest").groupBy("first.doc_id", "first.of_text").agg(F.collect_list(F.struct(F.col("first.place").alias("place"), "digest")).alias("wanted"))
     # texts meet their ids by a shuffle at any size
     sets = docs.join(some.hint("merge"), ["doc_id", "of_text"]).select("text", "wanted").mapInArrow(_sets(min_words), "digest binary, shingles array<bigint>")
-    set_table = written(sets, "sets")
-    sets = set_table.dropDuplicates(["digest"])
+    # written without repeated rows, so that nothing stands between the joins' shuffles and a hot digest can be split
+    sets = written(sets.dropDuplicates(["digest"]), "sets")
     stars = buckets.where("digest <> lead").select(F.col("lead").alias("a"), F.col("digest").alias("b")).distinct()
     both = stars.join(sets.withColumnsRenamed({"digest": "b", "shingles": "sb"}), "b").join(sets.withColumnsRenamed({"digest": "a", "shingles": "sa"}), "a")
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
@@ -337,7 +339,7 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
         more = written(cells(members, "digest", BLOCK).join(sets, "digest").groupBy("bucket", "i", "j").applyInPandas(between(threshold_percent, key="digest"), "a binary, b binary"), "links")
         found = components(links.union(more))
         forget(more)
-    forget(links, members, set_table)
+    forget(links, members, sets)
     of_class = classes.select("digest", "first", "copies").join(found.withColumnRenamed("id", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     groups = of_class.groupBy("component").agg(F.min("first").alias("first"), F.sum("copies").alias("copies")).where("copies > 1")
     of_class = of_class.select("digest", "component").join(groups, "component")
