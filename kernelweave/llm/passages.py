@@ -43,6 +43,8 @@ SPAN, GRAM = 50, 25
 #: Words between the paragraphs around an anchor, and in each of them: windows that start up to STEP - 1 words before it hold it.
 STEP = 9
 KEY = SPAN - STEP + 1
+#: Places from which on a repeated paragraph is joined apart from the others.
+HOT = 10_000
 
 
 def tuned(threshold: float) -> tuple[int, int]:
@@ -240,6 +242,16 @@ def _alike(a: str, b: str) -> Column:
     return out
 
 
+def _firsts(keys: DataFrame) -> DataFrame:
+    return keys.groupBy("key").agg(F.min(F.struct("masked", "doc_id", "of_text", "pos", "place", "before", "after")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+
+
+def _hits(keys: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Paragraphs with the first place of their key, b: the words before that are alike; the SPAN words from the first one of the same text are part of it."""
+    elsewhere, room = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("of_text") != F.col("first.of_text")), F.col("pos") - F.col("first.pos") - SPAN
+    return keys.join(firsts, "key").where(elsewhere | (room >= 0)).withColumn("b", F.least(_alike("before", "first.before"), F.when(~elsewhere, room)))
+
+
 def _spans(docs: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
     """Rows of repeated_passages for repeated runs of words; lines: its rows of paragraphs."""
     prints = docs.mapInArrow(_prints, "doc_id bigint, of_text bigint, prints array<struct<print:bigint,line:int,p0:int,p1:int>>")
@@ -255,12 +267,13 @@ def _spans(docs: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
     schema = "doc_id bigint, of_text bigint, key bigint, pos int, place int, left0 int, left1 int, masked boolean, short boolean, before array<int>, after array<int>"
     keys = written(asked.mapInArrow(_anchored(min_words), schema), "keys")
     forget(prints, gone)
-    firsts = keys.groupBy("key").agg(F.min(F.struct("masked", "doc_id", "of_text", "pos", "place", "before", "after")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    # a very common passage is one key, which the join can split only if both its sides are plain tables
-    firsts = written(firsts, "firsts")
-    # the SPAN words from the first one of the same text are part of it
-    elsewhere, room = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("of_text") != F.col("first.of_text")), F.col("pos") - F.col("first.pos") - SPAN
-    hits = keys.join(firsts, "key").where(elsewhere | (room >= 0)).withColumn("b", F.least(_alike("before", "first.before"), F.when(~elsewhere, room)))
+    # a very common passage is one key: its first place is a small table, which its rows meet where they are
+    hot = written(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key"), "hot")
+    if hot.isEmpty():
+        hits = _hits(keys, _firsts(keys))
+    else:
+        common, rest = keys.join(hot, "key", "left_semi"), keys.join(hot, "key", "left_anti")
+        hits = _hits(common, written(_firsts(common), "firsts")).unionByName(_hits(rest, _firsts(rest)))
     hits = hits.select("doc_id", "of_text", "pos", "place", "left0", "left1", "short", "copies", "key", F.col("first.doc_id").alias("f"), F.col("first.place").alias("g"), "b", _alike("after", "first.after").alias("a"))
     order = W.partitionBy("doc_id", "of_text").orderBy("pos")
     to = F.max(F.col("pos") + KEY + F.col("a")).over(order.rowsBetween(W.unboundedPreceding, -1))

@@ -201,7 +201,9 @@ def test_doubling_words_are_told_apart(spark, n):
     assert passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
 
 
-def test_runs_of_words_are_brute_force(spark):
+@pytest.mark.parametrize("hot", [10_000, 3])
+def test_runs_of_words_are_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(passages, "HOT", hot)
     rng = random.Random(12)
     shared = [[f"p{k}_{i}" for i in range(rng.randint(50, 160))] for k in range(12)]
     docs = []
