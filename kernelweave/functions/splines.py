@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kernelweave.functions.sql import custom_basis
 from kernelweave.plans.formula import Spline
 
 
@@ -90,6 +91,9 @@ def columns(x: Column, kind: str, knots: np.ndarray, bounds: tuple[float, float]
 
 
 def basis(spline: Spline, knots: list[np.ndarray]) -> list[Column]:
+    if spline.function:
+        every = custom_basis(F.col(spline.variables[0]).cast("double"), spline.function, knots[0].tolist())
+        return [every[i] for i in range(evaluate(spline, knots, knots[0]).shape[1])]
     if spline.kind != "2d":
         return columns(F.col(spline.variables[0]).cast("double"), spline.kind, knots[0], spline.bounds)
     first, second = (columns(F.col(v).cast("double"), "default", k) for v, k in zip(spline.variables, knots, strict=True))
@@ -98,6 +102,8 @@ def basis(spline: Spline, knots: list[np.ndarray]) -> list[Column]:
 
 def evaluate(spline: Spline, knots: list[np.ndarray], *x: np.ndarray) -> np.ndarray:
     """The basis at values, for tests and prediction grids."""
+    if spline.function:
+        return np.asarray(spline.function(np.asarray(x[0], float), knots[0]), float)
     if spline.kind == "circular":
         return circular_values(x[0], knots[0], spline.bounds)
     if spline.kind == "default":

@@ -15,6 +15,26 @@ def no_nan(x: Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+#: Ranges of values that running sums over a whole table are dealt to.
+TILES = 64
+
+
+def tiled(df: DataFrame, x: str) -> DataFrame:
+    """df with _tile: ranges of x with about as many rows each, from approximate quantiles of the same plan (one row of TILES numbers)."""
+    edges = df.agg(F.percentile_approx(F.col(x).cast("double"), [i / TILES for i in range(1, TILES)], 1000).alias("_edges"))
+    return df.crossJoin(F.broadcast(edges)).withColumn("_tile", F.size(F.filter("_edges", lambda e: e < F.col(x)))).drop("_edges")
+
+
+def running(df: DataFrame, x: str, amount: str) -> DataFrame:
+    """df with _to, the sum of amount up to each x (distinct values), and _all, of all rows: ranges apart, then what stands before each."""
+    t = tiled(df, x)
+    sums = t.groupBy("_tile").agg(F.sum(amount).alias("_sum"))
+    order = W.partitionBy(F.lit(0)).orderBy("_tile")  # at most TILES rows
+    sums = sums.select("_tile", (F.sum("_sum").over(order) - F.col("_sum")).alias("_before"), F.sum("_sum").over(W.partitionBy(F.lit(0))).alias("_all"))
+    inside = F.sum(amount).over(W.partitionBy("_tile").orderBy(x))
+    return t.withColumn("_in", inside).join(F.broadcast(sums), "_tile").withColumn("_to", F.col("_before") + F.col("_in")).drop("_tile", "_in", "_before")
+
+
 def hazen(df: DataFrame, value: str, ps: list[float], by: list[str] | None = None) -> DataFrame:
     """(by.., p, q): quantiles with midpoint interpolation at rank n p + 1/2.
 
@@ -23,8 +43,8 @@ def hazen(df: DataFrame, value: str, ps: list[float], by: list[str] | None = Non
     """
     by = by or []
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_x")).agg(F.count("*").alias("_n"))
-    w = W.partitionBy(*[F.col(b) for b in by]) if by else W.partitionBy(F.lit(0))
-    ranked = counts.withColumn("_to", F.sum("_n").over(w.orderBy("_x"))).withColumn("_all", F.sum("_n").over(w))
+    w = W.partitionBy(*[F.col(b) for b in by])
+    ranked = counts.withColumn("_to", F.sum("_n").over(w.orderBy("_x"))).withColumn("_all", F.sum("_n").over(w)) if by else running(counts, "_x", "_n")
     wanted = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), F.greatest(F.lit(1.0), F.least(F.col("_all").cast("double"), F.col("_all") * F.lit(float(p)) + 0.5)).alias("r")) for p in ps]))
     hits = ranked.select(*by, "_x", "_n", "_to", wanted.alias("_w")).select(*by, "_x", (F.col("_to") - F.col("_n")).alias("_from"), "_to", "_w.p", "_w.r")
     low = F.when((F.col("_from") < F.floor("r")) & (F.floor("r") <= F.col("_to")), F.col("_x"))

@@ -7,6 +7,7 @@ covariates stay null until imputed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -170,6 +171,9 @@ def _short(peak: tuple[float, ...]) -> str:
 
 def _peaks(fit: SplineFit) -> list[tuple[float, ...]]:
     """Where each basis function is largest."""
+    if fit.spec.function:
+        g = np.linspace(fit.knots[0].min(), fit.knots[0].max(), 401)
+        return [(float(v),) for v in g[sp.evaluate(fit.spec, fit.knots, g).argmax(0)]]
     grids = [np.linspace(k[0], k[-1], 401)[: 400 if fit.spec.kind == "circular" else 401] for k in fit.knots]
     one = [sp.circular_values(g, k, fit.spec.bounds) if fit.spec.kind == "circular" else sp.cubic_values(g, k) for g, k in zip(grids, fit.knots, strict=True)]
     tops = [g[b.argmax(0)] for g, b in zip(grids, one, strict=True)]
@@ -203,6 +207,31 @@ def _spline(events: DataFrame, s: Spline, spacing: str, given: dict[str, list[fl
     return SplineFit(s.name, s, knots, int(sp.evaluate(s, knots, *centre)[0].argmax()))
 
 
+def add_spline(d: Design, variable: str, event_types: list[str], function: Callable, knots: list[float] | None = None, n: int | None = None, name: str | None = None) -> Design:
+    """The design with one more basis over a variable: function(values, knots) gives rows of functions.
+
+    Knots are given, or n of them stand at quantiles. The function that is largest at the value next to the mean goes, as for other splines.
+    """
+    if (knots is None) == (n is None):
+        raise ValueError("knots or their number")
+    types = tuple(event_types)
+    x = d.events.where(F.col("type").isin(*types)).select(no_nan(F.col(variable).cast("double")).alias("x"))
+    at = np.array(knots if knots is not None else quantiles(x, "x", np.linspace(0, 1, n).tolist()), float)
+    mean = x.agg(F.avg("x")).first()[0]
+    if mean is None or not len(at):
+        raise ValueError(f"{variable} has no value")
+    near = x.where("x is not null").agg(F.min_by("x", F.abs(F.col("x") - F.lit(float(mean))))).first()[0]
+    label = name or variable
+    if label in {c.variable for c in d.columns}:
+        raise ValueError(f"the design has {label} already")
+    spec = Spline("custom", (variable,), len(at), None, function)
+    fit = SplineFit(label, spec, [at], int(sp.evaluate(spec, [at], np.array([near]))[0].argmax()))
+    peaks = _peaks(fit)
+    parts = [(f"{label}_{_short(peaks[i])}", c, peaks[i][0]) for i, c in enumerate(sp.basis(spec, [at])) if i != fit.dropped]
+    more = [DesignColumn(len(d.columns) + k, text, label, "spline", types, c, value) for k, (text, c, value) in enumerate(parts)]
+    return replace(d, columns=[*d.columns, *more], splines={**d.splines, label: fit})
+
+
 def impute(long: DataFrame, method: str = "median", seed: int = 1) -> DataFrame:
     """Fills missing x of each column: mean, median, marginal (a seeded draw of its values), or drop (all rows of the event)."""
     if method == "drop":

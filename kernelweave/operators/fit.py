@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import warnings
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kernelweave.operators import lsmr
 from kernelweave.operators.expand import known
 
 
@@ -33,12 +35,14 @@ class Statistics:
         return 0, np.zeros((p, p)), np.zeros((p, c)), np.zeros(c), np.zeros(c), np.zeros(p)
 
 
-def _cells(p: int, c: int, tile: int, width: int):
-    """For a tile: dense blocks of BLOCK samples, their products added up."""
+def _cells(c: int):
+    """For a tile: dense blocks of samples, their products added up. Columns go by their codes; fold -1 names all of them."""
     block = 4096
 
     def run(key, xs: pd.DataFrame, ys: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        codes, place = np.unique(xs["k"].to_numpy(np.int64), return_inverse=True)
+        p = len(codes)
+        out = [pd.DataFrame({"fold": -1, "what": 0, "i": codes, "j": codes, "v": 0.0})]
         for fold, y in ys.groupby("fold"):
             t, inverse = np.unique(y["t"].to_numpy(), return_inverse=True)
             values = np.full((len(t), c), np.nan)
@@ -46,7 +50,7 @@ def _cells(p: int, c: int, tile: int, width: int):
             n, gram, cross, total, squares, columns = 0, np.zeros((p, p)), np.zeros((p, c)), np.zeros(c), np.zeros(c), np.zeros(p)
             row = np.searchsorted(t, xs["t"].to_numpy())
             ok = (row < len(t)) & (t[np.minimum(row, len(t) - 1)] == xs["t"].to_numpy())
-            row, col, v = row[ok], xs["k"].to_numpy()[ok], xs["v"].to_numpy()[ok]
+            row, col, v = row[ok], place[ok], xs["v"].to_numpy()[ok]
             used = np.unique(row)  # samples without any event tell nothing
             if np.isnan(values[used]).any():
                 raise ValueError(f"recording {key[0]}: modelled samples miss values in some channels; fill them, exclude their times or fit the channels apart")
@@ -60,11 +64,11 @@ def _cells(p: int, c: int, tile: int, width: int):
                 n, gram, cross, total, squares, columns = n + len(some), gram + x.T @ x, cross + x.T @ yy, total + yy.sum(0), squares + (yy * yy).sum(0), columns + x.sum(0)
             i, j = np.nonzero(gram)
             k, m = np.nonzero(cross)
-            out.append(pd.DataFrame({"fold": fold, "what": 0, "i": i, "j": j, "v": gram[i, j]}))
-            out.append(pd.DataFrame({"fold": fold, "what": 1, "i": k, "j": m, "v": cross[k, m]}))
-            for what, a in ((2, total), (3, squares), (4, np.array([float(n)])), (5, columns)):
-                out.append(pd.DataFrame({"fold": fold, "what": what, "i": 0, "j": np.arange(len(a)), "v": a}))
-        return pd.concat(out) if out else pd.DataFrame({"fold": [], "what": [], "i": [], "j": [], "v": []})
+            out.append(pd.DataFrame({"fold": fold, "what": 0, "i": codes[i], "j": codes[j], "v": gram[i, j]}))
+            out.append(pd.DataFrame({"fold": fold, "what": 1, "i": codes[k], "j": m, "v": cross[k, m]}))
+            for what, j, a in ((2, np.arange(c), total), (3, np.arange(c), squares), (4, np.zeros(1, int), np.array([float(n)])), (5, codes, columns)):
+                out.append(pd.DataFrame({"fold": fold, "what": what, "i": 0, "j": j, "v": a}))
+        return pd.concat(out)
 
     return run
 
@@ -79,24 +83,27 @@ def statistics(xdc: DataFrame, samples: DataFrame, channels: list[int] | None =
     if channels is not None:
         samples = samples.where(F.col("channel").isin(*channels))
     names = [r[0] for r in samples.select("channel").distinct().orderBy("channel").collect()]
-    keys = [(r[0], r[1]) for r in xdc.select("col_id", "basis_id").distinct().orderBy("col_id", "basis_id").collect()]
-    if not keys or not names:
-        return Statistics(keys, names, {})
+    if not names:
+        return Statistics([], names, {})
     spark = xdc.sparkSession
-    number = spark.createDataFrame([(c, b, i) for i, (c, b) in enumerate(keys)], "col_id int, basis_id int, k int")
     channel = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "channel int, c int")
     part = [F.col("recording_id").alias("rec"), F.floor(F.col("t") / tile).alias("tile")]
-    xs = xdc.join(F.broadcast(number), ["col_id", "basis_id"]).select(*part, "t", "k", "v")
+    # the model's columns come out of the same pass as their products
+    xs = xdc.select(*part, "t", (F.shiftleft(F.col("col_id").cast("long"), 32) + F.col("basis_id") + 1).alias("k"), "v")
     ys = samples.join(F.broadcast(channel), "channel").select(*part, "t", "c", "y", (F.col(fold).cast("int") if fold else F.lit(0)).alias("fold"))
-    cells = xs.groupBy("rec", "tile").cogroup(ys.groupBy("rec", "tile")).applyInPandas(_cells(len(keys), len(names), tile, 0), "fold int, what int, i int, j int, v double")
-    out = Statistics(keys, names, {})
+    cells = xs.groupBy("rec", "tile").cogroup(ys.groupBy("rec", "tile")).applyInPandas(_cells(len(names)), "fold int, what int, i long, j long, v double")
     sums = cells.groupBy("fold", "what", "i", "j").agg(F.sum("v").alias("v")).toPandas()  # at most p x (p + channels) a fold
-    for f, g in sums.groupby("fold"):
+    codes = np.unique(sums.loc[sums["what"] == 0, "i"].to_numpy(np.int64))
+    out = Statistics([(int(k >> 32), int(k & 0xFFFFFFFF) - 1) for k in codes], names, {})
+    if not len(codes):
+        return out
+    for f, g in sums[sums["fold"] >= 0].groupby("fold"):
         _, gram, cross, total, squares, columns = out.empty()
         n = np.zeros(1)
         for what, into in ((0, gram), (1, cross), (2, total[None]), (3, squares[None]), (4, n[None]), (5, columns[None])):
             some = g[g["what"] == what]
-            into[some["i"].to_numpy(), some["j"].to_numpy()] = some["v"].to_numpy()
+            i, j = some["i"].to_numpy(np.int64), some["j"].to_numpy(np.int64)
+            into[np.searchsorted(codes, i) if what < 2 else i, np.searchsorted(codes, j) if what in (0, 5) else j] = some["v"].to_numpy()
         out.folds[int(f)] = (int(round(n[0])), gram, cross, total, squares, columns)
     return out
 
@@ -111,8 +118,8 @@ def gram_by_join(xdc: DataFrame) -> DataFrame:
 def solve(gram: np.ndarray, cross: np.ndarray, method: str = "normal", ridge: float = 0.0, iterations: int = 400, tol: float = 1e-8) -> tuple[np.ndarray, int]:
     """(coefficients, iterations) after scaling columns to norm 1; columns of zeros get 0.
 
-    normal: Cholesky, or the minimum norm where that fails; pinv: minimum norm; lsmr (lsqr, par-lsmr):
-    conjugate gradients, which like those stop at a tolerance or after a number of steps.
+    normal: Cholesky, or the minimum norm where that fails; pinv: minimum norm; cg (lsmr and lsqr, where only
+    products are at hand): conjugate gradients, which stop at a tolerance or after a number of steps.
     """
     norm = np.sqrt(np.diag(gram))
     use = norm > 0
@@ -120,7 +127,7 @@ def solve(gram: np.ndarray, cross: np.ndarray, method: str = "normal", ridge: fl
     a = gram / np.outer(scale, scale) + ridge * np.eye(len(gram))
     b = cross / scale[:, None]
     steps = 0
-    if method in ("lsmr", "lsqr", "par-lsmr"):
+    if method in ("cg", "lsmr", "lsqr", "par-lsmr"):
         x, r = np.zeros_like(b), b.copy()
         d, rr = r.copy(), (r * r).sum(0)
         first = np.sqrt(rr)
@@ -232,8 +239,22 @@ def coefficients(spark, stats: Statistics, beta: np.ndarray, method: str) -> Dat
     return spark.createDataFrame(rows, "channel int, col_id int, basis_id int, beta double, method string")
 
 
+def beta_sets(**sets: DataFrame) -> DataFrame:
+    """Several tables of coefficients as one, told apart by the column set; condense and predict keep it."""
+    return reduce(DataFrame.unionByName, [c.withColumn("set", F.lit(name)) for name, c in sets.items()])
+
+
 def fit_overlap(xdc: DataFrame, samples: DataFrame, method: str = "normal", channels: list[int] | None = None, **kw) -> DataFrame:
-    """(channel, col_id, basis_id, beta, method): kernels of all columns at once, overlap corrected."""
+    """(channel, col_id, basis_id, beta, method): kernels of all columns at once, overlap corrected.
+
+    lsmr, lsqr and par-lsmr work on the sparse rows, all channels in each pass (tol, iterations, damp, limit);
+    the other methods on X'X. One that stops early warns.
+    """
+    if method in ("lsmr", "lsqr", "par-lsmr"):
+        keys, names, found = lsmr.fit(xdc, samples, channels, **kw)
+        if not found.converged:
+            warnings.warn(f"{method} stopped after {found.steps} steps: {dict(zip(names, found.status, strict=True))}", stacklevel=2)
+        return coefficients(xdc.sparkSession, Statistics(keys, names, {}), found.x, method)
     stats = statistics(xdc, samples, channels)
     if not stats.folds:
         return coefficients(xdc.sparkSession, Statistics([], [], {}), np.zeros((0, 0)), method)

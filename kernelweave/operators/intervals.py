@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,12 +30,20 @@ def runs(mask: DataFrame, by: str = BY) -> DataFrame:
     return t.withColumn("_g", F.col("t") - F.row_number().over(w)).groupBy(by, "_g").agg(F.min("t").alias("start_t"), F.max("t").alias("end_t")).drop("_g")
 
 
-def amplitude(samples: DataFrame, srate: float, threshold: float = 150.0, window_ms: float = 2000.0, step_ms: float = 100.0, combine_ms: float | None = None, channels: list[int] | None = None, chunk: int = 100_000) -> DataFrame:
+def eye_channels(labels: dict[int, str] | None, channels: list[int] | None = None) -> list[int]:
+    """Channels, of those given or of all, that labels name as eyes or pupils."""
+    return sorted(c for c, name in (labels or {}).items() if (channels is None or c in channels) and any(w in name for w in ("Eye", "EYE", "Pupil")))
+
+
+def amplitude(samples: DataFrame, srate: float, threshold: float = 150.0, window_ms: float = 2000.0, step_ms: float = 100.0, combine_ms: float | None = None, channels: list[int] | None = None, chunk: int = 100_000, labels: dict[int, str] | None = None) -> DataFrame:
     """Windows in which any channel's peak-to-peak passes the threshold, merged.
 
     A window spans window_ms less one sample and starts on a grid of step_ms. Long recordings
     are cut into chunks with the window's length of samples in common, so no task holds a recording.
+    Warns of channels that labels {channel: name} name as eyes or pupils.
     """
+    if eyes := eye_channels(labels, channels):
+        warnings.warn(f"eye channels take part: {eyes}", stacklevel=2)
     width, step = int(window_ms * srate / 1000) - 1, max(1, int(step_ms * srate / 1000))
     if channels is not None:
         samples = samples.where(F.col("channel").isin(*channels))
@@ -48,12 +58,14 @@ def amplitude(samples: DataFrame, srate: float, threshold: float = 150.0, window
     return merge(hits, int((combine_ms or 0) * srate / 1000))
 
 
-def improbable(samples: DataFrame, srate: float, seconds: float = 0.5, local: float = 3.0, overall: float = 3.0, bins: int = 100, robust: bool = True) -> DataFrame:
+def improbable(samples: DataFrame, srate: float, seconds: float = 0.5, local: float = 3.0, overall: float = 3.0, bins: int = 100, robust: bool = True, labels: dict[int, str] | None = None) -> DataFrame:
     """(recording_id, start_t, end_t) of segments whose joint probability is an outlier, on a channel or over all.
 
     Each channel's values are binned; a segment's improbability is the sum of -log p of its
-    samples, standardised over segments (robust: by the middle 80 % of them).
+    samples, standardised over segments (robust: by the middle 80 % of them). Eye channels raise.
     """
+    if eyes := eye_channels(labels):
+        raise ValueError(f"eye channels take part: {eyes}")
     length = max(1, int(srate * seconds))
     s = samples.where("y is not null").withColumn("seg", F.floor((F.col("t") - 1) / length))
     span = s.groupBy("recording_id", "channel").agg(F.min("y").alias("_lo"), F.max("y").alias("_hi"), F.count("*").alias("_all"))
@@ -75,8 +87,10 @@ def improbable(samples: DataFrame, srate: float, seconds: float = 0.5, local: fl
     return bad.join(ends, "recording_id").select("recording_id", (F.col("seg") * length + 1).alias("start_t"), F.least((F.col("seg") + 1) * length, F.col("_last")).alias("end_t"))
 
 
-def bursts(samples: DataFrame, srate: float, cutoff: float = 20.0, seconds: float = 0.5) -> DataFrame:
-    """Runs of segments in which a channel's RMS lies more than cutoff robust deviations above its median."""
+def bursts(samples: DataFrame, srate: float, cutoff: float = 20.0, seconds: float = 0.5, labels: dict[int, str] | None = None) -> DataFrame:
+    """Runs of segments in which a channel's RMS lies more than cutoff robust deviations above its median. Eye channels raise."""
+    if eyes := eye_channels(labels):
+        raise ValueError(f"eye channels take part: {eyes}")
     length = max(1, int(srate * seconds))
     s = samples.withColumn("seg", F.floor((F.col("t") - 1) / length)).groupBy("recording_id", "channel", "seg").agg(F.sqrt(F.avg(F.col("y") * F.col("y"))).alias("rms"), F.min("t").alias("a"), F.max("t").alias("b"))
     mid = s.groupBy("recording_id", "channel").agg(F.expr("percentile(rms, 0.5)").alias("_m"))
@@ -121,3 +135,24 @@ def epochs(events: DataFrame, samples: DataFrame, lo: int, width: int, intervals
     e = e.withColumn("_lat", F.round("latency").cast("long")).join(ends, "recording_id").where((F.col("_lat") + lo >= 1) & (F.col("_lat") + lo + width - 1 <= F.col("_last")))
     cut = e.select("recording_id", "event_index", "type", "_lat", F.explode(F.sequence(F.lit(lo), F.lit(lo + width - 1))).alias("lag")).withColumn("t", F.col("_lat") + F.col("lag"))
     return cut.join(samples.select("recording_id", "t", "channel", "y"), ["recording_id", "t"]).select("recording_id", "event_index", "type", "lag", "channel", "y")
+
+
+def first_at_a_time(events: DataFrame, key: str | None = None) -> DataFrame:
+    """Of events at the same sample (or with the same key) of a recording the first in table order, so that no epoch comes twice."""
+    at = F.col(key) if key else F.round("latency").cast("long")
+    return events.withColumn("_k", F.row_number().over(W.partitionBy("recording_id", at).orderBy("event_index"))).where("_k = 1").drop("_k")
+
+
+def event_in_epoch(events: DataFrame, others: DataFrame, lo: int, width: int, value: str = "latency", last: bool = False, tile: int = 1024) -> DataFrame:
+    """(recording_id, event_index, found): value of the first (or last) of others inside each event's epoch, null where none is.
+
+    The latency is told from the event's own.
+    """
+    e = events.select("recording_id", "event_index", F.round("latency").cast("long").alias("_lat"))
+    asked = e.withColumn("_tile", F.explode(F.sequence(F.floor((F.col("_lat") + lo) / tile), F.floor((F.col("_lat") + lo + width - 1) / tile))))
+    o = others.select(F.col("recording_id").alias("_r"), F.col("event_index").alias("_i"), F.round("latency").cast("long").alias("_at"), F.col(value).alias("_v"))
+    on = (F.col("recording_id") == F.col("_r")) & (F.col("_tile") == F.floor(F.col("_at") / tile)) & F.col("_at").between(F.col("_lat") + lo, F.col("_lat") + lo + width - 1)
+    told = F.col("_v") - F.col("_lat") if value == "latency" else F.col("_v")
+    pick = F.max_by if last else F.min_by
+    hits = asked.join(o, on).groupBy("recording_id", "event_index").agg(pick(told, F.struct("_at", "_i")).alias("found"))
+    return e.drop("_lat").join(hits, ["recording_id", "event_index"], "left")

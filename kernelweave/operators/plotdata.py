@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kernelweave.functions.stats import hazen, trimmed_mean
+from kernelweave.functions.stats import hazen, running, trimmed_mean
 
 
 def baseline(curves: DataFrame, lo_s: float, hi_s: float, keys: list[str]) -> DataFrame:
@@ -23,6 +23,27 @@ def with_intercept(curves: DataFrame, metadata: DataFrame) -> DataFrame:
     return c.join(base, ["channel", "lag", "set"], "left").withColumn("beta", F.when(F.col("kind") == "intercept", F.col("beta")).otherwise(F.col("beta") + F.coalesce("_b", F.lit(0.0)))).drop("_b")
 
 
+def curve_table(curves: DataFrame, metadata: DataFrame, window_s: tuple[float, float] | None = None, add_intercept: bool = False) -> DataFrame:
+    """(event, predictor, value, label, channel, time_s, beta [, set]): all curves as one table, less their mean over window_s, with or without their set's intercept."""
+    sets = ["set"] if "set" in curves.columns else []
+    c = baseline(curves, *window_s, ["channel", "col_id", *sets]) if window_s else curves
+    m = F.broadcast(metadata.select("col_id", "name", "kind", "variable", "value", F.array_join(F.array_sort("event_types"), " ").alias("event")))  # one row for each model column
+    c = c.join(m, "col_id")
+    if add_intercept:
+        base = c.where("kind = 'intercept'").select("channel", "lag", "event", *sets, F.col("beta").alias("_b"))
+        c = c.join(base, ["channel", "lag", "event", *sets], "left").withColumn("beta", F.col("beta") + F.when(F.col("kind") == "intercept", 0.0).otherwise(F.coalesce("_b", F.lit(0.0))))
+    return c.select("event", F.col("variable").alias("predictor"), "value", F.col("name").alias("label"), "channel", "time_s", "beta", *sets)
+
+
+def display_window(xdc: DataFrame, events: DataFrame, srate: float, seconds: float = 60.0) -> DataFrame:
+    """xdc within seconds / 2 of the middle event of each recording (of the times of its events), for a picture of it."""
+    from kernelweave.operators.postfit import _ranked
+
+    times = _ranked(events.select("recording_id", F.round("latency").cast("long").alias("t")))
+    middle = times.where(F.col("place") == F.greatest(F.round(F.col("of") / 2) - 1, F.lit(0))).select("recording_id", F.col("t").alias("_mid"))
+    return xdc.join(middle, "recording_id").where(F.abs(F.col("t") - F.col("_mid")) < F.lit(seconds * srate / 2)).drop("_mid")
+
+
 def image(predicted: DataFrame, variable: str) -> DataFrame:
     """value x lag cells of one variable."""
     return predicted.where(F.col("variable") == variable).groupBy("channel", "value", "lag").agg(F.avg("beta").alias("beta"))
@@ -96,9 +117,12 @@ def insert_rows(df: DataFrame, new: DataFrame, order: str, after: str) -> DataFr
     a = df.withColumn("_o", F.col(order).cast("double"))
     b = new.withColumn("_o", F.col(after) + 0.5).drop(after)
     both = a.drop(order).unionByName(b, allowMissingColumns=True)
-    keys = [c for c in ("recording_id",) if c in both.columns]
-    w = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy("_o")
-    return both.withColumn(order, F.row_number().over(w)).drop("_o")
+    if "recording_id" in both.columns:
+        return both.withColumn(order, F.row_number().over(W.partitionBy("recording_id").orderBy("_o"))).drop("_o")
+    # rows of one place: those before it, and their own order
+    places = running(both.groupBy("_o").agg(F.count("*").alias("_n")), "_o", "_n").select("_o", (F.col("_to") - F.col("_n")).alias("_first"))
+    mine = F.row_number().over(W.partitionBy("_o").orderBy(*[c for c in both.columns if c != "_o"]))
+    return both.withColumn("_k", mine).join(places, "_o").withColumn(order, (F.col("_first") + F.col("_k")).cast("int")).drop("_o", "_k", "_first")
 
 
 def merge_events(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -110,5 +134,4 @@ def weighted_auc(df: DataFrame, score: str, label: str, weight: str) -> DataFram
     """(auc): the weighted chance that a positive scores above a negative; ties count half. From sums by distinct score."""
     w = F.col(weight).cast("double")
     s = df.groupBy(F.col(score).alias("_s")).agg(F.sum(F.when(F.col(label) == 1, w).otherwise(0.0)).alias("p"), F.sum(F.when(F.col(label) == 0, w).otherwise(0.0)).alias("n"))
-    below = F.coalesce(F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    return s.withColumn("_b", below).agg((F.sum(F.col("p") * (F.col("_b") + F.col("n") / 2)) / (F.sum("p") * F.sum("n"))).alias("auc"))
+    return running(s.where("_s is not null"), "_s", "n").withColumn("_b", F.col("_to") - F.col("n")).agg((F.sum(F.col("p") * (F.col("_b") + F.col("n") / 2)) / (F.sum("p") * F.sum("n"))).alias("auc"))

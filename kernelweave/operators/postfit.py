@@ -14,11 +14,15 @@ from kernelweave.operators.expand import basis_table
 from kernelweave.operators.fit import Statistics, solve
 
 
+def _set(df: DataFrame) -> list[str]:
+    return ["set"] if "set" in df.columns else []
+
+
 def condense(coefs: DataFrame, basis: np.ndarray, lo: int, srate: float, mass_univariate: bool = False) -> DataFrame:
     """(channel, col_id, lag, time_s, beta): coefficients of a time basis turned into curves."""
     b = basis_table(coefs.sparkSession, np.linalg.pinv(basis).T if mass_univariate else basis)
-    out = coefs.join(F.broadcast(b), coefs["basis_id"] == b["function"]).groupBy("channel", "col_id", F.col("lag").alias("_l")).agg(F.sum(F.col("beta") * F.col("w")).alias("beta"))
-    return out.select("channel", "col_id", (F.col("_l") + lo).alias("lag"), ((F.col("_l") + lo) / F.lit(float(srate))).alias("time_s"), "beta")
+    out = coefs.join(F.broadcast(b), coefs["basis_id"] == b["function"]).groupBy("channel", "col_id", *_set(coefs), F.col("lag").alias("_l")).agg(F.sum(F.col("beta") * F.col("w")).alias("beta"))
+    return out.select("channel", "col_id", *_set(coefs), (F.col("_l") + lo).alias("lag"), ((F.col("_l") + lo) / F.lit(float(srate))).alias("time_s"), "beta")
 
 
 def grid(design: Design, at: dict[str, list[float]] | None = None, method: str = "quantile", n: int = 10) -> list[tuple[int, str, str, list[str], float | None, float | None, float]]:
@@ -59,7 +63,7 @@ def predict(curves: DataFrame, design: Design, at: dict[str, list[float]] | None
     """(channel, variable, kind, event_types, value, value2, lag, time_s, beta) at values of continuous variables and splines."""
     rows = grid(design, at, method, n)
     g = curves.sparkSession.createDataFrame(rows, "col_id int, variable string, kind string, event_types array<string>, value double, value2 double, weight double")
-    out = curves.join(F.broadcast(g), "col_id").groupBy("channel", "variable", "kind", "event_types", "value", "value2", "lag", "time_s")
+    out = curves.join(F.broadcast(g), "col_id").groupBy("channel", *_set(curves), "variable", "kind", "event_types", "value", "value2", "lag", "time_s")
     return out.agg(F.sum(F.col("beta") * F.col("weight")).alias("beta"))
 
 
@@ -87,10 +91,11 @@ def marginal(predicted: DataFrame, curves: DataFrame, design: Design, kind: str
             weights = np.delete(sp.evaluate(fit.spec, fit.knots, *centre)[0], fit.dropped)
         rows += [(c.col_id, name, list(c.event_types), float(w)) for c, w in zip(cols, weights, strict=True)]
     m = curves.sparkSession.createDataFrame(rows, "col_id int, other string, other_types array<string>, w double")
-    means = curves.join(F.broadcast(m), "col_id").groupBy("channel", "lag", "other", "other_types").agg(F.sum(F.col("beta") * F.col("w")).alias("m"))
-    means = means.withColumnsRenamed({"channel": "_ch", "lag": "_lag"})
+    means = curves.join(F.broadcast(m), "col_id").groupBy("channel", "lag", *_set(curves), "other", "other_types").agg(F.sum(F.col("beta") * F.col("w")).alias("m"))
+    means = means.withColumnsRenamed({"channel": "_ch", "lag": "_lag", "set": "_set"})
     same = F.array_sort("event_types").eqNullSafe(F.array_sort("other_types"))
     on = (F.col("channel") == F.col("_ch")) & (F.col("lag") == F.col("_lag")) & same & (F.col("variable") != F.col("other"))
+    on = on & (F.col("set") == F.col("_set")) if _set(curves) else on
     keys = predicted.columns
     return predicted.join(means, on, "left").groupBy(*[c for c in keys if c != "beta"]).agg((F.first("beta") + F.coalesce(F.sum("m"), F.lit(0.0))).alias("beta"))
 
@@ -181,6 +186,22 @@ def residuals(samples: DataFrame, xdc: DataFrame, coefs: DataFrame) -> DataFrame
     return samples.join(hat, ["recording_id", "t", "channel"], "left").withColumn("y_hat", F.coalesce("y_hat", F.lit(0.0))).withColumn("residual", F.col("y") - F.col("y_hat"))
 
 
+def adjusted(samples: DataFrame, xdc: DataFrame, coefs: DataFrame, keep: list[int] | None = None, remove: list[int] | None = None, add_residuals: bool = False) -> DataFrame:
+    """residuals' columns with y_hat of some columns alone: keep these col_ids, or all but those to remove; add_residuals adds what no column explains."""
+    if keep is not None and remove is not None:
+        raise ValueError("keep or remove, not both")
+    whole = residuals(samples, xdc, coefs)
+    some = coefs if keep is None and remove is None else coefs.where(F.col("col_id").isin(*keep)) if keep is not None else coefs.where(~F.col("col_id").isin(*remove))
+    part = fitted(xdc, some).withColumnRenamed("y_hat", "_part")
+    out = whole.join(part, ["recording_id", "t", "channel"], "left").withColumn("y_hat", F.coalesce("_part", F.lit(0.0))).drop("_part")
+    return out.withColumn("y_hat", F.col("y_hat") + F.col("residual")) if add_residuals else out
+
+
+def own_responses(long: DataFrame, curves: DataFrame) -> DataFrame:
+    """(recording_id, event_index, channel, lag, y_hat): what the model says of each event by itself, without its neighbours' overlap."""
+    return long.join(curves, "col_id").groupBy("recording_id", "event_index", "channel", "lag").agg(F.sum(F.col("x") * F.col("beta")).alias("y_hat"))
+
+
 def single_trials(events: DataFrame, signal: DataFrame, lo: int, width: int, kind: str = "raw", align_to: str | None = None, sort_by: str = "latency", descending: bool = False, split_by: str | None = None) -> DataFrame:
     """(trial, event_index, lag, y [, facet]): epochs of raw, modelled (y_hat) or residual signal, averaged over channels, in order."""
     from kernelweave.operators.intervals import epochs

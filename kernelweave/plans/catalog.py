@@ -225,9 +225,11 @@ def event_histogram(spark, sf_dir):
     return plotdata.histogram(src.model_events(spark, sf_dir), "value")
 
 
-@query()
+@query(f"""WITH {EV}, s AS (SELECT min(value) AS a, max(value) AS b, 1.06 * stddev_samp(value) * power(count(*), -0.2) AS h, count(*) AS n FROM ev WHERE value IS NOT NULL),
+ cells AS (SELECT floor((value - a) / (b - a) * 400) AS cell, avg(value) AS c, count(*) AS w FROM ev, s WHERE value IS NOT NULL GROUP BY 1), points AS (SELECT a + (b - a) * p / 49 AS x, h, n FROM s, (SELECT unnest(range(0, 50)) AS p))
+ SELECT round(x, 6) AS x, round(sum(w * exp(-power((x - c) / h, 2) / 2) / (h * sqrt(2 * pi()))) / n, 6) AS density FROM points, cells GROUP BY x, n""")
 def event_density(spark, sf_dir):
-    return plotdata.density(src.model_events(spark, sf_dir), "value")
+    return plotdata.density(src.model_events(spark, sf_dir), "value").select(_r("x"), _r("density"))
 
 
 # ---- expansion
@@ -599,18 +601,30 @@ def baseline_curves(spark, sf_dir):
     return plotdata.baseline(m, -5.0, 0.0, ["type", "channel"]).select("type", "channel", "lag", _r("beta", 5))
 
 
-@query()
+def _slices() -> list[tuple[int, int, float, float]]:
+    """(col_id, slice, mean, limit) of the known kernels in three slices: of three values the outermost quantiles are the least and the largest."""
+    out = []
+    for i, size in enumerate(v for p in _TRUE.values() for v in (p["1"], p["value"])):
+        means = [size * (_SHAPE[2 * k] + _SHAPE[2 * k + 1]) / 2 for k in range(3)]
+        out += [(i, k, m, max(map(abs, means))) for k, m in enumerate(means)]
+    return out
+
+
+@query(" UNION ALL ".join(f"SELECT {c} AS col_id, 1 AS channel, CAST({k} AS BIGINT) AS slice, round(CAST({m!r} AS DOUBLE), 4) + 0.0 AS beta, round(CAST({limit!r} AS DOUBLE), 4) + 0.0 AS \"limit\"" for c, k, m, limit in _slices()))
 def topographies(spark, sf_dir):
     _, c = _curves(spark, sf_dir)
-    return plotdata.topographies(c, 3).select("col_id", "channel", "slice", _r("beta", 4), _r("limit", 4))
+    return plotdata.topographies(c, 3).select("col_id", "channel", F.col("slice").cast("long"), _r("beta", 4), _r("limit", 4))
 
 
-@query("SELECT l_returnflag, count(*) AS n, 0 AS bad FROM lineitem GROUP BY l_returnflag")
+@query("""WITH p AS (SELECT l_returnflag, l_quantity AS a, l_quantity - 2.0 - l_tax AS b FROM lineitem),
+ r AS (SELECT *, count(*) OVER w AS n, floor(count(*) OVER w * 0.2) AS g, row_number() OVER (PARTITION BY l_returnflag ORDER BY a) AS ra, row_number() OVER (PARTITION BY l_returnflag ORDER BY b) AS rb FROM p WINDOW w AS (PARTITION BY l_returnflag)),
+ m AS (SELECT l_returnflag, avg(a) FILTER (WHERE ra > g AND ra <= n - g) - avg(b) FILTER (WHERE rb > g AND rb <= n - g) AS diff, max(a) FILTER (WHERE ra = g + 1) AS alo, max(a) FILTER (WHERE ra = n - g) AS ahi, max(b) FILTER (WHERE rb = g + 1) AS blo, max(b) FILTER (WHERE rb = n - g) AS bhi FROM r GROUP BY l_returnflag),
+ v AS (SELECT l_returnflag, any_value(n) AS n, any_value(n - 2 * g) AS h, any_value(diff) AS diff, var_samp(least(greatest(a, alo), ahi)) + var_samp(least(greatest(b, blo), bhi)) - 2 * covar_samp(least(greatest(a, alo), ahi), least(greatest(b, blo), bhi)) AS v FROM r JOIN m USING (l_returnflag) GROUP BY l_returnflag)
+ SELECT l_returnflag, n, round(diff, 6) AS diff, round(sqrt(v * (n - 1) / (h * (h - 1))), 7) AS se, CAST(h - 1 AS DOUBLE) AS df FROM v""")
 def yuen_test(spark, sf_dir):
-    """Quantity against itself shifted by noise-free constants: the trimmed difference is that constant."""
+    """Quantity against itself less a constant and the tax."""
     li = src.table(spark, sf_dir, "lineitem").withColumn("other", F.col("l_quantity") - 2.0 - F.col("l_tax"))
-    t = stats.yuen_dependent(li, "l_quantity", "other", ["l_returnflag"])
-    return t.select("l_returnflag", "n", ((F.col("diff") < F.col("lo")) | (F.col("diff") > F.col("hi"))).cast("int").alias("bad"))
+    return stats.yuen_dependent(li, "l_quantity", "other", ["l_returnflag"]).select("l_returnflag", "n", _r("diff"), _r("se", 7), "df")
 
 
 @query("""WITH p AS (SELECT l_extendedprice AS s, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, l_quantity AS w FROM lineitem), g AS (SELECT s, sum(CASE WHEN y = 1 THEN w ELSE 0 END) AS p, sum(CASE WHEN y = 0 THEN w ELSE 0 END) AS n FROM p GROUP BY s),
@@ -635,15 +649,6 @@ def merged_events(spark, sf_dir):
     return m.groupBy("type").agg(F.count("*").alias("n"), F.count("k").alias("n_k"), F.count("value").alias("n_value"))
 
 
-@query("SELECT s.scenario, s.n_samples FROM (SELECT unnest(range(1, 17)) AS scenario, 600 AS n_samples) s")
-def simulated_scenarios(spark, sf_dir):
-    """Samples of each named scenario over a minute."""
-    from functools import reduce
-
-    out = [simulate.scenario(spark, k, 60, 10.0, 0.5)[0].groupBy().agg(F.count("*").alias("n_samples")).select(F.lit(k).cast("long").alias("scenario"), F.col("n_samples").cast("int")) for k in simulate.SCENARIOS]
-    return reduce(DataFrame.unionAll, out)
-
-
 # ---- generalised models, SQL functions, curves with intercepts
 
 _LOGIT = "SELECT a.name, round(a.v, 4) + 0.0 AS beta FROM (SELECT ln(avg(y) FILTER (WHERE x = 0) / (1 - avg(y) FILTER (WHERE x = 0))) AS p0, ln(avg(y) FILTER (WHERE x = 1) / (1 - avg(y) FILTER (WHERE x = 1))) AS p1 FROM (SELECT CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y, CASE WHEN l_linestatus = 'F' THEN 1.0 ELSE 0.0 END AS x FROM lineitem)) t, LATERAL (SELECT '(Intercept)' AS name, p0 AS v UNION ALL SELECT 'x', p1 - p0) a"
@@ -712,10 +717,38 @@ def design_image(spark, sf_dir):
     return i.groupBy("recording_id").agg(F.count("*").alias("n"), F.round(F.sum("signed_log"), 3).alias("total"))
 
 
-@query()
-def tutorial_fit(spark, sf_dir):
-    """The 2 x 2 tutorial: car and red are the references."""
-    s, e = simulate.tutorial(spark)
-    d = design(e, "y ~ 1 + cat(stimulusType) * cat(color)", ["fixation"])
-    c = fit.fit_overlap(expand.sticks(expand.single(d.long()), 0, 10, 1200), s)
-    return c.join(d.metadata().select("col_id", "name"), "col_id").select("name", F.col("basis_id").alias("lag"), _r("beta", 4))
+# ---- sparse rows, single events
+
+
+@query(f"{_CLICKS} SELECT channel, name, round(b, 4) + 0.0 AS beta FROM (SELECT channel, 'value' AS name, regr_slope(y, x) AS b FROM m GROUP BY channel UNION ALL SELECT channel, '(Intercept)', regr_intercept(y, x) FROM m GROUP BY channel)")
+def sparse_fit(spark, sf_dir):
+    """LSMR on the rows of one event type at its own sample, where SQL knows the regression."""
+    d = design(src.model_events(spark, sf_dir), "y ~ 1 + value", ["click"])
+    c = fit.fit_overlap(expand.sticks(expand.single(d.long()), 0, 1, src.N_SAMPLES), src.activity(spark, sf_dir), "lsmr", tol=1e-12)
+    return c.join(d.metadata().select("col_id", "name"), "col_id").select("channel", "name", _r("beta", 4))
+
+
+@query(f"WITH {ONE}, size(type, a) AS (VALUES " + ", ".join(f"('{t}', CAST({p['1']!r} AS DOUBLE))" for t, p in _TRUE.items()) + "), k(lag, w) AS (VALUES " + ", ".join(f"({i}, CAST({w!r} AS DOUBLE))" for i, w in enumerate(_SHAPE)) + ") SELECT recording_id, round(sum(a * w), 3) + 0.0 AS kept FROM one JOIN size USING (type), k WHERE l + lag BETWEEN 1 AND 43200 GROUP BY recording_id")
+def kept_predictors(spark, sf_dir):
+    """What the intercepts alone say of the signal, slopes left out."""
+    d, x = _xdc(spark, sf_dir, width=6, lo=0, formula="y ~ 1 + value")
+    s = _known(spark, sf_dir)
+    y = postfit.adjusted(s, x, fit.fit_overlap(x, s), keep=[c.col_id for c in d.columns if c.kind == "intercept"])
+    return y.groupBy("recording_id").agg((F.round(F.sum("y_hat"), 3) + 0.0).alias("kept"))
+
+
+@query(f"WITH {EV}, lat AS (SELECT *, CAST(round(latency) AS BIGINT) AS l FROM ev) SELECT e.recording_id, e.event_index, round(arg_min(o.latency - e.l, o.l * 1000000000 + o.event_index), 6) AS found FROM lat e LEFT JOIN lat o ON o.recording_id = e.recording_id AND o.type = 'purchase' AND o.l BETWEEN e.l - 5 AND e.l + 94 WHERE e.type = 'error' GROUP BY e.recording_id, e.event_index")
+def epoch_first_event(spark, sf_dir):
+    """The first purchase from 5 samples before to 94 after each error."""
+    e = src.model_events(spark, sf_dir)
+    return intervals.event_in_epoch(e.where("type = 'error'"), e.where("type = 'purchase'"), -5, 100).select("recording_id", "event_index", _r("found"))
+
+
+@query(f"WITH {EV} SELECT CAST(p AS INTEGER) AS power, count(*) AS n, round(sum(power(k, p)), 3) AS total FROM ev, (SELECT unnest([1, 2]) AS p) WHERE type = 'click' GROUP BY p")
+def design_custom_spline(spark, sf_dir):
+    """Powers of k as a user's basis; the third, the largest at the mean, goes."""
+    from kernelweave.functions.sql import polynomial
+    from kernelweave.operators.design import add_spline
+
+    d = add_spline(design(src.model_events(spark, sf_dir), "y ~ 1", ["click"]), "k", ["click"], polynomial, [0.0, 1.0, 2.0])
+    return d.long().where("col_id > 0").groupBy(F.col("col_id").alias("power")).agg(F.count("*").alias("n"), F.round(F.sum("x"), 3).alias("total"))

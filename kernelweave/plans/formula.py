@@ -12,6 +12,7 @@ import ast
 import math
 import operator
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 
@@ -21,10 +22,11 @@ class FormulaError(ValueError):
 
 @dataclass(frozen=True)
 class Spline:
-    kind: str  # default, circular, 2d
+    kind: str  # default, circular, 2d, custom
     variables: tuple[str, ...]
     n: int
     bounds: tuple[float, float] | None = None
+    function: Callable | None = None  # custom: (values, knots) -> rows of functions
 
     @property
     def name(self) -> str:
