@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators and of the pipeline; DuckDB SQL where it can say the same."""
+"""The registered queries of the operators and of the pipeline; DuckDB SQL where it can say the same."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kernelweave.llm import bpe, forest, html, langid, media, mixing, neardup, passages, toxicity, wavelet
+from kernelweave.llm import audit, bpe, fim, forest, html, langid, lmscore, media, mixing, neardup, passages, toxicity, wavelet
 from kernelweave.llm.common import table
 
 END_ID = 2
@@ -101,6 +101,28 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes in every order, by source. Null texts and null sources are empty; rows without id are no copies."""
+    docs, labels = table(spark, sf_dir, "documents", "doc_id", "text", "source"), table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
+    marks = audit.marked(docs, labels, {"good": F.col("quality") == 1, "toxic": F.col("toxic") == 1})
+    return audit.audit(marks, audit.FILTERS, {"good": "good_lost", "toxic": "toxic_lost"})
+
+
+def op12_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every text by counts of the documents not held out. Null texts are empty; null ids are not held out."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = lmscore.fit(docs.where(~held_out(5, 1)))
+    scored = lmscore.score(docs, model)
+    return scored.select("doc_id", held_out(5, 1).alias("held_out"), "lm.n_tokens", "lm.n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "lm.base_score", "lm.score")
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text cut into lines and put together for fill-in-middle, as digests. Null texts are empty and plain; a null id hashes as no digits."""
+    docs = fim.fim(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "fim.*")
+    restored = F.sha2(fim.restore(F.col("output"), F.col("form")), 256)
+    return docs.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), restored.alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -113,6 +135,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash": op8_minhash,
         "op9_forest": op9_forest,
         "op10_toxicity": op10_toxicity,
+        "op11_audit": op11_audit,
+        "op12_lm": op12_lm,
+        "op13_fim": op13_fim,
         "pipeline": pipeline,
     }
 
@@ -132,5 +157,32 @@ _OP9 = f"""WITH RECURSIVE e AS (SELECT vec_id, list_transform(embedding, lambda
  SELECT vec_id, (SELECT count(*) FROM link WHERE link.a = vec_id) AS n_links, component_id, component_id = vec_id AS kept FROM embeddings JOIN least ON least.id = vec_id"""
 
 
+_OP11 = """WITH t AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS part FROM documents),
+ f AS (SELECT text, min(doc_id) AS first FROM t GROUP BY text),
+ w AS (SELECT t.*, list_filter(regexp_split_to_array(t.text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, t.doc_id > f.first AS copy FROM t JOIN f USING (text)),
+ l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+ m AS (SELECT part, CAST(len(w) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT)
+   + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) AS INT) + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(copy, false) AS INT) AS mask,
+   coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+ c AS (SELECT part, mask, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM m GROUP BY ALL),
+ s AS (SELECT part, CAST(sub AS INT) AS sub, sum(CASE WHEN mask & sub = 0 THEN n ELSE 0 END) AS n, sum(CASE WHEN mask & sub = 0 THEN good ELSE 0 END) AS good, sum(CASE WHEN mask & sub = 0 THEN toxic ELSE 0 END) AS toxic FROM c, range(32) r(sub) GROUP BY ALL),
+ b AS (SELECT k, CAST(1 << k AS INT) AS bit, chr(CAST(65 + k AS INT)) AS letter FROM range(5) r(k)),
+ o AS (SELECT v.letter || w.letter || x.letter || y.letter || z.letter AS filter_order, [v.bit, w.bit, x.bit, y.bit, z.bit] AS bits FROM b v, b w, b x, b y, b z WHERE v.bit | w.bit | x.bit | y.bit | z.bit = 31),
+ p AS (SELECT filter_order, CAST(step AS INT) AS step, bits[step] AS bit, CAST(list_sum(bits[1:step]) AS INT) AS q FROM o, range(1, 6) r(step)),
+ r AS (SELECT x.part, p.filter_order, p.step, p.bit, y.n AS kept, x.n - y.n AS removed, x.good - y.good AS good_lost, x.toxic - y.toxic AS toxic_lost FROM p JOIN s x ON x.sub = p.q - p.bit JOIN s y ON y.sub = p.q AND y.part = x.part),
+ h AS (SELECT part, bit, sum(removed) AS shapley FROM r GROUP BY ALL),
+ u AS (SELECT part, mask, n FROM c)
+SELECT r.part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(a.n - o.n - removed AS BIGINT) AS redundant, CAST(coalesce(u.n, 0) AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(shapley AS BIGINT) AS shapley
+FROM r JOIN h ON h.part = r.part AND h.bit = r.bit JOIN s a ON a.part = r.part AND a.sub = 0 JOIN s o ON o.part = r.part AND o.sub = r.bit LEFT JOIN u ON u.part = r.part AND u.mask = r.bit"""
+
+_OP13 = """WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+ d AS (SELECT doc_id, text, u, CAST(len(u) AS BIGINT) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM t),
+ r AS (SELECT doc_id, text, u, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+   CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d),
+ s AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:n], '') AS suf FROM r)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+ sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE text END) AS output_sha256, sha256(text) AS restored_sha256 FROM s"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_minhash": _OP8, "op9_forest": _OP9}
+    return {"op8_minhash": _OP8, "op9_forest": _OP9, "op11_audit": _OP11, "op13_fim": _OP13}
