@@ -34,7 +34,7 @@ from kernelweave.llm import textarrays as ta
 from kernelweave.llm.common import forget, unlike, written
 
 U64 = np.uint64
-ORDER = 2
+ORDER = 3
 #: Heaps' law for contexts of 1, 2, .. words.
 HEAPS = ((3.0, 0.8), (1.0, 0.9), (1.0, 0.9), (1.0, 0.9))
 #: Probes of an item, and bits that hold it: about one false item in 2^PROBES.
