@@ -38,10 +38,10 @@ ORDER = 3
 #: Heaps' law for contexts of 1, 2, .. words.
 HEAPS = ((3.0, 0.8), (1.0, 0.9), (1.0, 0.9), (1.0, 0.9))
 #: Probes of an item, and bits that hold it: about one false item in 2^PROBES.
-PROBES, BITS_PER_ITEM = 6, 6 / np.log(2)
-TOKENS_PER_BLOCK, SHARD_BYTES = 1 << 17, 1 << 26
+PROBES, BITS_PER_ITEM = 5, 5 / np.log(2)
+TOKENS_PER_BLOCK, SHARD_BYTES = 1 << 17, 1 << 24
 #: n-grams that a map task keeps before it sends them; texts (bytes) that a task scores with one shard loaded.
-FLUSH, GROUP_BYTES = 1 << 22, 1 << 23
+FLUSH, GROUP_BYTES = 1 << 22, 1 << 25
 #: Tokens whose exact counts are broadcast: at most so many, none longer.
 HEAD, HEAD_CHARS = 100_000, 64
 _KEY_BITS = U64(40)
@@ -256,8 +256,8 @@ def fit(docs: DataFrame, text: str = "text", order: int = ORDER) -> Model:
     return Model(n, distinct, blocks, order, shards, spark.sparkContext.broadcast(head), tail)
 
 
-def probabilities(h: np.ndarray, levels: list[np.ndarray], n: int, distinct: int) -> np.ndarray:
-    """log10 probability of each token of h but the first, from its n-grams' levels by order."""
+def probabilities(levels: list[np.ndarray], n: int, distinct: int) -> np.ndarray:
+    """log10 probability of each token but the first, from its n-grams' levels by order."""
     count = [MEANING[x] for x in levels]
     p = np.minimum((count[0] + 0.5) / (n + 0.5 * (distinct + 1)), 1.0)
     for k in range(1, len(count)):
@@ -273,20 +273,20 @@ class _Slice:
     """A slice of texts whose n-grams wait for their levels."""
 
     def __init__(self, texts: pa.Array, model: Model):
-        self.words, self.codes, self.at = tokens(texts)
-        self.h = np.concatenate([_END, hashes(self.words, self.codes)])
+        self.words, codes, self.at = tokens(texts)
+        self.codes = codes.astype(np.int32)
         self.cells, self.of, self.levels = [], [], []
-        for g in grams(self.h, model.order):
+        for g in grams(np.concatenate([_END, hashes(self.words, codes)]), model.order):
             distinct, of = np.unique(g, return_inverse=True)
             self.cells.append(cells(distinct, model.blocks))
-            self.of.append(of)
-            self.levels.append(np.zeros(len(distinct), np.int64))
+            self.of.append(of.astype(np.int32))
+            self.levels.append(np.zeros(len(distinct), np.uint8))
             if len(self.cells) > 1 and len(distinct) and distinct[0] == 0:
                 self.cells[-1][0] = U64((1 << 64) - 1)  # no n-gram, in no block
 
     def columns(self, model: Model, head: dict) -> list[pa.Array]:
         starts, den = self.at[:-1], model.tokens + 0.5 * (model.distinct + 1)
-        lm = np.add.reduceat(probabilities(self.h, [x[o] for x, o in zip(self.levels, self.of, strict=True)], model.tokens, model.distinct), starts)
+        lm = np.add.reduceat(probabilities([x[o] for x, o in zip(self.levels, self.of, strict=True)], model.tokens, model.distinct), starts)
         c = np.array([*[head.get(w, -1) for w in self.words.to_pylist()], head.get(None, 0)], np.int64)[self.codes]
         log = np.add.reduceat(np.where(c >= 0, np.log10((np.maximum(c, 0) + 0.5) / den), 0.0), starts)
         text = np.repeat(np.arange(len(starts)), np.diff(self.at))
