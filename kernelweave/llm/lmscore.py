@@ -34,25 +34,25 @@ from kernelweave.llm import textarrays as ta
 from kernelweave.llm.common import forget, unlike, written
 
 U64 = np.uint64
-ORDER = 3
+ORDER = 2
 #: Heaps' law for contexts of 1, 2, .. words.
 HEAPS = ((3.0, 0.8), (1.0, 0.9), (1.0, 0.9), (1.0, 0.9))
 #: Probes of an item, and bits that hold it: about one false item in 2^PROBES.
 PROBES, BITS_PER_ITEM = 5, 5 / np.log(2)
 TOKENS_PER_BLOCK, SHARD_BYTES = 1 << 17, 1 << 24
 #: n-grams that a map task keeps before it sends them; texts (bytes) that a task scores with one shard loaded.
-FLUSH, GROUP_BYTES = 1 << 22, 1 << 25
+FLUSH, GROUP_BYTES = 1 << 22, 1 << 24
 #: Tokens whose exact counts are broadcast: at most so many, none longer.
-HEAD, HEAD_CHARS = 100_000, 64
+HEAD, HEAD_CHARS = 50_000, 64
 _KEY_BITS = U64(40)
 _END = ta.mix(np.array([0x656E64], U64))
 
 
 def _thresholds() -> np.ndarray:
-    """The least count of each level: 1, 2, 3, .. and from 5 on a quarter more each."""
+    """The least count of each level: 1, 2, 3 and from there on half as much more each."""
     out = [1]
     while out[-1] < 1 << 45:
-        out.append(max(out[-1] + 1, int(out[-1] * 1.25)))
+        out.append(max(out[-1] + 1, int(out[-1] * 1.5)))
     return np.array(out)
 
 
@@ -242,7 +242,8 @@ def fit(docs: DataFrame, text: str = "text", order: int = ORDER) -> Model:
             least = lev + 1
             break
     frequent = short & (level >= least)
-    head = {r["token"]: r["n"] for r in counts.where(frequent | F.col("token").isNull()).collect()}
+    rows = counts.where(frequent | F.col("token").isNull()).toArrow()
+    head = dict(zip(rows["token"].to_pylist(), rows["n"].to_pylist(), strict=True))
     tail = counts.where(~frequent & F.col("token").isNotNull())
     blocks = int(min(max(1, n // TOKENS_PER_BLOCK), (1 << 24) - 1))
     sent = texts.mapInArrow(_counted(blocks, order), "block int, low binary, high binary, n binary")
@@ -307,7 +308,7 @@ def _scoring(model: Model, text: int):
     model = model._replace(tail=None)
 
     def scored(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slices = [[_Slice(part, model) for part in ta.slices(b.column(text), 1 << 20)] for b in batches]
+        slices = [[_Slice(part, model) for part in ta.slices(b.column(text), 1 << 21)] for b in batches]
         for shard in model.shards:
             for s in (s for many in slices for s in many):
                 for cell, level in zip(s.cells, s.levels, strict=True):

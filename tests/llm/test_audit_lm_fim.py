@@ -151,15 +151,15 @@ def test_filter_keeps_levels():
     cell, level = key | np.uint64(5 << 40), np.zeros(len(key), np.int64)
     shard.levels(cell, level)
     true = np.searchsorted(lmscore.LEVELS, count, "right")
-    assert (level >= true).all() and (level == true).mean() > 0.97
+    assert (level >= true).all() and (level == true).mean() > 0.95
     unseen = np.setdiff1d(rng.integers(0, 1 << 40, 30_000).astype(np.uint64), key)
     level = np.zeros(len(unseen), np.int64)
     shard.levels(unseen | np.uint64(5 << 40), level)
-    assert (level == 0).mean() > 0.97
+    assert (level == 0).mean() > 0.95
     level = np.zeros(len(key), np.int64)
     shard.levels(key | np.uint64(6 << 40), level)
     assert not level.any()
-    assert np.all(np.abs(np.log(lmscore.MEANING[true] / count)) < 0.13)
+    assert np.all(np.abs(np.log(lmscore.MEANING[true] / count)) < 0.25)
 
 
 def test_grams_stay_inside_texts():
