@@ -1,0 +1,219 @@
+"""Families, paths and folds against optimality conditions and plain numpy."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from kernelweave.operators import cox, glm, packed, penalized
+
+
+@pytest.fixture(scope="module")
+def data(spark):
+    rng = np.random.default_rng(11)
+    n = 700
+    x = rng.normal(size=(n, 6)) * [1, 2, 0.5, 1, 1, 3] + [0, 1, 0, 0, -2, 0]
+    x[:, 4] = 0.7 * x[:, 0] + 0.3 * x[:, 4]
+    eta = np.column_stack([0.8 * x[:, 0], -0.6 * x[:, 1], 0.9 * x[:, 2]])
+    p = np.exp(eta) / np.exp(eta).sum(1, keepdims=True)
+    cls = np.array([rng.choice(3, p=q) for q in p])
+    t = np.ceil(rng.exponential(np.exp(-0.7 * x[:, 0] + 0.4 * x[:, 2])) * 4)
+    t[rng.random(n) < 0.35] = 2.0  # one time holds a third of all rows
+    status = (rng.random(n) < 0.7).astype(float)
+    y1, y2 = 1 + x[:, 0] - x[:, 2] + rng.normal(size=n), 2 - 0.5 * x[:, 0] + x[:, 1] + rng.normal(size=n)
+    w, fold = rng.integers(1, 4, n).astype(float), np.arange(n) % 4
+    cols = [f"x{i}" for i in range(6)]
+    rows = [(*map(float, x[i]), "abc"[cls[i]], float(t[i]), float(status[i]), float(y1[i]), float(y2[i]), float(rng.poisson(np.exp(0.3 * x[i, 0]))), float(w[i]), int(fold[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols) + ", cls string, t double, status double, y1 double, y2 double, k double, w double, fold int").repartition(5).cache()
+    pdf = df.toPandas()
+    return df, pdf, cols
+
+
+def scaled(pdf, cols):
+    x, w = pdf[cols].to_numpy(), pdf["w"].to_numpy()
+    mean = w @ x / w.sum()
+    return x, w, np.sqrt(w @ (x - mean) ** 2 / w.sum())
+
+
+def kkt(grad, b, sd, lam, alpha, group=False, tol=2e-6):
+    """grad: falling slope of the loss for raw coefficients b (columns x predictors)."""
+    g = grad / sd[:, None] - lam * (1 - alpha) * b * sd[:, None]
+    if group:
+        size, length = np.sqrt((g * g).sum(1)), np.sqrt((b * b).sum(1))
+        on = length > 0
+        assert np.allclose(g[on], lam * alpha * b[on] / length[on, None], atol=tol) and (size[~on] <= lam * alpha + tol).all()
+    else:
+        on = b != 0
+        assert np.allclose(g[on], lam * alpha * np.sign(b[on]), atol=tol) and (np.abs(g[~on]) <= lam * alpha + tol).all()
+
+
+def risk_slope(pdf, cols, b):
+    """Loss and falling slope of the partial likelihood, time by time."""
+    x, w, t, s = pdf[cols].to_numpy(), pdf["w"].to_numpy(), pdf["t"].to_numpy(), pdf["status"].to_numpy()
+    e, loss, grad = w * np.exp(x @ b), 0.0, np.zeros(len(cols))
+    for time in np.unique(t[s > 0]):
+        risk, ev = t >= time, (t == time) & (s > 0)
+        d = w[ev].sum()
+        loss += d * np.log(e[risk].sum()) - w[ev] @ (x[ev] @ b)
+        grad += w[ev] @ x[ev] - d * (e[risk] @ x[risk]) / e[risk].sum()
+    return loss / w.sum(), grad / w.sum()
+
+
+@pytest.mark.parametrize("alpha", [1.0, 0.4])
+def test_cox_path(data, alpha, monkeypatch):
+    df, pdf, cols = data
+    monkeypatch.setattr(packed, "BLOCK_BYTES", 64 * 8 * 6)  # many blocks, ties over several
+    path = glm.glm_path(df, cols, ["t", "status"], "cox", alpha=alpha, n_lambda=12, lambda_min=0.01, weight=F.col("w"))
+    x, w, sd = scaled(pdf, cols)
+    for lam, b in zip(path.lambdas, path.coefs, strict=True):
+        kkt(risk_slope(pdf, cols, b)[1][:, None], b[:, None], sd, lam, alpha)
+    first = np.abs(risk_slope(pdf, cols, np.zeros(6))[1] / sd).max() / alpha
+    assert path.lambdas[0] == pytest.approx(first, rel=1e-9) and not path.coefs[0].any() and path.coefs[-1].any()
+    assert (path.intercepts == 0).all() and path.deviance[-1] < path.null_deviance
+    ties = pdf[pdf["status"] > 0].groupby("t")["w"].sum()
+    assert path.deviance[-1] == pytest.approx(2 * (risk_slope(pdf, cols, path.coefs[-1])[0] * w.sum() - (ties * np.log(ties)).sum()), rel=1e-8)
+
+
+def test_carried_sums():
+    rng = np.random.default_rng(2)
+    t = np.sort(np.concatenate([rng.integers(0, 6, 60), np.full(40, 3)])).astype(float)
+    v, cuts = rng.random(100), [0, 7, 20, 33, 45, 50, 71, 90, 100]
+    parts = list(zip(cuts, cuts[1:], strict=False))
+    first, last = np.array([t[a] for a, _ in parts]), np.array([t[b - 1] for _, b in parts])
+    total = np.array([[v[a:b].sum()] for a, b in parts])
+    later, tied = cox.carried(first, last, total, np.array([[v[a:b][t[a:b] == t[b - 1]].sum()] for a, b in parts]))
+    before, after = cox.hazards(first, last, total, np.array([[v[a:b][t[a:b] == t[a]].sum()] for a, b in parts]))
+    for i, (a, b) in enumerate(parts):
+        assert v[t >= t[a]].sum() == pytest.approx(v[a:b].sum() + later[i, 0] + tied[i, 0])
+        assert v[t <= t[b - 1]].sum() == pytest.approx(v[a:b].sum() + before[i, 0] + after[i, 0])
+
+
+@pytest.mark.parametrize("mtype", ["ungrouped", "grouped"])
+def test_multinomial_path(data, mtype):
+    df, pdf, cols = data
+    path = glm.glm_path(df, cols, "cls", "multinomial", alpha=0.8, n_lambda=8, lambda_min=0.02, weight=F.col("w"), mtype=mtype)
+    x, w, sd = scaled(pdf, cols)
+    y = np.column_stack([pdf["cls"] == c for c in path.classes]).astype(float)
+    assert path.classes == ["a", "b", "c"] and path.coefs.shape == (8, 6, 3)
+    for lam, b, i in zip(path.lambdas, path.coefs, path.intercepts, strict=True):
+        eta = x @ b + i
+        m = np.exp(eta) / np.exp(eta).sum(1, keepdims=True)
+        assert np.allclose(w @ (y - m), 0, atol=1e-4) and abs(i.sum()) < 1e-9
+        kkt(x.T @ (w[:, None] * (y - m)) / w.sum(), b, sd, lam, 0.8, mtype == "grouped")
+    got = df.select("x0", path.predict(path.lambdas[-1], "response").alias("p"), path.predict(path.lambdas[-1], "class").alias("c")).toPandas()
+    assert np.allclose(np.array(got["p"].tolist()), m) and (got["c"] == np.array(path.classes)[m.argmax(1)]).all()
+
+
+def test_multinomial_without_penalty(data):
+    df, pdf, _ = data
+    path = glm.glm_path(df.withColumn("g", (F.col("x0") > 0).cast("double")), ["g"], "cls", "multinomial", lambdas=[0.0])
+    n = pdf.groupby([pdf["x0"] > 0, "cls"]).size().unstack().to_numpy()
+    logs = np.log(n) - np.log(n).mean(1, keepdims=True)
+    assert np.allclose(path.intercepts[0], logs[0], atol=1e-6) and np.allclose(path.coefs[0, 0], logs[1] - logs[0], atol=1e-6)
+
+
+@pytest.mark.parametrize("scale", [False, True])
+def test_multi_response_path(data, scale):
+    df, pdf, cols = data
+    path = glm.glm_path(df, cols, ["y1", "y2"], "mgaussian", alpha=0.9, n_lambda=10, weight=F.col("w"), standardize_response=scale)
+    x, w, sd = scaled(pdf, cols)
+    y = pdf[["y1", "y2"]].to_numpy()
+    s = y.std(0) if scale else np.ones(2)
+    for lam, b, i in zip(path.lambdas, path.coefs, path.intercepts, strict=True):
+        kkt(x.T @ (w[:, None] * (y - i - x @ b) / s) / w.sum(), b / s, sd, lam, 0.9, True)
+    assert all(b.any() == b.all() for b in path.coefs.reshape(-1, 2))  # in for all responses or for none
+
+
+def test_screening_changes_nothing(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 40))
+    y = x[:, 0] - 2 * x[:, 1] + rng.normal(size=300)
+    cols = [f"c{i}" for i in range(40)]
+    df = spark.createDataFrame([(*map(float, r), float(v > 0)) for r, v in zip(x, y, strict=True)], ", ".join(f"{c} double" for c in cols) + ", y double")
+    a = glm.glm_path(df, cols, "y", "binomial", lambda_min=0.05)
+    b = glm.glm_path(df, cols, "y", "binomial", lambda_min=0.05, screen=False)
+    assert len(a.lambdas) == 100 and np.allclose(a.lambdas, b.lambdas) and np.allclose(a.coefs, b.coefs, atol=1e-6)
+    assert a.touched < b.touched == 40
+    few = glm.glm_path(df, cols, "y", "binomial", lambda_min=0.05, dfmax=4)
+    assert len(few.lambdas) < 100 and np.allclose(few.coefs, a.coefs[: len(few.lambdas)], atol=1e-6) and (few.coefs != 0).sum(1).max() <= 4
+    ever = glm.glm_path(df, cols, "y", "binomial", lambda_min=0.05, pmax=5)
+    assert len(ever.lambdas) < 100 and (ever.coefs != 0).any(0).sum() <= 5
+
+
+def test_path_options(data):
+    df, pdf, cols = data
+    path = glm.glm_path(df, cols, "y1", exclude=["x0"], penalty_factor={"x1": 0.0, "x2": 2.0}, n_lambda=20)
+    assert not path.coefs[:, 0].any() and path.coefs[0, 1] != 0 and path.lambdas[0] > path.lambdas[-1] == pytest.approx(path.lambdas[0] * 1e-4)
+    x, f = pdf[cols].to_numpy(), np.array([1, 0, 2, 1, 1, 1.0])
+    f, sd, y = f * 6 / f.sum(), x.std(0), pdf["y1"].to_numpy()
+    for lam, b, i in zip(path.lambdas, path.coefs, path.intercepts, strict=True):
+        g = x.T @ (y - i - x @ b) / len(y) / sd
+        on = b != 0
+        assert np.allclose(g[on], lam * f[on] * np.sign(b[on]), atol=1e-6) and (np.abs(g[1:][~on[1:]]) <= lam * f[1:][~on[1:]] + 1e-6).all()
+    bound = glm.glm_path(df, cols, "y1", lambdas=[0.1, 0.0], limits=(0.0, 0.5))
+    assert (bound.coefs >= 0).all() and (bound.coefs <= 0.5).all() and bound.coefs[1].max() == 0.5
+    raw = glm.glm_path(df, cols, "y1", lambdas=[0.0], intercept=False, standardize=False)
+    assert np.allclose(raw.coefs[0], np.linalg.lstsq(x, y, rcond=None)[0], atol=1e-8) and raw.intercepts[0] == 0
+    assert np.allclose(path.exact(df, 0.05).at(0.05), glm.glm_path(df, cols, "y1", exclude=["x0"], penalty_factor={"x1": 0.0, "x2": 2.0}, lambdas=[0.05]).at(0.05), atol=1e-7)
+    table = path.table()
+    assert table[0][0] == 1 and table[-1][1] == pytest.approx(1 - ((y - path.intercepts[-1] - x @ path.coefs[-1]) ** 2).sum() / ((y - y.mean()) ** 2).sum(), abs=1e-9)
+    for bad in ({"exclude": ["q"]}, {"limits": (0.1, 1)}, {"lambdas": [-1.0]}):
+        with pytest.raises(ValueError):
+            glm.glm_path(df, cols, "y1", **bad)
+
+
+def test_folds_side_by_side(data):
+    df, pdf, cols = data
+    lams = [0.3, 0.1, 0.02]
+    one = glm.glm_path(df.where("fold <> 2"), cols, "cls", "multinomial", lambdas=lams, weight=F.col("w"))
+    raw = glm.glm_cv(df, cols, "cls", "fold", "multinomial", lambdas=lams, loss="class_error", weight=F.col("w"))
+    assert np.allclose(raw["models"][2][2][1:], one.coefs[2], atol=1e-5)
+    own = pdf[pdf["fold"] == 2]
+    eta = own[cols].to_numpy() @ one.coefs[1] + one.intercepts[1]
+    wrong = (np.array(one.classes)[eta.argmax(1)] != own["cls"]).to_numpy()
+    assert raw["by_fold"][2, 1] == pytest.approx((wrong * own["w"]).sum() / own["w"].sum(), abs=1e-9)
+    assert raw["lambda_1se"] >= raw["lambda_min"] and len(raw["cvm"]) == 3 and raw["nonzero"][0] <= raw["nonzero"][2]
+    got = df.where("fold = 2").select(*cols, glm.kept(raw, "fold", 0.1).alias("eta")).toPandas()
+    assert np.allclose(np.array(got["eta"].tolist()), got[cols].to_numpy() @ one.coefs[1] + one.intercepts[1], atol=1e-4)
+
+
+def test_folds_of_survival_and_rows(data):
+    df, pdf, cols = data
+    cv = glm.glm_cv(df, cols, ["t", "status"], "fold", "cox", lambdas=[0.1, 0.01], weight=F.col("w"))
+    b = cv["models"][1][1][1:, 0]
+    rest = pdf[pdf["fold"] != 1]
+    want = 2 * (risk_slope(pdf, cols, b)[0] * pdf["w"].sum() - risk_slope(rest, cols, b)[0] * rest["w"].sum()) / (pdf["w"] * pdf["status"])[pdf["fold"] == 1].sum()
+    assert cv["by_fold"][1, 1] == pytest.approx(want, rel=1e-8)
+    rows = glm.glm_cv(df, cols, "y1", "fold", lambdas=[0.2, 0.0], loss="mse", grouped=False)
+    err = []
+    for f in range(4):
+        own = pdf[pdf["fold"] == f]
+        m = rows["models"][f][1]
+        err += list((own["y1"] - own[cols].to_numpy() @ m[1:, 0] - m[0, 0]) ** 2)
+    assert rows["cvm"][1] == pytest.approx(np.mean(err)) and rows["cvse"][1] == pytest.approx(np.std(err) / np.sqrt(len(err) - 1))
+    for bad in (lambda: glm.glm_cv(df, cols, "y1", "fold", loss="auc"), lambda: glm.glm_cv(df.where("fold < 2"), cols, "y1", "fold")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_nothing_and_constants(spark, data):
+    df, _, cols = data
+    for family, y in (("cox", ["t", "status"]), ("multinomial", "cls"), ("gaussian", "y1")):
+        with pytest.raises(ValueError):
+            glm.glm_path(df.limit(0), cols, y, family)
+    path = glm.glm_path(df.withColumn("one", F.lit(3.0)).withColumn("miss", F.when(F.col("x0") > 0, F.col("x0"))), ["x0", "one", "miss"], "y1", lambdas=[0.0])
+    assert path.coefs[0, 1] == 0
+    with pytest.raises(ValueError):
+        glm.glm_path(df.withColumn("cls", F.lit("a")), cols, "cls", "multinomial")
+
+
+def test_quadratic():
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=(30, 8))
+    h, g, start = a.T @ a / 30, rng.normal(size=8), rng.normal(size=8)
+    b = penalized.quadratic(h, g, start, np.full(8, 0.3), np.full(8, 0.1))
+    slope = g - h @ (b - start) - 0.1 * b
+    assert np.allclose(slope[b != 0], 0.3 * np.sign(b[b != 0])) and (np.abs(slope[b == 0]) <= 0.3 + 1e-9).all()
+    runs = penalized.quadratic(h, g, start, np.full(4, 0.5), np.zeros(4), 2, True)
+    slope = (g - h @ (runs - start)).reshape(4, 2)
+    for s, r in zip(slope, runs.reshape(4, 2), strict=True):
+        assert np.allclose(s, 0.5 * r / np.linalg.norm(r), atol=1e-7) if r.any() else np.linalg.norm(s) <= 0.5 + 1e-9
