@@ -713,8 +713,8 @@ def multinomial_fit(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT var_pop(l_quantity) AS v, covar_pop(l_quantity, l_extendedprice / 1000) AS c1, covar_pop(l_quantity, l_discount * 100) AS c2 FROM lineitem),
- b AS (SELECT unnest([1.0, 0.5, 0.1, 0.0]) * sqrt(c1 * c1 + c2 * c2) / sqrt(v) AS lambda, v, c1, c2 FROM s), f AS (SELECT lambda, greatest(0.0, 1 - lambda * sqrt(v) / sqrt(c1 * c1 + c2 * c2)) / v AS f, c1, c2 FROM b)
- SELECT round(lambda, 6) AS lambda, response, round(CASE response WHEN 'price' THEN c1 ELSE c2 END * f, 6) + 0.0 AS beta FROM f, (SELECT unnest(['price', 'discount']) AS response) r""")
+ b AS (SELECT unnest([1.0, 0.5, 0.1, 0.0]) * sqrt(c1 * c1 + c2 * c2) / sqrt(v) AS lam, v, c1, c2 FROM s), f AS (SELECT lam, greatest(0.0, 1 - lam * sqrt(v) / sqrt(c1 * c1 + c2 * c2)) / v AS f, c1, c2 FROM b)
+ SELECT round(lam, 6) AS lam, response, round(CASE response WHEN 'price' THEN c1 ELSE c2 END * f, 6) + 0.0 AS beta FROM f, (SELECT unnest(['price', 'discount']) AS response) r""")
 def multi_response_path(spark, sf_dir):
     """Two responses on one predictor: a group lasso shrinks both coefficients by one factor."""
     from kernelweave.operators.glm import glm_path
@@ -724,12 +724,12 @@ def multi_response_path(spark, sf_dir):
     top = float(np.hypot(s["c1"], s["c2"]) / np.sqrt(s["v"]))
     path = glm_path(li, ["x"], ["price", "discount"], "mgaussian", lambdas=[top, 0.5 * top, 0.1 * top, 0.0])
     rows = [(float(lam), r, float(v)) for lam, b in zip(path.lambdas, path.coefs, strict=True) for r, v in zip(("price", "discount"), b[0], strict=True)]
-    return spark.createDataFrame(rows, "lambda double, response string, beta double").select(_r("lambda"), "response", _r("beta"))
+    return spark.createDataFrame(rows, "lam double, response string, beta double").select(_r("lam"), "response", _r("beta"))
 
 
-@query("""WITH s AS (SELECT var_pop(l_quantity) AS v, covar_pop(l_quantity, l_extendedprice) AS c, var_pop(l_extendedprice) AS y FROM lineitem), l AS (SELECT i, abs(c) / sqrt(v) * power(1e-4, i / 99.0) AS lambda, v, c, y FROM s, range(100) r(i)),
- b AS (SELECT i, lambda, sign(c) * greatest(0.0, abs(c) - lambda * sqrt(v)) / v AS beta, v, c, y FROM l)
- SELECT CAST(i AS INTEGER) AS step, round(lambda, 4) AS lambda, round(beta, 4) + 0.0 AS beta, round((2 * beta * c - beta * beta * v) / y, 6) + 0.0 AS explained FROM b""")
+@query("""WITH s AS (SELECT var_pop(l_quantity) AS v, covar_pop(l_quantity, l_extendedprice) AS c, var_pop(l_extendedprice) AS y FROM lineitem), l AS (SELECT i, abs(c) / sqrt(v) * power(1e-4, i / 99.0) AS lam, v, c, y FROM s, range(100) r(i)),
+ b AS (SELECT i, lam, sign(c) * greatest(0.0, abs(c) - lam * sqrt(v)) / v AS beta, v, c, y FROM l)
+ SELECT CAST(i AS INTEGER) AS step, round(lam, 4) AS lam, round(beta, 4) + 0.0 AS beta, round((2 * beta * c - beta * beta * v) / y, 6) + 0.0 AS explained FROM b""")
 def default_path(spark, sf_dir):
     """The path of 100 lambdas from the data, with the share of deviance explained; one predictor's is a soft threshold."""
     from kernelweave.operators.glm import glm_path
@@ -737,23 +737,23 @@ def default_path(spark, sf_dir):
     li = src.table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("double").alias("x"), F.col("l_extendedprice").cast("double").alias("y"))
     path = glm_path(li, ["x"], "y")
     rows = [(i, float(lam), float(b[0]), s) for i, (lam, b, (_, s, _)) in enumerate(zip(path.lambdas, path.coefs, path.table(), strict=True))]
-    return spark.createDataFrame(rows, "step int, lambda double, beta double, explained double").select("step", _r("lambda", 4), _r("beta", 4), _r("explained"))
+    return spark.createDataFrame(rows, "step int, lam double, beta double, explained double").select("step", _r("lam", 4), _r("beta", 4), _r("explained"))
 
 
-@query("""WITH d AS (SELECT CAST(l_orderkey % 5 AS INTEGER) AS fold, CAST(l_quantity AS DOUBLE) AS x, l_extendedprice / 1000 AS y FROM lineitem), k AS (SELECT DISTINCT fold FROM d), l AS (SELECT unnest([5.0, 1.0, 0.0]) AS lambda),
+@query("""WITH d AS (SELECT CAST(l_orderkey % 5 AS INTEGER) AS fold, CAST(l_quantity AS DOUBLE) AS x, l_extendedprice / 1000 AS y FROM lineitem), k AS (SELECT DISTINCT fold FROM d), l AS (SELECT unnest([5.0, 1.0, 0.0]) AS lam),
  f AS (SELECT k.fold, avg(x) AS mx, avg(y) AS my, var_pop(x) AS v, covar_pop(x, y) AS c FROM k JOIN d ON d.fold <> k.fold GROUP BY k.fold),
- m AS (SELECT fold, lambda, mx, my, sign(c) * greatest(0.0, abs(c) - lambda * sqrt(v)) / v AS b FROM f, l),
- e AS (SELECT lambda, d.fold, count(*) AS n, avg((y - my - b * (x - mx)) * (y - my - b * (x - mx))) AS mse FROM d JOIN m ON m.fold = d.fold GROUP BY lambda, d.fold),
- t AS (SELECT lambda, sum(n * mse) / sum(n) AS cvm FROM e GROUP BY lambda)
- SELECT CAST(e.lambda AS DOUBLE) AS lambda, round(any_value(cvm), 5) AS cvm, round(sqrt(sum(n * (mse - cvm) * (mse - cvm)) / sum(n) / 4), 5) AS cvse FROM e JOIN t ON t.lambda = e.lambda GROUP BY e.lambda""")
+ m AS (SELECT fold, lam, mx, my, sign(c) * greatest(0.0, abs(c) - lam * sqrt(v)) / v AS b FROM f, l),
+ e AS (SELECT lam, d.fold, count(*) AS n, avg((y - my - b * (x - mx)) * (y - my - b * (x - mx))) AS mse FROM d JOIN m ON m.fold = d.fold GROUP BY lam, d.fold),
+ t AS (SELECT lam, sum(n * mse) / sum(n) AS cvm FROM e GROUP BY lam)
+ SELECT CAST(e.lam AS DOUBLE) AS lam, round(any_value(cvm), 5) AS cvm, round(sqrt(sum(n * (mse - cvm) * (mse - cvm)) / sum(n) / 4), 5) AS cvse FROM e JOIN t ON t.lam = e.lam GROUP BY e.lam""")
 def glm_cross_validation(spark, sf_dir):
-    """Five folds side by side: held-out squared error and its standard error at each lambda."""
+    """Five folds side by side: held-out squared error and its standard error at each lam."""
     from kernelweave.operators.glm import glm_cv
 
     li = src.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 5).cast("int").alias("fold"), F.col("l_quantity").cast("double").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
     cv = glm_cv(li, ["x"], "y", "fold", loss="mse", lambdas=[5.0, 1.0, 0.0])
     rows = [(float(a), float(b), float(c)) for a, b, c in zip(cv["path"].lambdas, cv["cvm"], cv["cvse"], strict=True)]
-    return spark.createDataFrame(rows, "lambda double, cvm double, cvse double").select("lambda", _r("cvm", 5), _r("cvse", 5))
+    return spark.createDataFrame(rows, "lam double, cvm double, cvse double").select("lam", _r("cvm", 5), _r("cvse", 5))
 
 
 @query(f"{_XDC} SELECT CAST(basis_id - 5 AS INTEGER) AS lag, count(*) AS n FROM xdc WHERE col_id = 1 GROUP BY basis_id")
