@@ -1,7 +1,8 @@
 """Language identification: interpolated Kneser-Ney character models, one per language.
 
 A text is its letters in lower case, with one blank for each run of anything else. Models of
-order 1 to ORDER are counted, distributed, on a bounded sample of labelled rows (at most
+order 1 to ORDER are counted (below ORDER an n-gram counts the different characters before it; order 1 backs
+off to equal shares of all characters), distributed, on a bounded sample of labelled rows (at most
 max_docs for each language and half of the use: a documented limit; all rows are predicted,
 whole) and stored as sorted hash arrays: for each n-gram its discounted probability and for each
 context its back-off weight, in all languages. The prediction is the language of the lowest
@@ -30,7 +31,6 @@ from kernelweave.llm import textarrays as ta
 from kernelweave.llm.common import fraction, written
 
 ORDER, DISCOUNT, MAX_DOCS = 4, 0.75, 400
-UNKNOWN = 1e-7  # probability of a character that no language has
 BLANK, OUTSIDE = np.uint64(1), np.uint64(0)
 
 
@@ -58,15 +58,22 @@ def letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return c[keep], kept[at], n
 
 
-def gram_hashes(c: np.ndarray) -> list[np.ndarray]:
-    """For each order k = 1.. the hash of the k characters that end at each place (over a border: of no n-gram)."""
-    mult = np.uint64(0x9E3779B97F4A7C15)
-    h, out = np.zeros(len(c), np.uint64), []
+def gram_hashes(c: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each order k = 1.. the hash of the k characters that end at each place, and of the k - 1 before it (order 1: 0).
+
+    Before a text's first character stands OUTSIDE, as often as an order needs; no n-gram sees another text.
+    """
+    mult, one = np.uint64(0x9E3779B97F4A7C15), np.ones(1, np.uint64)
+    edge, before = c == OUTSIDE, np.zeros(len(c), np.uint64)
+    start = np.zeros(1, np.uint64)  # of as many OUTSIDEs as before has characters
+    grams, contexts = [], []
     for _ in range(ORDER):
-        before = np.concatenate([np.zeros(1, np.uint64), h[:-1]])
         h = ta.mix(before * mult + c + np.uint64(1))
-        out.append(h)
-    return out
+        grams.append(h)
+        contexts.append(before)
+        start = ta.mix(start * mult + OUTSIDE + one)
+        before = np.concatenate([start, np.where(edge, start, h)[:-1]])
+    return grams, contexts
 
 
 @dataclass
@@ -76,15 +83,15 @@ class Models:
     contexts: list[tuple[np.ndarray, np.ndarray]]  # by order: sorted hashes, back-off weight by language
     mean: np.ndarray
     spread: np.ndarray
+    alphabet: int  # characters that any language has, and one for all others
     room: float = 6.0
 
-    def log_probs(self, hashes: list[np.ndarray], some: np.ndarray) -> np.ndarray:
+    def log_probs(self, grams: list[np.ndarray], contexts: list[np.ndarray], some: np.ndarray) -> np.ndarray:
         """log2 of the probability, by language, of the characters at some places given those before."""
-        p = np.full((len(some), len(self.languages)), UNKNOWN)
+        p = np.full((len(some), len(self.languages)), 1.0 / self.alphabet)
         for k in range(ORDER):
-            if k:
-                p *= _found(*self.contexts[k], hashes[k - 1][np.maximum(some - 1, 0)], 1.0)
-            p += _found(*self.grams[k], hashes[k][some], 0.0)
+            p *= _found(*self.contexts[k], contexts[k][some], 1.0)
+            p += _found(*self.grams[k], grams[k][some], 0.0)
         return np.log2(p)
 
     def entropies(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -92,11 +99,11 @@ class Models:
         out, count = [np.zeros((0, len(self.languages)))], [np.zeros(0, np.int64)]
         for part in ta.slices(texts):
             c, at, n = letters(part)
-            hashes = gram_hashes(c)
-            codes, distinct = pd.factorize(hashes[-1])
+            grams, contexts = gram_hashes(c)
+            codes, distinct = pd.factorize(grams[-1])
             where = np.zeros(len(distinct), np.int64)
             where[codes] = np.arange(len(codes))
-            lp = self.log_probs(hashes, where)
+            lp = self.log_probs(grams, contexts, where)
             size = np.diff(at)  # at least 1: the border
             sums = np.stack([np.add.reduceat(lp[:, j][codes], at[:-1]) for j in range(len(self.languages))], 1)
             out.append(-sums / size[:, None])
@@ -123,22 +130,24 @@ def _found(keys: np.ndarray, values: np.ndarray, hashes: np.ndarray, missing: fl
 
 def built(counts: pd.DataFrame, languages: list[str]) -> Models:
     """From counts of the longest n-grams: language, h1..hORDER of its endings, p2..pORDER of their contexts, count."""
-    grams, contexts = [], [(np.zeros(1, np.uint64), np.ones((1, len(languages))))]
+    grams, contexts = [], []
     for k in range(1, ORDER + 1):
-        # below the longest order an n-gram counts the different characters before it
-        each = counts.groupby(["lang", f"h{k}", f"p{k}"], sort=False)["count"].agg("sum" if k == ORDER else "size").rename("c").reset_index()
+        if k == ORDER:
+            each = counts.groupby(["lang", f"h{k}", f"p{k}"], sort=False)["count"].sum().rename("c").reset_index()
+        else:
+            # below the longest order an n-gram counts the different characters before it
+            longer = counts.drop_duplicates(["lang", f"h{k + 1}"])
+            each = longer.groupby(["lang", f"h{k}", f"p{k}"], sort=False).size().rename("c").reset_index()
         total = each.groupby(["lang", f"p{k}"])["c"].agg(["sum", "size"]).reset_index()
         each = each.merge(total, on=["lang", f"p{k}"])
         each["p"] = np.maximum(each["c"] - DISCOUNT, 0) / each["sum"]
         total["weight"] = DISCOUNT * total["size"] / total["sum"]
         for df, key, value, fill, into in ((each, f"h{k}", "p", 0.0, grams), (total, f"p{k}", "weight", 1.0, contexts)):
-            if df is total and k == 1:
-                continue
             keys = np.unique(df[key].to_numpy(np.uint64))
             table = np.full((len(keys), len(languages)), fill)
             table[np.searchsorted(keys, df[key].to_numpy(np.uint64)), df["lang"].map(languages.index)] = df[value]
             into.append((keys, table))
-    return Models(languages, grams, contexts, np.zeros(len(languages)), np.ones(len(languages)))
+    return Models(languages, grams, contexts, np.zeros(len(languages)), np.ones(len(languages)), len(grams[0][0]) + 1)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,11 +155,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lang in set(batch.column(0).to_pylist()):
             c, _, _ = letters(batch.column(1).filter(pa.compute.equal(batch.column(0), lang)))
-            h = gram_hashes(c)
-            codes, distinct = pd.factorize(h[-1])
+            grams, contexts = gram_hashes(c)
+            codes, distinct = pd.factorize(grams[-1])
             where = np.zeros(len(distinct), np.int64)
             where[codes] = np.arange(len(codes))
-            cols = [x[where].view(np.int64) for x in h] + [np.zeros(len(where), np.int64)] + [x[np.maximum(where - 1, 0)].view(np.int64) for x in h[:-1]]
+            cols = [x[where].view(np.int64) for x in (*grams, *contexts)]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(where), pa.string()), *map(pa.array, cols), pa.array(np.bincount(codes))], _NAMES)
 
 
@@ -161,7 +170,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     """Learns from at most about max_docs documents for each language, chosen by a hash of key."""
     import pyarrow.compute  # noqa: F401
 
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), fraction(F.lit("langid"), F.col(key)).alias("u"))
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), fraction(F.lit("langid"), F.col(key), F.when(F.col(key).isNull(), F.col(text))).alias("u"))
     counts = {r["lang"]: (r["n"], r["least"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("u").alias("least")).collect()}
     if not counts:
         return None

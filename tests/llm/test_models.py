@@ -14,29 +14,64 @@ from kernelweave.llm.queries import op4_langid, op10_toxicity
 SF = "/root/testdata/sf0.01"
 
 
-def test_probabilities_are_kneser_ney():
-    texts = ["abracadabra", "abc cab bac"]
+class Naive:
+    """Interpolated Kneser-Ney over strings, by its definition; "|" stands outside a text."""
+
+    def __init__(self, texts, alphabet):
+        self.alphabet, n = alphabet, langid.ORDER
+        runs = ["|" * (n - 1) + t + "|" for t in texts]
+        self.count = {}
+        for r in runs:
+            for i in range(n - 1, len(r)):
+                g = r[i - n + 1 : i + 1]
+                self.count[g] = self.count.get(g, 0) + 1
+        self.left = [{} for _ in range(n)]  # of each order below n the characters before an n-gram
+        for k in range(1, n):
+            for g in self.count:
+                self.left[k].setdefault(g[-k:], set()).add(g[-k - 1 :])
+
+    def p(self, char, context):
+        """Of a character after a context of up to ORDER - 1 characters."""
+        k = len(context) + 1
+        each = self.count if k == langid.ORDER else {g: len(x) for g, x in self.left[k].items()}
+        lower = self.p(char, context[1:]) if context else 1 / self.alphabet
+        after = [c for g, c in each.items() if g[:-1] == context]
+        if not after:
+            return lower
+        return (max(each.get(context + char, 0) - langid.DISCOUNT, 0) + langid.DISCOUNT * len(after) * lower) / sum(after)
+
+
+def learned(texts):
     cols = {n: [] for n in langid._NAMES}
-    for batch in langid._count(iter([pa.RecordBatch.from_arrays([pa.array(["x", "x"]), pa.array(texts)], ["lang", "text"])])):
+    for batch in langid._count(iter([pa.RecordBatch.from_arrays([pa.array([g for g, _ in texts]), pa.array([t for _, t in texts])], ["lang", "text"])])):
         for n in langid._NAMES:
             cols[n] += batch.column(n).to_pylist()
     df = pd.DataFrame(cols)
     for c in langid._NAMES[1:-1]:
         df[c] = df[c].to_numpy(np.int64).view(np.uint64)
     df = df.groupby(langid._NAMES[:-1], as_index=False)["count"].sum()
-    m = langid.built(df, ["x"])
-    for k in range(1, langid.ORDER + 1):
-        each = df.groupby([f"h{k}", f"p{k}"])["count"].agg("sum" if k == langid.ORDER else "size")
-        sums = each.groupby(level=1).sum()
-        keys, table = m.grams[k - 1]
-        for (h, p), n in each.items():
-            assert table[np.searchsorted(keys, h), 0] == pytest.approx(max(n - langid.DISCOUNT, 0) / sums[p])
-        if k > 1:
-            # discounted shares and the weight of lower orders add up to one
-            keys, table = m.contexts[k - 1]
-            for p, total in sums.items():
-                rest = sum(max(n - langid.DISCOUNT, 0) for (h, q), n in each.items() if q == p) / total
-                assert rest + table[np.searchsorted(keys, p), 0] == pytest.approx(1)
+    return langid.built(df, sorted({g for g, _ in texts}))
+
+
+def test_probabilities_are_kneser_ney():
+    texts = {"x": ["abracadabra", "abc cab bac", "a", "cabbage soup"], "y": ["zebra zoo", "ooze", "bazaar"]}
+    m = learned([(g, t) for g, many in texts.items() for t in many])
+    spaced = {g: ["".join(chr(v - 2) if v > 1 else " " for v in langid.letters(pa.array([t]))[0][:-1].tolist()) for t in many] for g, many in texts.items()}
+    alphabet = {c for many in spaced.values() for t in many for c in t} | {"|"}
+    assert m.alphabet == len(alphabet) + 1
+    naive = [Naive(spaced[g], m.alphabet) for g in "xy"]
+    for model in naive:
+        for context in ["", "a", "|||", "||a", "abr", "zzz", "q"]:
+            assert sum(model.p(c, context) for c in [*alphabet, "?"]) == pytest.approx(1, abs=1e-9)
+    for text in ["abracadabra", "zoo", "bac zebra", "quiz", "a"]:
+        c, _, _ = langid.letters(pa.array([text]))
+        run = "|||" + "".join("|" if v == 0 else chr(v - 2) if v > 1 else " " for v in c.tolist())
+        grams, contexts = langid.gram_hashes(c)
+        got = m.log_probs(grams, contexts, np.arange(len(c)))
+        want = [[np.log2(model.p(run[i], run[i - 3 : i])) for model in naive] for i in range(3, len(run))]
+        assert np.allclose(got, want, atol=1e-9)
+        bits, _ = m.entropies(pa.array(["other text", text, "x"]))
+        assert np.allclose(bits[1], -np.mean(want, 0), atol=1e-9)  # nothing of its neighbours
 
 
 def test_letters():
