@@ -10,8 +10,9 @@ form one source, last in order. Repeated rows are rows of their own; ties in the
 are cut by the id, the size and the text's hash. A source of size 0 has target 0. No documents give no rows. Other columns
 of the input, whatever their names, take no part.
 
-A source may hold most rows: its seeded order is cut into buckets by hash, bucket sums are
-added up per source, and only rows inside one bucket are ordered together.
+A source may hold most rows, and so may one row that is repeated or rows without id: the seeded order, by a hash of id and text and then by
+row, is cut into ranges of about equal size, range sums are added up per source, and only rows inside one range are ordered together.
+Which of several equal rows is taken makes no difference, so reruns agree.
 """
 
 from __future__ import annotations
@@ -22,9 +23,6 @@ from pyspark.sql import functions as F
 
 from kernelweave.llm.common import unlike, written
 
-#: Rows that a bucket of one source holds at the mean.
-BUCKET_ROWS = 2_000
-
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
@@ -60,26 +58,26 @@ def mix(docs: DataFrame, weights: list[float], text: str = "text", source: str =
     document, partial: whether the seeded extra part has it; taken = size x (epochs + partial).
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), F.xxhash64(text).alias("of_text"), *([F.col(row).alias("row")] if row else []))
-    rows = written(rows.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id")), "sizes")
-    sources = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    rows = written(rows.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", "of_text")).withColumn("serial", F.monotonically_increasing_id()), "sizes")
+    sources = rows.groupBy("source").agg(F.sum("size").alias("size"))
     sources = written(ordered_by(sources, F.col("source").isNull(), F.col("source")), "sources")
     weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("place") % len(weights) + 1).cast("int"))
     total = (sources.agg(F.sum("size")).first()[0] or 0) * total_share
     sources = water_levels(sources.withColumn("weight", weight), total, max_epochs)
     sources = sources.select(
         "source", F.col("size").alias("source_size"), "target",
-        F.greatest(F.lit(1), F.ceil(F.col("n") / BUCKET_ROWS)).alias("buckets"),
         F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(0).alias("epochs"),
     ).withColumn("extra", F.col("target") - F.col("epochs") * F.col("source_size"))
     rows = rows.join(sources, rows["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    # the seeded order: buckets of the hash, then the hash
-    rows = rows.withColumn("bucket", F.floor((F.col("draw") / F.lit(2.0**64) + 0.5) * F.col("buckets")))
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    before = F.coalesce(F.sum("bucket_size").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sums = sums.withColumn("bucket_before", before).withColumnsRenamed({"source": "s", "bucket": "b"})
-    rows = rows.join(sums, rows["source"].eqNullSafe(sums["s"]) & (rows["bucket"] == sums["b"])).drop("s", "b")
-    inner = W.partitionBy("source", "bucket").orderBy("draw", "doc_id", "size", "of_text").rowsBetween(W.unboundedPreceding, -1)
-    at = F.col("bucket_before") + F.coalesce(F.sum("size").over(inner), F.lit(0))
+    # the seeded order: ranges of the hash, the row last
+    keys = ["draw", "doc_id", "size", "of_text", "serial"]
+    rows = written(rows.repartitionByRange("source", *keys).withColumn("range", F.spark_partition_id()), "ranges")
+    sums = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
+    before = F.coalesce(F.sum("range_size").over(W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.withColumn("range_before", before).withColumnsRenamed({"source": "s", "range": "r"})
+    rows = rows.join(sums, rows["source"].eqNullSafe(sums["s"]) & (rows["range"] == sums["r"])).drop("s", "r")
+    inner = W.partitionBy("source", "range").orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)
+    at = F.col("range_before") + F.coalesce(F.sum("size").over(inner), F.lit(0))
     # a document is in the extra part if its middle is; then the one whose size comes nearest to what
     # the source misses, or has too much, changes sides
     rows = written(rows.withColumn("at", at).withColumn("partial", F.col("at") + F.col("size") / 2 < F.col("extra")), "partial")

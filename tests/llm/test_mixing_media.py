@@ -48,6 +48,36 @@ def test_mix(spark, odd):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_no_range_holds_what_has_no_id(spark):
+    """Rows without id and one repeated row are most of a source, and are ordered in many ranges all the same."""
+    rows = [(None, f"w{i} " * (1 + i % 9), "a") for i in range(3000)] + [(7, "same row here", "a")] * 3000 + [(i, "x " * (i % 5), "b") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        seen = []
+        real = mixing.written
+
+        def spy(df, name):
+            out = real(df, name)
+            if name == "ranges":
+                seen.append([r["count"] for r in out.groupBy("source", "range").count().collect()])
+            return out
+
+        mixing.written = spy
+        first = mixing.mix(docs, [1, 2, 3]).collect()
+        again = mixing.mix(docs.repartition(11), [1, 2, 3]).collect()
+    finally:
+        mixing.written = real
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(seen[0]) < 1000 and sorted(map(str, first)) == sorted(map(str, again))
+    by = {}
+    for r in first:
+        by.setdefault(r["source_size"], [r["target"], 0])[1] += r["taken"]
+    assert all(abs(t - k) <= 10 for t, k in by.values())
+
+
 def test_sums_come_near(spark):
     rng = np.random.default_rng(1)
     rows = [(i, "w " * int(n), "abc"[int(i % 20 > 15) + int(i % 20 > 18)]) for i, n in enumerate(rng.integers(0, 60, 6000))]
