@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -19,34 +21,47 @@ def no_nan(x: Column) -> Column:
 TILES = 64
 
 
-def tiled(df: DataFrame, x: str) -> DataFrame:
-    """df with _tile: ranges of x with about as many rows each, from approximate quantiles of the same plan (one row of TILES numbers)."""
-    edges = df.agg(F.percentile_approx(F.col(x).cast("double"), [i / TILES for i in range(1, TILES)], 1000).alias("_edges"))
-    return df.crossJoin(F.broadcast(edges)).withColumn("_tile", F.size(F.filter("_edges", lambda e: e < F.col(x)))).drop("_edges")
+def tiled(df: DataFrame, x: str, by: list[str] | None = None) -> DataFrame:
+    """df with _tile: ranges of x, inside each group, with about as many rows each, from approximate quantiles of the same plan (TILES numbers a group)."""
+    edges = F.percentile_approx(F.col(x).cast("double"), [i / TILES for i in range(1, TILES)], 1000).alias("_edges")
+    if by:
+        groups = df.groupBy(*[F.col(b).alias(f"_by{i}") for i, b in enumerate(by)]).agg(edges)
+        out = df.join(groups, reduce(and_, [F.col(b).eqNullSafe(F.col(f"_by{i}")) for i, b in enumerate(by)])).drop(*[f"_by{i}" for i in range(len(by))])
+    else:
+        out = df.crossJoin(F.broadcast(df.agg(edges)))
+    return out.withColumn("_tile", F.size(F.filter("_edges", lambda e: e < F.col(x)))).drop("_edges")
 
 
-def running(df: DataFrame, x: str, amount: str) -> DataFrame:
-    """df with _to, the sum of amount up to each x (distinct values), and _all, of all rows: ranges apart, then what stands before each."""
-    t = tiled(df, x)
-    sums = t.groupBy("_tile").agg(F.sum(amount).alias("_sum"))
-    order = W.partitionBy(F.lit(0)).orderBy("_tile")  # at most TILES rows
-    sums = sums.select("_tile", (F.sum("_sum").over(order) - F.col("_sum")).alias("_before"), F.sum("_sum").over(W.partitionBy(F.lit(0))).alias("_all"))
-    inside = F.sum(amount).over(W.partitionBy("_tile").orderBy(x))
-    return t.withColumn("_in", inside).join(F.broadcast(sums), "_tile").withColumn("_to", F.col("_before") + F.col("_in")).drop("_tile", "_in", "_before")
+def running(df: DataFrame, x: str, amount: str, by: list[str] | None = None) -> DataFrame:
+    """df with _to, the sum of amount up to each x (distinct values in a group), and _all, of the group: ranges apart, then what stands before each."""
+    by = by or []
+    t = tiled(df, x, by)
+    sums = t.groupBy(*by, "_tile").agg(F.sum(amount).alias("_sum"))
+    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))  # at most TILES rows
+    before = F.sum("_sum").over(group.orderBy("_tile")) - F.col("_sum")
+    sums = sums.select(*[F.col(b).alias(f"_by{i}") for i, b in enumerate(by)], F.col("_tile").alias("_of"), before.alias("_before"), F.sum("_sum").over(group).alias("_all"))
+    inside = F.sum(amount).over(W.partitionBy(*by, "_tile").orderBy(x))
+    on = reduce(and_, [F.col(b).eqNullSafe(F.col(f"_by{i}")) for i, b in enumerate(by)], F.col("_tile") == F.col("_of"))
+    return t.withColumn("_in", inside).join(sums, on).withColumn("_to", F.col("_before") + F.col("_in")).select(*df.columns, "_to", "_all")
+
+
+def counted(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+    """(by.., _x, _n, _from, _to, _all): the distinct values of each group, how many there are, and their places 1.. as (_from, _to]."""
+    by = by or []
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_x")).agg(F.count("*").alias("_n"))
+    return running(counts, "_x", "_n", by).withColumn("_from", F.col("_to") - F.col("_n"))
 
 
-def hazen(df: DataFrame, value: str, ps: list[float], by: list[str] | None = None) -> DataFrame:
-    """(by.., p, q): quantiles with midpoint interpolation at rank n p + 1/2.
+def hazen(df: DataFrame, value: str, ps: list[float], by: list[str] | None = None, rule: str = "hazen") -> DataFrame:
+    """(by.., p, q): quantiles with midpoint interpolation at rank n p + 1/2; rule linear: at rank (n - 1) p + 1.
 
-    From distinct values and their counts, so that the ordered table holds no value twice; only the
-    rows at the wanted ranks are kept. Nulls are skipped; groups without values give no rows.
+    From distinct values and their counts, so that the ordered table holds no value twice; a group, or the
+    whole table, is dealt to ranges of values; only the rows at the wanted ranks are kept. Nulls are skipped; groups without values give no rows.
     """
     by = by or []
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_x")).agg(F.count("*").alias("_n"))
-    w = W.partitionBy(*[F.col(b) for b in by])
-    ranked = counts.withColumn("_to", F.sum("_n").over(w.orderBy("_x"))).withColumn("_all", F.sum("_n").over(w)) if by else running(counts, "_x", "_n")
-    wanted = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), F.greatest(F.lit(1.0), F.least(F.col("_all").cast("double"), F.col("_all") * F.lit(float(p)) + 0.5)).alias("r")) for p in ps]))
-    hits = ranked.select(*by, "_x", "_n", "_to", wanted.alias("_w")).select(*by, "_x", (F.col("_to") - F.col("_n")).alias("_from"), "_to", "_w.p", "_w.r")
+    rank = {"hazen": lambda p: F.col("_all") * F.lit(float(p)) + 0.5, "linear": lambda p: (F.col("_all") - 1) * F.lit(float(p)) + 1.0}[rule]
+    wanted = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), F.greatest(F.lit(1.0), F.least(F.col("_all").cast("double"), rank(p))).alias("r")) for p in ps]))
+    hits = counted(df, value, by).select(*by, "_x", "_from", "_to", wanted.alias("_w")).select(*by, "_x", "_from", "_to", "_w.p", "_w.r")
     low = F.when((F.col("_from") < F.floor("r")) & (F.floor("r") <= F.col("_to")), F.col("_x"))
     high = F.when((F.col("_from") < F.ceil("r")) & (F.ceil("r") <= F.col("_to")), F.col("_x"))
     out = hits.groupBy(*by, "p").agg(F.max(low).alias("_l"), F.max(high).alias("_h"), F.max("r").alias("_r"))
@@ -61,10 +76,10 @@ def quantiles(df: DataFrame, value: str, ps: list[float]) -> list[float]:
 
 def trimmed_mean(df: DataFrame, value: str, by: list[str], percent: float = 20.0) -> DataFrame:
     """(by.., trimmed): the mean without the highest and lowest percent / 2 of each group's values."""
-    w = W.partitionBy(*by)
-    ranked = df.where(F.col(value).isNotNull()).withColumn("_k", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count("*").over(w))
-    cut = F.floor(F.col("_n") * F.lit(percent / 200.0))
-    return ranked.where((F.col("_k") > cut) & (F.col("_k") <= F.col("_n") - cut)).groupBy(*by).agg(F.avg(value).alias("trimmed"))
+    cut = F.floor(F.col("_all") * F.lit(percent / 200.0))
+    kept = F.least(F.col("_to"), F.col("_all") - cut) - F.greatest(F.col("_from"), cut)
+    some = counted(df, value, by).withColumn("_kept", kept).where("_kept > 0")
+    return some.groupBy(*by).agg((F.sum(F.col("_x") * F.col("_kept")) / F.sum("_kept")).alias("trimmed"))
 
 
 def moments(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
@@ -129,18 +144,23 @@ def t_quantile(p: float, df: float) -> float:
 def yuen_dependent(df: DataFrame, a: str, b: str, by: list[str], percent: float = 20.0, alpha: float = 0.05) -> DataFrame:
     """Yuen's dependent trimmed t-test of a against b for each group: (by.., t, diff, se, df, n, p, lo, hi).
 
-    Ranks and winsorised sums are windows and aggregates; groups of fewer than 4 kept pairs give no row.
+    Places come from counted values in ranges, winsorised sums are aggregates; groups of fewer than 4 kept pairs give no row.
     """
     df = df.dropna(subset=[a, b])
-    w = W.partitionBy(*by)
-    r = df.withColumn("_n", F.count("*").over(w)).withColumn("_g", F.floor(F.col("_n") * F.lit(percent / 100.0)))
+    share = F.floor(F.col("_all") * F.lit(percent / 100.0))
+    r = df
     for c, k in ((a, "_a"), (b, "_b")):
-        r = r.withColumn(k, F.row_number().over(w.orderBy(c)))
-        r = r.withColumn(k + "lo", F.max(F.when(F.col(k) == F.col("_g") + 1, F.col(c))).over(w)).withColumn(k + "hi", F.max(F.when(F.col(k) == F.col("_n") - F.col("_g"), F.col(c))).over(w))
+        at = counted(df, c, by).withColumn("_g", share)
+        lo, hi = F.col("_g") + 1, F.col("_all") - F.col("_g")
+        kept = F.greatest(F.least(F.col("_to"), hi) - F.greatest(F.col("_from"), F.col("_g")), F.lit(0))
+        ends = at.groupBy(*[F.col(x).alias(f"{k}by{i}") for i, x in enumerate(by)]).agg(
+            F.max(F.when((F.col("_from") < lo) & (lo <= F.col("_to")), F.col("_x"))).alias(k + "lo"), F.max(F.when((F.col("_from") < hi) & (hi <= F.col("_to")), F.col("_x"))).alias(k + "hi"),
+            (F.sum(F.col("_x") * kept) / F.sum(kept)).alias(k + "t"), F.first("_all").alias(k + "n"), F.first("_g").alias(k + "g"),
+        )
+        r = r.join(ends, reduce(and_, [F.col(x).eqNullSafe(F.col(f"{k}by{i}")) for i, x in enumerate(by)]))
         r = r.withColumn(k + "w", F.least(F.greatest(F.col(c), F.col(k + "lo")), F.col(k + "hi")))
-        r = r.withColumn(k + "t", F.when((F.col(k) > F.col("_g")) & (F.col(k) <= F.col("_n") - F.col("_g")), F.col(c)))
-    g = r.groupBy(*by).agg(F.first("_n").alias("n"), F.first("_g").alias("g"), F.avg("_at").alias("ma"), F.avg("_bt").alias("mb"), F.var_samp("_aw").alias("va"), F.var_samp("_bw").alias("vb"), F.covar_samp("_aw", "_bw").alias("cov"))
-    h = F.col("n") - 2 * F.col("g")
+    g = r.groupBy(*by).agg(F.first("_an").alias("n"), F.first("_ag").alias("_g"), F.first("_at").alias("ma"), F.first("_bt").alias("mb"), F.var_samp("_aw").alias("va"), F.var_samp("_bw").alias("vb"), F.covar_samp("_aw", "_bw").alias("cov"))
+    h = F.col("n") - 2 * F.col("_g")
     g = g.where(h >= 4).withColumn("df", (h - 1).cast("double"))
     n1 = F.col("n") - 1
     g = g.withColumn("se", F.sqrt(((F.col("va") + F.col("vb") - 2 * F.col("cov")) * n1) / (h * (h - 1)))).withColumn("diff", F.col("ma") - F.col("mb"))

@@ -12,11 +12,11 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kernelweave.functions import splines as sp
-from kernelweave.functions.stats import moments, no_nan, quantiles
+from kernelweave.functions.scan import scan
+from kernelweave.functions.stats import hazen, moments, no_nan, quantiles
 from kernelweave.plans.formula import Formula, FormulaError, Spline, parse
 
 KEYS = ["recording_id", "event_index", "type", "latency"]
@@ -238,15 +238,15 @@ def impute(long: DataFrame, method: str = "median", seed: int = 1) -> DataFrame:
         bad = long.where("x is null").select("recording_id", "event_index").distinct()
         return long.join(bad, ["recording_id", "event_index"], "left_anti")
     if method in ("mean", "median"):
-        x = F.avg("x") if method == "mean" else F.expr("percentile(x, 0.5)")
-        fill = long.groupBy("col_id").agg(x.alias("_fill"))  # one row for each column
-        return long.join(F.broadcast(fill), "col_id").withColumn("x", F.coalesce("x", "_fill")).drop("_fill")
+        fill = long.groupBy("col_id").agg(F.avg("x").alias("_fill")) if method == "mean" else hazen(long, "x", [0.5], ["col_id"]).select("col_id", F.col("q").alias("_fill"))
+        return long.join(fill, "col_id", "left").withColumn("x", F.coalesce("x", "_fill")).drop("_fill")
     if method != "marginal":
         raise ValueError(method)
     seen = long.where("x is not null")
-    counts = F.broadcast(seen.groupBy("col_id").agg(F.count("*").alias("_n")))
+    counts = seen.groupBy("col_id").agg(F.count("*").alias("_n"))
     draw = long.where("x is null").join(counts, "col_id", "left").withColumn("_k", F.pmod(F.xxhash64(F.lit(seed), "recording_id", "event_index", "col_id"), F.col("_n")) + 1)
-    values = seen.select("col_id", F.col("x").alias("_x"), F.row_number().over(W.partitionBy("col_id").orderBy("event_index", "recording_id")).alias("_k"))
+    places = scan(seen, ["col_id"], ["event_index", "recording_id"], {"_k": ("sum", F.lit(1))})
+    values = places.select("col_id", F.col("x").alias("_x"), (F.col("_k") + 1).alias("_k"))
     filled = draw.drop("x").join(values, ["col_id", "_k"], "left").withColumnRenamed("_x", "x").select(*long.columns)
     return seen.unionByName(filled)
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kernelweave.functions.scan import TILE, scan
 from kernelweave.functions.splines import cubic_values
 
 
@@ -96,10 +96,10 @@ def convolved(vector: DataFrame, kernel: list[float]) -> DataFrame:
     return out.groupBy("recording_id", (F.col("t") + F.col("lag")).alias("t")).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
 
 
-def gaps(events: DataFrame, time: str = "latency", order: str = "event_index") -> DataFrame:
-    """Next and previous event's distance in table order, by recording."""
-    w = W.partitionBy("recording_id").orderBy(order)
-    return events.withColumn("next_gap", F.lead(time).over(w) - F.col(time)).withColumn("previous_gap", F.col(time) - F.lag(time).over(w))
+def gaps(events: DataFrame, time: str = "latency", order: str = "event_index", tile: int = TILE) -> DataFrame:
+    """Next and previous event's distance in table order, by recording; order is a number, and a recording is scanned in tiles of it."""
+    near = scan(events, ["recording_id"], [order], {"_next": ("next", time), "_last": ("last", time)}, tile)
+    return near.withColumn("next_gap", F.col("_next") - F.col(time)).withColumn("previous_gap", F.col(time) - F.col("_last")).drop("_next", "_last")
 
 
 def with_column(xdc: DataFrame, extra: DataFrame, col_id: int, basis_id: int = -1) -> DataFrame:

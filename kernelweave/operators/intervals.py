@@ -3,31 +3,45 @@
 from __future__ import annotations
 
 import warnings
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kernelweave.functions.scan import TILE, scan
+from kernelweave.functions.stats import hazen
+
 BY = "recording_id"
 
 
-def merge(intervals: DataFrame, within: int = 0, by: str = BY) -> DataFrame:
+def merge(intervals: DataFrame, within: int = 0, by: str = BY, tile: int = TILE) -> DataFrame:
     """(by, start_t, end_t): union of intervals that overlap, touch at a sample, or lie at most `within` apart.
 
-    Empty or null intervals go. A nested one never shortens the union.
+    Empty or null intervals go. A nested one never shortens the union. A recording's intervals are scanned in tiles of time.
     """
-    w = W.partitionBy(by).orderBy("start_t", "end_t")
     clean = intervals.where("start_t <= end_t").select(by, "start_t", "end_t")
-    reach = clean.withColumn("_reach", F.max("end_t").over(w.rowsBetween(W.unboundedPreceding, -1)))
-    island = F.sum(F.when(F.col("start_t") <= F.col("_reach") + F.lit(within), 0).otherwise(1)).over(w)
-    return reach.withColumn("_island", island).groupBy(by, "_island").agg(F.min("start_t").alias("start_t"), F.max("end_t").alias("end_t")).drop("_island")
+    # of equal intervals one tells all
+    reach = scan(clean.distinct(), [by], ["start_t", "end_t"], {"_reach": ("max", "end_t")}, tile)
+    opens = reach.withColumn("_opens", F.coalesce(F.col("start_t") > F.col("_reach") + F.lit(within), F.lit(True)).cast("int"))
+    island = scan(opens, [by], ["start_t", "end_t"], {"_before": ("sum", "_opens")}, tile)
+    return island.groupBy(by, (F.col("_before") + F.col("_opens")).alias("_island")).agg(F.min("start_t").alias("start_t"), F.max("end_t").alias("end_t")).drop("_island")
+
+
+def merge_sets(sets: dict[str, DataFrame], srate: float, within: int = 0, by: str = BY) -> tuple[DataFrame, DataFrame]:
+    """Several tables of intervals as one union, and (name, seconds) of each set by itself, of the union, and of what sets have in common."""
+    apart = {name: merge(table, 0, by) for name, table in sets.items()}
+    union = merge(reduce(DataFrame.unionByName, [t.select(by, "start_t", "end_t") for t in sets.values()]), within, by)
+    seconds = (F.coalesce(F.sum(F.col("end_t") - F.col("start_t") + 1), F.lit(0)) / srate).alias("seconds")
+    totals = reduce(DataFrame.unionByName, [t.agg(seconds).select(F.lit(name).alias("name"), "seconds") for name, t in {**apart, "union": union}.items()])
+    shared = totals.agg((F.sum(F.when(F.col("name") != "union", F.col("seconds"))) - F.sum(F.when(F.col("name") == "union", F.col("seconds")))).alias("seconds"))
+    return union, totals.unionByName(shared.select(F.lit("repeated").alias("name"), "seconds"))
 
 
-def runs(mask: DataFrame, by: str = BY) -> DataFrame:
+def runs(mask: DataFrame, by: str = BY, tile: int = TILE) -> DataFrame:
     """(by, start_t, end_t) of successive samples t."""
-    w = W.partitionBy(by).orderBy("t")
-    t = mask.select(by, "t").distinct()
-    return t.withColumn("_g", F.col("t") - F.row_number().over(w)).groupBy(by, "_g").agg(F.min("t").alias("start_t"), F.max("t").alias("end_t")).drop("_g")
+    t = scan(mask.select(by, "t").distinct(), [by], ["t"], {"_place": ("sum", F.lit(1))}, tile)
+    return t.groupBy(by, (F.col("t") - F.col("_place")).alias("_g")).agg(F.min("t").alias("start_t"), F.max("t").alias("end_t")).drop("_g")
 
 
 def eye_channels(labels: dict[int, str] | None, channels: list[int] | None = None) -> list[int]:
@@ -69,18 +83,21 @@ def improbable(samples: DataFrame, srate: float, seconds: float = 0.5, local: fl
     length = max(1, int(srate * seconds))
     s = samples.where("y is not null").withColumn("seg", F.floor((F.col("t") - 1) / length))
     span = s.groupBy("recording_id", "channel").agg(F.min("y").alias("_lo"), F.max("y").alias("_hi"), F.count("*").alias("_all"))
-    s = s.join(F.broadcast(span), ["recording_id", "channel"])  # one row for each channel
+    s = s.join(span, ["recording_id", "channel"])
     s = s.withColumn("_bin", F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col("y") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1))).otherwise(0))
     counts = s.groupBy("recording_id", "channel", "_bin").agg(F.count("*").alias("_c"))
-    s = s.join(F.broadcast(counts), ["recording_id", "channel", "_bin"])  # bins for each channel
+    s = s.join(counts, ["recording_id", "channel", "_bin"])
     each = s.groupBy("recording_id", "channel", "seg").agg(F.round(F.sum(-F.log(F.col("_c") / F.col("_all"))), 9).alias("jp"))
     total = each.groupBy("recording_id", "seg").agg(F.round(F.sum("jp"), 9).alias("jp"))  # like segments are equal in any order of sums
 
     def z(df: DataFrame, keys: list[str], limit: float) -> DataFrame:
-        q = df.groupBy(*keys).agg(F.expr("percentile(jp, 0.1)").alias("_a"), F.expr("percentile(jp, 0.9)").alias("_b")) if robust else df.groupBy(*keys).agg(F.min("jp").alias("_a"), F.max("jp").alias("_b"))
-        inner = df.join(F.broadcast(q), keys).where(F.col("jp").between(F.col("_a"), F.col("_b")))
+        if robust:
+            q = hazen(df, "jp", [0.1, 0.9], keys, rule="linear").groupBy(*keys).agg(F.min("q").alias("_a"), F.max("q").alias("_b"))
+        else:
+            q = df.groupBy(*keys).agg(F.min("jp").alias("_a"), F.max("jp").alias("_b"))
+        inner = df.join(q, keys).where(F.col("jp").between(F.col("_a"), F.col("_b")))
         norm = inner.groupBy(*keys).agg(F.avg("jp").alias("_m"), F.stddev_samp("jp").alias("_s"))
-        return df.join(F.broadcast(norm), keys).where(F.abs((F.col("jp") - F.col("_m")) / F.col("_s")) > limit).select("recording_id", "seg")
+        return df.join(norm, keys).where(F.abs((F.col("jp") - F.col("_m")) / F.col("_s")) > limit).select("recording_id", "seg")
 
     bad = z(each, ["recording_id", "channel"], local).union(z(total, ["recording_id"], overall)).distinct()
     ends = samples.groupBy("recording_id").agg(F.max("t").alias("_last"))
@@ -93,10 +110,11 @@ def bursts(samples: DataFrame, srate: float, cutoff: float = 20.0, seconds: floa
         raise ValueError(f"eye channels take part: {eyes}")
     length = max(1, int(srate * seconds))
     s = samples.withColumn("seg", F.floor((F.col("t") - 1) / length)).groupBy("recording_id", "channel", "seg").agg(F.sqrt(F.avg(F.col("y") * F.col("y"))).alias("rms"), F.min("t").alias("a"), F.max("t").alias("b"))
-    mid = s.groupBy("recording_id", "channel").agg(F.expr("percentile(rms, 0.5)").alias("_m"))
-    s = s.join(F.broadcast(mid), ["recording_id", "channel"])
-    dev = s.groupBy("recording_id", "channel").agg((F.expr("percentile(abs(rms - _m), 0.5)") * 1.4826).alias("_d"))
-    hits = s.join(F.broadcast(dev), ["recording_id", "channel"]).where(F.col("rms") > F.col("_m") + F.lit(cutoff) * F.greatest("_d", F.lit(1e-12)))
+    keys = ["recording_id", "channel"]
+    mid = hazen(s, "rms", [0.5], keys).select(*keys, F.col("q").alias("_m"))
+    s = s.join(mid, keys)
+    dev = hazen(s.withColumn("_off", F.abs(F.col("rms") - F.col("_m"))), "_off", [0.5], keys).select(*keys, (F.col("q") * 1.4826).alias("_d"))
+    hits = s.join(dev, keys).where(F.col("rms") > F.col("_m") + F.lit(cutoff) * F.greatest("_d", F.lit(1e-12)))
     return merge(hits.select("recording_id", F.col("a").alias("start_t"), F.col("b").alias("end_t")).distinct(), 1)
 
 
