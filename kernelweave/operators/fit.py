@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kernelweave.operators import lsmr
+from kernelweave.operators import lsmr, packed
 from kernelweave.operators.expand import known
 
 
@@ -35,40 +35,56 @@ class Statistics:
         return 0, np.zeros((p, p)), np.zeros((p, c)), np.zeros(c), np.zeros(c), np.zeros(p)
 
 
-def _cells(c: int):
-    """For a tile: dense blocks of samples, their products added up. Columns go by their codes; fold -1 names all of them."""
-    block = 4096
+#: Columns of a block of X'X: sums travel as blocks of so many columns squared, upper triangle only.
+BLOCK = 256
+
+
+def _cells(codes: np.ndarray, c: int):
+    """For a tile: dense blocks of samples, their products added up, as packed blocks of the model's columns.
+
+    Rows (fold, i, j, v): the block i, j of X'X; j = -1: the block i of X'Y, -2: its columns' sums; i = -1: n, sums and squares of y.
+    """
+    p = len(codes)
 
     def run(key, xs: pd.DataFrame, ys: pd.DataFrame) -> pd.DataFrame:
-        codes, place = np.unique(xs["k"].to_numpy(np.int64), return_inverse=True)
-        p = len(codes)
-        out = [pd.DataFrame({"fold": -1, "what": 0, "i": codes, "j": codes, "v": 0.0})]
+        mine, place = np.unique(np.searchsorted(codes, xs["k"].to_numpy(np.int64)), return_inverse=True)
+        q, out = len(mine), []
+        block = max(64, min(4096, (1 << 23) // max(q, 1)))
         for fold, y in ys.groupby("fold"):
             t, inverse = np.unique(y["t"].to_numpy(), return_inverse=True)
             values = np.full((len(t), c), np.nan)
             values[inverse, y["c"].to_numpy()] = y["y"].to_numpy()
-            n, gram, cross, total, squares, columns = 0, np.zeros((p, p)), np.zeros((p, c)), np.zeros(c), np.zeros(c), np.zeros(p)
+            n, gram, cross, total, squares, columns = 0, np.zeros((q, q)), np.zeros((q, c)), np.zeros(c), np.zeros(c), np.zeros(q)
             row = np.searchsorted(t, xs["t"].to_numpy())
             ok = (row < len(t)) & (t[np.minimum(row, len(t) - 1)] == xs["t"].to_numpy())
-            row, col, v = row[ok], place[ok], xs["v"].to_numpy()[ok]
+            order = np.argsort(row[ok], kind="stable")
+            row, col, v = row[ok][order], place[ok][order], xs["v"].to_numpy()[ok][order]
             used = np.unique(row)  # samples without any event tell nothing
             if np.isnan(values[used]).any():
                 raise ValueError(f"recording {key[0]}: modelled samples miss values in some channels; fill them, exclude their times or fit the channels apart")
             for lo in range(0, len(used), block):
                 some = used[lo : lo + block]
-                at = np.minimum(np.searchsorted(some, row), len(some) - 1)
-                mine = some[at] == row
-                x = np.zeros((len(some), p))
-                np.add.at(x, (at[mine], col[mine]), v[mine])
+                at, to = np.searchsorted(row, [some[0], some[-1] + 1])
+                x = np.zeros((len(some), q))
+                np.add.at(x, (np.searchsorted(some, row[at:to]), col[at:to]), v[at:to])
                 yy = values[some]
-                n, gram, cross, total, squares, columns = n + len(some), gram + x.T @ x, cross + x.T @ yy, total + yy.sum(0), squares + (yy * yy).sum(0), columns + x.sum(0)
-            i, j = np.nonzero(gram)
-            k, m = np.nonzero(cross)
-            out.append(pd.DataFrame({"fold": fold, "what": 0, "i": codes[i], "j": codes[j], "v": gram[i, j]}))
-            out.append(pd.DataFrame({"fold": fold, "what": 1, "i": codes[k], "j": m, "v": cross[k, m]}))
-            for what, j, a in ((2, np.arange(c), total), (3, np.arange(c), squares), (4, np.zeros(1, int), np.array([float(n)])), (5, codes, columns)):
-                out.append(pd.DataFrame({"fold": fold, "what": what, "i": 0, "j": j, "v": a}))
-        return pd.concat(out)
+                n, total, squares = n + len(some), total + yy.sum(0), squares + (yy * yy).sum(0)
+                gram += x.T @ x
+                cross += x.T @ yy
+                columns += x.sum(0)
+            out.append((fold, -1, -1, np.concatenate([[n], total, squares])))
+            cuts = np.searchsorted(mine, np.arange(0, p + BLOCK, BLOCK))
+            part = [(i, slice(a, b), mine[a:b] - i * BLOCK, min(BLOCK, p - i * BLOCK)) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+            for k, (i, here, rows, size) in enumerate(part):
+                for what, a in ((-1, cross[here]), (-2, columns[here, None])):
+                    whole = np.zeros((size, a.shape[1]))
+                    whole[rows] = a
+                    out.append((fold, i, what, whole))
+                for j, there, cols, width in part[k:]:
+                    whole = np.zeros((size, width))
+                    whole[np.ix_(rows, cols)] = gram[here, there]
+                    out.append((fold, i, j, whole))
+        return pd.DataFrame([(f, i, j, w.tobytes()) for f, i, j, w in out], columns=["fold", "i", "j", "v"])
 
     return run
 
@@ -78,33 +94,37 @@ def statistics(xdc: DataFrame, samples: DataFrame, channels: list[int] | None =
 
     Samples that no event reaches are left out; a modelled sample with a null y in some channel, or
     without its row, raises. Tiles of the time axis are the groups: a recording may be long, and a group
-    never holds more than a tile.
+    never holds more than a tile. Sums are packed blocks, added up inside tasks and then by block.
     """
     if channels is not None:
         samples = samples.where(F.col("channel").isin(*channels))
     names = [r[0] for r in samples.select("channel").distinct().orderBy("channel").collect()]
     if not names:
         return Statistics([], names, {})
-    spark = xdc.sparkSession
-    channel = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "channel int, c int")
+    channel = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)])
     part = [F.col("recording_id").alias("rec"), F.floor(F.col("t") / tile).alias("tile")]
-    # the model's columns come out of the same pass as their products
     xs = xdc.select(*part, "t", (F.shiftleft(F.col("col_id").cast("long"), 32) + F.col("basis_id") + 1).alias("k"), "v")
-    ys = samples.join(F.broadcast(channel), "channel").select(*part, "t", "c", "y", (F.col(fold).cast("int") if fold else F.lit(0)).alias("fold"))
-    cells = xs.groupBy("rec", "tile").cogroup(ys.groupBy("rec", "tile")).applyInPandas(_cells(len(names)), "fold int, what int, i long, j long, v double")
-    sums = cells.groupBy("fold", "what", "i", "j").agg(F.sum("v").alias("v")).toPandas()  # at most p x (p + channels) a fold
-    codes = np.unique(sums.loc[sums["what"] == 0, "i"].to_numpy(np.int64))
+    # the model's columns, as many as it has
+    codes = np.array(sorted(r[0] for r in xs.select("k").distinct().collect()), np.int64)
     out = Statistics([(int(k >> 32), int(k & 0xFFFFFFFF) - 1) for k in codes], names, {})
     if not len(codes):
         return out
-    for f, g in sums[sums["fold"] >= 0].groupby("fold"):
-        _, gram, cross, total, squares, columns = out.empty()
-        n = np.zeros(1)
-        for what, into in ((0, gram), (1, cross), (2, total[None]), (3, squares[None]), (4, n[None]), (5, columns[None])):
-            some = g[g["what"] == what]
-            i, j = some["i"].to_numpy(np.int64), some["j"].to_numpy(np.int64)
-            into[np.searchsorted(codes, i) if what < 2 else i, np.searchsorted(codes, j) if what in (0, 5) else j] = some["v"].to_numpy()
-        out.folds[int(f)] = (int(round(n[0])), gram, cross, total, squares, columns)
+    ys = samples.select(*part, "t", channel[F.col("channel")].alias("c"), "y", (F.col(fold).cast("int") if fold else F.lit(0)).alias("fold"))
+    cells = xs.groupBy("rec", "tile").cogroup(ys.groupBy("rec", "tile")).applyInPandas(_cells(codes, len(names)), "fold int, i int, j int, v binary")
+    c, p = len(names), len(codes)
+    for fold_, i, j, v in packed.summed(cells, "fold", "i", "j").collect():  # (p + channels + 1) x p numbers a fold at most
+        n, gram, cross, total, squares, columns = out.folds.setdefault(int(fold_), out.empty())
+        a = np.frombuffer(v)
+        if i < 0:
+            out.folds[int(fold_)] = (int(round(a[0])), gram, cross, total + a[1 : 1 + c], squares + a[1 + c :], columns)
+            continue
+        rows = slice(i * BLOCK, min(p, (i + 1) * BLOCK))
+        if j < 0:
+            (cross if j == -1 else columns[:, None])[rows] = a.reshape(-1, c if j == -1 else 1)
+        else:
+            cols = slice(j * BLOCK, min(p, (j + 1) * BLOCK))
+            gram[rows, cols] = a.reshape(rows.stop - rows.start, -1)
+            gram[cols, rows] = gram[rows, cols].T
     return out
 
 
@@ -265,15 +285,17 @@ def fit_overlap(xdc: DataFrame, samples: DataFrame, method: str = "normal", chan
     return coefficients(xdc.sparkSession, stats, beta, method)
 
 
-def fit_epochs(long: DataFrame, epochs: DataFrame, method: str = "pinv") -> DataFrame:
+def fit_epochs(long: DataFrame, epochs: DataFrame, method: str = "pinv", kept: DataFrame | None = None) -> DataFrame:
     """(channel, col_id, lag, beta): one regression for each lag and channel, of epochs on the design's columns.
 
     X'X comes from events once; X'Y from a join on the event. Only columns x columns and columns x
-    lags x channels numbers reach the driver.
+    lags x channels numbers reach the driver. kept: the events that have an epoch (`intervals.whole`), if they are known
+    without cutting the epochs.
     """
     x = long.select("recording_id", "event_index", "col_id", "x").where(known("x") != 0)
-    kept = epochs.select("recording_id", "event_index").distinct()
-    x = x.join(kept, ["recording_id", "event_index"], "left_semi")
+    if kept is None:
+        kept = epochs.select("recording_id", "event_index").distinct()
+    x = x.join(kept.select("recording_id", "event_index"), ["recording_id", "event_index"], "left_semi")
     other = x.select("recording_id", "event_index", F.col("col_id").alias("other"), F.col("x").alias("z"))
     gram = x.join(other, ["recording_id", "event_index"]).groupBy("col_id", "other").agg(F.sum(F.col("x") * F.col("z")).alias("v")).toPandas()
     cross = epochs.join(x, ["recording_id", "event_index"]).groupBy("channel", "lag", "col_id").agg(F.sum(F.col("x") * F.col("y")).alias("v")).toPandas()

@@ -146,11 +146,16 @@ def clean_events(events: DataFrame, intervals: DataFrame, lo: int, width: int, t
     return events.join(hit, ["recording_id", "event_index"], "left_anti")
 
 
-def epochs(events: DataFrame, samples: DataFrame, lo: int, width: int, intervals: DataFrame | None = None) -> DataFrame:
-    """(recording_id, event_index, type, lag, channel, y) of events with a whole window, touching no interval."""
+def whole(events: DataFrame, samples: DataFrame, lo: int, width: int, intervals: DataFrame | None = None) -> DataFrame:
+    """Events with a whole window that touches no interval, and their whole latency _lat; told from events and recordings' ends alone."""
     ends = samples.groupBy("recording_id").agg(F.max("t").alias("_last"))
     e = events if intervals is None else clean_events(events, intervals, lo, width)
-    e = e.withColumn("_lat", F.round("latency").cast("long")).join(ends, "recording_id").where((F.col("_lat") + lo >= 1) & (F.col("_lat") + lo + width - 1 <= F.col("_last")))
+    return e.withColumn("_lat", F.round("latency").cast("long")).join(ends, "recording_id").where((F.col("_lat") + lo >= 1) & (F.col("_lat") + lo + width - 1 <= F.col("_last"))).drop("_last")
+
+
+def epochs(events: DataFrame, samples: DataFrame, lo: int, width: int, intervals: DataFrame | None = None) -> DataFrame:
+    """(recording_id, event_index, type, lag, channel, y) of events with a whole window, touching no interval."""
+    e = whole(events, samples, lo, width, intervals)
     cut = e.select("recording_id", "event_index", "type", "_lat", F.explode(F.sequence(F.lit(lo), F.lit(lo + width - 1))).alias("lag")).withColumn("t", F.col("_lat") + F.col("lag"))
     return cut.join(samples.select("recording_id", "t", "channel", "y"), ["recording_id", "t"]).select("recording_id", "event_index", "type", "lag", "channel", "y")
 

@@ -101,16 +101,22 @@ def marginal(predicted: DataFrame, curves: DataFrame, design: Design, kind: str
 
 
 def _r2(fit, test) -> np.ndarray:
-    """1 - RSS / TSS by channel: fit's coefficients on test's statistics."""
+    """1 - RSS / TSS by channel: fit's coefficients on test's statistics; nan where the test has no variance."""
     n, gram, cross, total, squares, _ = test
     rss = squares - 2 * (fit * cross).sum(0) + np.einsum("pc,pq,qc->c", fit, gram, fit)
-    return 1 - rss / (squares - total**2 / n)
+    tss = squares - total**2 / n
+    varies = tss > 1e-12 * np.maximum(squares, 1e-300)
+    return np.where(varies, 1 - rss / np.where(varies, tss, 1.0), np.nan)
+
+
+def _told(r: float) -> float | None:
+    return None if np.isnan(r) else float(r)
 
 
 def model_fit(stats: Statistics, design: Design, method: str = "R2", variables: list[str] | None = None, solver: str = "normal") -> list[tuple]:
     """(fold, channel, variable, r2_ca, r2_total): R2, partialR2, crossValR2 or crossValpartialR2, all from fold statistics.
 
-    r2_ca is what the variable adds: the model's R2 less that of the model without it.
+    r2_ca is what the variable adds: the model's R2 less that of the model without it. Where a test's signal has no variance both are null.
     """
     partial, cross = "partial" in method, method.startswith("crossVal")
     if method not in ("R2", "partialR2", "crossValR2", "crossValpartialR2"):
@@ -125,7 +131,7 @@ def model_fit(stats: Statistics, design: Design, method: str = "R2", variables:
             continue
         whole = _r2(solve(train[1], train[2], solver)[0], test)
         if not partial:
-            out += [(fold, ch, None, None, float(r)) for ch, r in zip(stats.channels, whole, strict=True)]
+            out += [(fold, ch, None, None, _told(r)) for ch, r in zip(stats.channels, whole, strict=True)]
             continue
         for name in names:
             keep = np.array([by_col.get(k) != name for k, _ in stats.keys])
@@ -133,7 +139,7 @@ def model_fit(stats: Statistics, design: Design, method: str = "R2", variables:
             if keep.any():
                 beta[keep] = solve(train[1][np.ix_(keep, keep)], train[2][keep], solver)[0]
             without = _r2(beta, test)
-            out += [(fold, ch, name, float(r - w), float(r)) for ch, w, r in zip(stats.channels, without, whole, strict=True)]
+            out += [(fold, ch, name, _told(r - w), _told(r)) for ch, w, r in zip(stats.channels, without, whole, strict=True)]
     return out
 
 

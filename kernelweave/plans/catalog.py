@@ -353,7 +353,8 @@ def epoch_fit(spark, sf_dir):
     """A regression for each lag, no overlap correction."""
     events = src.model_events(spark, sf_dir)
     d = design(events, "y ~ 1 + value", TYPES)
-    c = fit.fit_epochs(d.long(), intervals.epochs(events, src.activity(spark, sf_dir), -5, 15))
+    samples = src.activity(spark, sf_dir)
+    c = fit.fit_epochs(d.long(), intervals.epochs(events, samples, -5, 15), kept=intervals.whole(events, samples, -5, 15))
     return c.join(d.metadata().select("col_id", "name"), "col_id").select("channel", "name", "lag", _r("beta", 4))
 
 
@@ -391,7 +392,7 @@ def _without(train: str, by: str) -> str:
     return f"SELECT {by}, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, avg(y) AS c, sum(x * y) / sum(x * x) AS z FROM {train} GROUP BY {by}"
 
 
-_LEFT = "1 - sum(power(y - a - b * x, 2)) / (sum(y * y) - power(sum(y), 2) / count(*)) AS r, 1 - sum(power(y - c, 2)) / (sum(y * y) - power(sum(y), 2) / count(*)) AS no_x, 1 - sum(power(y - z * x, 2)) / (sum(y * y) - power(sum(y), 2) / count(*)) AS no_1"
+_LEFT = "1 - sum(power(y - a - b * x, 2)) / nullif(sum(y * y) - power(sum(y), 2) / count(*), 0) AS r, 1 - sum(power(y - c, 2)) / nullif(sum(y * y) - power(sum(y), 2) / count(*), 0) AS no_x, 1 - sum(power(y - z * x, 2)) / nullif(sum(y * y) - power(sum(y), 2) / count(*), 0) AS no_1"
 _WHOLE_SQL = f"{_CLICKS}, f AS ({_without('m', 'channel')}), q AS (SELECT CAST(NULL AS INTEGER) AS fold, channel, {_LEFT} FROM m JOIN f USING (channel) GROUP BY channel)"
 _CROSS_SQL = f"{_CLICKS}, train AS (SELECT k.fold AS k, m.* FROM m JOIN (SELECT unnest(range(0, 4)) AS fold) k ON m.fold <> k.fold), f AS ({_without('train', 'k, channel')}), q AS (SELECT CAST(fold AS INTEGER) AS fold, m.channel, {_LEFT} FROM m JOIN f ON f.k = m.fold AND f.channel = m.channel GROUP BY m.fold, m.channel)"
 _TOTAL = " SELECT fold, channel, CAST(NULL AS VARCHAR) AS variable, CAST(NULL AS DOUBLE) AS r2_ca, round(r, 4) + 0.0 AS r2_total FROM q"
