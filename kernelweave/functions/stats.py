@@ -102,11 +102,10 @@ def correlation(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def vif(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, vif): the diagonal of the inverse correlation matrix; one aggregate, then columns x columns numbers."""
-    _, mean, products = moments(df, columns)
-    cov = products - np.outer(mean, mean)
-    sd = np.sqrt(np.diag(cov))
-    found = np.diag(np.linalg.pinv(cov / np.outer(sd, sd)))
+    """(column, vif): variance inflation factors, from the triangular factor of the columns with an intercept; infinite for sums of others."""
+    from kernelweave.operators import tsqr
+
+    found = tsqr.inflation(tsqr.r_factor(df.dropna(subset=columns), [F.lit(1.0), *[F.col(c) for c in columns]]))
     return df.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(columns, found, strict=True)], "column string, vif double")
 
 

@@ -7,6 +7,7 @@ covariates stay null until imputed.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from kernelweave.functions import splines as sp
 from kernelweave.functions.scan import scan
 from kernelweave.functions.stats import hazen, moments, no_nan, quantiles
+from kernelweave.operators import tsqr
 from kernelweave.plans.formula import Formula, FormulaError, Spline, parse
 
 KEYS = ["recording_id", "event_index", "type", "latency"]
@@ -65,21 +67,29 @@ class Design:
         return self.events.sparkSession.createDataFrame(rows, "col_id int, name string, variable string, kind string, event_types array<string>, value double")
 
 
+#: Levels that a factor has at most: each becomes a column of the design.
+MAX_LEVELS = 10_000
+
+
 def levels(events: DataFrame, variable: str) -> list:
-    """Distinct values, sorted; one small job for each factor."""
-    return [r[0] for r in events.where(F.col(variable).isNotNull()).select(variable).distinct().orderBy(variable).collect()]
+    """Distinct values, sorted; one small job for each factor. Raises beyond MAX_LEVELS, so that a column of ids never reaches the driver."""
+    found = [r[0] for r in events.where(F.col(variable).isNotNull()).select(variable).distinct().limit(MAX_LEVELS + 1).collect()]
+    if len(found) > MAX_LEVELS:
+        raise ValueError(f"{variable} has over {MAX_LEVELS} values: no factor")
+    return sorted(found)
 
 
 def _label(value) -> str:
     return str(int(value)) if isinstance(value, float) and value == int(value) else str(value).lower() if isinstance(value, bool) else str(value)
 
 
-def design(events: DataFrame, formulas: str | list[str], event_types: list[list[str]] | list[str], coding: str = "reference", categorical: dict[str, list] | None = None, spacing: str = "quantile", knots: dict[str, list[float]] | None = None) -> Design:
+def design(events: DataFrame, formulas: str | list[str], event_types: list[list[str]] | list[str], coding: str = "reference", categorical: dict[str, list] | None = None, spacing: str = "quantile", knots: dict[str, list[float]] | None = None, check_rank: bool = False) -> Design:
     """One formula for each set of event types.
 
     coding: reference (levels but the first), effects (sum to zero, continuous centred) or full.
     categorical: levels in order for some factors, reference first. spacing: quantile or linear.
-    Raises for unknown variables, sets without events, factors of one level and events without a type.
+    Raises for unknown variables, sets without events, factors of one level and events without a type. check_rank takes one
+    pass over the events and warns of columns that are sums of others.
     """
     if coding not in ("reference", "effects", "full") or spacing not in ("quantile", "linear"):
         raise ValueError("unknown coding or spacing")
@@ -96,6 +106,10 @@ def design(events: DataFrame, formulas: str | list[str], event_types: list[list[
     taken: set[str] = set()
     for k, (text, types) in enumerate(zip(texts, sets, strict=True), 1):
         _one(out, parse(text), tuple(types), coding, categorical or {}, spacing, knots or {}, k, taken)
+    if check_rank:
+        found, columns = rank(out)
+        if found < columns:
+            warnings.warn(f"the design has {columns} columns and rank {found}", stacklevel=2)
     return out
 
 
@@ -252,7 +266,6 @@ def impute(long: DataFrame, method: str = "median", seed: int = 1) -> DataFrame:
 
 
 def rank(design_: Design) -> tuple[int, int]:
-    """(rank, columns) of the design, from its columns x columns products."""
-    wide = design_.wide().select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(design_.names)])
-    n, _, products = moments(wide, wide.columns)
-    return int(np.linalg.matrix_rank(products * n)), len(design_.columns)
+    """(rank, columns) of the design, from its triangular factor."""
+    wide = design_.wide()
+    return tsqr.rank(tsqr.r_factor(wide, [F.col(f"`{c}`") for c in design_.names])), len(design_.columns)

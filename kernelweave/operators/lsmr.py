@@ -138,7 +138,8 @@ def lsmr(op: Operator, damp: float = 0.0, atol: float = 1e-8, btol: float = 1e-8
     p, c = op.columns, op.channels
     base, x, v, w, h, hbar = (np.zeros((p, c)) for _ in range(6))
     begin, live = np.ones(c, bool), np.ones(c, bool)
-    alpha, gamma, abar, zeta_bar, top, low = np.zeros(c), np.zeros(c), np.zeros(c), np.zeros(c), np.zeros(c), np.full(c, np.inf)
+    alpha, gamma, abar, zeta_bar = (np.zeros(c) for _ in range(4))
+    turns, extent = np.zeros(c, int), np.array([np.full(c, np.inf), np.zeros(c)])  # rotations since the last begin; least and largest diagonal entry of the triangle
     rho, rho_bar, cos_bar, sin_bar = np.ones(c), np.ones(c), np.ones(c), np.zeros(c)
     start, before, residual = op.y_norm.copy(), np.full(c, np.inf), op.y_norm.copy()
     condition, status = np.ones(c), ["steps"] * c
@@ -175,7 +176,7 @@ def lsmr(op: Operator, damp: float = 0.0, atol: float = 1e-8, btol: float = 1e-8
         abar, zeta_bar = np.where(first, alpha, abar), np.where(first, alpha * beta, zeta_bar)
         rho, rho_bar, cos_bar, sin_bar = np.where(first, 1.0, rho), np.where(first, 1.0, rho_bar), np.where(first, 1.0, cos_bar), np.where(first, 0.0, sin_bar)
         h, hbar = np.where(first, v, h), np.where(first, 0.0, hbar)
-        top, low = np.where(first, 0.0, top), np.where(first, np.inf, low)
+        turns, extent = np.where(first, 0, turns), np.where(first, [[np.inf], [0.0]], extent)
         begin[:] = False
         # the others turn their new column of the bidiagonal into two rotations
         go = live & ~first
@@ -193,8 +194,11 @@ def lsmr(op: Operator, damp: float = 0.0, atol: float = 1e-8, btol: float = 1e-8
         abar = np.where(go, _ratio(ahat, rho_new) * alpha, abar)
         zeta_bar = np.where(go, -_ratio(theta, bar_new) * zeta_bar, zeta_bar)
         cos_bar, sin_bar = np.where(go, _ratio(corner, bar_new), cos_bar), np.where(go, _ratio(theta, bar_new), sin_bar)
-        top, low = np.where(go, np.maximum(top, rho_bar_old * (rho_bar_old != 1.0)), top), np.where(go & (rho_bar_old != 1.0), np.minimum(low, rho_bar_old), low)
-        condition = np.where(go & (low < np.inf), np.maximum(condition, _ratio(np.maximum(top, corner), np.minimum(low, np.maximum(corner, 1e-300)))), condition)
+        # a turn closes the entry before it, and its own corner is open still; from their extent follows the condition number
+        extent[0] = np.where(go & (turns > 0), np.minimum(extent[0], rho_bar_old), extent[0])
+        extent[1] = np.where(go & (turns > 0), np.maximum(extent[1], rho_bar_old), extent[1])
+        wide = _ratio(np.maximum(extent[1], corner), np.minimum(extent[0], np.maximum(corner, 1e-300)))
+        condition, turns = np.where(go & (turns > 0), np.maximum(condition, wide), condition), turns + go
         rho, rho_bar = np.where(go, rho_new, rho), np.where(go, bar_new, rho_bar)
         if damp == 0:
             again = live & (np.abs(gamma) * start > LOST)
