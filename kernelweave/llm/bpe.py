@@ -203,8 +203,8 @@ class Vocabulary:
 class Remembered:
     """Encodings of distinct pre-tokens by their hash, for one Python worker; bytes are compared, so equal hashes alone prove nothing."""
 
-    def __init__(self, encode_words):
-        self.encode_words = encode_words
+    def __init__(self, encode_words, most: int = MAX_REMEMBERED):
+        self.encode_words, self.most = encode_words, most
         self.clear()
 
     def clear(self) -> None:
@@ -218,7 +218,7 @@ class Remembered:
         texts_of(indices): their bytes; equal(i, j): for index arrays, whether the pre-tokens are the same.
         """
         codes, distinct = pd.factorize(hashes)
-        if len(self.keys) + len(distinct) > MAX_REMEMBERED:
+        if len(self.keys) + len(distinct) > self.most:
             self.clear()
         seen = np.zeros(len(distinct), np.int64)
         seen[codes[::-1]] = np.arange(len(codes))[::-1]
@@ -296,8 +296,8 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 @functools.cache
-def remembered(path: str) -> Remembered:
-    return Remembered(vocabulary(path).encode_words)
+def remembered(path: str, most: int = MAX_REMEMBERED) -> Remembered:
+    return Remembered(vocabulary(path).encode_words, most)
 
 
 def decode_ids(ids: pa.Array, v: Vocabulary) -> pa.Array:
@@ -345,12 +345,12 @@ def decode(ids: Column, tokenizer: str) -> Column:
     return text(ids)
 
 
-def round_trip(texts: Column, tokenizer: str) -> Column:
-    """struct<ids, decoded>: each whole text's ids and what they decode to, in one Python pass."""
+def round_trip(texts: Column, tokenizer: str, most: int = MAX_REMEMBERED) -> Column:
+    """struct<ids, decoded>: each whole text's ids and what they decode to, in one Python pass. most: pre-tokens that a worker remembers."""
 
     @F.arrow_udf("struct<ids:array<int>,decoded:string>")
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        memory, v = remembered(tokenizer), vocabulary(tokenizer)
+        memory, v = remembered(tokenizer, most), vocabulary(tokenizer)
         for texts in batches:
             ids = encode_texts(texts, v.special, memory)
             yield pa.StructArray.from_arrays([ids, decode_ids(ids, v)], ["ids", "decoded"])

@@ -52,7 +52,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def bpe_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids, and whether these decode to the text again."""
     prepare(spark)
-    both = bpe.round_trip(F.col("text"), tokenizer_path())
+    both = bpe.round_trip(F.col("text"), tokenizer_path(), most=100_000)  # workers hold the other stages' memory too
     out = docs.select("doc_id", "lang", "source", "text", both.alias("both"))
     ids = F.col("both.ids")
     return out.select("doc_id", "lang", "source", F.size(ids).cast("long").alias("n_tokens"), ids.alias("ids"), F.col("both.decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))
