@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kernelweave.functions.stats import hazen, running, trimmed_mean
+from kernelweave.functions.stats import hazen, no_nan, running, trimmed_mean
+from kernelweave.operators.design import Design
+from kernelweave.operators.postfit import marginal, predict
 
 
 def baseline(curves: DataFrame, lo_s: float, hi_s: float, keys: list[str]) -> DataFrame:
@@ -35,6 +38,43 @@ def curve_table(curves: DataFrame, metadata: DataFrame, window_s: tuple[float, f
     return c.select("event", F.col("variable").alias("predictor"), "value", F.col("name").alias("label"), "channel", "time_s", "beta", *sets)
 
 
+def parameter_table(curves: DataFrame, design: Design, at: dict[str, list[float]] | None = None, add_intercept: bool = False, add_marginal: str | None = None, window_s: tuple[float, float] | None = None, channels: list[int] | None = None, variables: list[str] | None = None) -> DataFrame:
+    """(event, predictor, value, value2, label, channel, time_s, beta [, set]): predicted curves, splines and continuous variables at values.
+
+    at: values of some variables (10 quantiles). add_marginal MEM or AME adds the other variables of the set (then no intercept is added, as it is one
+    of them); window_s takes off the mean over a window first; channels and variables choose among curves.
+    """
+    if add_intercept and add_marginal:
+        raise ValueError("the marginals hold the intercept")
+    sets = ["set"] if "set" in curves.columns else []
+    c = curves if channels is None else curves.where(F.col("channel").isin(*channels))
+    c = baseline(c, *window_s, ["channel", "col_id", *sets]) if window_s else c
+    table = predict(c, design, at)
+    if add_marginal:
+        table = marginal(table, c, design, add_marginal)
+    table = table.withColumn("event", F.array_join(F.array_sort("event_types"), " "))
+    if add_intercept:
+        base = table.where("kind = 'intercept'").select("channel", "lag", "event", *sets, F.col("beta").alias("_b"))
+        table = table.join(base, ["channel", "lag", "event", *sets], "left").withColumn("beta", F.col("beta") + F.when(F.col("kind") == "intercept", 0.0).otherwise(F.coalesce("_b", F.lit(0.0))))
+    if variables is not None:
+        table = table.where(F.col("variable").isin(*variables))
+    label = F.concat_ws(": ", "variable", F.concat_ws(", ", F.format_string("%.4g", "value"), F.when(F.col("value2").isNotNull(), F.format_string("%.4g", "value2"))))
+    return table.select("event", F.col("variable").alias("predictor"), "value", "value2", F.when(F.col("value").isNull(), F.col("variable")).otherwise(label).alias("label"), "channel", "time_s", "beta", *sets)
+
+
+def value_image(curves: DataFrame, design: Design, variable: str, n: int = 100, add_intercept: bool = False, add_marginal: str | None = None, window_s: tuple[float, float] | None = None, channels: list[int] | None = None) -> DataFrame:
+    """parameter_table of one variable at n values from its least to its largest: the cells of a value x time image."""
+    columns = [c for c in design.columns if c.variable == variable]
+    if not columns or columns[0].kind not in ("continuous", "spline"):
+        raise ValueError(f"{variable} is no continuous variable of the design")
+    of = list(design.splines[variable].spec.variables) if variable in design.splines else [variable if variable in design.events.columns else variable.split("_", 1)[-1]]
+    mine = design.events.where(F.col("type").isin(*columns[0].event_types))
+    ends = mine.agg(*[f(no_nan(F.col(v).cast("double"))) for v in of for f in (F.min, F.max)]).first()
+    at = {v: np.linspace(ends[2 * i], ends[2 * i + 1], n if len(of) == 1 else max(2, round(n**0.5))).tolist() for i, v in enumerate(of)}
+    at |= {variable: at[of[0]]} if len(of) == 1 else {}
+    return parameter_table(curves, design, at, add_intercept, add_marginal, window_s, channels, [variable])
+
+
 def display_window(xdc: DataFrame, events: DataFrame, srate: float, seconds: float = 60.0) -> DataFrame:
     """xdc within seconds / 2 of the middle event of each recording (of the times of its events), for a picture of it."""
     from kernelweave.operators.postfit import _ranked
@@ -81,6 +121,11 @@ def histogram(events: DataFrame, variable: str, bins: int = 20) -> DataFrame:
     return b.select(F.when(F.col("b") > F.col("a"), F.least(F.floor((F.col("x") - F.col("a")) / (F.col("b") - F.col("a")) * bins), F.lit(bins - 1))).otherwise(0).alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
 
 
+def level_counts(events: DataFrame, variable: str) -> DataFrame:
+    """(level, n): events of each value of a categorical variable; nulls are left out."""
+    return events.where(F.col(variable).isNotNull()).groupBy(F.col(variable).cast("string").alias("level")).agg(F.count("*").alias("n"))
+
+
 def density(events: DataFrame, variable: str, points: int = 50, bins: int = 400) -> DataFrame:
     """(x, density): a Gaussian kernel over finely binned values, Silverman's width; its cost does not grow with rows."""
     x = events.where(F.col(variable).isNotNull()).select(F.col(variable).cast("double").alias("x"))

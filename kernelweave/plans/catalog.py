@@ -826,3 +826,72 @@ def design_custom_spline(spark, sf_dir):
 
     d = add_spline(design(src.model_events(spark, sf_dir), "y ~ 1", ["click"]), "k", ["click"], polynomial, [0.0, 1.0, 2.0])
     return d.long().where("col_id > 0").groupBy(F.col("col_id").alias("power")).agg(F.count("*").alias("n"), F.round(F.sum("x"), 3).alias("total"))
+
+
+# ---- trials in one call, tables of parameters, sets of intervals
+
+_SHAPES = "k(lag, w) AS (VALUES " + ", ".join(f"({i}, CAST({w!r} AS DOUBLE))" for i, w in enumerate(_SHAPE)) + ")"
+
+
+@query(f"""WITH {_EPOCHS}, f AS (SELECT e.recording_id, e.event_index, arg_min(o.latency - e.l, o.l * 1000000000 + o.event_index) AS sort FROM lat e LEFT JOIN lat o ON o.recording_id = e.recording_id AND o.type = 'purchase' AND o.l BETWEEN e.l AND e.l + 60 WHERE e.type = 'error' GROUP BY e.recording_id, e.event_index),
+ m AS (SELECT recording_id, event_index, lag, avg(y) AS y FROM cut WHERE type = 'error' GROUP BY 1, 2, 3), d AS (SELECT DISTINCT recording_id, event_index FROM m),
+ r AS (SELECT d.*, sort, row_number() OVER (PARTITION BY d.recording_id ORDER BY sort ASC NULLS LAST, d.event_index) AS trial FROM d JOIN f USING (recording_id, event_index))
+ SELECT m.recording_id, CAST(trial AS INTEGER) AS trial, m.event_index, lag, round(y, 6) AS y, round(sort, 6) AS sort FROM m JOIN r USING (recording_id, event_index)""")
+def trial_image_raw(spark, sf_dir):
+    """Raw trials of errors, by the latency of the first purchase in the minute after each."""
+    from kernelweave.operators.trials import trial_image
+
+    d = _typed(spark, sf_dir, "y ~ 1")
+    t = trial_image(d, src.activity(spark, sf_dir), -5, 15, 1.0, "raw", align_to=["error"], sort_align_to=["purchase"], sort_time=(0.0, 60.0))
+    return t.select("recording_id", "trial", "event_index", "lag", _r("y"), _r("sort"))
+
+
+@query(f"""WITH {EV}, {_SHAPES}, e AS (SELECT *, CAST(round(latency) AS BIGINT) AS l FROM ev WHERE type = 'click'), f AS (SELECT recording_id, l, arg_min(value, event_index) AS sort FROM e GROUP BY 1, 2),
+ d AS (SELECT e.*, sort, row_number() OVER (PARTITION BY e.recording_id ORDER BY sort DESC, event_index) AS trial FROM e JOIN f ON f.recording_id = e.recording_id AND f.l = e.l WHERE e.l >= 1 AND e.l + 5 <= 43200)
+ SELECT recording_id, CAST(trial AS INTEGER) AS trial, event_index, CAST(lag AS INTEGER) AS lag, round(w * {_TRUE['click']['value']!r} * value, 3) + 0.0 AS y, round(sort, 6) AS sort FROM d, k""")
+def trial_image_modelled(spark, sf_dir):
+    """What the slope alone says of each click, without its neighbours, by falling value of the first click at its sample."""
+    from kernelweave.operators.trials import trial_image
+
+    d, curves = _curves(spark, sf_dir)
+    slope = next(c.variable for c in d.columns if c.kind == "continuous" and "click" in c.event_types)
+    t = trial_image(d, _known(spark, sf_dir), 0, 6, 1.0, curves=curves, keep=[slope], align_to=["click"], sort_by="value", sort_time=(0.0, 0.0), descending=True)
+    return t.select("recording_id", "trial", "event_index", F.col("lag").cast("int").alias("lag"), _r("y", 3), _r("sort"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS event, CAST({v} AS DOUBLE) AS value, CAST({lag} AS DOUBLE) AS time_s, round(CAST({w * (p['1'] + p['value'] * v)!r} AS DOUBLE), 3) + 0.0 AS beta" for t, p in _TRUE.items() for v in (0.0, 10.0) for lag, w in enumerate(_SHAPE)))
+def parameter_curves(spark, sf_dir):
+    """Predicted curves of the slopes at two values, with their intercepts."""
+    d, curves = _curves(spark, sf_dir)
+    slopes = [c.variable for c in d.columns if c.kind == "continuous"]
+    t = plotdata.parameter_table(curves, d, {v: [0.0, 10.0] for v in slopes}, add_intercept=True, variables=slopes)
+    return t.select("event", "value", "time_s", _r("beta", 3))
+
+
+@query(f"""WITH {EV}, {_SHAPES}, r AS (SELECT min(value) AS a, max(value) AS b FROM ev WHERE type = 'click'), v AS (SELECT a + (b - a) * i / 99.0 AS value FROM r, range(100) t(i))
+ SELECT round(value, 6) AS value, CAST(lag AS DOUBLE) AS time_s, round(w * {_TRUE['click']['value']!r} * value, 3) + 0.0 AS beta FROM v, k""")
+def parameter_image(spark, sf_dir):
+    """The cells of a value x time image of clicks' slope, 100 values."""
+    d, curves = _curves(spark, sf_dir)
+    slope = next(c.variable for c in d.columns if c.kind == "continuous" and "click" in c.event_types)
+    return plotdata.value_image(curves, d, slope).select(_r("value"), "time_s", _r("beta", 3))
+
+
+@query(f"""WITH {EV}, lat AS (SELECT *, CAST(round(latency) AS BIGINT) AS l FROM ev), i AS (SELECT 'errors' AS name, recording_id, l AS a, l + 30 AS b FROM lat WHERE type = 'error' UNION ALL SELECT 'purchases', recording_id, l - 10, l + 10 FROM lat WHERE type = 'purchase'),
+ t AS (SELECT DISTINCT name, recording_id, unnest(range(a, b + 1)) AS t FROM i), n AS (SELECT name, count(*) AS n FROM t GROUP BY name UNION ALL SELECT 'union', count(*) FROM (SELECT DISTINCT recording_id, t FROM t))
+ SELECT name, CAST(n AS DOUBLE) AS seconds FROM n UNION ALL SELECT 'repeated', CAST(sum(CASE WHEN name = 'union' THEN -n ELSE n END) AS DOUBLE) FROM n""")
+def interval_sets(spark, sf_dir):
+    """Seconds of two sets of intervals, of their union and of what they have in common."""
+    e = src.model_events(spark, sf_dir).withColumn("l", F.round("latency").cast("long"))
+    sets = {
+        "errors": e.where("type = 'error'").select("recording_id", F.col("l").alias("start_t"), (F.col("l") + 30).alias("end_t")),
+        "purchases": e.where("type = 'purchase'").select("recording_id", (F.col("l") - 10).alias("start_t"), (F.col("l") + 10).alias("end_t")),
+    }
+    return intervals.merge_sets(sets, 1.0)[1]
+
+
+@query("SELECT g, unnest([0.05, 0.5, 0.95])::DOUBLE AS p, round(unnest(q), 4) AS q FROM (SELECT l_returnflag AS g, quantile_cont(CAST(l_extendedprice AS DOUBLE), [0.05, 0.5, 0.95]) AS q FROM lineitem GROUP BY l_returnflag)")
+def grouped_quantiles(spark, sf_dir):
+    """Quantiles inside large groups, each dealt to ranges of values."""
+    q = stats.hazen(src.table(spark, sf_dir, "lineitem"), "l_extendedprice", [0.05, 0.5, 0.95], ["l_returnflag"], rule="linear")
+    return q.select(F.col("l_returnflag").alias("g"), "p", _r("q", 4))
