@@ -550,18 +550,32 @@ def marginal_intercept(spark, sf_dir):
     return postfit.marginal(p, c, d, "MEM").where("kind = 'intercept'").select(F.element_at("event_types", 1).alias("type"), "lag", _r("beta", 3))
 
 
-@query()
+_AVERAGES = (
+    f"WITH {EV}, h AS (SELECT type, list_sort(list(value)) AS v, count(*) AS n, avg(value) AS m FROM ev WHERE value IS NOT NULL GROUP BY type), p(type, variable, k, a, s) AS (VALUES "
+    + ", ".join(f"('{t}', '{'' if k == 1 else f'{k}_'}', {k}, CAST({p['1']!r} AS DOUBLE), CAST({p['value']!r} AS DOUBLE))" for k, (t, p) in enumerate(_TRUE.items(), 1))
+    + "), k(lag, w) AS (VALUES " + ", ".join(f"({i}, CAST({w!r} AS DOUBLE))" for i, w in enumerate(_SHAPE))
+    + "), r AS (SELECT type, v, greatest(1.0, least(n, n * i / 11.0 + 0.5)) AS r FROM h, range(1, 11) t(i)), q AS (SELECT type, v[CAST(floor(r) AS BIGINT)] + (v[CAST(ceil(r) AS BIGINT)] - v[CAST(floor(r) AS BIGINT)]) * (r - floor(r)) AS value FROM r)"
+    " SELECT h.type AS events, variable || '(Intercept)' AS variable, CAST(NULL AS DOUBLE) AS value, lag, round(w * (a + s * m) + 1e-6, 3) + 0.0 AS beta FROM h JOIN p ON p.type = h.type, k"
+    " UNION ALL SELECT q.type, variable || 'value', round(value, 4) + 0.0, lag, round(w * (a + s * value) + 1e-6, 3) + 0.0 FROM q JOIN p ON p.type = q.type, k"
+)
+
+
+@query(_AVERAGES)
 def marginal_average(spark, sf_dir):
+    """Average marginal effects: each parameter with the other of its event set averaged over the events."""
     d, c = _curves(spark, sf_dir)
-    return postfit.marginal(postfit.predict(c, d), c, d, "AME").select(F.array_join("event_types", " ").alias("events"), "variable", _r("value", 4), "lag", _r("beta", 3))
+    m = postfit.marginal(postfit.predict(c, d), c, d, "AME").withColumn("beta", F.col("beta") + 1e-6)  # no value stands just between two roundings
+    return m.select(F.array_join("event_types", " ").alias("events"), "variable", _r("value", 4), "lag", _r("beta", 3))
 
 
-@query(_predicted_sql([]) or "SELECT 0 AS bad" if False else "SELECT 'r' || i AS recording_id, 43200 AS n, CAST(0.0 AS DOUBLE) AS residual FROM (SELECT unnest(range(0, 4)) AS i)")
+@query(f"""{_CLICKS}, f AS (SELECT channel, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM m GROUP BY channel), i AS (SELECT m.channel, sum(power(y - a - b * x, 2)) AS inside, sum(y * y) AS was FROM m JOIN f ON f.channel = m.channel GROUP BY m.channel)
+ SELECT s.channel, count(*) AS n, round(sum(y * y) - any_value(was) + any_value(inside), 3) AS residual FROM samples s JOIN i ON i.channel = s.channel GROUP BY s.channel""")
 def residual_signal(spark, sf_dir):
-    d, x = _xdc(spark, sf_dir, width=6, lo=0, formula="y ~ 1 + value")
-    s = _known(spark, sf_dir)
+    """Squares of what a regression at clicks leaves of the signal; where no click is, all of it."""
+    d = design(src.model_events(spark, sf_dir), "y ~ 1 + value", ["click"])
+    x, s = expand.sticks(expand.single(d.long()), 0, 1, src.N_SAMPLES), src.activity(spark, sf_dir)
     r = postfit.residuals(s, x, fit.fit_overlap(x, s))
-    return r.groupBy("recording_id").agg(F.count("*").alias("n"), (F.round(F.sum(F.abs("residual")), 3) + 0.0).alias("residual"))
+    return r.groupBy("channel").agg(F.count("*").alias("n"), F.round(F.sum(F.col("residual") * F.col("residual")), 3).alias("residual"))
 
 
 @query(f"""WITH {_EPOCHS}, m AS (SELECT recording_id, event_index, lag, avg(y) AS y FROM cut GROUP BY 1, 2, 3), k AS (SELECT DISTINCT recording_id, event_index FROM m),

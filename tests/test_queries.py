@@ -13,7 +13,7 @@ import __spark_entry__
 from kernelweave.plans import catalog
 
 ROOT = Path(__file__).resolve().parents[1]
-SOME = ["event_density", "topographies", "yuen_test", "sparse_fit", "kept_predictors", "epoch_first_event", "design_custom_spline", "weighted_auc", "gram", "expand_splines", "impute_marginal", "model_r2", "model_partial_r2", "model_cv_partial_r2", "tidy_export", "artefact_bursts", "model_events", "design_reference", "design_effects", "hazen_quantiles", "expand_sticks", "overlap_fit", "epoch_fit", "merge_intervals", "exclude_intervals", "artefact_amplitude"]
+SOME = ["cox_fit", "multinomial_fit", "multi_response_path", "default_path", "glm_cross_validation", "trial_image_raw", "trial_image_modelled", "parameter_curves", "parameter_image", "interval_sets", "grouped_quantiles", "marginal_average", "residual_signal", "active_runs", "event_density", "topographies", "yuen_test", "sparse_fit", "kept_predictors", "epoch_first_event", "design_custom_spline", "weighted_auc", "gram", "expand_splines", "impute_marginal", "model_r2", "model_partial_r2", "model_cv_partial_r2", "tidy_export", "artefact_bursts", "model_events", "design_reference", "design_effects", "hazen_quantiles", "expand_sticks", "overlap_fit", "epoch_fit", "merge_intervals", "exclude_intervals", "artefact_amplitude"]
 
 
 @pytest.mark.parametrize("name", SOME)
