@@ -41,7 +41,7 @@ HEAPS = ((3.0, 0.8), (1.0, 0.9), (1.0, 0.9), (1.0, 0.9))
 PROBES, BITS_PER_ITEM = 5, 5 / np.log(2)
 TOKENS_PER_BLOCK, SHARD_BYTES = 1 << 17, 1 << 24
 #: n-grams that a map task keeps before it sends them; texts (bytes) that a task scores with one shard loaded.
-FLUSH, GROUP_BYTES = 1 << 22, 1 << 24
+FLUSH, GROUP_BYTES = 1 << 21, 1 << 23
 #: Tokens whose exact counts are broadcast: at most so many, none longer.
 HEAD, HEAD_CHARS = 50_000, 64
 _KEY_BITS = U64(40)
@@ -308,7 +308,7 @@ def _scoring(model: Model, text: int):
     model = model._replace(tail=None)
 
     def scored(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slices = [[_Slice(part, model) for part in ta.slices(b.column(text), 1 << 21)] for b in batches]
+        slices = [[_Slice(part, model) for part in ta.slices(b.column(text), 1 << 20)] for b in batches]
         for shard in model.shards:
             for s in (s for many in slices for s in many):
                 for cell, level in zip(s.cells, s.levels, strict=True):
