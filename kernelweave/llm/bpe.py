@@ -28,6 +28,8 @@ from kernelweave.llm import textarrays as ta
 
 #: Distinct pre-tokens that a Python worker remembers; beyond it, it starts anew.
 MAX_REMEMBERED = 500_000
+#: It starts anew also where these have more code points than so many on average.
+MEAN_POINTS = 32
 
 
 class Vocabulary:
@@ -200,8 +202,22 @@ class Vocabulary:
         return ids.astype(np.int32), counts
 
 
+class Grown:
+    """An array that is added to at its end; its room doubles."""
+
+    def __init__(self, dtype):
+        self.data, self.n = np.zeros(1 << 10, dtype), 0
+
+    def add(self, more: np.ndarray) -> None:
+        n = self.n + len(more)
+        if n > len(self.data):
+            self.data = np.concatenate([self.data[: self.n], np.zeros(max(n, 2 * self.n) - self.n, self.data.dtype)])
+        self.data[self.n : n] = more
+        self.n = n
+
+
 class Remembered:
-    """Encodings of distinct pre-tokens by their hash, for one Python worker; bytes are compared, so equal hashes alone prove nothing."""
+    """Encodings of distinct pre-tokens by their hash, for one Python worker; code points are compared, so equal hashes alone prove nothing."""
 
     def __init__(self, encode_words, most: int = MAX_REMEMBERED):
         self.encode_words, self.most = encode_words, most
@@ -209,48 +225,59 @@ class Remembered:
 
     def clear(self) -> None:
         self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        self.words: list[bytes] = []
-        self.ids, self.starts, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        # of each slot: where its ids begin and how many they are, where its code points begin and how many they are
+        self.ids, self.starts, self.counts = Grown(np.int32), Grown(np.int64), Grown(np.int32)
+        self.points, self.begins, self.sizes = Grown(np.uint32), Grown(np.int64), Grown(np.int64)
 
-    def slots_of(self, hashes: np.ndarray, texts_of, equal) -> np.ndarray:
-        """The slot of each pre-token; those not yet known are encoded.
-
-        texts_of(indices): their bytes; equal(i, j): for index arrays, whether the pre-tokens are the same.
-        """
+    def slots_of(self, hashes: np.ndarray, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The slot of each pre-token points[start:end]; those not yet known are encoded."""
         codes, distinct = pd.factorize(hashes)
-        if len(self.keys) + len(distinct) > self.most:
+        if len(self.keys) + len(distinct) > self.most or self.points.n > MEAN_POINTS * self.most:
             self.clear()
         seen = np.zeros(len(distinct), np.int64)
         seen[codes[::-1]] = np.arange(len(codes))[::-1]
-        words = texts_of(seen)
-        at = np.searchsorted(self.keys, distinct)
-        known = np.zeros(len(distinct), bool)
+        # in order, so that neighbours are looked up together
+        order = np.argsort(distinct)
+        keys = distinct[order]
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
         if len(self.keys):
-            known = self.keys[np.minimum(at, len(self.keys) - 1)] == distinct
-        fresh = np.flatnonzero(~known)
-        if len(fresh):
-            slots = self._added([words[i] for i in fresh.tolist()])
-            order = np.argsort(distinct[fresh])
-            put = at[fresh][order]
-            self.keys, self.slots = np.insert(self.keys, put, distinct[fresh][order]), np.insert(self.slots, put, slots[order])
-            at = np.searchsorted(self.keys, distinct)
-        of = self.slots[at]
-        # other bytes of the same hash get slots of their own, which no key leads to
-        clash = np.array([self.words[s] != w for s, w in zip(of.tolist(), words, strict=True)], bool)
-        if clash.any():
-            of[clash] = self._added([words[i] for i in np.flatnonzero(clash).tolist()])
+            known = self.keys[np.minimum(at, len(self.keys) - 1)] == keys
+        of = np.zeros(len(distinct), np.int32)
+        of[order[known]] = self.slots[at[known]]
+        if not known.all():
+            put, fresh = at[~known], order[~known]
+            of[fresh] = slots = self._added(points, starts[seen[fresh]], ends[seen[fresh]])
+            self.keys, self.slots = np.insert(self.keys, put, keys[~known]), np.insert(self.slots, put, slots)
         out = of[codes]
-        odd = np.flatnonzero(~equal(np.arange(len(codes)), seen[codes]))
+        # other bytes of the same hash get slots of their own, which no key leads to
+        odd = np.flatnonzero(~self._same(points, ends - starts, out))
         if len(odd):
-            out[odd] = self._added(texts_of(odd))
+            out[odd] = self._added(points, starts[odd], ends[odd])
         return out
 
-    def _added(self, words: list[bytes]) -> np.ndarray:
-        ids, counts = self.encode_words(words)
-        slots = (len(self.counts) + np.arange(len(words))).astype(np.int32)
-        self.starts = np.concatenate([self.starts, (len(self.ids) + np.cumsum(counts) - counts).astype(np.int32)])
-        self.counts, self.ids = np.concatenate([self.counts, counts.astype(np.int32)]), np.concatenate([self.ids, ids])
-        self.words += words
+    def _same(self, points: np.ndarray, size: np.ndarray, slots: np.ndarray) -> np.ndarray:
+        """Whether each pre-token holds its slot's points. Pre-tokens follow one another, but for the edges of texts."""
+        mine, upto = points[points != ta.EDGE_POINT], np.cumsum(size) - size
+        same = self.sizes.data[slots] == size
+        at = np.repeat(self.begins.data[slots] - upto, size)
+        at += np.arange(len(mine))
+        if not same.all():
+            np.minimum(at, self.points.n - 1, out=at)
+        same[np.searchsorted(upto, np.flatnonzero(self.points.data[at] != mine), "right") - 1] = False
+        return same
+
+    def _added(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        ids, counts = self.encode_words(ta.span_bytes(points, starts, ends))
+        slots = (self.counts.n + np.arange(len(starts))).astype(np.int32)
+        self.starts.add(self.ids.n + np.cumsum(counts) - counts)
+        self.counts.add(counts)
+        self.ids.add(ids)
+        size = ends - starts
+        upto = np.cumsum(size) - size
+        self.begins.add(self.points.n + upto)
+        self.sizes.add(size)
+        self.points.add(points[np.repeat(starts - upto, size) + np.arange(size.sum())])
         return slots
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -259,11 +286,10 @@ class Remembered:
         starts, ends = ta.pretokens(points)
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-        hashes = ta.span_hashes(points + np.uint32(1), starts, ends)
-        slots = self.slots_of(hashes, lambda some: ta.span_bytes(points, starts[some], ends[some]), functools.partial(ta.same_spans, points, starts, ends))
-        counts = self.counts[slots].astype(np.int64)
+        slots = self.slots_of(ta.span_hashes(points + np.uint32(1), starts, ends), points, starts, ends)
+        counts = self.counts.data[slots].astype(np.int64)
         done = np.concatenate([[0], np.cumsum(counts)])
-        ids = self.ids[np.repeat(self.starts[slots] - done[:-1], counts) + np.arange(done[-1])]
+        ids = self.ids.data[np.repeat(self.starts.data[slots] - done[:-1], counts) + np.arange(done[-1])]
         return ids, done[np.searchsorted(starts, at)]
 
 

@@ -28,6 +28,8 @@ from kernelweave.llm import bpe
 from kernelweave.llm.common import shared_dir
 
 BLOCK_TOKENS, STEP = 1 << 20, 512
+#: Distinct pre-tokens that a writing Python worker remembers.
+REMEMBERED = 1_000_000
 
 SCHEMA = "part int, block int, base bigint, doc_ids array<bigint>, counts array<bigint>, n bigint, bits int, zeros array<bigint>, planes binary, ones binary"
 
@@ -43,13 +45,14 @@ class WaveletMatrix:
         ids = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         n, planes, ones, zeros = len(ids), [], [], []
         for level in range(bits - 1, -1, -1):
-            one = ((ids >> level) & 1).astype(bool)
+            one = (ids & ids.dtype.type(1 << level)) != 0
             packed = np.packbits(one, bitorder="little")
             packed = np.concatenate([packed, np.zeros(-len(packed) % (STEP // 8), np.uint8)])
-            sums = np.bitwise_count(packed).reshape(-1, STEP // 8).sum(1, dtype=np.uint32)
+            sums = np.bitwise_count(packed.view(np.uint64)).reshape(-1, STEP // 64).sum(1, dtype=np.uint32)
             planes.append(packed)
             ones.append(np.concatenate([np.zeros(1, np.uint32), np.cumsum(sums, dtype=np.uint32)]))
-            ids = np.concatenate([ids[~one], ids[one]])
+            # positions are quicker here than masks
+            ids = np.concatenate([ids[np.flatnonzero(~one)], ids[np.flatnonzero(one)]])
             zeros.append(n - int(one.sum()))
         return WaveletMatrix(n, bits, zeros, np.concatenate(planes).tobytes(), np.concatenate(ones).tobytes())
 
@@ -107,8 +110,8 @@ class WaveletMatrix:
         for level in range(self.bits - 1, -1, -1):
             one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             up = np.empty_like(out)
-            up[~one], up[one] = out[: self.zeros[level]], out[self.zeros[level] :]
-            up |= one.astype(out.dtype) << out.dtype.type(self.bits - 1 - level)
+            up[np.flatnonzero(~one)] = out[: self.zeros[level]]
+            up[np.flatnonzero(one)] = out[self.zeros[level] :] | out.dtype.type(1 << (self.bits - 1 - level))
             out = up
         return out
 
@@ -127,7 +130,7 @@ def _library(path: str) -> tuple[bpe.Remembered, dict[str, int], int]:
         got = [tokenize(w.decode("latin-1").translate(shown)) for w in words]
         return np.array([t.id for x in got for t in x], np.int32), np.array([len(x) for x in got], np.int64)
 
-    return bpe.Remembered(encode_words), v.special, max(1, (len(v.bytes) - 1).bit_length())
+    return bpe.Remembered(encode_words, REMEMBERED), v.special, max(1, (len(v.bytes) - 1).bit_length())
 
 
 def write(docs: DataFrame, tokenizer: str, path: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> None:

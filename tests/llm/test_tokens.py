@@ -121,3 +121,18 @@ def test_equal_hashes_are_told_apart_by_their_bytes(monkeypatch):
     memory, v = bpe.Remembered(bpe.vocabulary(PATH).encode_words), bpe.vocabulary(PATH)
     for texts in (["one two six", "ten the and"], ["ten owl one", "abc"]):
         assert bpe.encode_texts(pa.array(texts), v.special, memory).to_pylist() == [LIB.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_known_pretokens_are_not_cut_out_again(monkeypatch):
+    memory, v, cut, whole = bpe.Remembered(bpe.vocabulary(PATH).encode_words), bpe.vocabulary(PATH), [], textarrays.span_bytes
+    first = bpe.encode_texts(pa.array(ODD), v.special, memory).to_pylist()
+    monkeypatch.setattr(textarrays, "span_bytes", lambda points, starts, ends: cut.extend(starts) or whole(points, starts, ends))
+    assert bpe.encode_texts(pa.array(ODD[::-1]), v.special, memory).to_pylist() == first[::-1] and not cut
+
+
+def test_memory_of_long_pretokens_starts_anew():
+    memory, rng = bpe.Remembered(bpe.vocabulary(PATH).encode_words, 1000), random.Random(2)
+    for _ in range(30):
+        texts = [" ".join("".join(rng.choices("abcdeé", k=500)) for _ in range(10))]
+        assert bpe.encode_texts(pa.array(texts), {}, memory).to_pylist() == [LIB.encode(t, add_special_tokens=False).ids for t in texts]
+    assert memory.points.n < 32 * 1000 + 2 * 5010
