@@ -1,5 +1,7 @@
 import random
 import re
+import time
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -291,3 +293,18 @@ def test_forest_links_vectors_of_each_length(spark):
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in forest.near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert all(got[i] == (5, 0) for i in (0, 1, 2, 3, 20, 21))
     assert all(got[i] == (2, 10) for i in (10, 11, 12)) and got[22] == (0, 22) and got[23] == (0, 23) and got[None] == (0, None)
+
+
+def test_shuffle_files_go_with_the_table_written(spark):
+    from kernelweave.llm.common import _CLEANUP, written
+
+    def files():
+        dirs = [str(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+        return {p for d in dirs for p in Path(d).rglob("shuffle_*.data")}
+
+    before, was = files(), spark.conf.get(_CLEANUP, None)
+    table = written(spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count(), "some")
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(_CLEANUP, None) == was and table.agg(F.sum("count")).first()[0] == 10_000
