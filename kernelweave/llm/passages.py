@@ -309,7 +309,8 @@ def _cut(texts: Column, gone: Column, cuts: Column) -> Column:
                 out.append(b"\n".join(left).decode())
             yield pa.array(out, pa.string())
 
-    return of(texts, gone, cuts)
+    # else Spark copies the call into a filter on its result, and each task holds two Python workers
+    return of.asNondeterministic()(texts, gone, cuts)
 
 
 def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS, threshold_percent: int = THRESHOLD_PERCENT) -> DataFrame:

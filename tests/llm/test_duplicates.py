@@ -249,6 +249,15 @@ def test_passages_of_repeated_ids_and_clashing_columns(spark):
     assert {(r["n"], r["text"]) for r in out.collect()} == {(0, "a\n" + p), (1, "x\ny"), (2, "z"), (3, p)}
 
 
+def test_passages_are_cut_out_of_a_text_once(spark):
+    """A second call, copied into the filter on its result, is twice the work and two Python workers for each task."""
+    p = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, p), (2, "x\n" + p), (3, p)], "doc_id long, text string")
+    out = passages.without(df, passages.repeated_passages(df))
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert {(r["doc_id"], r["text"]) for r in out.collect()} == {(1, p), (2, "x")}
+
+
 def test_lines_of_texts_that_end_with_a_break():
     data, offs = textarrays.utf8(pa.array(["a b\n", "", "\n", "c\n\nd"]))
     lines, owner = passages.cut(data, offs)
