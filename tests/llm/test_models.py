@@ -137,6 +137,21 @@ def test_toxicity_learns(spark):
     assert ((held["s"] >= 0.5) == truth).mean() > 0.97
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    n = 7200
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("common word"), F.col("id") % 50, F.when(F.col("id") % 40 == 0, " vile").otherwise("")).alias("text"), F.lit("en").alias("lang"))
+    model = toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") % 40 == 0).cast("int").alias("toxic")))
+    table = model.language_table[:, 0].astype(float)
+    (common, _), (never, _) = toxicity.word_buckets(pa.array(["common never-seen"]))[0][:2]
+    assert np.exp(table[common] - table[never]) - 1 == pytest.approx(n, rel=1e-3)
+    assert (model.scores(pa.array(["common word3", "common word3 vile"])) >= 0.5).tolist() == [False, True]
+
+
+def test_toxicity_learns_in_shards(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 500)
+    test_toxicity_learns(spark)
+
+
 def test_toxicity_odd(spark, odd, none):
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(5, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.fit(odd, labels)
