@@ -27,9 +27,14 @@ def single(long: DataFrame, ties: str = "last") -> DataFrame:
     return rounded.groupBy(*keys).agg(F.max_by("x", "event_index").alias("x"))
 
 
+def missing() -> Column:
+    """Raises when it is read."""
+    return F.raise_error(F.lit("an event misses a covariate: impute it or drop the event")).cast("double")
+
+
 def known(x: str) -> Column:
     """The column; a missing value raises when it is read."""
-    return F.coalesce(F.col(x), F.raise_error(F.lit("an event misses a covariate: impute it or drop the event")).cast("double"))
+    return F.coalesce(F.col(x), missing())
 
 
 def sticks(events: DataFrame, lo: int, width: int, n_samples: DataFrame | int) -> DataFrame:

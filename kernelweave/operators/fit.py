@@ -8,16 +8,19 @@ net paths, partial models and cross-validation are then small problems for the d
 from __future__ import annotations
 
 import warnings
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kernelweave.operators import lsmr, packed
-from kernelweave.operators.expand import known
+from kernelweave.operators import intervals, lsmr, packed
+from kernelweave.operators.design import Design
+from kernelweave.operators.expand import known, missing
 
 
 @dataclass
@@ -285,23 +288,38 @@ def fit_overlap(xdc: DataFrame, samples: DataFrame, method: str = "normal", chan
     return coefficients(xdc.sparkSession, stats, beta, method)
 
 
-def fit_epochs(long: DataFrame, epochs: DataFrame, method: str = "pinv", kept: DataFrame | None = None) -> DataFrame:
-    """(channel, col_id, lag, beta): one regression for each lag and channel, of epochs on the design's columns.
+def _products(p: int):
+    """Rows of p numbers as the sum of their products, p x p, one for each task."""
 
-    X'X comes from events once; X'Y from a join on the event. Only columns x columns and columns x
-    lags x channels numbers reach the driver. kept: the events that have an epoch (`intervals.whole`), if they are known
-    without cutting the epochs.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((p, p))
+        for b in batches:
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["key", "v"])
+
+    return run
+
+
+def fit_epochs(design: Design, samples: DataFrame, lo: int, width: int, method: str = "pinv", exclude: DataFrame | None = None) -> DataFrame:
+    """(channel, col_id, lag, beta): one regression for each lag and channel, of the epochs of events on the design's columns.
+
+    Events with a whole window, touching no interval of exclude, count. X'X comes from events once. Epochs are not cut: events of one
+    sample share their window, so X'Y is a join of the columns' sums at each sample with the signal. Only columns x columns and
+    columns x lags x channels numbers reach the driver.
     """
-    x = long.select("recording_id", "event_index", "col_id", "x").where(known("x") != 0)
-    if kept is None:
-        kept = epochs.select("recording_id", "event_index").distinct()
-    x = x.join(kept.select("recording_id", "event_index"), ["recording_id", "event_index"], "left_semi")
-    other = x.select("recording_id", "event_index", F.col("col_id").alias("other"), F.col("x").alias("z"))
-    gram = x.join(other, ["recording_id", "event_index"]).groupBy("col_id", "other").agg(F.sum(F.col("x") * F.col("z")).alias("v")).toPandas()
-    cross = epochs.join(x, ["recording_id", "event_index"]).groupBy("channel", "lag", "col_id").agg(F.sum(F.col("x") * F.col("y")).alias("v")).toPandas()
-    cols = sorted(gram["col_id"].unique())
-    g = gram.pivot(index="col_id", columns="other", values="v").reindex(index=cols, columns=cols).fillna(0).to_numpy()
+    kept = intervals.whole(design.events, samples, lo, width, exclude)
+    mine, p = replace(design, events=kept), len(design.columns)
+    keys = ["recording_id", "_lat"]
+    types = sorted({t for c in design.columns for t in c.event_types})
+    rows = kept.where(F.col("type").isin(*types)).select(F.array(*[F.when(F.col("type").isin(*c.event_types), F.coalesce(c.expr.cast("double"), missing())).otherwise(F.lit(0.0)) for c in design.columns]).alias("x"))
+    g = np.frombuffer(packed.summed(rows.mapInArrow(_products(p), "key int, v binary"), "key").first()["v"]).reshape(p, p)
+    at = mine.long().withColumn("_lat", F.round("latency").cast("long")).groupBy(*keys, "col_id").agg(F.sum(known("x")).alias("x")).where("x <> 0")
+    at = at.select("recording_id", "col_id", "x", F.explode(F.sequence(F.lit(lo), F.lit(lo + width - 1))).alias("lag"), (F.col("_lat") + F.col("lag")).alias("t"))
+    cross = at.join(samples.select("recording_id", "t", "channel", "y"), ["recording_id", "t"]).groupBy("channel", "lag", "col_id").agg(F.sum(F.col("x") * F.col("y")).alias("v")).toPandas()
+    used = np.flatnonzero(g.diagonal() > 0)
+    cols = [design.columns[i].col_id for i in used]
     c = cross.pivot(index="col_id", columns=["channel", "lag"], values="v").reindex(index=cols).fillna(0)
-    beta = solve(g, c.to_numpy(), method)[0]
-    rows = [(int(ch), int(col), int(lag), float(beta[i, k])) for k, (ch, lag) in enumerate(c.columns) for i, col in enumerate(cols)]
-    return long.sparkSession.createDataFrame(rows, "channel int, col_id int, lag int, beta double")
+    beta = solve(g[np.ix_(used, used)], c.to_numpy(), method)[0]
+    out = [(int(ch), int(col), int(lag), float(beta[i, k])) for k, (ch, lag) in enumerate(c.columns) for i, col in enumerate(cols)]
+    return samples.sparkSession.createDataFrame(out, "channel int, col_id int, lag int, beta double")

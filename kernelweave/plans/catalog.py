@@ -354,7 +354,7 @@ def epoch_fit(spark, sf_dir):
     events = src.model_events(spark, sf_dir)
     d = design(events, "y ~ 1 + value", TYPES)
     samples = src.activity(spark, sf_dir)
-    c = fit.fit_epochs(d.long(), intervals.epochs(events, samples, -5, 15), kept=intervals.whole(events, samples, -5, 15))
+    c = fit.fit_epochs(d, samples, -5, 15)
     return c.join(d.metadata().select("col_id", "name"), "col_id").select("channel", "name", "lag", _r("beta", 4))
 
 

@@ -220,3 +220,19 @@ def test_folds_of_equal_numbers_of_modelled_samples(model, spark):
     with pytest.raises(ValueError, match="modelled samples"):
         postfit.folds(s, e, "a", modelled=x, allow_overlap=False)
     assert postfit.folds(s, e, ["a", "b"]).select("fold").distinct().count() > 50
+
+
+def test_epochs_of_events_at_one_sample(spark):
+    """Events that share samples, one without an index, a window that is excluded and one that hangs over the end."""
+    rng = np.random.default_rng(3)
+    rows = [("r", i or None, "a", float(5 + 7 * (i % 3)), float(rng.normal())) for i in range(300)] + [("r", 900, "a", 40.0, 1.0), ("r", 901, "a", 49.0, 1.0), ("r", 902, "b", 12.0, 9.0)]
+    events = spark.createDataFrame(rows, "recording_id string, event_index long, type string, latency double, x double")
+    y = rng.normal(size=(51, 2))
+    samples = spark.createDataFrame([("r", t, c + 1, float(y[t, c])) for t in range(1, 51) for c in range(2)], "recording_id string, t long, channel int, y double")
+    gone = spark.createDataFrame([("r", 41, 41)], "recording_id string, start_t long, end_t long")
+    got = {(r["channel"], r["col_id"], r["lag"]): r["beta"] for r in fit.fit_epochs(design(events, "y ~ 1 + x", ["a"]), samples, -1, 4, exclude=gone).collect()}
+    x = np.array([[1.0, r[4]] for r in rows[:300]])
+    for lag in range(-1, 3):
+        want = np.linalg.lstsq(x, np.array([y[int(r[3]) + lag] for r in rows[:300]]), rcond=None)[0]
+        assert all(got[c + 1, j, lag] == pytest.approx(want[j, c], abs=1e-9) for c in range(2) for j in range(2))
+    assert len(got) == 16
