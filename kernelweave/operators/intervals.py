@@ -166,16 +166,22 @@ def first_at_a_time(events: DataFrame, key: str | None = None) -> DataFrame:
     return events.withColumn("_k", F.row_number().over(W.partitionBy("recording_id", at).orderBy("event_index"))).where("_k = 1").drop("_k")
 
 
-def event_in_epoch(events: DataFrame, others: DataFrame, lo: int, width: int, value: str = "latency", last: bool = False, tile: int = 1024) -> DataFrame:
+def event_in_epoch(events: DataFrame, others: DataFrame, lo: int, width: int, value: str = "latency", last: bool = False, tile: int = TILE) -> DataFrame:
     """(recording_id, event_index, found): value of the first (or last) of others inside each event's epoch, null where none is.
 
-    The latency is told from the event's own.
+    The latency is told from the event's own. Of others at one sample the first (last) by index stands for all, and events of one sample ask
+    once: a scan in tiles of time finds the nearest other from an epoch's start on (back from its end), however many others the epoch holds.
     """
     e = events.select("recording_id", "event_index", F.round("latency").cast("long").alias("_lat"))
-    asked = e.withColumn("_tile", F.explode(F.sequence(F.floor((F.col("_lat") + lo) / tile), F.floor((F.col("_lat") + lo + width - 1) / tile))))
-    o = others.select(F.col("recording_id").alias("_r"), F.col("event_index").alias("_i"), F.round("latency").cast("long").alias("_at"), F.col(value).alias("_v"))
-    on = (F.col("recording_id") == F.col("_r")) & (F.col("_tile") == F.floor(F.col("_at") / tile)) & F.col("_at").between(F.col("_lat") + lo, F.col("_lat") + lo + width - 1)
-    told = F.col("_v") - F.col("_lat") if value == "latency" else F.col("_v")
-    pick = F.max_by if last else F.min_by
-    hits = asked.join(o, on).groupBy("recording_id", "event_index").agg(pick(told, F.struct("_at", "_i")).alias("found"))
-    return e.drop("_lat").join(hits, ["recording_id", "event_index"], "left")
+    pick, sign = (F.max_by, 1) if last else (F.min_by, -1)
+    o = others.select("recording_id", F.round("latency").cast("long").alias("_at"), "event_index", F.col(value).alias("_v")).where("recording_id is not null and _at is not null and event_index is not null")
+    o = o.groupBy("recording_id", "_at").agg(pick("_v", "event_index").alias("_v"))
+    # a window's far end is where the search begins; time runs backwards for the first
+    asked = e.select("recording_id", "_lat").where("recording_id is not null and _lat is not null").distinct().withColumn("_from", F.col("_lat") + F.lit(lo + width - 1 if last else lo))
+    line = o.select("recording_id", (F.col("_at") * sign).alias("_k"), F.lit(0).alias("_asks"), F.lit(None).cast("long").alias("_lat"), F.struct((F.col("_at") * sign).alias("k"), F.col("_v").alias("v")).alias("_o"))
+    line = line.unionByName(asked.select("recording_id", (F.col("_from") * sign).alias("_k"), F.lit(1).alias("_asks"), "_lat"), allowMissingColumns=True)
+    near = scan(line, ["recording_id"], ["_k", "_asks"], {"_near": ("max", "_o")}, tile).where("_asks = 1")
+    at = F.col("_near.k") * sign
+    told = F.col("_near.v") - F.col("_lat") if value == "latency" else F.col("_near.v")
+    found = near.where(at.between(F.col("_lat") + lo, F.col("_lat") + lo + width - 1)).select("recording_id", "_lat", told.alias("found"))
+    return e.join(found, ["recording_id", "_lat"], "left").select("recording_id", "event_index", "found")

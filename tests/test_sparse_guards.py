@@ -108,6 +108,24 @@ def test_events_in_epochs(spark):
     assert {r["found"] for r in intervals.event_in_epoch(one, b.limit(0), 0, 11).collect()} == {None}
 
 
+def test_events_in_crowded_epochs(spark):
+    """Against brute force; then with so many events at a sample that pairs would be 900 million. An event without index is never found, as in SQL."""
+    rng = np.random.default_rng(8)
+    a = [("qr"[int(rng.integers(2))], i, "a", float(np.round(rng.uniform(1, 400), 1)), 0.0) for i in range(200)]
+    b = [("qr"[int(rng.integers(2))], int(i), "b", float(np.round(rng.uniform(1, 400), 1)), float(i)) for i in rng.permutation(150)] + [("q", None, "b", float(t), -1.0) for t in range(1, 400, 9)]
+    schema = "recording_id string, event_index long, type string, latency double, value double"
+    ea, eb = spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)
+    for last, value, tile in ((False, "latency", 16), (True, "latency", 64), (False, "value", 16_384), (True, "value", 16)):
+        got = {r["event_index"]: r["found"] for r in intervals.event_in_epoch(ea, eb, -5, 12, value, last, tile).collect()}
+        for rec, i, _, t, _ in a:
+            lat = np.floor(t + 0.5)
+            inside = sorted((np.floor(o[3] + 0.5), o[1], o[3] - lat if value == "latency" else o[4]) for o in b if o[0] == rec and o[1] is not None and lat - 5 <= np.floor(o[3] + 0.5) <= lat + 6)
+            assert got[i] == (pytest.approx(inside[-1 if last else 0][2]) if inside else None)
+    many = spark.range(60_000).select(F.lit("r").alias("recording_id"), F.col("id").alias("event_index"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("type"), (F.col("id") % 50 + 1).cast("double").alias("latency"))
+    found = intervals.event_in_epoch(many.where("type = 'a'"), many.where("type = 'b'"), 0, 100).groupBy("found").count().collect()
+    assert {r["found"]: r["count"] for r in found} == {1.0: 30_000}
+
+
 def test_middle_window_and_inserted_rows(model, spark):
     e, _, _, x = model
     w = plotdata.display_window(x, e, 1.0, 20)
