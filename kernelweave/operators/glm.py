@@ -1,6 +1,6 @@
 """Elastic-net paths of generalised linear models, of several classes, several responses and survival times.
 
-The rows are packed into blocks once. All models that are open at a time, several lambdas of the path and the path of each
+The rows are packed into blocks once (of squared errors with few columns, one triangle is all that is needed). All models that are open at a time, several lambdas of the path and the path of each
 left-out fold, take each Newton step together: one job sums loss, gradient and the curvature of their active columns.
 The driver solves the penalised quadratic problem of each (`penalized.py`) and checks the gradient of all columns,
 which comes with the same sums; columns that break the optimality conditions join. Nothing of the rows reaches the driver.
@@ -13,9 +13,11 @@ scale of the link. Rows with nulls in any used column are left out.
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -215,6 +217,81 @@ class Rows:
         return [((v := got.get(i, none))[0], v[1:5], v[5:9], v[9]) for i in range(len(jobs))]
 
 
+class Factors:
+    """The families of squared errors with few columns: one pass leaves of each fold the triangle R of a QR of (1, x, y - offset), each row times the
+    root of its weight, and no rows are stored. A model's residuals are R times its coefficients, as exact as from rows; steps are the driver's alone.
+    """
+
+    #: Columns and responses at most, without and with folds: each task holds a triangle for each fold.
+    MOST, MOST_FOLDED = 512, 64
+    table = None
+
+    def __init__(self, df: DataFrame, columns: list[str], ys: list[Column], family: str, weight: Column, offset: Column, fold: Column):
+        self.family, self.p, self.k = family, len(columns), len(ys)
+        cells = [weight, offset, fold, F.lit(1.0), *map(F.col, columns), *ys]
+        self.flat = df.select(*[c.cast("double").alias(f"c{i}") for i, c in enumerate(cells)])
+        p, m = self.p, 1 + self.p + self.k
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums, tri = {}, {}
+            for a in _rows(batches):
+                for f in np.unique(a[:, 2]):
+                    at = a[a[:, 2] == f]
+                    w, z = at[:, 0], at[:, 3:]
+                    x, y = z[:, 1 : 1 + p], z[:, 1 + p :]
+                    v = np.concatenate([[w.sum()], w @ x, w @ (x * x), w @ y, [float(len(at))]])
+                    sums[f] = sums[f] + v if f in sums else v
+                    z[:, 1 + p :] -= at[:, 1:2]
+                    z *= np.sqrt(w)[:, None]
+                    tri[f] = packed.triangle(np.concatenate([tri.get(f, np.zeros((0, m))), z]))
+            yield from (pa.RecordBatch.from_arrays([pa.array([f], pa.int32()), pa.array([np.concatenate([v, tri[f].ravel()]).tobytes()], pa.binary())], ["fold", "v"]) for f, v in sums.items())
+
+        def both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            return np.concatenate([a[: -m * m] + b[: -m * m], packed.stacked(a[-m * m :], b[-m * m :])])
+
+        got = {r["fold"]: np.frombuffer(r["v"]) for r in packed.summed(self.flat.mapInArrow(run, "fold int, v binary"), "fold", add=both).collect()}
+        self.sums, self.triangles = {f: v[: -m * m] for f, v in got.items()}, {f: v[-m * m :].reshape(m, m) for f, v in got.items()}
+
+    def start(self) -> dict[int, dict[str, np.ndarray]]:
+        p, k = self.p, self.k
+        return {f: {"w": v[0], "x": v[1 : 1 + p], "xx": v[1 + p : 1 + 2 * p], "y": v[1 + 2 * p : 1 + 2 * p + k], "least": 0.0, "n": v[-1]} for f, v in self.sums.items()}
+
+    def steps(self, models: list[Model]) -> None:
+        k, cut = self.k, 1 + self.p
+        for m in models:
+            r = np.concatenate([t for f, t in self.triangles.items() if f != m.fold])
+            w = sum(v[0] for f, v in self.sums.items() if f != m.fold)
+            left, xs = r[:, cut:] - r[:, :cut] @ m.b, r[:, m.play]
+            h = np.zeros((len(m.play), k, len(m.play), k))
+            for a in range(k):
+                h[:, a, :, a] = xs.T @ xs
+            m.sums = 0.5 * (left * left).sum() / w, r[:, :cut].T @ left / w, h.reshape(len(m.play) * k, len(m.play) * k) / w
+
+    def held_out(self, models: list[Model]) -> list[tuple[float, np.ndarray, np.ndarray, float]]:
+        """Errors' sizes are in no triangle: one more pass over the rows."""
+        family, p, jobs = self.family, self.p, [(m.fold, m.b) for m in models]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = {}
+            for a in _rows(batches):
+                w, off, fold = a[:, :3].T
+                for i, (left, coef) in enumerate(jobs):
+                    at = fold == left
+                    if at.any():
+                        m = measures(family, a[at, 3 : 4 + p] @ coef + off[at, None], a[at, 4 + p :])
+                        total[i] = total.get(i, 0.0) + np.concatenate([[w[at].sum()], w[at] @ m, w[at] @ (m * m), [float(at.sum())]])
+            yield from (pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([v.tobytes()], pa.binary())], ["key", "v"]) for i, v in total.items())
+
+        got = {r["key"]: np.frombuffer(r["v"]) for r in packed.summed(self.flat.mapInArrow(run, "key int, v binary"), "key").collect()}
+        return [((v := got.get(i, np.zeros(10)))[0], v[1:5], v[5:9], v[9]) for i in range(len(jobs))]
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for b in batches:
+        if b.num_rows:
+            yield np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns])
+
+
 def _folds(start: dict[int, dict], left: int) -> dict:
     """Sums over the folds but the one left out."""
     parts = [s for f, s in start.items() if f != left]
@@ -371,7 +448,9 @@ def _prepared(df: DataFrame, columns: list[str], y, family: str, weight: Column
             got = df.agg(*[F.stddev_pop(c).alias(c) for c in ys]).first()
             scale = np.array([got[c] or 1.0 for c in ys])
         targets = [F.col(c) / F.lit(float(s)) for c, s in zip(ys, scale, strict=True)]
-    return Rows(df, columns, targets, family, weight, offset, of), len(targets), classes, scale
+    few = 1 + len(columns) + len(targets) <= (Factors.MOST_FOLDED if fold else Factors.MOST)
+    kind = Factors if family in ("gaussian", "mgaussian") and few else Rows
+    return kind(df, columns, targets, family, weight, offset, of), len(targets), classes, scale
 
 
 def _fit(df, columns, y, family, alpha, lambdas, weight, offset, fold, steps, tol, standardize, intercept, n_lambda, lambda_min, dfmax, pmax, exclude, penalty_factor, limits, mtype, standardize_response, screen):
@@ -403,7 +482,7 @@ def _fit(df, columns, y, family, alpha, lambdas, weight, offset, fold, steps, to
             models = [found[f, i] for f in folds[1:] for i in range(len(lams))]
             scores = folds[1:], _parted(rows.held_out(models), len(lams))
     finally:
-        packed.dropped(rows.table)
+        packed.dropped(*([rows.table] if rows.table is not None else []))
     b = np.array([found[-1, i].b for i in range(len(lams))]).reshape(len(lams), 1 + p, k) * scale[None, None, :]
     s = _folds(start, -1)
     deviance = np.array([2 * (found[-1, i].sums[0] * s["w"] - s["least"]) for i in range(len(lams))])

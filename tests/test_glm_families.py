@@ -217,3 +217,18 @@ def test_quadratic():
     slope = (g - h @ (runs - start)).reshape(4, 2)
     for s, r in zip(slope, runs.reshape(4, 2), strict=True):
         assert np.allclose(s, 0.5 * r / np.linalg.norm(r), atol=1e-7) if r.any() else np.linalg.norm(s) <= 0.5 + 1e-9
+
+
+def test_squared_errors_from_triangles(data, monkeypatch):
+    """Gaussian paths store no rows, and say what blocks of rows say, with weights, offsets and folds."""
+    df, _, cols = data
+    df = df.withColumn("part", F.pmod(F.hash("x0"), F.lit(3)))
+    kw = {"weight": F.abs("x0") + 0.5, "offset": F.col("x1") * 0.3, "n_lambda": 12, "loss": "mae", "grouped": False}
+    with monkeypatch.context() as m:
+        m.setattr(glm.Factors, "MOST_FOLDED", 0)
+        want = glm.glm_cv(df, cols, "y1", "part", **kw)
+    monkeypatch.setattr(glm.packed, "stored", lambda *_: pytest.fail("rows are stored"))
+    got = glm.glm_cv(df, cols, "y1", "part", **kw)
+    for a, b in ((got["path"].coefs, want["path"].coefs), (got["path"].deviance, want["path"].deviance), (got["by_fold"], want["by_fold"]), (got["cvm"], want["cvm"]), (got["cvse"], want["cvse"])):
+        assert np.allclose(a, b, rtol=1e-8, atol=1e-10)
+    assert len(glm.glm_path(df, cols, "y1", n_lambda=5).lambdas) == 5
